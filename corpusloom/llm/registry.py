@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, decontaminate, licenses, linededup, media
+from corpusloom.llm import bpe, decontaminate, licenses, linededup, media, minhash
 from corpusloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,11 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_report(documents(spark, sf_dir))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(documents(spark, sf_dir), min_run=2)
 
@@ -36,7 +41,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_media": op1_media, "op5_line_dedup": op5_line_dedup, "op6_licenses": op6_licenses, "op7_bpe": op7_bpe, "op10_decontaminate": op10_decontaminate}
+    return {"op1_media": op1_media, "op2_minhash": op2_minhash, "op5_line_dedup": op5_line_dedup, "op6_licenses": op6_licenses, "op7_bpe": op7_bpe, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
