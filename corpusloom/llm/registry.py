@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, decontaminate, licenses, linededup, media, minhash
+from corpusloom.llm import bpe, decontaminate, langid, licenses, linededup, media, minhash, quality
 from corpusloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept", "n_links")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(documents(spark, sf_dir), min_run=2)
 
@@ -36,12 +40,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(documents(spark, sf_dir))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_media": op1_media, "op2_minhash": op2_minhash, "op5_line_dedup": op5_line_dedup, "op6_licenses": op6_licenses, "op7_bpe": op7_bpe, "op10_decontaminate": op10_decontaminate}
+    return {"op1_media": op1_media, "op2_minhash": op2_minhash, "op3_quality": op3_quality, "op5_line_dedup": op5_line_dedup, "op6_licenses": op6_licenses, "op7_bpe": op7_bpe, "op8_language": op8_language, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
