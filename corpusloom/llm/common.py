@@ -6,17 +6,13 @@ import re
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.session import ensure_checkpoint_dir
 
-#: A run of bytes other than ASCII white space. On UTF-8 bytes it finds the same words as on text.
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: A run of ASCII letters and digits and of everything beyond ASCII.
 ALNUM_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -47,37 +43,93 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class WordCodes(dict):
-    """64-bit hashes of words, computed when first asked for; emptied when full so that a task's memory stays bounded."""
-
-    limit = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
-        return code
-
-
-_codes = WordCodes()
-
-
-def codes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_codes.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def rolling(codes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every run of `width` codes, by doubling."""
-    n = len(codes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    have, out, at, power = codes, None, 0, 1
-    while True:
-        if width & power:
-            part = have[at : at + n]
-            out = part if out is None else mix64(out * MIX + part)
-            at += power
-        power *= 2
-        if power > width:
-            return out
-        have = mix64(have[: len(have) - power // 2] * MIX + have[power // 2 :])
+def _word_bytes(separators: str) -> np.ndarray:
+    table = np.ones(256, bool)
+    table[[byte for byte in range(256) if re.match(separators.encode(), bytes([byte]))]] = False
+    return table
+
+
+#: Which bytes belong to a word.
+IN_WORD = _word_bytes(r"[\x20\x09-\x0D]")
+#: A multiplier, odd and hence invertible modulo 2^64, and a random value for each byte.
+BASE = 0xD6E8FEB86659FD93
+BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes that are hashed at a time.
+PIECE = 1 << 20
+
+
+class Powers:
+    """Powers of an odd multiplier and of its inverse modulo 2^64, as many as have been asked for."""
+
+    def __init__(self, base: int):
+        self.base = base
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 1 << 16)
+            self.up, self.down = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(size - 1, x, np.uint64))) for x in (self.base, pow(self.base, -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
+
+
+_powers = {base: Powers(base) for base in (BASE, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)}
+
+
+def runs_hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
+    """A 64-bit hash of each run values[start:end], from differences of one running sum (a polynomial modulo 2^64)."""
+    up, down = _powers[base].get(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[:-1], out=total[1:])
+    return mix64((total[ends] - total[starts]) * down[starts])
+
+
+def _piece_codes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words of some bytes, and where each starts."""
+    raw = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = IN_WORD[raw]
+    step = np.diff(inside)
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    return runs_hashed(BYTES[raw], starts, ends), starts
+
+
+def coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit codes of the words of all texts, one text after the other, and the number of words of each."""
+    counts, found, group, size = np.zeros(len(texts), np.int64), [], [], 0
+
+    def flush():
+        data = b"\n".join(texts[i] for i in group)
+        codes, starts = _piece_codes(data)
+        ends = np.cumsum([len(texts[i]) + 1 for i in group])
+        counts[group] = np.diff(np.searchsorted(starts, ends), prepend=0)
+        found.append(codes)
+
+    for i, text in enumerate(texts):
+        if group and size + len(text) > PIECE:
+            flush()
+            group, size = [], 0
+        if len(text) <= PIECE:
+            group.append(i)
+            size += len(text) + 1
+            continue
+        at = 0
+        while at < len(text):  # a longer text in pieces that end at a separator
+            end = at + PIECE
+            while end < len(text) and IN_WORD[text[end]]:
+                end += 1
+            codes, _ = _piece_codes(text[at:end])
+            found.append(codes)
+            counts[i] += len(codes)
+            at = end
+    if group:
+        flush()
+    return np.concatenate(found) if found else np.zeros(0, np.uint64), counts
+
+
+def windows_hashed(codes: np.ndarray, counts: np.ndarray, width: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every run of `width` codes within a text, and where it starts; counts: the number of codes of each text."""
+    ends = np.cumsum(counts)
+    room = np.maximum(counts - width + 1, 0)
+    first = np.repeat(ends - counts - (np.cumsum(room) - room), room)
+    starts = first + np.arange(len(first))
+    return runs_hashed(codes, starts, starts + width, base), starts

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, codes_of, doc_bytes, keyed, rolling
+from corpusloom.llm.common import coded, doc_bytes, keyed, runs_hashed, windows_hashed
 from corpusloom.llm.graph import connected_components
 from corpusloom.session import ensure_checkpoint_dir
 
@@ -48,13 +48,17 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
 FACTORS, SHIFTS = _permutations()
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
-    found = WORD.findall(doc_bytes(text).lower())
-    if not found:
-        return np.zeros(0, np.uint64)
-    codes = codes_of(found)
-    return np.unique(rolling(codes, min(words, len(codes))) + np.uint64(min(words, len(codes))))
+def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles."""
+    codes, counts = coded([doc_bytes(text).lower() for text in texts])
+    hashes, starts = windows_hashed(codes, counts, words)
+    ends = np.cumsum(counts)
+    cuts = np.searchsorted(starts, ends)
+    sets = [np.unique(hashes[a:b]) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+    for i in np.flatnonzero((counts > 0) & (counts < words)):  # the whole sequence is one shingle
+        whole = runs_hashed(codes[ends[i] - counts[i] : ends[i]], np.zeros(1, np.int64), counts[i : i + 1])
+        sets[i] = whole + np.uint64(counts[i])
+    return sets
 
 
 def minima_of(hashes: np.ndarray) -> np.ndarray:
@@ -119,7 +123,7 @@ def _sign(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [shingle_set(text, words) for text in part.column(1).to_pylist()]
+                sets = shingle_sets(part.column(1).to_pylist(), words)
                 minima = signatures(sets)
                 node = pa.array([None if not len(s) else xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
                 lists = [
@@ -155,8 +159,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(text, words).tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "hashes"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = [hashes.tobytes() for hashes in shingle_sets(part.column(1).to_pylist(), words)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["node", "hashes"])
 
     full = texts.mapInArrow(sets, "node long, hashes binary")
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
@@ -233,7 +239,7 @@ def _across(members: DataFrame, floor: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, node (its set), component_id (smallest doc_id reachable), n_links of its set, kept."""
+    """One row a document: doc_id, doc_key, n_shingles, node (its set), component_id (smallest doc_id reachable), n_links of its set, kept."""
     ensure_checkpoint_dir(docs.sparkSession)
     docs = keyed(docs, id_col, text_col)
     floor = floor_estimate(percent / 100)
@@ -266,8 +272,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     placed = labels.join(roots, "label").join(ends, "node").select("node", "component_id", "n_links")
     found = nodes.select("node", "smallest").join(placed, "node", "left")
     found = found.select("node", F.coalesce("component_id", "smallest").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    joined = signed.select("doc_id", "n_shingles", "node").join(found, "node", "left")
+    joined = signed.select("doc_id", "doc_key", "n_shingles", "node").join(found, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return joined.select(
-        "doc_id", "n_shingles", "node", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "doc_key", "n_shingles", "node", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group, with all its columns: that of the smallest doc_id, once even if its row is repeated. Documents without a word all stay."""
+    keys = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_key").alias("_key")).distinct()
+    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    return rows.join(keys, "_key").dropDuplicates(["_key"]).select(*docs.columns)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, decontaminate, langid, licenses, linededup, media, minhash, quality
+import corpus_pipeline
+from corpusloom.llm import bpe, decontaminate, langid, licenses, linededup, media, minhash, ngram, quality, substrings
 from corpusloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.perplexity_report(documents(spark, sf_dir))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(documents(spark, sf_dir), min_run=2)
 
@@ -44,13 +49,29 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(documents(spark, sf_dir))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_report(documents(spark, sf_dir))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_media": op1_media, "op2_minhash": op2_minhash, "op3_quality": op3_quality, "op5_line_dedup": op5_line_dedup, "op6_licenses": op6_licenses, "op7_bpe": op7_bpe, "op8_language": op8_language, "op10_decontaminate": op10_decontaminate}
+    return {
+        "op1_media": op1_media,
+        "op2_minhash": op2_minhash,
+        "op3_quality": op3_quality,
+        "op4_ngram": op4_ngram,
+        "op5_line_dedup": op5_line_dedup,
+        "op6_licenses": op6_licenses,
+        "op7_bpe": op7_bpe,
+        "op8_language": op8_language,
+        "op9_substrings": op9_substrings,
+        "op10_decontaminate": op10_decontaminate,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
