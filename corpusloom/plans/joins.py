@@ -62,7 +62,7 @@ def flag_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").join(F.broadcast(flags), "p_type", "left").select("p_partkey", F.coalesce("flag", F.lit("none")).alias("kind"))  # two rows
 
 
-MERGE = """WITH l AS (SELECT c_custkey, c_nationkey::VARCHAR || c_mktsegment AS k FROM customer WHERE c_custkey % 3 = 0), r AS (SELECT s_suppkey, s_nationkey::VARCHAR || CASE s_suppkey % 2 WHEN 0 THEN 'BUILDING' ELSE 'OTHER' END AS k FROM supplier),
+MERGE = """WITH l AS (SELECT c_custkey, c_nationkey::VARCHAR || c_mktsegment AS k FROM customer), r AS (SELECT s_suppkey, s_nationkey::VARCHAR || CASE s_suppkey % 2 WHEN 0 THEN 'BUILDING' ELSE 'OTHER' END AS k FROM supplier),
     p AS (SELECT c_custkey, s_suppkey FROM l JOIN r USING (k)), n AS (SELECT c_custkey, count(*) n, min(s_suppkey) s FROM p GROUP BY 1)
     SELECT c_custkey, s AS s_suppkey, CASE WHEN n IS NULL THEN 'left_only' WHEN n = 1 THEN 'merged' ELSE 'review' END AS status FROM l LEFT JOIN n USING (c_custkey)
     UNION ALL SELECT NULL, s_suppkey, 'right_only' FROM r WHERE s_suppkey NOT IN (SELECT s_suppkey FROM p)"""
@@ -70,7 +70,7 @@ MERGE = """WITH l AS (SELECT c_custkey, c_nationkey::VARCHAR || c_mktsegment AS
 
 @query("2.3.7 2.3.9", MERGE)
 def merged_with_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").withColumn("key", F.concat("c_nationkey", "c_mktsegment"))
+    left = table(spark, sf_dir, "customer").withColumn("key", F.concat("c_nationkey", "c_mktsegment"))
     right = table(spark, sf_dir, "supplier").withColumn("key", F.concat("s_nationkey", F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").otherwise("OTHER")))
     return reconcile.keyed_merge(left, right, "c_custkey", "s_suppkey", "key")
 
@@ -89,25 +89,25 @@ def best_scored_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.3.10 2.3.29",
-    """SELECT p_partkey, f.first AS match FROM part LEFT JOIN (SELECT lower(replace(p_name, ' ', '')) k, min(p_partkey) first FROM part GROUP BY 1) f ON f.k = lower(replace(p_name, ' ', '')) WHERE p_size = 7""",
+    """SELECT p_partkey, f.first AS match FROM part LEFT JOIN (SELECT lower(replace(p_name, ' ', '')) k, min(p_partkey) first FROM part GROUP BY 1) f ON f.k = lower(replace(p_name, ' ', ''))""",
 )
 def indexed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first item of each normalised title."""
     parts = table(spark, sf_dir, "part")
     first = parts.groupBy(text.squeezed("p_name").alias("k")).agg(F.min("p_partkey").alias("match"))
-    asked = parts.where("p_size = 7").select("p_partkey", text.squeezed("p_name").alias("k"))
+    asked = parts.select("p_partkey", text.squeezed("p_name").alias("k"))
     return asked.join(first, "k", "left").select("p_partkey", "match")
 
 
 @query(
     "2.3.11 2.3.12",
-    """WITH a AS (SELECT DISTINCT p_name FROM part WHERE p_size <= 2), c AS (SELECT p_name, n_nationkey, CASE WHEN length(p_name) = n_nationkey THEN 1 WHEN length(p_name) > n_nationkey AND n_nationkey >= 8 THEN 2 END AS tier FROM a, nation),
+    """WITH a AS (SELECT DISTINCT p_name FROM part), c AS (SELECT p_name, n_nationkey, CASE WHEN length(p_name) = n_nationkey THEN 1 WHEN length(p_name) > n_nationkey AND n_nationkey >= 8 THEN 2 END AS tier FROM a, nation),
     t AS (SELECT p_name, tier, count(*) n, min(n_nationkey) k, row_number() OVER (PARTITION BY p_name ORDER BY tier) rn FROM c WHERE tier IS NOT NULL GROUP BY p_name, tier)
     SELECT a.p_name, tier, CASE WHEN n = 1 THEN k END AS n_nationkey, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM a LEFT JOIN t ON a.p_name = t.p_name AND rn = 1""",
 )
 def tiered_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact before looser conditions against a small catalogue (nation: 25 rows); a tie within the tier is ambiguous."""
-    names = table(spark, sf_dir, "part").where("p_size <= 2").select("p_name").distinct()
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
     pairs = names.join(F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey")))
     size = F.length("p_name")
     return reconcile.tiered_match(names, "p_name", pairs, "n_nationkey", [size == F.col("n_nationkey"), (size > F.col("n_nationkey")) & (F.col("n_nationkey") >= 8)])
@@ -152,10 +152,10 @@ def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.3.17 2.3.19",
-    f"""SELECT source, neighbour FROM (SELECT DISTINCT source, target AS neighbour, dense_rank() OVER (PARTITION BY source ORDER BY target) rn FROM {EDGES} e JOIN part ON p_partkey = target WHERE p_type IN ('PROMO','LARGE') AND source <> target AND source < 500) WHERE rn <= 2""",
+    f"""SELECT source, neighbour FROM (SELECT DISTINCT source, target AS neighbour, dense_rank() OVER (PARTITION BY source ORDER BY target) rn FROM {EDGES} e JOIN part ON p_partkey = target WHERE p_type IN ('PROMO','LARGE') AND source <> target) WHERE rn <= 2""",
 )
 def typed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = edges(spark, sf_dir).where("source < 500")
+    some = edges(spark, sf_dir)
     nodes = part_nodes(spark, sf_dir)
     forward = some.select(F.col("source"), F.col("target").alias("neighbour")).distinct().where("source <> neighbour")
     typed = nodes.where(F.col("entry_type").isin("PROMO", "LARGE")).select(F.col("entry_id").alias("neighbour"))

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from corpusloom.operators import chunking, graph, incremental, mentions
 from corpusloom.plans.base import query, table
 
-LINKS = """(SELECT 'o' || l_orderkey AS source, 'p' || l_partkey AS target FROM lineitem WHERE l_orderkey < 400 UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_orderkey < 400 UNION SELECT 's' || l_suppkey, 'o' || l_orderkey FROM lineitem WHERE l_orderkey < 40)"""
+LINKS = """(SELECT 'o' || l_orderkey AS source, 'p' || l_partkey AS target FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem UNION SELECT 's' || l_suppkey, 'o' || l_orderkey FROM lineitem)"""
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey < 400")
+    items = table(spark, sf_dir, "lineitem")
     o, p, s = (F.concat(F.lit(mark), name) for mark, name in (("o", "l_orderkey"), ("p", "l_partkey"), ("s", "l_suppkey")))
-    pairs = [items.select(o.alias("source"), p.alias("target")), items.select(p.alias("source"), s.alias("target")), items.where("l_orderkey < 40").select(s.alias("source"), o.alias("target"))]
+    pairs = [items.select(o.alias("source"), p.alias("target")), items.select(p.alias("source"), s.alias("target")), items.select(s.alias("source"), o.alias("target"))]
     return pairs[0].union(pairs[1]).union(pairs[2]).distinct()
 
 
@@ -37,10 +37,10 @@ def dirty_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.marked_dirty(edges, spark.createDataFrame([("s1",), ("s3",)], "node string"), 3).select("node", "seed", "depth")
 
 
-@query("2.8.2", "SELECT p_type AS series, p_partkey AS entry_id, p_size::BIGINT AS hits FROM part WHERE p_partkey < 60 AND p_type IN (SELECT p_type FROM part WHERE p_partkey < 60 AND p_size >= 45)")
+@query("2.8.2", "SELECT p_name AS series, p_partkey AS entry_id, p_size::BIGINT AS hits FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_size >= 49)")
 def core_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = table(spark, sf_dir, "part").where("p_partkey < 60").select(F.col("p_type").alias("series"), F.col("p_partkey").alias("entry_id"), F.col("p_size").cast("long").alias("hits"))
-    return graph.series_with_core(members, 45).select("series", "entry_id", "hits")
+    members = table(spark, sf_dir, "part").select(F.col("p_name").alias("series"), F.col("p_partkey").alias("entry_id"), F.col("p_size").cast("long").alias("hits"))
+    return graph.series_with_core(members, 49).select("series", "entry_id", "hits")
 
 
 @query("2.8.5", "SELECT 'resolved' AS kind, count(*)::BIGINT AS n FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) UNION ALL SELECT 'unresolved', count(*)::BIGINT FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
