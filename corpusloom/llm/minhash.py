@@ -7,10 +7,12 @@ J + (1 - J) / 2^b, which is solved for J. Pairs whose estimate is within five st
 are confirmed on their full sets.
 
 Copies first collapse into one node per distinct set, so thousands of equal documents cost one. In a bucket every node is
-paired with the smallest one (the star); the verified links give first components. Only buckets that still hold several
-components are then searched for pairs across components, in blocks of bounded size. No pair within a component is ever
-emitted beyond the star, none is dropped, and no bucket is capped. With 32 bands of four, a pair at 0.8 misses all buckets
-with a probability of 5e-8.
+paired with the one that meets most others in all its buckets (the star, close to the original of a group of near copies); the
+verified links give first components. Only buckets that still hold several components are then searched for pairs across
+components, in blocks of bounded size: the packed estimate first, then the sets folded to bitmaps of 2^16 bits. Of the pairs
+that are clearly similar one for each two components goes on, near the threshold all do, and full sets decide. No pair within a
+component is emitted beyond the star and no bucket is capped. With 32 bands of four, a pair at 0.8 misses all buckets with a
+probability of 5e-8.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. A text of fewer words than a shingle is one shingle; without words it
 is empty and linked with nothing. Null text is empty. Rows that repeat an id and a text are one document.
@@ -36,7 +38,9 @@ MINIMA = ROWS * BANDS
 #: Standard errors below the threshold at which an estimate still counts as a candidate.
 MARGIN = 5
 #: Members of a bucket that one task compares with each other.
-BLOCK = 8192
+BLOCK = 4096
+#: The largest set that is folded to sixteen bits a hash, and what a comparison of such sets may be off by.
+FOLDED, SLACK = 4000, 0.01
 STEP = 1 << 15
 
 
@@ -151,11 +155,10 @@ def estimate(left: str, right: str) -> Column:
     return ((MINIMA - n) / F.lit(float(MINIMA)) - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets have 100 * intersection >= percent * union."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _full_sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """node, hashes (the set as packed 64-bit values) of the needed nodes; the texts are shuffled once."""
     keys = needed.join(nodes.select("node", "doc_key"), "node")
-    texts = docs.select("doc_key", "text").join(keys, "doc_key").select("node", "text")
+    texts = docs.select("doc_key", "text").join(keys, "doc_key").dropDuplicates(["doc_key"]).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +167,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
                 found = [hashes.tobytes() for hashes in shingle_sets(part.column(1).to_pylist(), words)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["node", "hashes"])
 
-    full = texts.mapInArrow(sets, "node long, hashes binary")
+    return texts.mapInArrow(sets, "node long, hashes binary")
+
+
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets have 100 * intersection >= percent * union."""
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
     both = both.join(full.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b").select("a", "b", "ha", "hb")
 
@@ -180,21 +187,72 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
     return both.mapInArrow(confirm, "a long, b long")
 
 
-def _across(members: DataFrame, floor: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of different components that share a bucket and pass the estimate.
+def _with_folds(full: DataFrame) -> DataFrame:
+    """node, fold: the set's hashes folded to sixteen bits, distinct and packed; empty for a set of more than FOLDED."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folds = []
+            for value in batch.column(1):
+                hashes = np.frombuffer(value.as_buffer(), np.uint64)
+                folds.append(np.unique((hashes >> np.uint64(40)).astype(np.uint16)).tobytes() if len(hashes) <= FOLDED else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folds, pa.binary())], ["node", "fold"])
 
-    members: band, node, label, packed of buckets with several components. A bucket larger than BLOCK is cut into blocks, and
-    a member goes to each pair of blocks that its own takes part in.
+    return full.mapInArrow(run, "node long, fold binary")
+
+
+def _worth_trying(i: np.ndarray, j: np.ndarray, label: np.ndarray, folds: list[bytes], least: float) -> np.ndarray:
+    """Which of the pairs (i, j) to confirm on full sets.
+
+    Folded sets, as bitmaps, tell the similarity to about 0.005. What is clearly below `least` goes. A pair clearly above it
+    settles its two components, so of these only the best one for each pair of components stays; near the threshold, and for
+    sets too large to fold, all do.
+    """
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    bits = np.zeros((len(used), 1 << 10), np.uint64)
+    for row, member in enumerate(used):
+        plain = np.zeros(1 << 16, bool)
+        plain[np.frombuffer(folds[member], np.uint16)] = True
+        bits[row] = np.packbits(plain).view(np.uint64)
+    size = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    left, right = at[: len(i)], at[len(i) :]
+    common = np.empty(len(i), np.int64)
+    for start in range(0, len(i), 2048):
+        part = slice(start, start + 2048)
+        common[part] = np.bitwise_count(bits[left[part]] & bits[right[part]]).sum(axis=1, dtype=np.int64)
+    known = (size[left] > 0) & (size[right] > 0)
+    near = common / np.maximum(size[left] + size[right] - common, 1)
+    keep = ~known | ((near >= least - SLACK) & (near < least + SLACK))
+    sure = np.flatnonzero(known & (near >= least + SLACK))
+    if len(sure):
+        ends = np.sort(np.stack([label[i[sure]], label[j[sure]]], axis=1), axis=1)
+        order = np.lexsort((-near[sure], ends[:, 1], ends[:, 0]))
+        ends = ends[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (ends[1:] != ends[:-1]).any(axis=1)
+        settled = ends[first]
+        keep[sure[order[first]]] = True
+        done = set(map(tuple, settled.tolist()))
+        for k in np.flatnonzero(known & (near >= least - SLACK) & (near < least + SLACK)):
+            keep[k] = tuple(sorted((label[i[k]], label[j[k]]))) not in done
+    return keep
+
+
+def _across(members: DataFrame, floor: float, least: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of different components that share a bucket, pass the estimate and are worth a confirmation.
+
+    members: band, node, label, packed, fold of buckets with several components. A bucket larger than BLOCK is cut into blocks,
+    and a member goes to each pair of blocks that its own takes part in.
     """
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     sized = members.join(sizes, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = sized.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = own.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi"), "own", "node", "label", "packed")
+    dealt = dealt.select("band", F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi"), "own", "node", "label", "packed", "fold")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = dealt.repartition(parts, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
 
-    def compare(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def compare(rows: list[np.ndarray], folds: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         own, lo, hi, node, label, packed = rows
         first = np.flatnonzero(own == lo[0])
         second = first if lo[0] == hi[0] else np.flatnonzero(own == hi[0])
@@ -206,24 +264,31 @@ def _across(members: DataFrame, floor: float) -> DataFrame:
             n = np.bitwise_count(bits & np.uint64(0x1111111111111111)).sum(axis=2, dtype=np.int64)
             close = ((MINIMA - n) / MINIMA - 2.0**-BITS) / (1 - 2.0**-BITS) >= floor
             close &= label[left][:, None] != label[second][None, :]
+            if lo[0] == hi[0]:
+                close &= left[:, None] < second[None, :]
             i, j = np.nonzero(close)
-            a, b = node[left[i]], node[second[j]]
-            yield np.minimum(a, b), np.maximum(a, b)
+            if len(i):
+                i, j = left[i], second[j]
+                keep = _worth_trying(i, j, label, folds, least)
+                a, b = node[i[keep]], node[j[keep]]
+                yield np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        folds: list[bytes] = []
         key = None
 
         def flush():
             rows = [np.concatenate([part[i] for part in held]) for i in range(6)] if held else [()]
             if len(rows[0]) > 1:
-                for a, b in compare(rows):
+                for a, b in compare(rows, folds):
                     pairs = np.unique(np.stack([a, b], axis=1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
             band, lo, hi, own, node, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             packed = batch.column(6).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
+            sets = batch.column(7).to_pylist()
             cut = np.flatnonzero((band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             for start, end in zip([0, *cut], [*cut, batch.num_rows], strict=True):
                 if start == end:
@@ -231,15 +296,16 @@ def _across(members: DataFrame, floor: float) -> DataFrame:
                 this = (band[start], lo[start], hi[start])
                 if this != key:
                     yield from flush()
-                    held, key = [], this
+                    held, folds, key = [], [], this
                 held.append(tuple(column[start:end] for column in (own, lo, hi, node, label, packed)))
+                folds += sets[start:end]
         yield from flush()
 
     return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, doc_key, n_shingles, node (its set), component_id (smallest doc_id reachable), n_links of its set, kept."""
+    """One row a document: doc_id, doc_key, n_shingles, node (its set), component_id (smallest doc_id reachable), kept."""
     ensure_checkpoint_dir(docs.sparkSession)
     docs = keyed(docs, id_col, text_col)
     floor = floor_estimate(percent / 100)
@@ -251,36 +317,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         .checkpoint()
     )
     rows = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.min("node").alias("star"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "star")
+    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = rows.join(buckets, "band").checkpoint()
+    met = shared.groupBy("node").agg(F.sum("n").alias("met"))
+    full = _full_sets(docs, nodes, met.select("node"), words).checkpoint()
     packed = nodes.select("node", "packed")
-    star = shared.where("node <> star").select(F.col("star").alias("a"), F.col("node").alias("b")).distinct()
-    star = star.join(packed.toDF("a", "pa"), "a").join(packed.toDF("b", "pb"), "b").where(estimate("pa", "pb") >= floor).select("a", "b")
-    links = _verified(star.checkpoint(), docs, nodes, words, percent).checkpoint()
+
+    known = shared.join(met, "node")
+    stars = known.groupBy("band").agg(F.max(F.struct("met", "node")).alias("_s")).select("band", F.col("_s.node").alias("star"))
+    star = shared.join(stars, "band").where("node <> star").select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b")).distinct()
+    star = star.join(packed.toDF("a", "pa"), "a").join(packed.toDF("b", "pb"), "b").where(estimate("pa", "pb") >= floor).select("a", "b").checkpoint()
+    links = _verified(star, full, percent).checkpoint()
 
     labels = connected_components(links)
-    labelled = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = shared.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    members = labelled.join(mixed, "band").join(packed, "node").select("band", "node", "label", "packed")
-    more = _across(members, floor).checkpoint()
+    members = labelled.join(mixed, "band")
+    folds = _with_folds(full.join(members.select("node").distinct(), "node").select("node", "hashes"))
+    members = members.join(packed, "node").join(folds, "node").select("band", "node", "label", "packed", "fold")
+    more = _across(members, floor, percent / 100)
     tried = more.join(star, ["a", "b"], "left_anti")
-    links = links.union(_verified(tried.checkpoint(), docs, nodes, words, percent)).distinct().checkpoint()
+    links = links.union(_verified(tried.checkpoint(), full, percent)).checkpoint()
 
     labels = connected_components(links)
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     roots = nodes.select("node", "smallest").join(labels, "node").groupBy("label").agg(F.min("smallest").alias("component_id"))
-    placed = labels.join(roots, "label").join(ends, "node").select("node", "component_id", "n_links")
+    placed = labels.join(roots, "label").select("node", "component_id")
     found = nodes.select("node", "smallest").join(placed, "node", "left")
-    found = found.select("node", F.coalesce("component_id", "smallest").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = found.select("node", F.coalesce("component_id", "smallest").alias("component_id"))
     joined = signed.select("doc_id", "doc_key", "n_shingles", "node").join(found, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return joined.select(
-        "doc_id", "doc_key", "n_shingles", "node", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("doc_id").eqNullSafe(component).alias("kept")
-    )
+    return joined.select("doc_id", "doc_key", "n_shingles", "node", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, with all its columns: that of the smallest doc_id, once even if its row is repeated. Documents without a word all stay."""
     keys = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_key").alias("_key")).distinct()
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    return rows.join(keys, "_key").dropDuplicates(["_key"]).select(*docs.columns)
+    everything = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row")
+    rows = docs.select(everything, F.xxhash64("doc_id", "text").alias("_key"))
+    return rows.join(keys, "_key").dropDuplicates(["_key"]).select("_row.*")

@@ -19,7 +19,7 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
-    return found.select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
