@@ -70,7 +70,8 @@ SLACK = 200
 
 
 def sentences(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), CUT)
+    """The sentences of a text that are not blank."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), CUT), lambda x: F.length(F.trim(x)) > 0)
 
 
 def normalised(sentence: Column) -> Column:
@@ -130,7 +131,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row a document: its id column, n_sentences, known (array<struct<at,id>>), matches (array<struct<rule,license,at>>)."""
     found = docs.select(
         F.col(id_col),
-        F.size(F.filter(sentences(F.col(text_col)), lambda x: F.length(F.trim(x)) > 0)).cast("long").alias("n_sentences"),
+        F.size(sentences(F.col(text_col))).cast("long").alias("n_sentences"),
         known_sequence(F.col(text_col), known).alias("known"),
     )
     nothing = F.array().cast("array<struct<rule:string,license:string,at:array<int>>>")
