@@ -108,23 +108,22 @@ def known_sequence(text: Column, known: dict[str, str] = SENTENCES) -> Column:
     return F.when(hint, F.filter(named, lambda x: x["id"].isNotNull())).otherwise(F.array().cast("array<struct<at:int,id:string>>"))
 
 
-def _grow(sequence: Column, part: tuple[str, ...], gap: int):
-    """A step from the ordinals matched so far to those with the next part, or to null."""
+def _grow(sequence: Column, chains: Column, part: tuple[str, ...], gap: int) -> Column:
+    """Chains with one more part: each sentence that serves for it, after the first chain whose end is near enough."""
 
-    def step(chain: Column) -> Column:
-        last = F.element_at(chain, -1)
-        following = F.filter(sequence, lambda x: x["id"].isin(*part) & (x["at"] > last) & (x["at"] <= last + 1 + gap))
-        return F.when(F.size(following) > 0, F.concat(chain, F.array(F.get(following, 0)["at"])))
+    def extended(x: Column) -> Column:
+        fitting = F.filter(chains, lambda chain: (x["at"] > F.element_at(chain, -1)) & (x["at"] <= F.element_at(chain, -1) + 1 + gap))
+        return F.when(F.size(fitting) > 0, F.concat(F.get(fitting, 0), F.array(x["at"])))
 
-    return step
+    return F.filter(F.transform(F.filter(sequence, lambda x: x["id"].isin(*part)), extended), lambda chain: chain.isNotNull())
 
 
 def _first_match(sequence: Column, parts, gap: int) -> Column:
-    """Ordinals of the sentences of the earliest match of a rule, found part by part; empty if there is none."""
-    ends = F.transform(F.filter(sequence, lambda x: x["id"].isin(*parts[0])), lambda x: F.array(x["at"]))
+    """Ordinals of the sentences of a rule's first match; empty if there is none."""
+    chains = F.transform(F.filter(sequence, lambda x: x["id"].isin(*parts[0])), lambda x: F.array(x["at"]))
     for part in parts[1:]:
-        ends = F.filter(F.transform(ends, _grow(sequence, part, gap)), lambda x: x.isNotNull())
-    return F.when(F.size(ends) > 0, F.get(ends, 0)).otherwise(F.array().cast("array<int>"))
+        chains = _grow(sequence, chains, part, gap)
+    return F.when(F.size(chains) > 0, F.get(chains, 0)).otherwise(F.array().cast("array<int>"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = 2, known: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
@@ -156,3 +155,20 @@ def license_report(docs: DataFrame, **options) -> DataFrame:
         F.array_join(F.transform("matches", lambda x: x["rule"]), ",").alias("rules"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda x: x["license"]))), ",").alias("licenses"),
     )
+
+
+def report_sql(gap: int = 2) -> str:
+    """DuckDB SQL for the report: the same cuts without look-ahead, then one self-join a part of a rule."""
+    known = ", ".join(f"('{sentence}', '{name}')" for name, sentence in SENTENCES.items())
+    rules = []
+    for place, (rule, licence, parts) in enumerate(RULES):
+        joins = "".join(f" JOIN seq s{k} ON s{k}.key = s{k - 1}.key AND s{k}.pos > s{k - 1}.pos AND s{k}.pos <= s{k - 1}.pos + {1 + gap}" for k in range(1, len(parts)))
+        where = " AND ".join(f"s{k}.id IN ({', '.join(repr(x) for x in part)})" for k, part in enumerate(parts))
+        rules.append(f"SELECT DISTINCT s0.key, {place} AS place, '{rule}' AS rule, '{licence}' AS license FROM seq s0{joins} WHERE {where}")
+    return f"""WITH d AS (SELECT row_number() OVER () AS key, doc_id, list_filter(string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''), '[.!?;](\\s)', chr(1) || '\\1', 'g'), '[.!?;]$', chr(1)), '[\\n\\r]+|\\x01'), lambda x: length(trim(x)) > 0) AS parts FROM documents),
+    x AS (SELECT key, unnest(parts) AS part, unnest(range(len(parts))) AS pos FROM d), k(sentence, id) AS (VALUES {known}),
+    seq AS (SELECT key, pos, id FROM x JOIN k ON length(part) < {max(map(len, SENTENCES.values())) + SLACK + 1} AND sentence = trim(regexp_replace(regexp_replace(lower(part), '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g'), '\\.([^0-9]|$)', ' \\1', 'g'))),
+    r AS ({" UNION ALL ".join(rules)})
+    SELECT doc_id, len(parts)::BIGINT AS n_sentences, coalesce(n, 0)::BIGINT AS n_known, coalesce(ids, '') AS sentence_ids, coalesce(rules, '') AS rules, coalesce(licenses, '') AS licenses FROM d
+    LEFT JOIN (SELECT key, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids FROM seq GROUP BY key) USING (key)
+    LEFT JOIN (SELECT key, string_agg(rule, ',' ORDER BY place) AS rules, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM r GROUP BY key) USING (key)"""

@@ -206,10 +206,19 @@ def test_licenses(spark):
     assert "mit.full" in got[1]["rules"]
 
 
+def test_licenses_by_sql(spark, sf):
+    from tests.compare import oracle, spark_rows
+
+    for folder in (sf, sf.replace("0.001", "0.01")):
+        assert spark_rows(queries()["op6_licenses"](spark, folder)) == oracle(licenses.report_sql(), folder)
+
+
 def test_rules_need_their_order(spark):
-    docs = spark.createDataFrame([(1, "one.\ntwo."), (2, "two.\none."), (3, "one.\na.\nb.\nc.\ntwo.")], "doc_id int, text string")
+    docs = spark.createDataFrame([(1, "one.\ntwo."), (2, "two.\none."), (3, "one.\na.\nb.\nc.\ntwo."), (4, "one.\ntwo.\ntwo.\nx.\ny.\nthree.")], "doc_id int, text string")
     got = rows(licenses.license_report(docs, known={"k1": "one", "k2": "two"}, rules=(("r", "L", (("k1",), ("k2",))),)))
-    assert {r["doc_id"]: r["licenses"] for r in got} == {1: "L", 2: "", 3: ""}
+    assert {r["doc_id"]: r["licenses"] for r in got} == {1: "L", 2: "", 3: "", 4: "L"}
+    three = licenses.license_report(docs, known={"k1": "one", "k2": "two", "k3": "three"}, rules=(("r", "L", (("k1",), ("k2",), ("k3",))),))
+    assert {r["doc_id"]: r["licenses"] for r in rows(three)} == {1: "", 2: "", 3: "", 4: "L"}
 
 
 def test_bpe_as_the_library(docs):
