@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from corpusloom.llm import bpe, decontaminate, langid, licenses, linededup, media, minhash, ngram, quality, substrings
+from corpusloom.llm import bpe, decontaminate, langid, licenses, linededup, media, minhash, ngram, oracles, quality, substrings
 from corpusloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,7 +74,13 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op6_licenses": licenses.report_sql()}
+    found = {
+        "op2_minhash": oracles.near_duplicates(),
+        "op5_line_dedup": oracles.line_dedup(),
+        "op6_licenses": licenses.report_sql(),
+        "op9_substrings": oracles.substrings(),
+        "op10_decontaminate": oracles.decontamination(),
+    }
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

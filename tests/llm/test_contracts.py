@@ -15,7 +15,8 @@ import pytest
 import tiktoken
 
 from corpusloom.llm import bpe, decontaminate, langid, licenses, linededup, media, minhash, ngram, quality, substrings
-from corpusloom.llm.registry import queries
+from corpusloom.llm.registry import oracle_sql, queries
+from tests.compare import oracle, spark_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -206,11 +207,11 @@ def test_licenses(spark):
     assert "mit.full" in got[1]["rules"]
 
 
-def test_licenses_by_sql(spark, sf):
-    from tests.compare import oracle, spark_rows
-
-    for folder in (sf, sf.replace("0.001", "0.01")):
-        assert spark_rows(queries()["op6_licenses"](spark, folder)) == oracle(licenses.report_sql(), folder)
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_by_sql(spark, sf, name, folder):
+    path = sf.replace("sf0.001", folder)
+    assert spark_rows(queries()[name](spark, path)) == oracle(oracle_sql()[name], path)
 
 
 def test_rules_need_their_order(spark):
