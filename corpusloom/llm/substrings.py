@@ -8,8 +8,8 @@ least `window` words matter, so each suffix with so many words left takes part w
 2. Variable-length prefixes: a suffix belongs to the group of its shortest prefix whose bucket holds at most `group_size`
    suffixes, at most of the whole path. A group so fits a task; a path that a third of all documents share is a group of its
    own, and one entry for each block of documents.
-3. Documents are dealt into blocks of bounded size, written once to the shared folder. A block sends every distinct path of
-   its suffixes (group and 64-bit hash of the path) as packed arrays, one row a shard of groups, with a bit where the block
+3. Documents are dealt into blocks of bounded size, by a hash of the row, so that a block is the same whenever it is made again.
+   A block sends every distinct path of its suffixes (group and 64-bit hash of the path) as packed arrays, one row a shard of groups, with a bit where the block
    itself holds the path more than once.
 4. A shard sorts its paths by group and path: the subtrees' nodes at full depth. Nodes with several leaves are the repeats; each
    block gets back one bit for each path it has sent.
@@ -30,10 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import PIECE, coded, doc_bytes, windows_hashed
-from corpusloom.session import ensure_checkpoint_dir
 
 #: Bytes of text in a block; suffixes that a group may hold before its prefix grows.
-BLOCK_BYTES, GROUP_SIZE = 16 << 20, 1 << 19
+BLOCK_BYTES, GROUP_SIZE = 6 << 20, 1 << 19
 #: Least and most buckets of a level's count table.
 FEW_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 20
 SLICES = 16
@@ -144,7 +143,6 @@ def _texts_of(table: pa.Table) -> list[bytes]:
 def repeated_runs(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, group_size: int = GROUP_SIZE) -> DataFrame:
     """One row a document: its id column, n_words, runs (array<struct<start,end>>: maximal repeated runs of words), text (the words that stay, joined by one space)."""
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
     blocks = max(shards, -(-size // block_bytes))
@@ -160,8 +158,7 @@ def repeated_runs(docs: DataFrame, window: int = 35, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed], ["block", id_col, "packed"])
 
     where = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).alias("block")
-    dealt = docs.select(where, id_col, text_col).mapInArrow(pack, f"block long, `{id_col}` {kind}, packed binary")
-    base = dealt.repartition(shards, "block").checkpoint()
+    base = docs.select(where, id_col, text_col).mapInArrow(pack, f"block long, `{id_col}` {kind}, packed binary")
 
     def paths_of(texts: list[bytes]):
         allowed = np.unpackbits(tables.value, axis=1).astype(bool)
