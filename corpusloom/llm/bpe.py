@@ -14,12 +14,14 @@ import uuid
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 
+from corpusloom.llm.common import parts
 
 #: Pieces whose ids a worker keeps; beyond, it starts anew.
 CACHED_PIECES = 300_000
@@ -143,7 +145,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, name, pattern)
-        for batch in batches:
+        for batch in parts(batches):
             counts, ids_hash, text_hash, all_ids = [], [], [], []
             for text in batch.column(1):
                 ids = codec.encode(text.as_py())
@@ -151,11 +153,12 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
                 ids_hash.append(hashlib.sha256(ids).hexdigest())
                 text_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 if keep_ids:
-                    all_ids.append(memoryview(ids).cast("i").tolist())
+                    all_ids.append(ids)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                ends = pa.array(np.cumsum([0, *counts]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(all_ids), np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,22 @@ def doc_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows; what Arrow no longer needs goes back to the system in between."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
+def views(texts: pa.StringArray) -> list[memoryview]:
+    """The bytes of every text, without a copy; a null is empty."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = memoryview(texts.buffers()[2] or b"")
+    known = np.ones(len(texts), bool) if not texts.null_count else texts.is_valid().to_numpy(zero_copy_only=False)
+    return [data[a:b] if there else data[:0] for a, b, there in zip(offsets[:-1].tolist(), offsets[1:].tolist(), known.tolist(), strict=True)]
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder's URI under the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

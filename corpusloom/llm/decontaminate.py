@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ALNUM_WORD, doc_bytes
+from corpusloom.llm.common import ALNUM_WORD, doc_bytes, parts
 
 #: Items are searched for in blocks whose texts have this many bytes in all, so that a block's tables fit a worker.
 BLOCK_BYTES = 8 << 20
@@ -99,11 +99,12 @@ def spans_of(words: list[bytes], sets: list[PatternSet]) -> tuple[list[tuple[int
 
 def _scan(docs: DataFrame, sets, id_col: str, text_col: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sets)
+    field = text_col.removeprefix(f"{id_col}.") if text_col.startswith(f"{id_col}.") else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             counts, spans, found = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(0).field(field) if field else batch.column(1):
                 words = words_of(text.as_py())
                 hit, items = spans_of(words, shared.value)
                 counts.append(len(words))
@@ -115,7 +116,7 @@ def _scan(docs: DataFrame, sets, id_col: str, text_col: str) -> DataFrame:
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
     schema = f"{id_col} {kind}, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, *([] if field else [text_col])).mapInArrow(run, schema)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list]:
@@ -148,10 +149,10 @@ def find_contamination(
     parts = [compile_patterns(block, window) for block in _blocks(benchmark, item_col, "text", block_bytes)] or [[]]
     if len(parts) == 1:
         return _scan(docs, parts[0], id_col, text_col)
-    keyed = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(id_col, text_col).alias("_key"))
+    keyed = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.xxhash64(id_col, text_col).alias("_key"))
     hits = None
     for sets in parts:
-        found = _scan(keyed.select(F.struct(id_col, "_key").alias("_who"), text_col), sets, "_who", text_col)
+        found = _scan(keyed.select(F.struct(id_col, "_key").alias("_who"), "_text"), sets, "_who", "_text")
         hits = found if hits is None else hits.unionByName(found)
     merged = hits.groupBy("_who").agg(
         F.max("n_words").alias("n_words"),
@@ -190,8 +191,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 13
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5) -> DataFrame:
     """The documents that are not contaminated, with all their columns; searched in one pass with the rows themselves."""
     everything = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row")
-    rows = docs.select(everything, F.col("text"))
-    verdict = contamination_report(rows, benchmark, window, percent, id_col="_row")
+    verdict = contamination_report(docs.select(everything), benchmark, window, percent, id_col="_row", text_col="_row.text")
     return verdict.where(~F.col("contaminated")).select("_row.*")
 
 

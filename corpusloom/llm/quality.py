@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import doc_bytes
+from corpusloom.llm.common import doc_bytes, parts, views
 
 BLOCK, REACH, CHUNK = 4, 3, 128  # bytes a block, blocks a filter sees, blocks a chunk
 EMBED, FILTERS = 6, 24
@@ -150,11 +150,12 @@ def fold(folds: int, id_col: str = "doc_id") -> Column:
 
 
 def score(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
-    """The kept columns and score, the probability of label 1, of every whole text."""
+    """The kept columns and score, the probability of label 1, of every whole text. text_col may be a field of the kept struct: `row.text`."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
     kinds = dict(docs.dtypes)
+    row, _, field = text_col.partition(".")
 
-    def long_logit(net: Network, text: bytes) -> float:
+    def long_logit(net: Network, text: memoryview) -> float:
         """The logit of one text that exceeds a batch, piece by piece: pieces share two blocks, so no window is lost."""
         step, pooled = batch_bytes // (BLOCK * CHUNK) * BLOCK * CHUNK, []
         for at in range(0, len(text), step):
@@ -168,10 +169,10 @@ def score(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = ("do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             scores = np.full(batch.num_rows, 0.5)
             if net is not None:
-                texts = [doc_bytes(text) for text in batch.column(len(keep)).to_pylist()]
+                texts = views(batch.column(keep.index(row)).field(field) if field else batch.column(len(keep)))
                 group: list[int] = []
                 size = 0
                 for i, text in enumerate([*texts, None]):
@@ -188,7 +189,7 @@ def score(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = ("do
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], [*keep, "score"])
 
     schema = ", ".join([*(f"`{name}` {kinds[name]}" for name in keep), "score double"])
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if field else [text_col])).mapInArrow(run, schema)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -201,6 +202,6 @@ def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that the classifier does not reject, with all their columns."""
-    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row"), F.col("text").alias("_text"))
-    scored = score(rows, train(docs, labels), keep=("_row",), text_col="_text")
+    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row"))
+    scored = score(rows, train(docs, labels), keep=("_row",), text_col="_row.text")
     return scored.where(F.col("score") >= threshold).select("_row.*")
