@@ -119,10 +119,10 @@ def registry_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.registry_violations(registry)
 
 
-@query("2.9.20", "SELECT * FROM (VALUES (1, 'who,v1.2,天理,理的'), (2, '') ) t(id, tokens)")
+@query("2.9.20", "SELECT * FROM (VALUES (1, 'v1.2,who,山水,水的'), (2, '') ) t(id, tokens)")
 def fact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "Who is 天理的 v1.2"), (2, None)], "id int, raw string")
-    return rows.select("id", F.array_join(F.sort_array(text.tokens_for_facts("raw", ["is"])), ",").alias("tokens")).select("id", F.when(F.col("tokens") == "v1.2,who,天理,理的", "who,v1.2,天理,理的").otherwise(F.col("tokens")).alias("tokens"))
+    rows = spark.createDataFrame([(1, "Who is 山水的 v1.2"), (2, None)], "id int, raw string")
+    return rows.select("id", F.array_join(F.sort_array(text.tokens_for_facts("raw", ["is"])), ",").alias("tokens"))
 
 
 @query("2.9.22 2.9.26", "SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events")
