@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.logic import EXCLUDED, all_of, version_order, version_state
+from corpusloom.functions.logic import EXCLUDED, all_of, version_key, version_state
 from corpusloom.functions.text import tokens_for_facts
 
 #: Record arrays of a page, in order of their facts.
@@ -54,7 +54,7 @@ def attribute_projection(facts: DataFrame) -> DataFrame:
 
 def merged_by_context(facts: DataFrame, context: Sequence[str]) -> DataFrame:
     """One row for each context: the number of records and their distinct evidence, sorted."""
-    return facts.groupBy(*context).agg(F.count(F.lit(1)).alias("records"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+    return facts.groupBy(*context).agg(F.count(F.lit(1)).alias("records"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("evidence")))).alias("evidence"))
 
 
 def fact_search(facts: DataFrame, question: str, k: int = 6, least: float = 2.0, text: str = "text", entity: str = "entity_name", id_col: str = "fact_id", intents: Sequence[tuple[str, Column]] = (), stop: Sequence[str] = ()) -> DataFrame:
@@ -110,10 +110,10 @@ def registry_violations(registry: DataFrame) -> DataFrame:
     for column in ("version_id", "label", "numeric"):
         part = registry.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", F.lit(f"duplicate_{column}").alias("problem"))
         problems = part if problems is None else problems.unionByName(part)
-    a = registry.where("numeric is not null").select(F.col("version_id").alias("key"), F.col("order").alias("_o"), F.col("numeric").alias("_n"))
-    b = a.toDF("_key2", "_o2", "_n2")
-    wrong = a.join(b, (F.col("_o") < F.col("_o2")) & (version_order(F.col("_n"), F.col("_n2")) > 0)).select("key", F.lit("order").alias("problem")).distinct()
-    return problems.unionByName(wrong)  # a registry is a small dictionary of versions
+    later = Window.orderBy("order").rowsBetween(1, Window.unboundedFollowing)  # a registry is a small dictionary of versions
+    numbered = registry.where("numeric is not null").withColumn("_n", version_key(F.col("numeric"))).withColumn("_least", F.min("_n").over(later))
+    wrong = numbered.where(F.col("_n") > F.col("_least")).select(F.col("version_id").alias("key"), F.lit("order").alias("problem"))
+    return problems.unionByName(wrong)
 
 
 def broken_references(rows: DataFrame, id_col: str, refs: str, known: DataFrame, known_id: str) -> DataFrame:

@@ -21,7 +21,7 @@ def quoted_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quoted terms that no title contains."""
     asked = spark.createDataFrame([(1, "is 「blue bolt」 like “lost name”?")], "id int, q string").select("id", F.explode(text.quoted_terms("q")).alias("term"))
     titles = table(spark, sf_dir, "part").select(F.col("p_name").alias("title")).distinct()
-    found = asked.join(titles, titles["title"].contains(asked["term"]), "left_semi").select("id", "term", F.lit(True).alias("known"))
+    found = titles.join(F.broadcast(asked), F.col("title").contains(F.col("term"))).select("id", "term", F.lit(True).alias("known")).distinct()  # a question has five terms at most
     joined = asked.join(found, ["id", "term"], "left")
     return joined.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("term")), ",").alias("quoted"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("known").isNull(), F.col("term")))), ",").alias("missing"))
 
