@@ -184,4 +184,4 @@ def html_text(html: Column | str) -> Column:
     bare = F.regexp_replace(bare, r"<[^>]*>", "")
     for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(plain))
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[ \t\r\f]+", " "), r"\s*\n\s*", "\n"))
+    return stripped(F.regexp_replace(F.regexp_replace(bare, r"[ \t\r\f]+", " "), r"\s*\n\s*", "\n"))

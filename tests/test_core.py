@@ -239,3 +239,44 @@ def test_landed_source(spark, tmp_path):
     assert values(rows.where("error is null"), "pageid", "title") == [(1, "a")]
     assert rows.where("error is not null").count() == 1
     assert values(landed_pages(spark, str(tmp_path)).where("error is null"), "pageid", "title") == [(1, "a")]
+
+
+def test_html_text(spark):
+    html = "<html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><p>one&amp;two<br>three</p><!-- no --><ul><li>four</li></ul></body></html>"
+    df = spark.createDataFrame([(html,), (None,), ("",)], "h string")
+    assert [r[0] for r in df.select(text.html_text("h")).collect()] == ["T\none&two\nthree\nfour", "", ""]
+
+
+def test_best_window(spark):
+    df = spark.createDataFrame([(1, "aa " * 30 + "x bb aa"), (2, "none"), (3, None)], "doc_id long, text string")
+    got = chunking.best_windows(df, ["aa", "bb", "x"], width=10).collect()
+    assert [(r["doc_id"], r["found"], r["snippet"]) for r in got] == [(1, 3, "aa aa x bb")]
+
+
+def test_line_coverage(spark):
+    df = spark.createDataFrame([("the first line\nanother long line\nlost forever", "The first line!\nanother long line")], "a string, b string")
+    row = reconcile.line_coverage(df, "a", "b").first()
+    assert row["missing"] == ["lost forever"] and row["covered"] == pytest.approx(2 / 3)
+
+
+def test_same_rows_is_a_multiset_test(spark):
+    one, two = spark.createDataFrame([(1,), (1,), (2,)], "a int"), spark.createDataFrame([(2,), (1,), (1,)], "a int")
+    assert files.same_rows(one, two) and not files.same_rows(one, two.distinct())
+
+
+def test_manifest_reasons(spark):
+    bodies = spark.createDataFrame([("a", bytearray(b"one\r\ntwo")), ("b", bytearray(b" ")), ("c", bytearray(b"TODO")), ("d", bytearray(b"x"))], "name string, content binary").withColumn("sha256", F.sha2("content", 256))
+    manifest = spark.createDataFrame([("a", None), ("b", None), ("c", None), ("d", "0"), ("e", None)], "name string, sha256 string")
+    got = {r["name"]: r["reason"] for r in files.imported(manifest, bodies).collect()}
+    assert got == {"a": None, "b": "empty", "c": "placeholder", "d": "hash", "e": "missing"}
+
+
+def test_empty_tables_give_empty_results(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert retrieval.bm25(docs, "the", 5).count() == chunking.chunked(docs).count() == chunking.best_windows(docs, ["a"]).count() == 0
+    names = spark.createDataFrame([], "entity_id string, name string")
+    assert mentions.mention_index(docs, names).count() == 0
+    vectors_table = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([], "query_id long, query array<float>")
+    assert retrieval.exact_knn(vectors_table, asked, 3).count() == 0
+    assert reconcile.keyed_merge(docs.toDF("l", "k"), docs.toDF("r", "k"), "l", "r", "k").count() == 0
