@@ -244,7 +244,7 @@ def _across(members: DataFrame, floor: float, least: float) -> DataFrame:
     members: band, node, label, packed, fold of buckets with several components. A bucket larger than BLOCK is cut into blocks,
     and a member goes to each pair of blocks that its own takes part in.
     """
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).checkpoint()
     sized = members.join(sizes, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = sized.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = own.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -317,24 +317,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         .checkpoint()
     )
     rows = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()  # written, as is each small table below, so that Spark can split a hot bucket's join
     shared = rows.join(buckets, "band").checkpoint()
     met = shared.groupBy("node").agg(F.sum("n").alias("met"))
     full = _full_sets(docs, nodes, met.select("node"), words).checkpoint()
     packed = nodes.select("node", "packed")
 
     known = shared.join(met, "node")
-    stars = known.groupBy("band").agg(F.max(F.struct("met", "node")).alias("_s")).select("band", F.col("_s.node").alias("star"))
+    stars = known.groupBy("band").agg(F.max(F.struct("met", "node")).alias("_s")).select("band", F.col("_s.node").alias("star")).checkpoint()
     star = shared.join(stars, "band").where("node <> star").select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b")).distinct()
     star = star.join(packed.toDF("a", "pa"), "a").join(packed.toDF("b", "pb"), "b").where(estimate("pa", "pb") >= floor).select("a", "b").checkpoint()
     links = _verified(star, full, percent).checkpoint()
 
     labels = connected_components(links)
     labelled = shared.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band").checkpoint()
     members = labelled.join(mixed, "band")
     folds = _with_folds(full.join(members.select("node").distinct(), "node").select("node", "hashes"))
-    members = members.join(packed, "node").join(folds, "node").select("band", "node", "label", "packed", "fold")
+    members = members.join(packed, "node").join(folds, "node").select("band", "node", "label", "packed", "fold").checkpoint()
     more = _across(members, floor, percent / 100)
     tried = more.join(star, ["a", "b"], "left_anti")
     links = links.union(_verified(tried.checkpoint(), full, percent)).checkpoint()
