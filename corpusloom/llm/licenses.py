@@ -1,10 +1,11 @@
 """Licence recognition by sentence rules, with DataFrame functions only.
 
 Text is cut into sentences at line ends and at `.`, `!`, `?` or `;` before white space; a sentence is lower-cased, everything
-but letters, digits and inner dots becomes one space. Known sentences have identifiers; what remains of a document is its
-sequence of identifiers, each with the ordinal of its sentence. A rule is an ordered list of alternatives of identifiers: its
-parts must follow each other in this order with at most `gap` other sentences in between. The longest rule wins over rules
-whose licence it names as covered.
+but letters, digits and inner dots becomes one space. Known sentences have identifiers; one is found in a single line or
+wrapped over several, which no sentence end, blank line or line without a word may part. What remains of a document is its
+sequence of identifiers, each with the ordinals of its first and last line. A rule is an ordered list of alternatives of
+identifiers: its parts must follow each other in this order with at most `gap` other sentences in between. All matches of a rule
+count, but one whose sentences are a part of a longer match's is covered by it and goes.
 
 Null and empty texts have no sentences and no licences. A repeated row gives an equal result. A very long text is one array of
 sentences, from which all but the known ones are dropped at once; nothing is shuffled.
@@ -63,9 +64,44 @@ RULES = (
     ("reserved", "LicenseRef-all-rights-reserved", (("reserved",),)),
 )
 
+_MODIFY = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+
+#: Sentences as the real texts have them, in which some of the above are longer; the SQL oracle knows those above only.
+WHOLE = {
+    "mit.grant.whole": SENTENCES["mit.grant"] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "mit.warranty.whole": SENTENCES["mit.warranty"] + " including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "apache2.warranty.whole": SENTENCES["apache2.warranty"] + " without warranties or conditions of any kind either express or implied",
+    "gpl3.header": f"this program is free software {_MODIFY} {SENTENCES['gpl.v3']}",
+    "gpl2.header": f"this program is free software {_MODIFY} {SENTENCES['gpl.v2']}",
+    "gpl3.modify": f"{_MODIFY} {SENTENCES['gpl.v3']}",
+    "gpl2.modify": f"{_MODIFY} {SENTENCES['gpl.v2']}",
+    "gpl.modify": _MODIFY,
+    "bsd.source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd.binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+}
+KNOWN = SENTENCES | WHOLE
+
+#: Sentences that may lie between two parts of a whole text: an address or an item's number, and comment lines without a word.
+WHOLE_GAP = 6
+#: Rules of RULES and for whole texts; a fourth entry is the rule's own gap.
+WHOLE_RULES = (
+    ("mit.full", "MIT", (("mit.grant", "mit.grant.whole"), ("mit.notice",), ("mit.warranty", "mit.warranty.whole")), WHOLE_GAP),
+    ("apache2.full", "Apache-2.0", (("apache2.licensed", "apache2.long"), ("apache2.terms",), ("apache2.copy",), ("apache2.warranty", "apache2.warranty.whole")), WHOLE_GAP),
+    ("gpl3.full", "GPL-3.0", (("gpl.free", "gpl.modify"), ("gpl.v3",), ("gpl.warranty",)), WHOLE_GAP),
+    ("gpl3.full", "GPL-3.0", (("gpl3.header", "gpl3.modify"), ("gpl.warranty",)), WHOLE_GAP),
+    ("gpl2.full", "GPL-2.0", (("gpl.free", "gpl.modify"), ("gpl.v2",), ("gpl.warranty",)), WHOLE_GAP),
+    ("gpl2.full", "GPL-2.0", (("gpl2.header", "gpl2.modify"), ("gpl.warranty",)), WHOLE_GAP),
+    ("bsd3.full", "BSD-3-Clause", (("bsd.redistribution",), ("bsd.source",), ("bsd.binary",), ("bsd.endorse",)), WHOLE_GAP),
+    *RULES[4:],
+)
+
 CUT = r"[\n\r]+|[.!?;](?=\s)|[.!?;]$"
+#: Where no known sentence goes on: sentence ends, and a line end before a blank line.
+HARD = r"(?:\r\n|\n|\r(?!\n))(?=[ \t]*[\n\r])|[.!?;](?=\s)|[.!?;]$"
+#: A list item's mark at the start of a line.
+ITEM = r"^[\s*#/]*\(?[0-9A-Za-z]{1,2}\)\s"
 DROP = r"[^\p{L}\p{N}.]+|\.(?![0-9])"
-#: Sentences this much longer than any known one are not normalised.
+#: Only the SQL oracle leaves sentences this much longer than any known one alone.
 SLACK = 200
 
 
@@ -89,70 +125,94 @@ def cues(known: dict[str, str]) -> list[str]:
     return chosen
 
 
-def known_sequence(text: Column, known: dict[str, str] = SENTENCES) -> Column:
-    """array<struct<at, id>>: the known sentences of a text with their ordinals.
+def known_sequence(text: Column, known: dict[str, str] = KNOWN) -> Column:
+    """array<struct<at, to, id>>: the known sentences of a text with the ordinals of their first and last lines.
 
-    A text in which none of the cue words occurs has no known sentence; its sentences are not looked at. Elsewhere, one longer
-    than any known one by SLACK characters is not normalised.
+    A text in which none of the cue words occurs has no known sentence; its sentences are not looked at.
     """
+    kind = "array<struct<at:int,to:int,id:string>>"
     names = F.create_map(*[F.lit(x) for sentence, name in sorted((s, n) for n, s in known.items()) for x in (sentence, name)])
-    longest = max(map(len, known.values())) + SLACK
-    named = F.transform(
-        sentences(text),
-        lambda sentence, at: F.struct(
-            at.cast("int").alias("at"),
-            F.when(F.length(sentence) <= longest, F.try_element_at(names, normalised(sentence))).alias("id"),
-        ),
-    )
+    every = F.array(*[F.lit(sentence) for sentence in sorted(known.values())])
+    most = max(len(sentence.split()) for sentence in known.values())  # lines of a wrapped one, as each has a word
+
+    def lines(part: Column, block: Column) -> Column:
+        filled = F.filter(F.split(part, r"[\n\r]+"), lambda x: F.length(F.trim(x)) > 0)
+        return F.transform(filled, lambda x: F.struct(block.cast("int").alias("block"), normalised(F.regexp_replace(x, ITEM, "")).alias("words")))
+
+    def found(at: Column, to: Column, name: Column) -> Column:
+        return F.struct(at.cast("int").alias("at"), to.cast("int").alias("to"), name.alias("id"))
+
+    def wrapped(units: Column, unit: Column, at: Column) -> Column:
+        """Known sentences that start with this whole line and end with a later one of its block."""
+        ahead = F.slice(units, at + 1, F.lit(most))
+        block = F.filter(ahead, lambda x: x["block"] == unit["block"])
+        begun = F.filter(every, lambda sentence: F.startswith(sentence, F.concat(unit["words"], F.lit(" "))))
+        runs = F.transform(F.sequence(F.lit(2), F.size(block)), lambda m: F.struct(m.alias("m"), F.array_join(F.transform(F.slice(block, F.lit(1), m), lambda x: x["words"]), " ").alias("words")))
+        hits = F.transform(F.filter(runs, lambda run: F.array_contains(every, run["words"])), lambda run: found(at, at + run["m"] - 1, F.try_element_at(names, run["words"])))
+        return F.when((F.length(unit["words"]) > 0) & (F.size(begun) > 0) & (F.size(block) > 1), hits).otherwise(F.array().cast(kind))
+
+    def named(units: Column) -> Column:
+        def of_line(unit: Column, at: Column) -> Column:
+            single = F.filter(F.array(found(at, at, F.try_element_at(names, unit["words"]))), lambda x: x["id"].isNotNull())
+            return F.concat(single, wrapped(units, unit, at))
+
+        return F.flatten(F.transform(units, of_line))
+
+    units = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), HARD), lines))
     hint = F.lower(text).rlike("|".join(map(re.escape, cues(known))))
-    return F.when(hint, F.filter(named, lambda x: x["id"].isNotNull())).otherwise(F.array().cast("array<struct<at:int,id:string>>"))
+    # one array for the lambdas to share: a lambda's argument is computed once, a repeated expression is not
+    return F.when(hint, F.flatten(F.transform(F.array(units), named))).otherwise(F.array().cast(kind))
 
 
 def _grow(sequence: Column, chains: Column, part: tuple[str, ...], gap: int) -> Column:
     """Chains with one more part: each sentence that serves for it, after the first chain whose end is near enough."""
 
     def extended(x: Column) -> Column:
-        fitting = F.filter(chains, lambda chain: (x["at"] > F.element_at(chain, -1)) & (x["at"] <= F.element_at(chain, -1) + 1 + gap))
-        return F.when(F.size(fitting) > 0, F.concat(F.get(fitting, 0), F.array(x["at"])))
+        fitting = F.filter(chains, lambda chain: (x["at"] > chain["to"]) & (x["at"] <= chain["to"] + 1 + gap))
+        return F.when(F.size(fitting) > 0, F.struct(F.concat(F.get(fitting, 0)["at"], F.array(x["at"])).alias("at"), x["to"].alias("to")))
 
     return F.filter(F.transform(F.filter(sequence, lambda x: x["id"].isin(*part)), extended), lambda chain: chain.isNotNull())
 
 
-def _first_match(sequence: Column, parts, gap: int) -> Column:
-    """Ordinals of the sentences of a rule's first match; empty if there is none."""
-    chains = F.transform(F.filter(sequence, lambda x: x["id"].isin(*parts[0])), lambda x: F.array(x["at"]))
+def _matches(sequence: Column, parts, gap: int) -> Column:
+    """For each match of a rule, the ordinals of its sentences."""
+    chains = F.transform(F.filter(sequence, lambda x: x["id"].isin(*parts[0])), lambda x: F.struct(F.array(x["at"]).alias("at"), x["to"].alias("to")))
     for part in parts[1:]:
         chains = _grow(sequence, chains, part, gap)
-    return F.when(F.size(chains) > 0, F.get(chains, 0)).otherwise(F.array().cast("array<int>"))
+    return F.transform(chains, lambda chain: chain["at"])
+
+
+def _uncovered(matches: Column) -> Column:
+    """Those whose sentences are not all in a longer match."""
+    return F.filter(matches, lambda x: ~F.exists(matches, lambda y: (F.size(y["at"]) > F.size(x["at"])) & (F.size(F.array_except(x["at"], y["at"])) == 0)))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = 2, known: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
-    """One row a document: its id column, n_sentences, known (array<struct<at,id>>), matches (array<struct<rule,license,at>>)."""
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = 2, known: dict[str, str] = KNOWN, rules=WHOLE_RULES) -> DataFrame:
+    """One row a document: its id column, n_sentences, known (array<struct<at,to,id>>), matches (array<struct<rule,license,at>>)."""
     found = docs.select(
         F.col(id_col),
         F.size(sentences(F.col(text_col))).cast("long").alias("n_sentences"),
         known_sequence(F.col(text_col), known).alias("known"),
     )
     nothing = F.array().cast("array<struct<rule:string,license:string,at:array<int>>>")
-    tried = F.array(
-        *[
-            F.struct(F.lit(rule).alias("rule"), F.lit(licence).alias("license"), _first_match(F.col("known"), parts, gap).alias("at"))
-            for rule, licence, parts in rules
-        ]
-    )
-    matches = F.when(F.size("known") > 0, F.filter(tried, lambda x: F.size(x["at"]) > 0)).otherwise(nothing)
+
+    def tried(rule: str, licence: str, parts, own: int = gap) -> Column:
+        return F.transform(_matches(F.col("known"), parts, own), lambda at: F.struct(F.lit(rule).alias("rule"), F.lit(licence).alias("license"), at.alias("at")))
+
+    every = F.concat(*[tried(*rule) for rule in rules])
+    matches = F.when(F.size("known") > 0, F.flatten(F.transform(F.array(every), _uncovered))).otherwise(nothing)
     return found.select(id_col, "n_sentences", "known", matches.alias("matches"))
 
 
 def license_report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_sentences, n_known, sentence_ids, rules, licenses: identifiers and rules comma-joined in order, licences sorted."""
+    """doc_id, n_sentences, n_known, sentence_ids, rules, licenses: identifiers and distinct rules comma-joined in order, licences sorted."""
     found = scan_licenses(docs, **options)
     return found.select(
         options.get("id_col", "doc_id"),
         "n_sentences",
         F.size("known").cast("long").alias("n_known"),
         F.array_join(F.transform("known", lambda x: x["id"]), ",").alias("sentence_ids"),
-        F.array_join(F.transform("matches", lambda x: x["rule"]), ",").alias("rules"),
+        F.array_join(F.array_distinct(F.transform("matches", lambda x: x["rule"])), ",").alias("rules"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda x: x["license"]))), ",").alias("licenses"),
     )
 
