@@ -5,10 +5,10 @@ back to the longest character n-grams (of the word between two blanks) of which
 their mean log frequency, so that it weighs like one word. The languages' sums over all words of the text give the prediction
 and, as a softmax, its score.
 
-Words are counted over all learning texts in Spark. The model keeps the words whose total count reaches a threshold, which is
-the lowest at which at most `max_words` remain (ties stay out together), and likewise `max_grams` n-grams of each order,
-counted once for each distinct word. That bounds what is broadcast, whatever the corpus size: words that stay out are unseen
-words. Text that is null or has no letter is `und` with score 0; so is everything when nothing could be learned.
+Words are counted over all learning texts in Spark, n-grams once for each distinct word. The model keeps every counted entry,
+whatever its count: by the 64-bit hash of its text it lies in one of many shards, which are sorted arrays in the shared folder
+that workers map into memory. Text that is null or has no letter is `und` with score 0; so is everything when nothing could be
+learned.
 """
 
 from __future__ import annotations
@@ -19,16 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import scratch_folder
+from corpusloom.llm.shared import load, save, shard_count
 from corpusloom.session import ensure_checkpoint_dir
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
-MAX_WORDS, MAX_GRAMS = 100_000, 30_000
-#: Entries that a task gathers before it hands them to the shuffle, and unseen words that a worker remembers.
+#: Entries that a task gathers before it hands them to the shuffle, and words that a worker remembers.
 HELD = 200_000
+#: The seed of Spark's xxhash64.
+SEED = 42
 SMOOTH = 0.1
 
 
@@ -84,110 +88,169 @@ def count_grams(words: DataFrame) -> DataFrame:
     return tallied.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
 
 
-def _threshold(totals: DataFrame, most: int) -> int:
-    """The lowest count at which at most `most` entries remain: from a histogram of binary-rounded counts, then exactly within the one that crosses."""
-    binned = totals.groupBy(F.length(F.bin("n")).alias("bits")).agg(F.count(F.lit(1)).alias("entries")).orderBy(F.desc("bits")).collect()
-    kept = 0
-    for row in binned:
-        if kept + row["entries"] > most:
-            low, high = 1 << (row["bits"] - 1), (1 << row["bits"]) - 1
-            fine = totals.where(F.col("n").between(low, high)).groupBy("n").agg(F.count(F.lit(1)).alias("entries"))
-            running = 0
-            for exact in fine.orderBy(F.desc("n")).limit(most).collect():
-                running += exact["entries"]
-                if kept + running > most:
-                    return exact["n"] + 1
-            return low
-        kept += row["entries"]
-    return 1
-
-
-def _frequent(counts: DataFrame, name: str, most: int, extra: Column | None = None) -> list:
-    counts = counts if extra is None else counts.where(extra)
-    totals = counts.groupBy(name).agg(F.sum("n").alias("n"))
-    least = _threshold(totals, most)
-    chosen = totals.where(F.col("n") >= least).select(name)
-    return counts.join(chosen, name).select(name, "lang", "n").collect()
-
-
-class Model(dict):
-    """Maps a word to its row of log frequencies; an unseen word gets a row of its own when it is first met."""
-
-    def __init__(self, langs: list[str], words: list, grams: dict[int, list]):
+class Model:
+    """Where the arrays are, the languages, and by size (0 for words, else the n-gram's order) each language's smoothed total."""
+
+    def __init__(self, folder: str, bits: int, langs: list[str], totals: dict[int, np.ndarray]):
+        self.folder, self.bits, self.langs, self.totals = folder, bits, langs, totals
+
+
+class Scorer(dict):
+    """Maps the words met lately to their rows of log frequencies; looks up many words at once."""
+
+    def __init__(self, model: Model):
         super().__init__()
-        self.langs = langs
-        column = {lang: i for i, lang in enumerate(langs)}
-        rows, table = self._table(words, column)
-        self.update(rows)
-        self.grams = {order: self._table(found, column) for order, found in grams.items()}
-        self.rows = np.concatenate([table, np.zeros((HELD, len(langs)), np.float32)])
-        self.known = self.used = len(table)
-        self.unseen: list[str] = []
-
-    @staticmethod
-    def _table(found: list, column: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
-        rows: dict[str, int] = {}
-        for entry, _, _ in found:
-            rows.setdefault(entry, len(rows))
-        counts = np.zeros((len(rows), len(column)))
-        for entry, lang, n in found:
-            counts[rows[entry], column[lang]] = n
-        total = counts.sum(axis=0) + SMOOTH * max(1, len(rows))
-        return rows, np.log((counts + SMOOTH) / total).astype(np.float32)
-
-    def __missing__(self, word: str) -> int:
-        row = self.rows[self.used]
-        row[:] = 0
-        for order, (known, table) in self.grams.items():
-            if found := [known[gram] for gram in grams_of(word, order) if gram in known]:
-                row[:] = table[found].mean(axis=0)
+        self.model, self.arrays = model, {}
+        self.rows = np.zeros((HELD, len(model.langs)), np.float32)
+
+    def _shard(self, size: int, shard: int) -> list[np.ndarray]:
+        if (size, shard) not in self.arrays:
+            kinds = {"key": "uint64", "first": "int64", "lang": "uint16", "count": "int64"}
+            self.arrays[size, shard] = [load(self.model.folder, f"{size}-{name}-{shard}", kind) for name, kind in kinds.items()]
+        return self.arrays[size, shard]
+
+    def look(self, size: int, entries: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which entries are known, and each one's log frequencies."""
+        known = np.zeros(len(entries), bool)
+        if size not in self.model.totals:
+            return known, np.zeros((len(entries), len(self.model.langs)))
+        counts = np.zeros((len(entries), len(self.model.langs)))
+        keys = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), SEED) for x in entries), np.uint64, len(entries))
+        order = np.argsort(keys)
+        ranked = keys[order]
+        shards = (ranked >> np.uint64(64 - self.model.bits)).astype(np.int64)
+        cuts = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])) if len(keys) else []
+        for start, end in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+            stored, first, lang, count = self._shard(size, int(shards[start]))
+            if not len(stored):
+                continue
+            at = np.minimum(np.searchsorted(stored, ranked[start:end]), len(stored) - 1)
+            hit = stored[at] == ranked[start:end]
+            at, place = at[hit], order[start:end][hit]
+            known[place] = True
+            begin, n = first[at], first[at + 1] - first[at]
+            spots = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            np.add.at(counts, (np.repeat(place, n), lang[spots]), count[spots])
+        return known, np.log((counts + SMOOTH) / self.model.totals[size])
+
+    def learn(self, words: list[str]) -> None:
+        """Rows for words that are not remembered; the unseen ones by their longest known n-grams."""
+        known, table = self.look(0, words)
+        table[~known] = 0
+        left = np.flatnonzero(~known)
+        for order in ORDERS:
+            if not len(left):
                 break
-        self[word] = self.used
-        self.unseen.append(word)
-        self.used += 1
-        return self.used - 1
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.langs:
-            return "und", 0.0
-        total = np.zeros(len(self.langs))
-        for at in range(0, len(words), HELD // 2):
-            part = words[at : at + HELD // 2]
-            if self.used + len(part) > len(self.rows):
-                for old in self.unseen:
-                    del self[old]
-                self.unseen, self.used = [], self.known
-            total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0, dtype=np.float64)
-        odds = np.exp(total - total.max())
-        best = int(odds.argmax())
-        return self.langs[best], float(odds[best] / odds.sum())
-
-
-def learn(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """A model of all documents with a language; docs: lang, text."""
+            own = [grams_of(words[i], order) for i in left]
+            at: dict[str, int] = {}
+            of_gram = np.array([at.setdefault(gram, len(at)) for grams in own for gram in grams], np.int64)
+            of_word = np.repeat(np.arange(len(left)), [len(grams) for grams in own])
+            there, rows = self.look(order, list(at))
+            use = there[of_gram] if len(at) else np.zeros(0, bool)
+            n = np.bincount(of_word[use], minlength=len(left))
+            total = np.zeros((len(left), table.shape[1]))
+            np.add.at(total, of_word[use], rows[of_gram[use]])
+            table[left[n > 0]] = total[n > 0] / n[n > 0][:, None]
+            left = left[n == 0]
+        first = len(self)
+        self.rows[first : first + len(words)] = table
+        self.update(zip(words, range(first, first + len(words)), strict=True))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found, langs = [], self.model.langs
+        own = [words_of(text) for text in texts]
+        self._remember({word for words in own for word in words})
+        for words in own:
+            if not words or not langs:
+                found.append(("und", 0.0))
+                continue
+            total = np.zeros(len(langs))
+            for at in range(0, len(words), HELD // 2):
+                part = words[at : at + HELD // 2]
+                self._remember(set(part))
+                total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0, dtype=np.float64)
+            odds = np.exp(total - total.max())
+            best = int(odds.argmax())
+            found.append((langs[best], float(odds[best] / odds.sum())))
+        return found
+
+    def _remember(self, words: set[str]) -> None:
+        """Looks up what is new; more than there is room for is left to the texts' own turns."""
+        new = [word for word in words if word not in self]
+        if not new or len(words) > HELD or not self.model.langs:
+            return
+        if len(self) + len(new) > HELD:
+            self.clear()
+            new = list(words)
+        self.learn(sorted(new))
+
+
+def learn(docs: DataFrame) -> Model:
+    """A model of all documents with a language; docs: lang, text. Each counted entry is written to the shared folder."""
+    spark = docs.sparkSession
     words = count_words(docs).checkpoint()
-    known = _frequent(words, "word", max_words)
-    counted = count_grams(words).checkpoint()
-    grams = {order: _frequent(counted, "gram", max_grams, F.col("size") == order) for order in ORDERS}
-    langs = sorted({row["lang"] for row in known} | {row["lang"] for found in grams.values() for row in found})
-    return Model(langs, sorted(known), {order: sorted(found) for order, found in grams.items()})
+    langs = sorted(row["lang"] for row in words.select("lang").distinct().collect())
+    folder = scratch_folder(spark, "language")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = shard_count(parts).bit_length() - 1
+    if not langs:
+        return Model(folder, bits, [], {})
+    entries = words.select(F.lit(0).cast("long").alias("size"), F.col("word").alias("entry"), "lang", "n").union(count_grams(words).select("size", "gram", "lang", "n"))
+    code = (F.array_position(F.array(*[F.lit(lang) for lang in langs]), F.col("lang")) - 1).cast("int")
+    coded = entries.select("size", F.xxhash64("entry").alias("key"), code.alias("lang"), "n").withColumn("shard", F.shiftrightunsigned("key", 64 - bits).cast("int"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def flush():
+            sizes, keys, codes, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys = keys.view(np.uint64)
+            for size in np.unique(sizes):
+                here = np.flatnonzero(sizes == size)
+                here = here[np.argsort(keys[here], kind="stable")]
+                own = keys[here]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                arrays = {"key": own[first], "first": np.append(first, len(own)), "lang": codes[here].astype(np.uint16), "count": counts[here]}
+                for name, array in arrays.items():
+                    save(folder, f"{size}-{name}-{now}", array)
+                sums = np.bincount(codes[here], counts[here], len(langs)).astype(np.int64)
+                columns = [np.full(len(langs) + 1, size), np.arange(-1, len(langs)), np.append(len(first), sums)]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["size", "lang", "n"])
+
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cuts = np.flatnonzero(columns[4][1:] != columns[4][:-1]) + 1
+            for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if start == end:
+                    continue
+                if columns[4][start] != now:
+                    if held:
+                        yield from flush()
+                    now, held = int(columns[4][start]), []
+                held.append([np.array(x[start:end]) for x in columns[:4]])
+        if held:
+            yield from flush()
+
+    tallied = coded.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(write, "size long, lang long, n long")
+    totals: dict[int, np.ndarray] = {}
+    for row in tallied.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect():
+        total = totals.setdefault(row["size"], np.zeros(len(langs)))
+        total[slice(None) if row["lang"] < 0 else row["lang"]] += row["n"] * (SMOOTH if row["lang"] < 0 else 1)
+    return Model(folder, bits, langs, totals)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Its id column, lang_pred and score of every whole text; one row by itself, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, dict(model), model.grams, model.rows[: model.known]))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, words, grams, table = shared.value
-        own = Model(langs, [], {})
-        own.update(words)
-        own.grams, own.rows = grams, np.concatenate([table, np.zeros((HELD, len(langs)), np.float32)])
-        own.known = own.used = len(table)
+        own = Scorer(shared.value)
         for batch in batches:
-            found = [own.predict(text) for text in batch.column(1).to_pylist()]
-            columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "lang_pred", "score"])
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                found = own.predict(part.column(1).to_pylist())
+                columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], [id_col, "lang_pred", "score"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")

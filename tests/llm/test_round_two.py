@@ -6,7 +6,7 @@ import textwrap
 
 import pytest
 
-from corpusloom.llm import licenses
+from corpusloom.llm import langid, licenses
 
 MIT = """MIT License
 
@@ -115,3 +115,32 @@ def test_all_matches_of_a_rule_are_returned(spark):
     docs = spark.createDataFrame([(1, f"{MIT}\n{'Other words.\n' * 20}\n{MIT}")], "doc_id int, text string")
     matches = licenses.scan_licenses(docs).first()["matches"]
     assert [x["rule"] for x in matches] == ["mit.full", "mit.full"] and matches[0]["at"][0] < matches[1]["at"][0]
+
+
+def test_every_learned_word_is_known(spark):
+    """More words than any fixed table held, each seen once: all are known exactly and not by their n-grams."""
+    text = {lang: " ".join("".join(chr(97 + int(d)) for d in f"{i:06d}") + lang for i in range(60_000)) for lang in ("x", "y")}
+    docs = spark.createDataFrame(list(text.items()), "lang string, text string")
+    model = langid.learn(docs)
+    scorer = langid.Scorer(model)
+    known, rows = scorer.look(0, [word for part in text.values() for word in part.split()])
+    assert known.all() and len(known) == 120_000
+    assert (rows.argmax(axis=1) == [0] * 60_000 + [1] * 60_000).all()
+    assert not scorer.look(0, ["absent"])[0].any()
+    assert {x for x, _ in scorer.predict(list(text.values()))} == {"x", "y"}
+
+
+def test_scores_by_words_and_by_ngrams(spark):
+    """Against the rules by hand, for a known word and for one of which only n-grams are known."""
+    docs = spark.createDataFrame([("x", "abc abc abd"), ("y", "abc xyz")], "lang string, text string")
+    scorer = langid.Scorer(langid.learn(docs))
+    types, total = 3, {"x": 3, "y": 2}
+    count = {"x": 2, "y": 1}
+    odds = {lang: (count[lang] + 0.1) / (total[lang] + 0.1 * types) for lang in total}
+    (lang, score), *_ = scorer.predict(["abc"])
+    assert lang == "x" and score == pytest.approx(odds["x"] / sum(odds.values()), rel=1e-4)
+    grams = {lang: [g for w in words for g in langid.grams_of(w, 4)] for lang, words in {"x": ["abc", "abd"], "y": ["abc", "xyz"]}.items()}
+    kinds = set(grams["x"] + grams["y"])
+    odds = {lang: (grams[lang].count(" abd") + 0.1) / (len(grams[lang]) + 0.1 * len(kinds)) for lang in grams}
+    (lang, score), *_ = scorer.predict(["abdq"])
+    assert lang == "x" and score == pytest.approx(odds["x"] / sum(odds.values()), rel=1e-4)
