@@ -2,8 +2,9 @@
 
 `scan` reads one file's bytes. It skips an ID3v2 tag, walks frame headers of MPEG 1, 2 and 2.5, layers I to III, and after a
 bad header resynchronises at the next one that is followed by another (or by the end). It checks the CRC-16 of protected
-frames, reads a Xing, Info or VBRI table in the first frame, and notes an APEv2 or ID3v1 tag at the end. Durations are whole
-numbers of samples over the sampling rate, so no rounding builds up over long files.
+frames, reads a Xing, Info or VBRI table in the first frame, and notes an APEv2 or ID3v1 tag at the end; what looks like one in
+frames that reach the end is payload. Durations are whole numbers of samples over the sampling rate, so no rounding builds up
+over long files.
 
 `carry` stores a payload losslessly in frames that the walker reads back: MPEG-1 layer III, mono, 48 kHz, 80 kbit/s, 240 bytes
 a frame, CRC protected; each frame's main data is one unit of 192 payload bytes (two granules of 768 bits). A first frame
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import doc_bytes
+from corpusloom.llm.common import doc_bytes, parts
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by index, Hz by index.
 KBITS = {
@@ -106,26 +107,12 @@ def _table(data: bytes, start: int, size: int, side: int) -> dict | None:
     return None
 
 
-def scan(data: bytes | None, seek_every: int = SEEK_EVERY) -> dict:
-    """Everything the media columns hold about one file; see the module's head."""
-    data = b"" if data is None else bytes(data)
-    n, at, tags = len(data), 0, []
-    while data[at : at + 3] == b"ID3" and at + 10 <= n:
-        tags.append(f"ID3v2.{data[at + 3]}")
-        at += 10 + _synchsafe(data[at + 6 : at + 10]) + 10 * (data[at + 5] >> 4 & 1)
-    end = n
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        tags.append("ID3v1")
-        end -= 128
-    if end - at >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
-        flags = int.from_bytes(data[end - 12 : end - 8], "little")
-        tags.append("APEv2")
-        end = max(at, end - int.from_bytes(data[end - 20 : end - 16], "little") - (32 if flags >> 31 else 0))
-    first = at = min(at, end)
+def _walk(data: bytes, at: int, end: int) -> tuple:
+    """What `scan` gathers from the frames between two offsets; at last, where the frames start that follow each other up to the end."""
     starts, sizes, kinds = [], [], []
     junk = resyncs = samples = 0
     rate, table, table_bytes = None, None, 0
-    synced = False
+    synced, run = False, end
     while at + 4 <= end:
         found = header(int.from_bytes(data[at : at + 4], "big"))
         size = found[0] if found else 0
@@ -140,6 +127,7 @@ def scan(data: bytes | None, seek_every: int = SEEK_EVERY) -> dict:
             jump = end if jump < 0 else jump
             junk, at = junk + jump - at, jump
             continue
+        run = run if synced else at
         synced = True
         if rate is None:
             rate = found[2]
@@ -154,6 +142,33 @@ def scan(data: bytes | None, seek_every: int = SEEK_EVERY) -> dict:
         samples += found[1]
         at += size
     junk += end - at
+    return starts, sizes, kinds, samples, rate, table, table_bytes, junk, resyncs, run if synced and at == end else end
+
+
+def _covered(data: bytes, at: int, end: int, start: int) -> bool:
+    """Whether frames that reach the end cover the tag that seems to start here."""
+    return _walk(data, at, end)[-1] < start
+
+
+def scan(data: bytes | None, seek_every: int = SEEK_EVERY) -> dict:
+    """Everything the media columns hold about one file; see the module's head."""
+    data = b"" if data is None else bytes(data)
+    n, at, tags = len(data), 0, []
+    while data[at : at + 3] == b"ID3" and at + 10 <= n:
+        tags.append(f"ID3v2.{data[at + 3]}")
+        at += 10 + _synchsafe(data[at + 6 : at + 10]) + 10 * (data[at + 5] >> 4 & 1)
+    end = n
+    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" and not _covered(data, at, end, end - 128):
+        tags.append("ID3v1")
+        end -= 128
+    if end - at >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
+        flags = int.from_bytes(data[end - 12 : end - 8], "little")
+        start = max(at, end - int.from_bytes(data[end - 20 : end - 16], "little") - (32 if flags >> 31 else 0))
+        if not _covered(data, at, end, end - 32):
+            tags.append("APEv2")
+            end = start
+    first = min(at, end)
+    starts, sizes, kinds, samples, rate, table, table_bytes, junk, resyncs, _ = _walk(data, first, end)
     duration = Fraction(samples, rate) if rate else Fraction(0)
     bad, protected = _verify(data, starts, kinds)
     bitrates = {x[3] for x in kinds}
@@ -242,7 +257,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = [doc_bytes(x.as_py()) for x in batch.column(1)]
             lengths, media = pa.array(map(len, texts), pa.int64()), pa.array([carry(pad(x)) for x in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), lengths, media], [id_col, "n_bytes", "media"])
@@ -267,7 +282,7 @@ def probe(files: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("
     schema = ", ".join([f"`{name}` {kinds[name]}" for name in keep] + [COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for value in batch.column(len(keep)):
                 data = value.as_py()
@@ -296,7 +311,7 @@ def feature_text() -> Column:
 def media_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every text, reads it back and digests what came back; see the query's contract."""
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sizes, sums, crcs = [], [], []
             for value in batch.column("payload"):
                 data = value.as_py()

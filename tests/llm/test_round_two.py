@@ -6,7 +6,7 @@ import textwrap
 
 import pytest
 
-from corpusloom.llm import langid, licenses
+from corpusloom.llm import langid, licenses, media
 
 MIT = """MIT License
 
@@ -144,3 +144,27 @@ def test_scores_by_words_and_by_ngrams(spark):
     odds = {lang: (grams[lang].count(" abd") + 0.1) / (len(grams[lang]) + 0.1 * len(kinds)) for lang in grams}
     (lang, score), *_ = scorer.predict(["abdq"])
     assert lang == "x" and score == pytest.approx(odds["x"] / sum(odds.values()), rel=1e-4)
+
+
+@pytest.mark.parametrize("units", [1, 3])
+@pytest.mark.parametrize("mark", [b"TAG", b"APETAGEX"])
+def test_payload_that_looks_like_a_tag_is_kept(units, mark):
+    for at in range(192 - len(mark) + 1):
+        payload = bytearray(b"x" * 192 * units)
+        place = len(payload) - 192 + at
+        payload[place : place + len(mark)] = mark
+        data = media.carry(bytes(payload))
+        found = media.scan(data)
+        assert media.recover(data, found) == bytes(payload) and found["tags"] == ["ID3v2.3"] and found["frames"] == units
+
+
+def test_real_tags_after_a_payload_with_one_inside():
+    payload = bytearray(b"x" * 384)
+    payload[192 + 89 : 192 + 92] = b"TAG"
+    data = media.carry(bytes(payload))
+    ape = b"APETAGEX" + (2000).to_bytes(4, "little") + (32).to_bytes(4, "little") + bytes(16)
+    for tail, names in ((b"TAG" + bytes(125), ["ID3v1"]), (ape, ["APEv2"]), (ape + b"TAG" + bytes(125), ["ID3v1", "APEv2"])):
+        found = media.scan(data + tail)
+        assert found["tags"] == ["ID3v2.3", *names] and media.recover(data, found) == bytes(payload) and found["junk_bytes"] == 0
+    cut = media.scan(data[:-60] + b"TAG" + bytes(125))  # a last frame that was cut off does not swallow the tag
+    assert cut["tags"] == ["ID3v2.3", "ID3v1"] and cut["frames"] == 1
