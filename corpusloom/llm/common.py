@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.session import ensure_checkpoint_dir
@@ -48,10 +48,13 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and doc_key: rows that repeat both an id and a text are one document, whatever else the table holds."""
-    return docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("doc_key")
-    )
+    """doc_id, text, and doc_key with doc_check, 128 bits: rows that repeat both an id and a text are one document, whatever else the table holds."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_keys(id_col, text_col))
+
+
+def row_keys(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """doc_key and doc_check: two hashes of id and text with unlike seeds."""
+    return [F.xxhash64(id_col, text_col).alias("doc_key"), F.xxhash64(F.lit(7), text_col, id_col).alias("doc_check")]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -69,46 +72,47 @@ def _word_bytes(separators: str) -> np.ndarray:
 
 #: Which bytes belong to a word.
 IN_WORD = _word_bytes(r"[\x20\x09-\x0D]")
-#: A multiplier, odd and hence invertible modulo 2^64, and a random value for each byte.
-BASE = 0xD6E8FEB86659FD93
+#: A random odd value for each byte.
 BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes that are hashed at a time.
 PIECE = 1 << 20
 
 
-class Powers:
-    """Powers of an odd multiplier and of its inverse modulo 2^64, as many as have been asked for."""
-
-    def __init__(self, base: int):
-        self.base = base
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            self.up, self.down = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(size - 1, x, np.uint64))) for x in (self.base, pow(self.base, -1, 1 << 64)))
-        return self.up[:n], self.down[:n]
+class Factors:
+    """A random odd factor for each place in a word, as many as have been asked for."""
 
+    def __init__(self):
+        self.known = np.zeros(0, np.uint64)
 
-_powers = {base: Powers(base) for base in (BASE, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)}
+    def get(self, n: int) -> np.ndarray:
+        if len(self.known) < n:
+            places = np.arange(1, max(n, 1 << 12) + 1, dtype=np.uint64)
+            self.known = mix64(mix64(places * GOLDEN)) | np.uint64(1)
+        return self.known
 
 
-def runs_hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
-    """A 64-bit hash of each run values[start:end], from differences of one running sum (a polynomial modulo 2^64)."""
-    up, down = _powers[base].get(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts])
+_factors = Factors()
 
 
 def _piece_codes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the words of some bytes, and where each starts."""
+    """Codes of the words of some bytes, and where each starts.
+
+    A word's code is the sum of its bytes' values, each times the factor of its place (multilinear hashing modulo 2^64), mixed;
+    no structure of a word, such as one that makes polynomials vanish, brings two words together.
+    """
     raw = np.frombuffer(data, np.uint8)
     inside = np.zeros(len(raw) + 2, np.int8)
     inside[1:-1] = IN_WORD[raw]
     step = np.diff(inside)
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    return runs_hashed(BYTES[raw], starts, ends), starts
+    starts = np.flatnonzero(step == 1)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    lengths = np.flatnonzero(step == -1) - starts
+    first = np.cumsum(lengths) - lengths
+    places = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    values = BYTES[raw[inside[1:-1].view(bool)]] * _factors.get(int(lengths.max()))[places]
+    return mix64(np.add.reduceat(values, first) + lengths.astype(np.uint64) * GOLDEN), starts
 
 
 def coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,10 +148,28 @@ def coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found) if found else np.zeros(0, np.uint64), counts
 
 
-def windows_hashed(codes: np.ndarray, counts: np.ndarray, width: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every run of `width` codes within a text, and where it starts; counts: the number of codes of each text."""
-    ends = np.cumsum(counts)
+def joined_codes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One code for each pair of codes, in order; mixed, so that nothing linear is left."""
+    return mix64(left * GOLDEN + right)
+
+
+def window_starts(counts: np.ndarray, width: int) -> np.ndarray:
+    """Where the runs of `width` words within a text start; counts: the number of words of each text."""
     room = np.maximum(counts - width + 1, 0)
-    first = np.repeat(ends - counts - (np.cumsum(room) - room), room)
-    starts = first + np.arange(len(first))
-    return runs_hashed(codes, starts, starts + width, base), starts
+    first = np.repeat(np.cumsum(counts) - counts - (np.cumsum(room) - room), room)
+    return first + np.arange(len(first))
+
+
+def widened(codes: np.ndarray, have: int, width: int) -> np.ndarray:
+    """From codes of runs of `have` words (a power of two) those of runs of `width` words, by doubling and one overlapping step."""
+    while 2 * have <= width:
+        codes, have = joined_codes(codes[:-have], codes[have:]), 2 * have
+    return codes if have == width else joined_codes(codes[: -(width - have)], codes[width - have :])
+
+
+def windows_hashed(codes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every run of `width` codes within a text, and where it starts; counts: the number of codes of each text."""
+    starts = window_starts(counts, width)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    return widened(codes, 1, width)[starts], starts

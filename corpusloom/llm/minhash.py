@@ -6,16 +6,19 @@ documents that meet in a bucket are compared by counting equal nibbles: with k m
 J + (1 - J) / 2^b, which is solved for J. Pairs whose estimate is within five standard errors of the threshold, or above it,
 are confirmed on their full sets.
 
-Copies first collapse into one node per distinct set, so thousands of equal documents cost one. In a bucket every node is
+Copies first collapse into one node per distinct set (by 128 bits of its hash), so thousands of equal documents cost one. In a bucket every node is
 paired with the one that meets most others in all its buckets (the star, close to the original of a group of near copies); the
 verified links give first components. Only buckets that still hold several components are then searched for pairs across
 components, in blocks of bounded size: the packed estimate first, then the sets folded to bitmaps of 2^16 bits. Of the pairs
-that are clearly similar one for each two components goes on, near the threshold all do, and full sets decide. No pair within a
-component is emitted beyond the star and no bucket is capped. With 32 bands of four, a pair at 0.8 misses all buckets with a
+that are clearly similar one for each two components goes on, near the threshold all do, and full sets decide; where the one
+that went on fails, all candidates of its two components are tried after it, so that no estimate settles anything. No pair within
+a component is emitted beyond the star and no bucket is capped. With 32 bands of four, a pair at 0.8 misses all buckets with a
 probability of 5e-8.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. A text of fewer words than a shingle is one shingle; without words it
-is empty and linked with nothing. Null text is empty. Rows that repeat an id and a text are one document.
+is empty and linked with nothing. Null text is empty. Rows that repeat an id and a text are one document. A null id is smaller
+than no other: a component's id is its smallest id that is there, and a group without one has none. Very long texts are one set
+like any other; an empty table gives no rows. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import coded, doc_bytes, keyed, runs_hashed, windows_hashed
+from corpusloom.llm.common import coded, doc_bytes, keyed, row_keys, windows_hashed
 from corpusloom.llm.graph import connected_components
 from corpusloom.session import ensure_checkpoint_dir
 
@@ -38,7 +41,7 @@ MINIMA = ROWS * BANDS
 #: Standard errors below the threshold at which an estimate still counts as a candidate.
 MARGIN = 5
 #: Members of a bucket that one task compares with each other.
-BLOCK = 4096
+BLOCK = 512
 #: The largest set that is folded to sixteen bits a hash, and what a comparison of such sets may be off by.
 FOLDED, SLACK = 4000, 0.01
 STEP = 1 << 15
@@ -60,7 +63,7 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     cuts = np.searchsorted(starts, ends)
     sets = [np.unique(hashes[a:b]) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
     for i in np.flatnonzero((counts > 0) & (counts < words)):  # the whole sequence is one shingle
-        whole = runs_hashed(codes[ends[i] - counts[i] : ends[i]], np.zeros(1, np.int64), counts[i : i + 1])
+        whole, _ = windows_hashed(codes[ends[i] - counts[i] : ends[i]], counts[i : i + 1], int(counts[i]))
         sets[i] = whole + np.uint64(counts[i])
     return sets
 
@@ -120,26 +123,35 @@ def floor_estimate(similarity: float) -> float:
     return similarity - MARGIN * math.sqrt(share * (1 - share) / MINIMA) / (1 - 2.0**-BITS)
 
 
+def _identity(hashes: np.ndarray) -> tuple[int | None, int | None]:
+    """Two signed longs with 128 bits of a set's hash; nulls for the empty set."""
+    if not len(hashes):
+        return None, None
+    whole = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return (whole >> 64) - (1 << 63), (whole & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
 def _sign(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, doc_key, n_shingles, node (hash of the set; null if empty), bands, packed."""
+    """doc_id, doc_key, doc_check, n_shingles, set_high and set_low (128 bits of the set; null if empty), bands, packed."""
+    names = ["n_shingles", "set_high", "set_low", "bands", "packed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = shingle_sets(part.column(1).to_pylist(), words)
+                sets = shingle_sets(part.column(3).to_pylist(), words)
                 minima = signatures(sets)
-                node = pa.array([None if not len(s) else xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
+                high, low = (pa.array(x, pa.int64()) for x in zip(*map(_identity, sets), strict=True))
                 lists = [
                     pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(rows.ravel()))
                     for rows in (bands_of(minima), packed_of(minima))
                 ]
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), sizes, node, *lists], ["doc_id", "doc_key", "n_shingles", "node", "bands", "packed"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], sizes, high, low, *lists], ["doc_id", "doc_key", "doc_check", *names])
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, doc_key long, n_shingles long, node long, bands array<long>, packed array<long>"
-    return docs.select("doc_id", "text", "doc_key").mapInArrow(run, schema)
+    schema = f"doc_id {kind}, doc_key long, doc_check long, n_shingles long, set_high long, set_low long, bands array<long>, packed array<long>"
+    return docs.select("doc_id", "doc_key", "doc_check", "text").mapInArrow(run, schema)
 
 
 def estimate(left: str, right: str) -> Column:
@@ -156,9 +168,9 @@ def estimate(left: str, right: str) -> Column:
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """node, hashes (the set as packed 64-bit values) of the needed nodes; the texts are shuffled once."""
-    keys = needed.join(nodes.select("node", "doc_key"), "node")
-    texts = docs.select("doc_key", "text").join(keys, "doc_key").dropDuplicates(["doc_key"]).select("node", "text")
+    """node, hashes (the set as packed 64-bit values) of the needed nodes; the texts of one document of each are shuffled once."""
+    keys = needed.join(nodes.select("node", "set_high", "set_low", "of.doc_key", "of.doc_check"), "node")
+    texts = docs.join(keys, ["doc_key", "doc_check"]).dropDuplicates(["doc_key", "doc_check"]).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,12 +213,12 @@ def _with_folds(full: DataFrame) -> DataFrame:
     return full.mapInArrow(run, "node long, fold binary")
 
 
-def _worth_trying(i: np.ndarray, j: np.ndarray, label: np.ndarray, folds: list[bytes], least: float) -> np.ndarray:
-    """Which of the pairs (i, j) to confirm on full sets.
+def _worth_trying(i: np.ndarray, j: np.ndarray, label: np.ndarray, folds: list[bytes], least: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (i, j) to confirm on full sets, and which of these stand for others of their two components.
 
-    Folded sets, as bitmaps, tell the similarity to about 0.005. What is clearly below `least` goes. A pair clearly above it
-    settles its two components, so of these only the best one for each pair of components stays; near the threshold, and for
-    sets too large to fold, all do.
+    Folded sets, as bitmaps, tell the similarity to about 0.005. What is clearly below `least` goes. Of the pairs clearly above
+    it only the best one for each pair of components stays, and the pairs near the threshold stay where there is no such pair, as
+    do all of sets too large to fold; with `every`, all stay that are not clearly below.
     """
     used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
     bits = np.zeros((len(used), 1 << 10), np.uint64)
@@ -223,23 +235,27 @@ def _worth_trying(i: np.ndarray, j: np.ndarray, label: np.ndarray, folds: list[b
     known = (size[left] > 0) & (size[right] > 0)
     near = common / np.maximum(size[left] + size[right] - common, 1)
     keep = ~known | ((near >= least - SLACK) & (near < least + SLACK))
+    stands = np.zeros(len(i), bool)
     sure = np.flatnonzero(known & (near >= least + SLACK))
-    if len(sure):
+    if every:
+        keep[sure] = True
+    elif len(sure):
         ends = np.sort(np.stack([label[i[sure]], label[j[sure]]], axis=1), axis=1)
         order = np.lexsort((-near[sure], ends[:, 1], ends[:, 0]))
         ends = ends[order]
         first = np.ones(len(order), bool)
         first[1:] = (ends[1:] != ends[:-1]).any(axis=1)
         settled = ends[first]
-        keep[sure[order[first]]] = True
+        keep[sure[order[first]]] = stands[sure[order[first]]] = True
         done = set(map(tuple, settled.tolist()))
         for k in np.flatnonzero(known & (near >= least - SLACK) & (near < least + SLACK)):
             keep[k] = tuple(sorted((label[i[k]], label[j[k]]))) not in done
-    return keep
+    return keep, stands
 
 
-def _across(members: DataFrame, floor: float, least: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of different components that share a bucket, pass the estimate and are worth a confirmation.
+def _across(members: DataFrame, floor: float, least: float, every: bool = False) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of different components that share a bucket, pass the estimate and are worth a confirmation; x and y
+    are the components of a pair that stands for others, else null.
 
     members: band, node, label, packed, fold of buckets with several components. A bucket larger than BLOCK is cut into blocks,
     and a member goes to each pair of blocks that its own takes part in.
@@ -252,7 +268,7 @@ def _across(members: DataFrame, floor: float, least: float) -> DataFrame:
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = dealt.repartition(parts, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
 
-    def compare(rows: list[np.ndarray], folds: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def compare(rows: list[np.ndarray], folds: list[bytes]) -> Iterator[list[np.ndarray]]:
         own, lo, hi, node, label, packed = rows
         first = np.flatnonzero(own == lo[0])
         second = first if lo[0] == hi[0] else np.flatnonzero(own == hi[0])
@@ -269,9 +285,9 @@ def _across(members: DataFrame, floor: float, least: float) -> DataFrame:
             i, j = np.nonzero(close)
             if len(i):
                 i, j = left[i], second[j]
-                keep = _worth_trying(i, j, label, folds, least)
-                a, b = node[i[keep]], node[j[keep]]
-                yield np.minimum(a, b), np.maximum(a, b)
+                keep, stands = _worth_trying(i, j, label, folds, least, every)
+                i, j = i[keep], j[keep]
+                yield [f(of[i], of[j]) for of in (node, label) for f in (np.minimum, np.maximum)] + [stands[keep]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -281,9 +297,8 @@ def _across(members: DataFrame, floor: float, least: float) -> DataFrame:
         def flush():
             rows = [np.concatenate([part[i] for part in held]) for i in range(6)] if held else [()]
             if len(rows[0]) > 1:
-                for a, b in compare(rows, folds):
-                    pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                for a, b, x, y, stands in compare(rows, folds):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(x, mask=~stands), pa.array(y, mask=~stands)], ["a", "b", "x", "y"])
 
         for batch in batches:
             band, lo, hi, own, node, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
@@ -301,25 +316,26 @@ def _across(members: DataFrame, floor: float, least: float) -> DataFrame:
                 folds += sets[start:end]
         yield from flush()
 
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+    return grouped.mapInArrow(run, "a long, b long, x long, y long").groupBy("a", "b").agg(F.max("x").alias("x"), F.max("y").alias("y"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, doc_key, n_shingles, node (its set), component_id (smallest doc_id reachable), kept."""
+    """One row a document: doc_id, doc_key, doc_check, n_shingles, node (its set), component_id (smallest doc_id reachable), kept."""
     ensure_checkpoint_dir(docs.sparkSession)
     docs = keyed(docs, id_col, text_col)
     floor = floor_estimate(percent / 100)
     signed = _sign(docs, words).checkpoint()
     nodes = (
-        signed.where("node is not null")
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("smallest"), F.min("doc_key").alias("doc_key"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
+        signed.where("set_high is not null")
+        .groupBy("set_high", "set_low")
+        .agg(F.min("doc_id").alias("smallest"), F.min(F.struct("doc_key", "doc_check")).alias("of"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
+        .withColumn("node", F.monotonically_increasing_id())  # unique, and fixed by what is written
         .checkpoint()
     )
     rows = nodes.select("node", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()  # written, as is each small table below, so that Spark can split a hot bucket's join
     shared = rows.join(buckets, "band").checkpoint()
-    met = shared.groupBy("node").agg(F.sum("n").alias("met"))
+    met = shared.groupBy("node").agg(F.sum("n").alias("met")).checkpoint()
     full = _full_sets(docs, nodes, met.select("node"), words).checkpoint()
     packed = nodes.select("node", "packed")
 
@@ -327,31 +343,45 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     stars = known.groupBy("band").agg(F.max(F.struct("met", "node")).alias("_s")).select("band", F.col("_s.node").alias("star")).checkpoint()
     star = shared.join(stars, "band").where("node <> star").select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b")).distinct()
     star = star.join(packed.toDF("a", "pa"), "a").join(packed.toDF("b", "pb"), "b").where(estimate("pa", "pb") >= floor).select("a", "b").checkpoint()
-    links = _verified(star, full, percent).checkpoint()
+    labels = connected_components(_verified(star, full, percent))
 
-    labels = connected_components(links)
     labelled = shared.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band").checkpoint()
     members = labelled.join(mixed, "band")
     folds = _with_folds(full.join(members.select("node").distinct(), "node").select("node", "hashes"))
     members = members.join(packed, "node").join(folds, "node").select("band", "node", "label", "packed", "fold").checkpoint()
-    more = _across(members, floor, percent / 100)
-    tried = more.join(star, ["a", "b"], "left_anti")
-    links = links.union(_verified(tried.checkpoint(), full, percent)).checkpoint()
+    tried = _across(members, floor, percent / 100).join(star, ["a", "b"], "left_anti").checkpoint()
+    links = _verified(tried.select("a", "b"), full, percent).checkpoint()
+    failed = tried.where("x is not null").join(links, ["a", "b"], "left_anti").select("x", "y").distinct().checkpoint()
+    if failed.limit(1).count():
+        links = links.union(_verified(_again(members, failed, floor, percent / 100).join(tried, ["a", "b"], "left_anti"), full, percent)).checkpoint()
+    if links.limit(1).count():
+        of = links.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        above = connected_components(of).toDF("label", "above")
+        every = labels.union(of.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label"))).distinct()
+        labels = every.join(above, "label", "left").select("node", F.coalesce("above", "label").alias("label")).checkpoint()
 
-    labels = connected_components(links)
     roots = nodes.select("node", "smallest").join(labels, "node").groupBy("label").agg(F.min("smallest").alias("component_id"))
     placed = labels.join(roots, "label").select("node", "component_id")
-    found = nodes.select("node", "smallest").join(placed, "node", "left")
-    found = found.select("node", F.coalesce("component_id", "smallest").alias("component_id"))
-    joined = signed.select("doc_id", "doc_key", "n_shingles", "node").join(found, "node", "left")
+    found = nodes.join(placed, "node", "left").select("set_high", "set_low", "node", F.coalesce("component_id", "smallest").alias("component_id"))
+    joined = signed.drop("bands", "packed").join(found, ["set_high", "set_low"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return joined.select("doc_id", "doc_key", "n_shingles", "node", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return joined.select("doc_id", "doc_key", "doc_check", "n_shingles", "node", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _again(members: DataFrame, failed: DataFrame, floor: float, least: float) -> DataFrame:
+    """All candidates of the pairs of components whose standing pair was no link."""
+    concerned = failed.select(F.explode(F.array("x", "y")).alias("label")).distinct()
+    every = _across(members.join(concerned, "label").select("band", "node", "label", "packed", "fold"), floor, least, every=True).select("a", "b")
+    of = members.select("node", "label").distinct()
+    sided = every.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").withColumns({"x": F.least("la", "lb"), "y": F.greatest("la", "lb")})
+    return sided.join(failed, ["x", "y"], "left_semi").select("a", "b")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, with all its columns: that of the smallest doc_id, once even if its row is repeated. Documents without a word all stay."""
-    keys = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_key").alias("_key")).distinct()
+    keys = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_key").alias("_key"), F.col("doc_check").alias("_check")).distinct()
     everything = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row")
-    rows = docs.select(everything, F.xxhash64("doc_id", "text").alias("_key"))
-    return rows.join(keys, "_key").dropDuplicates(["_key"]).select("_row.*")
+    key, check = row_keys()
+    rows = docs.select(everything, key.alias("_key"), check.alias("_check"))
+    return rows.join(keys, ["_key", "_check"]).dropDuplicates(["_key", "_check"]).select("_row.*")

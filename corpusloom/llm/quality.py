@@ -4,7 +4,7 @@ A text's UTF-8 bytes are embedded and cut into blocks of four; learned filters l
 Positions form chunks of 512 bytes whose windows reach into the next chunk, so they overlap and cover the whole document. Each
 filter is max-pooled over a chunk; the mean and the maximum of the chunks' values go into one logistic unit.
 
-The network is fitted on the driver on a bounded sample: at most `rows` labelled documents of at most `max_bytes` bytes, the
+The network is fitted in one task on a bounded sample: at most `rows` labelled documents of at most `max_bytes` bytes, the
 first by a hash of doc_id. Everything that is scored is scored whole, one row by itself, without a shuffle. Null text is
 empty; an empty text is one chunk of padding and has a score like any other. Several labels of one document count as the
 least; null labels are left out. With no usable label every score is 0.5.
@@ -128,21 +128,41 @@ class Network:
         return self
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, usable: Column, rows: int, max_bytes: int, label_col: str) -> list:
-    """At most `rows` labelled (text, label), the first by a hash of doc_id: chosen among the labels, then joined as a small table."""
+    def packed(self) -> bytes:
+        return np.concatenate([part.ravel() for part in self.parts()]).tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Network:
+        net, at = cls(), 0
+        values = np.frombuffer(data, np.float32)
+        for part in net.parts():
+            part[...] = values[at : at + part.size].reshape(part.shape)
+            at += part.size
+        return net
+
+
+def sample_of(docs: DataFrame, labels: DataFrame, usable: Column, rows: int, max_bytes: int, label_col: str) -> DataFrame:
+    """One partition of at most `rows` labelled (text, label), the first by a hash of doc_id: chosen among the labels, then joined as a small table."""
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & usable)
     known = known.groupBy("doc_id").agg(F.min(label_col).alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
-    return texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "label").collect()
+    return texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES) -> Network | None:
     """A network fitted on labelled documents outside the held-out fold (crc32 of doc_id as text, modulo folds)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [row for batch in batches for row in batch.to_pylist()]
+        if sample:
+            texts = [doc_bytes(row["text"]) for row in sample]
+            net = Network().fit(texts, np.array([row["label"] for row in sample], np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array([net.packed()], pa.binary())], ["weights"])
+
     sample = sample_of(docs, labels, fold(folds) != held_out, rows, max_bytes, label_col)
-    if not sample:
-        return None
-    return Network().fit([doc_bytes(row["text"]) for row in sample], np.array([row["label"] for row in sample], np.float32))
+    found = sample.mapInArrow(run, "weights binary").collect()
+    return Network.unpacked(found[0]["weights"]) if found else None
 
 
 def fold(folds: int, id_col: str = "doc_id") -> Column:
