@@ -1,22 +1,24 @@
-"""Substring de-duplication over prefix-partitioned suffix trees, truncated at the depth asked for.
-
-A suffix is a text from one of its words on; words are runs of `[^\\x20\\x09-\\x0D]`, unchanged. Only inner nodes of a depth of at
-least `window` words matter, so each suffix with so many words left takes part with its path down to this depth.
-
-1. Prefix counts: every task adds up how many suffixes fall into each bucket of their first 1, 2, 4, 8, 16 words. The summed
-   tables have a fixed size, whatever the corpus.
-2. Variable-length prefixes: a suffix belongs to the group of its shortest prefix whose bucket holds at most `group_size`
-   suffixes, at most of the whole path. A group so fits a task; a path that a third of all documents share is a group of its
-   own, and one entry for each block of documents.
-3. Documents are dealt into blocks of bounded size, by a hash of the row, so that a block is the same whenever it is made again.
-   A block sends every distinct path of its suffixes (group and 64-bit hash of the path) as packed arrays, one row a shard of groups, with a bit where the block
-   itself holds the path more than once.
-4. A shard sorts its paths by group and path: the subtrees' nodes at full depth. Nodes with several leaves are the repeats; each
-   block gets back one bit for each path it has sent.
-5. The block marks all words below its repeated paths; overlapping windows join into maximal repeated runs, which go.
-
-Null and empty texts have no words. Every row is a document of its own, so a row that occurs twice repeats all its windows; rows
-with null doc_id take part like any other. Two paths are taken for one if group and hash agree (80 bits and more).
+"""Substring de-duplication over prefix-partitioned suffix trees.
+
+Words are runs of `[^\\x20\\x09-\\x0D]`, unchanged; a window is `window` consecutive words of one text. A window that starts more
+than once is a node of the corpus's suffix tree at depth `window` with several leaves. Such nodes are found exactly, word by word:
+
+1. Texts are dealt into blocks of bounded size, by a hash of the row, so that a block is the same whenever it is made again.
+2. Filter: a block sends 32 bits of every distinct window's hash to one of many shards; a shard's number of windows is fixed, so
+   that the share of false alarms does not grow. What comes back is one bit a window: may it stand elsewhere?
+3. Anchors: of the first half of a window's words, the one where a hash of the next words is smallest. Equal windows have equal
+   anchors, neighbours mostly share one, and windows of one anchor in a row make one record of words; so a window that may be
+   repeated travels in about five words instead of `window`.
+4. Variable-length prefixes: a record belongs to the group of the shortest prefix at its anchor (1, 2, 4, 8, 16 words) whose bucket
+   holds at most `group_size` anchors of the corpus, by counts over all texts. Where none does, each of its windows goes by itself
+   to the group of its whole path. So a group fits a task, and a passage in a third of all texts is one record a block.
+5. A task builds its groups' subtrees level by level: words get exact numbers, nodes at depth 2d are distinct pairs of nodes at
+   depth d, down to `window`. Deep nodes with several leaves are repeats; the blocks get them back by position.
+6. Overlapping repeated windows join into maximal repeated runs, which go.
+
+Null and empty texts have no words; a text too short for a window passes by without a shuffle. Every row is a document of its own,
+so a row that occurs twice repeats all its windows; rows with null doc_id take part like any other. Texts of any length are read
+whole; an empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -29,36 +31,46 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import PIECE, coded, doc_bytes, windows_hashed
+from corpusloom.llm.common import PIECE, coded, doc_bytes, mix64, widened, window_starts, windows_hashed
+
+#: Bytes of text in a block, and in all for each shard; anchors that a group may hold before its prefix grows.
+BLOCK_BYTES, SHARD_BYTES, GROUP_SIZE = 6 << 20, 12 << 20, 1 << 16
+#: Least bits of a bucket; bits of the buckets that one row of counts holds; corpus bytes for one anchor, about.
+LEAST_BITS, SLICE_BITS, ANCHOR_BYTES = 14, 14, 60
+#: Words of records whose subtrees are built at a time.
+CHUNK = 1 << 20
+RUNS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-#: Bytes of text in a block; suffixes that a group may hold before its prefix grows.
-BLOCK_BYTES, GROUP_SIZE = 6 << 20, 1 << 19
-#: Least and most buckets of a level's count table.
-FEW_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 20
-SLICES = 16
-OTHER_BASE = 0xA0761D6478BD642F  # for paths; prefixes use the common one
+
+def spread_of(window: int) -> int:
+    """The number of words among which a window's anchor is chosen."""
+    return (window + 1) // 2
 
 
 def levels_of(window: int) -> list[int]:
-    """Prefix lengths: powers of two below the window, then the window itself."""
-    return [1 << k for k in range((window - 1).bit_length()) if 1 << k < window] + [window]
+    """Prefix lengths: powers of two that any window holds from its anchor on."""
+    return [1 << k for k in range(window.bit_length()) if 1 << k <= window - spread_of(window) + 1]
 
 
-def _prefixes(texts: list[bytes], window: int, widths: list[int], bits: int) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray], np.ndarray]:
-    """Codes, starts of the suffixes that are long enough, for each width the suffixes' buckets (lazily), words of each text."""
-    codes, counts = coded(texts)
-    _, starts = windows_hashed(codes, counts, window)
+def anchors_of(codes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """The anchor of each window: the first place of the least mark; a mark is a hash of up to four words."""
+    spread = spread_of(window)
+    marks = widened(mix64(codes), 1, min(4, window - spread + 1))
+    best, have = np.arange(len(marks)), 1
+    while have < spread:
+        step = min(have, spread - have)
+        left, right = best[:-step], best[step:]
+        best = np.where(marks[right] < marks[left], right, left)
+        have += step
+    return best[starts]
 
-    def buckets():
-        for width in widths:
-            hashes, _ = windows_hashed(codes, counts, width)
-            if width < window:  # shorter prefixes also start nearer to the end of a text
-                room, kept = np.maximum(counts - width + 1, 0), np.maximum(counts - window + 1, 0)
-                at = np.repeat((np.cumsum(room) - room) - (np.cumsum(kept) - kept), kept)
-                hashes = hashes[at + np.arange(len(at))]
-            yield (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
-    return codes, starts, buckets(), counts
+def _prefixes(codes: np.ndarray, at: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each level the hashes of the prefixes at some places."""
+    now, have = codes, 1
+    for level, width in enumerate(levels_of(window)):
+        now, have = widened(now, have, width) if width > have else now, width
+        yield level, mix64(now[at] + np.uint64(level))
 
 
 def _by_piece(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -73,62 +85,39 @@ def _by_piece(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield group
 
 
-def prefix_counts(docs: DataFrame, window: int, bits: int, text_col: str = "text") -> np.ndarray:
-    """For each level below the window, the number of suffixes in each bucket of its prefix; a table of fixed size."""
-    widths = levels_of(window)[:-1]
-    if not widths:
-        return np.zeros((0, 1 << bits), np.int64)
+def small_prefixes(docs: DataFrame, window: int, bits: int, group_size: int, text_col: str = "text") -> np.ndarray:
+    """For each level and bucket of prefixes, packed, whether at most `group_size` anchors of all texts fall into it. The counts are
+    summed by slices in Spark; one bit a bucket comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(widths), 1 << bits), np.int64)
         for batch in batches:
             for texts in _by_piece([doc_bytes(text) for text in batch.column(0).to_pylist()]):
-                _, _, buckets, _ = _prefixes(texts, window, widths, bits)
-                for k, found in enumerate(buckets):
-                    table[k] += np.bincount(found, minlength=1 << bits)
-        for k, row in enumerate(table):
-            if row.any():
-                parts = [part.astype(np.uint32).tobytes() for part in row.reshape(SLICES, -1)]
-                yield pa.RecordBatch.from_arrays([pa.array([k * SLICES + i for i in range(SLICES)], pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
+                codes, counts = coded(texts)
+                starts = window_starts(counts, window)
+                if not len(starts):
+                    continue
+                at = np.unique(anchors_of(codes, starts, window))
+                for level, hashes in _prefixes(codes, at, window):
+                    buckets, n = np.unique(hashes >> np.uint64(64 - bits), return_counts=True)
+                    slices = (buckets >> np.uint64(SLICE_BITS)).astype(np.int64)
+                    cuts = _cut(slices)
+                    low = (buckets & np.uint64((1 << SLICE_BITS) - 1)).astype(np.uint16)
+                    ends = [*cuts[1:], len(low)]
+                    columns = [pa.array([level] * len(cuts), pa.int32()), pa.array(slices[cuts]), *(pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (low, n.astype(np.uint32)))]
+                    yield pa.RecordBatch.from_arrays(columns, ["level", "slice", "low", "n"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros((1 << bits) // SLICES, np.int64)
-        for part in table.column("counts"):
-            total += np.frombuffer(part.as_buffer(), np.uint32)
-        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    packed = docs.select(text_col).mapInArrow(count, "slice int, counts binary")
-    total = np.zeros((len(widths) * SLICES, (1 << bits) // SLICES), np.int64)
-    for row in packed.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
-        total[row["slice"]] = np.frombuffer(row["counts"], np.int64)
-    return total.reshape(len(widths), -1)
-
-
-def _paths(texts: list[bytes], window: int, small: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Group and path hash of every suffix, where it starts, words of each text. small: by level and bucket, whether the prefix may be a group."""
-    widths = levels_of(window)
-    codes, starts, buckets, counts = _prefixes(texts, window, widths, bits)
-    group = np.full(len(starts), -1, np.int64)
-    for level, found in enumerate(buckets):
-        free = group < 0
-        if level < len(widths) - 1:
-            free &= small[level][found]
-        group[free] = (found[free] << 5) | level
-    paths, _ = windows_hashed(codes, counts, window, OTHER_BASE)
-    return group, paths, starts, counts
-
-
-def _distinct(group: np.ndarray, paths: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
-    """The distinct paths in order of shard, group and path (shard, group, path), how many suffixes each has, and each suffix's place among them."""
-    shard = (((group.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
-    order = np.lexsort((paths, group, shard))
-    group, paths, shard = group[order], paths[order], shard[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (group[1:] != group[:-1]) | (paths[1:] != paths[:-1])
-    place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    return shard[first], group[first], paths[first], np.diff(first, append=len(order)), place
+        total = np.zeros(1 << SLICE_BITS, np.int64)
+        for low, n in zip(table.column("low"), table.column("n"), strict=True):
+            total[np.frombuffer(low.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.uint32)
+        own = [pa.array([table.column(name)[0].as_py()], kind) for name, kind in (("level", pa.int32()), ("slice", pa.int64()))]
+        return pa.table([*own, pa.array([np.packbits(total <= group_size).tobytes()], pa.binary())], ["level", "slice", "small"])
+
+    found = np.full((len(levels_of(window)), 1 << (bits - SLICE_BITS), 1 << (SLICE_BITS - 3)), 255, np.uint8)
+    counted = docs.select(text_col).mapInArrow(count, "level int, slice long, low binary, n binary")
+    for row in counted.groupBy("level", "slice").applyInArrow(add, "level int, slice long, small binary").toLocalIterator():
+        found[row["level"], row["slice"]] = np.frombuffer(row["small"], np.uint8)
+    return found.reshape(len(found), -1)
 
 
 def _cut(column: np.ndarray) -> np.ndarray:
@@ -140,16 +129,103 @@ def _texts_of(table: pa.Table) -> list[bytes]:
     return [unpack(packed.as_py()) for packed in table.column("packed")]
 
 
-def repeated_runs(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, group_size: int = GROUP_SIZE) -> DataFrame:
-    """One row a document: its id column, n_words, runs (array<struct<start,end>>: maximal repeated runs of words), text (the words that stay, joined by one space)."""
+def _filter_keys(hashes: np.ndarray, shard_bits: int) -> tuple[np.ndarray, ...]:
+    """Distinct (shard, 32 bits) in order, how often each occurs, and each window's place among them."""
+    keys, place, n = np.unique(hashes >> np.uint64(32 - shard_bits), return_inverse=True, return_counts=True)
+    return (keys >> np.uint64(32)).astype(np.int64), keys.astype(np.uint32), n, place
+
+
+def _records(codes: np.ndarray, starts: np.ndarray, window: int, small: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+    """First window, number of windows and group of every record that the windows at `starts` make."""
+    anchors = anchors_of(codes, starts, window)
+    new = np.append(True, (starts[1:] != starts[:-1] + 1) | (anchors[1:] != anchors[:-1]))
+    first = np.flatnonzero(new)
+    group, free = np.zeros(len(first), np.uint64), np.ones(len(first), bool)
+    for level, hashes in _prefixes(codes, anchors[first], window):
+        buckets = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+        fits = free & (small[level, buckets >> 3] >> (7 - (buckets & 7)) & 1).astype(bool)
+        group[fits] = hashes[fits]
+        free &= ~fits
+    sizes = np.diff(first, append=len(starts))
+    if free.any():  # no prefix is rare enough: one record a window, by its whole path
+        alone = np.repeat(free, sizes)
+        paths = mix64(widened(codes, 1, window)[starts[alone]] + np.uint64(len(small)))
+        begin = np.concatenate([starts[first[~free]], starts[alone]])
+        return begin, np.concatenate([sizes[~free], np.ones(len(paths), np.int64)]), np.concatenate([group[~free], paths])
+    return starts[first], sizes, group
+
+
+def deep_nodes(words: list[bytes], lengths: np.ndarray, window: int) -> np.ndarray:
+    """How many leaves the node at depth `window` has, for each window of records laid end to end: the levels of their subtrees."""
+    numbers: dict[bytes, int] = {}
+    nodes, depth = np.fromiter((numbers.setdefault(word, len(numbers)) for word in words), np.int64, len(words)), 1
+    while depth < window:
+        step = min(depth, window - depth)  # the last level may overlap
+        pairs = nodes[:-step] * (nodes.max() + 1) + nodes[step:]
+        nodes, depth = np.unique(pairs, return_inverse=True)[1], depth + step
+    own = nodes[window_starts(lengths, window)]
+    return np.bincount(own)[own] if len(own) else own
+
+
+def _judged(keys: np.ndarray, texts: list[bytes], sizes: np.ndarray, window: int) -> np.ndarray:
+    """For each window of each record, whether its node has several leaves; whole groups at a time."""
+    order = np.argsort(keys, kind="stable")
+    ends = np.cumsum(sizes)
+    found = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+    groups = _cut(keys[order])
+    at = 0
+    while at < len(groups):
+        end, size = at, 0
+        while end < len(groups) and (end == at or size < CHUNK):
+            own = order[groups[end] : groups[end + 1] if end + 1 < len(groups) else len(order)]
+            size += int((sizes[own] + window - 1).sum())
+            end += 1
+        chunk = order[groups[at] : groups[end] if end < len(groups) else len(order)]
+        own = sizes[chunk]
+        leaves = deep_nodes(b" ".join(texts[i] for i in chunk).split(), own + window - 1, window)
+        places = np.repeat(ends[chunk] - own - (np.cumsum(own) - own), own) + np.arange(len(leaves))
+        found[places] = leaves > 1
+        at = end
+    return found
+
+
+def _left(texts: list[bytes], gone: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+    """n_words, runs and the words that stay of each text."""
+    runs, kept, at = [], [], 0
+    for text, n in zip(texts, counts.tolist(), strict=True):
+        own = gone[at : at + n]
+        at += n
+        words = text.split()
+        edges = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0))
+        runs.append([{"start": int(s), "end": int(e)} for s, e in edges.reshape(-1, 2)])
+        kept.append(b" ".join(words if not len(edges) else [words[i] for i in np.flatnonzero(~own)]))
+    return [pa.array(counts, pa.int64()), pa.array(runs, RUNS), pa.array(kept, pa.binary()).cast(pa.string())]
+
+
+def repeated_runs(
+    docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, group_size: int = GROUP_SIZE
+) -> DataFrame:
+    """One row a document: its id column, n_words, runs (array<struct<start,end>>: maximal repeated runs of words), text (the words that stay, joined by one space).
+
+    The shuffles carry a row for each block and shard that meet; with far more data, both may be larger on larger executors.
+    """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(shards, -(-size // block_bytes))
-    bits = max(FEW_BUCKETS, min(MOST_BUCKETS, size // group_size)).bit_length() - 1
-    small = np.packbits(prefix_counts(docs, window, bits, text_col) <= group_size, axis=1)
-    tables = spark.sparkContext.broadcast(small)
     kind = dict(docs.dtypes)[id_col]
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(parts, -(-size // block_bytes))
+    shard_bits = (max(parts, size // shard_bytes) - 1).bit_length()
+    bits = max(LEAST_BITS, (size // ANCHOR_BYTES * 4 // group_size).bit_length())
+    result = f"`{id_col}` {kind}, n_words long, runs array<struct<start:int,end:int>>, text string"
+    names = [id_col, "n_words", "runs", "text"]
+    short = F.coalesce(F.octet_length(text_col), F.lit(0)) < 2 * window - 1
+    tables = spark.sparkContext.broadcast(small_prefixes(docs.where(~short), window, bits, group_size, text_col))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [doc_bytes(text) for text in batch.column(1).to_pylist()]
+            counts = np.array([len(text.split()) for text in texts], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_left(texts, np.zeros(int(counts.sum()), bool), counts)], names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3).compress
@@ -158,81 +234,107 @@ def repeated_runs(docs: DataFrame, window: int = 35, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed], ["block", id_col, "packed"])
 
     where = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).alias("block")
-    base = docs.select(where, id_col, text_col).mapInArrow(pack, f"block long, `{id_col}` {kind}, packed binary")
-
-    def paths_of(texts: list[bytes]):
-        allowed = np.unpackbits(tables.value, axis=1).astype(bool)
-        return _paths(texts, window, allowed, bits)
+    base = docs.where(~short).select(where, id_col, text_col).mapInArrow(pack, f"block long, `{id_col}` {kind}, packed binary")
 
     def send(table: pa.Table) -> pa.Table:
-        group, paths, _, _ = paths_of(_texts_of(table))
-        shard, group, paths, n, _ = _distinct(group, paths, shards)
-        block, rows = table.column("block")[0].as_py(), []
-        cuts = _cut(shard)
-        for start, end in zip(cuts, [*cuts[1:], len(shard)], strict=True):
-            own = group[start:end]
-            first = _cut(own)
-            rows.append(
-                {
-                    "shard": int(shard[start]),
-                    "block": block,
-                    "groups": own[first].astype(np.uint32).tobytes(),
-                    "sizes": np.diff(first, append=len(own)).astype(np.uint32).tobytes(),
-                    "paths": paths[start:end].tobytes(),
-                    "several": np.packbits(n[start:end] > 1).tobytes(),
-                }
-            )
-        return pa.Table.from_pylist(rows, SENT)
-
-    def decide(table: pa.Table) -> pa.Table:
-        groups, paths, several, sizes = [], [], [], []
-        for row in zip(*(table.column(name) for name in ("groups", "sizes", "paths", "several")), strict=True):
-            own, n, hashes, many = (value.as_buffer() for value in row)
-            groups.append(np.repeat(np.frombuffer(own, np.uint32), np.frombuffer(n, np.uint32)))
-            paths.append(np.frombuffer(hashes, np.uint64))
-            sizes.append(len(paths[-1]))
-            several.append(np.unpackbits(np.frombuffer(many, np.uint8), count=sizes[-1]))
-        group, path, repeated = np.concatenate(groups), np.concatenate(paths), np.concatenate(several).astype(bool)
-        order = np.lexsort((path, group))
-        same = (group[order[1:]] == group[order[:-1]]) & (path[order[1:]] == path[order[:-1]])
+        hashes, _ = windows_hashed(*coded(_texts_of(table)), window)
+        shard, keys, n, _ = _filter_keys(hashes, shard_bits)
+        block, cuts = table.column("block")[0].as_py(), _cut(shard)
+        rows = [
+            {"shard": int(shard[a]), "block": block, "keys": keys[a:b].tobytes(), "several": np.packbits(n[a:b] > 1).tobytes()}
+            for a, b in zip(cuts, [*cuts[1:], len(shard)], strict=True)
+        ]
+        return pa.Table.from_pylist(rows, pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("several", pa.binary())]))
+
+    def suspect(table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(value.as_buffer(), np.uint32) for value in table.column("keys")]
+        sizes = [len(own) for own in keys]
+        repeated = np.concatenate([np.unpackbits(np.frombuffer(value.as_buffer(), np.uint8), count=n) for value, n in zip(table.column("several"), sizes, strict=True)]).astype(bool)
+        every = np.concatenate(keys)
+        order = np.argsort(every)
+        same = every[order[1:]] == every[order[:-1]]
         repeated[order[1:][same]] = True
         repeated[order[:-1][same]] = True
-        bits_of = [np.packbits(part).tobytes() for part in np.split(repeated, np.cumsum(sizes)[:-1])]
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "repeated": pa.array(bits_of, pa.binary())})
+        marks = [np.packbits(part).tobytes() for part in np.split(repeated, np.cumsum(sizes)[:-1])]
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "marks": pa.array(marks, pa.binary())})
 
-    def answer(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def offer(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = _texts_of(left)
-        group, paths, starts, counts = paths_of(texts)
-        shard, _, _, _, place = _distinct(group, paths, shards)
-        repeated = np.zeros(len(shard), bool)
-        got = dict(zip(right.column("shard").to_pylist(), right.column("repeated").to_pylist(), strict=True))
-        cuts = _cut(shard)
-        for start, end in zip(cuts, [*cuts[1:], len(shard)], strict=True):
-            repeated[start:end] = np.unpackbits(np.frombuffer(got[int(shard[start])], np.uint8), count=end - start)
-        hits = starts[repeated[place]]
-        total = int(counts.sum())
-        cover = np.zeros(total + 1, np.int64)
-        np.add.at(cover, hits, 1)
-        np.add.at(cover, hits + window, -1)
-        gone = np.cumsum(cover[:-1]) > 0
-        runs, kept, at = [], [], 0
-        for text, n in zip(texts, counts.tolist(), strict=True):
-            own = gone[at : at + n]
-            at += n
-            words = text.split()
-            edges = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0))
-            runs.append([{"start": int(s), "end": int(e)} for s, e in edges.reshape(-1, 2)])
-            kept.append(b" ".join(words if not len(edges) else [words[i] for i in np.flatnonzero(~own)]))
-        columns = [left.column(id_col).combine_chunks(), pa.array(counts, pa.int64()), pa.array(runs, RUNS), pa.array(kept, pa.binary()).cast(pa.string())]
-        return pa.table(columns, names=[id_col, "n_words", "runs", "text"])
-
-    sent = base.groupBy("block").applyInArrow(send, "shard int, block long, groups binary, sizes binary, paths binary, several binary")
-    marks = sent.groupBy("shard").applyInArrow(decide, "block long, shard int, repeated binary")
-    return base.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(answer, f"`{id_col}` {kind}, n_words long, runs array<struct<start:int,end:int>>, text string")
-
-
-RUNS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-SENT = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("groups", pa.binary()), ("sizes", pa.binary()), ("paths", pa.binary()), ("several", pa.binary())])
+        codes, counts = coded(texts)
+        hashes, starts = windows_hashed(codes, counts, window)
+        rows = []
+        if len(starts):
+            shard, _, _, place = _filter_keys(hashes, shard_bits)
+            marked = np.zeros(len(shard), bool)
+            marks = dict(zip(right.column("shard").to_pylist(), right.column("marks").to_pylist(), strict=True))
+            cuts = _cut(shard)
+            for a, b in zip(cuts, [*cuts[1:], len(shard)], strict=True):
+                marked[a:b] = np.unpackbits(np.frombuffer(marks[int(shard[a])], np.uint8), count=b - a)
+            starts = starts[marked[place]]
+        if len(starts):
+            begin, sizes, group = _records(codes, starts, window, tables.value, bits)
+            words = b"\n".join(texts).split()
+            to = (group >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(group), np.int64)
+            order = np.lexsort((group, to))
+            cuts = _cut(to[order])
+            block = left.column("block")[0].as_py()
+            compress = zstandard.ZstdCompressor(level=3).compress
+            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                own = order[a:b]
+                seen: dict[bytes, int] = {}
+                of = np.array([seen.setdefault(b" ".join(words[s : s + n + window - 1]), len(seen)) for s, n in zip(begin[own].tolist(), sizes[own].tolist(), strict=True)], np.uint32)
+                _, first = np.unique(of, return_index=True)
+                rows.append(
+                    {
+                        "shard": int(to[own[0]]),
+                        "block": block,
+                        "groups": group[own[first]].tobytes(),
+                        "sizes": sizes[own[first]].astype(np.uint32).tobytes(),
+                        "texts": compress(b"\n".join(seen)),
+                        "of": of.tobytes(),
+                        "begin": begin[own].astype(np.uint32).tobytes(),
+                    }
+                )
+        return pa.Table.from_pylist(rows, OFFERED)
+
+    def judge(table: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        groups, sizes, texts = [], [], []
+        for row in zip(*(table.column(name) for name in ("groups", "sizes", "texts")), strict=True):
+            groups.append(np.frombuffer(row[0].as_buffer(), np.uint64))
+            sizes.append(np.frombuffer(row[1].as_buffer(), np.uint32).astype(np.int64))
+            texts += unpack(row[2].as_py()).split(b"\n")
+        repeated = np.split(_judged(np.concatenate(groups), texts, np.concatenate(sizes), window), np.cumsum([int(n.sum()) for n in sizes])[:-1])
+        hits = []
+        for found, n, of, begin in zip(repeated, sizes, table.column("of"), table.column("begin"), strict=True):
+            of, begin = (np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in (of, begin))
+            several = np.bincount(of) > 1  # the block itself has the record more than once
+            found = found | np.repeat(several, n)
+            first = np.cumsum(n) - n
+            own = n[of]
+            inner = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+            hits.append((np.repeat(begin, own) + inner)[found[np.repeat(first[of], own) + inner]].astype(np.uint32).tobytes())
+        return pa.table({"block": table.column("block"), "hits": pa.array(hits, pa.binary())})
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = _texts_of(left)
+        counts = np.array([len(text.split()) for text in texts], np.int64)
+        cover = np.zeros(int(counts.sum()) + 1, np.int32)
+        for hits in right.column("hits"):
+            at = np.frombuffer(hits.as_buffer(), np.uint32).astype(np.int64)
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + window, -1)
+        return pa.table([left.column(id_col).combine_chunks(), *_left(texts, np.cumsum(cover[:-1]) > 0, counts)], names=names)
+
+    sent = base.groupBy("block").applyInArrow(send, "shard int, block long, keys binary, several binary")
+    marks = sent.groupBy("shard").applyInArrow(suspect, "block long, shard int, marks binary")
+    offered = base.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(offer, "shard int, block long, groups binary, sizes binary, texts binary, of binary, begin binary")
+    verdicts = offered.groupBy("shard").applyInArrow(judge, "block long, hits binary")
+    long = base.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(answer, result)
+    return long.union(docs.where(short).select(id_col, text_col).mapInArrow(whole, result))
+
+
+OFFERED = pa.schema([("shard", pa.int32()), ("block", pa.int64()), *((name, pa.binary()) for name in ("groups", "sizes", "texts", "of", "begin"))])
 
 
 def substring_report(docs: DataFrame, window: int = 35) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import textwrap
+from collections import Counter
 
+import numpy as np
 import pytest
 
-from corpusloom.llm import langid, licenses, media
+from corpusloom.llm import langid, licenses, media, substrings
+from corpusloom.llm.common import coded, window_starts
 
 MIT = """MIT License
 
@@ -168,3 +171,31 @@ def test_real_tags_after_a_payload_with_one_inside():
         assert found["tags"] == ["ID3v2.3", *names] and media.recover(data, found) == bytes(payload) and found["junk_bytes"] == 0
     cut = media.scan(data[:-60] + b"TAG" + bytes(125))  # a last frame that was cut off does not swallow the tag
     assert cut["tags"] == ["ID3v2.3", "ID3v1"] and cut["frames"] == 1
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 7])
+def test_deep_nodes_are_the_windows(window):
+    """Subtree levels against plain counting; equal windows have equal anchors."""
+    random = np.random.default_rng(window)
+    records = [[b"%d" % x for x in random.integers(0, 3, n)] for n in random.integers(window, 30, 40)]
+    windows = [tuple(words[i : i + window]) for words in records for i in range(len(words) - window + 1)]
+    counts = Counter(windows)
+    lengths = np.array([len(words) for words in records])
+    leaves = substrings.deep_nodes([word for words in records for word in words], lengths, window)
+    assert leaves.tolist() == [counts[x] for x in windows]
+    codes, n = coded([b" ".join(words) for words in records])
+    starts = window_starts(n, window)
+    offsets = substrings.anchors_of(codes, starts, window) - starts
+    of: dict = {}
+    assert all(of.setdefault(x, offset) == offset for x, offset in zip(windows, offsets.tolist(), strict=True))
+    assert offsets.max() < substrings.spread_of(window)
+
+
+def test_word_codes_of_structured_words():
+    """Words that a polynomial modulo 2^64 maps to one value for every base."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    codes, _ = coded([word.encode(), other.encode(), (word + " " + other).encode()])
+    assert codes[0] != codes[1] and codes.tolist() == [codes[0], codes[1], codes[0], codes[1]]
