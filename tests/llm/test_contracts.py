@@ -141,39 +141,41 @@ def test_ngram_base_and_model(docs):
     got = sorted(rows(ngram.perplexity_report(docs)), key=repr)
     assert len(got) == docs.count()
     tokens = [(i, WORD.findall((t or "").translate(LOWER)) + ["\n"]) for i, t in texts(docs)]
-    counts, pairs = Counter(), Counter()
+    counts, triples = Counter(), Counter()
     for doc_id, found in tokens:
         if doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10:
             counts.update(found)
-            pairs.update(zip([" ", *found], found, strict=False))
+            triples.update(zip([" ", " ", *found], [" ", *found], found, strict=False))
     n, v = sum(counts.values()), len(counts)
-    follows, contexts = Counter(b for _, b in pairs), defaultdict(Counter)
-    for (a, _), c in pairs.items():
-        contexts[a][min(c, 3)] += 1
-        contexts[a]["sum"] += c
+    pairs = Counter((b, c) for _, b, c in triples)
+    follows = Counter(c for _, c in pairs)
+    contexts, middles = defaultdict(Counter), defaultdict(Counter)
+    for grams, table in ((triples, contexts), (pairs, middles)):
+        for (*before, _), c in grams.items():
+            table[tuple(before)][min(c, 3)] += 1
+            table[tuple(before)]["sum"] += c
 
     def tally(c):
         few = Counter(c.values())
         return {"n1": few[1], "n2": few[2], "n3": few[3], "n4": few[4], "types": len(c)}
 
-    d, low = (0, *ngram.discounts(tally(pairs))), (0, *ngram.discounts(tally(follows)))
-    spare = sum(low[min(c, 3)] for c in follows.values()) / len(pairs) / (len(follows) + 1)
+    off = [(0, *ngram.discounts(tally(x))) for x in (triples, pairs, follows)]
+    spare = sum(off[2][min(c, 3)] for c in follows.values()) / len(pairs) / (len(follows) + 1)
 
-    def chance(a, b):
-        below = (follows[b] - low[min(follows[b], 3)]) / len(pairs) + spare
-        u = contexts[a]
-        if not u["sum"]:
-            return below
-        seen = pairs[a, b] if pairs[a, b] > 1 else 0  # those seen once are not stored
-        return (seen - d[min(seen, 3)]) / u["sum"] + (u[1] + d[2] * u[2] + d[3] * u[3]) / u["sum"] * below
+    def step(c, u, d, below):
+        return (c - d[min(c, 3)] + (d[1] * u[1] + d[2] * u[2] + d[3] * u[3]) * below) / u["sum"] if u["sum"] else below
+
+    def chance(a, b, c):
+        low = (follows[c] - off[2][min(follows[c], 3)]) / len(pairs) + spare
+        return step(triples[a, b, c], contexts[a, b], off[0], step(pairs[b, c], middles[b,], off[1], low))
 
     wanted = []
     for doc_id, found in tokens:
         base = sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in found)
-        score = sum(math.log10(chance(a, b)) for a, b in zip([" ", *found], found, strict=False))
+        score = sum(math.log10(chance(*x)) for x in zip([" ", " ", *found], [" ", *found], found, strict=False))
         wanted.append((doc_id, len(found), sum(counts[t] > 0 for t in found), n, round(base, 4), round(score, 3)))
-    for context in (" ", *list(contexts)[:3], "never seen"):
-        assert sum(chance(context, b) for b in follows) + chance(context, "unknown word") == pytest.approx(1)
+    for context in ((" ", " "), *list(contexts)[:3], (" ", "never seen"), ("never seen", next(iter(follows)))):
+        assert sum(chance(*context, b) for b in follows) + chance(*context, "unknown word") == pytest.approx(1)
     assert Counter(wanted) == Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4), round(r["score"], 3)) for r in got)
 
 
