@@ -30,12 +30,13 @@ def _removal(parts: str, hits: str, joint: str, text_of_none: str, names: tuple[
     SELECT d.doc_id, coalesce(n, 0)::BIGINT AS {names[0]}, coalesce(gone, 0)::BIGINT AS {names[1]}, coalesce(runs, 0)::BIGINT AS n_runs, sha256(coalesce(kept, {text_of_none})) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
 
-def line_dedup(run: int = 2) -> str:
-    """All but the first start of every run of lines, by doc_id and position."""
+def line_dedup(least: int = 8) -> str:
+    """Pairs of equal lines, in runs along their diagonals: the maximal repeated runs; the later copy of each with enough words goes."""
     return f"""WITH d AS (SELECT doc_id, CASE WHEN length(text) > 0 THEN string_split(text, chr(10)) ELSE [] END AS w FROM documents), x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS part FROM d),
-    s AS (SELECT doc_id, unnest(range(1, len(w) - {run} + 2)) AS pos, unnest(list_transform(range(1, len(w) - {run} + 2), lambda i: w[i:i + {run - 1}])) AS win FROM d WHERE len(w) >= {run}),
-    c AS (SELECT doc_id, pos FROM s QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) > 1),
-    {_removal("x", f"SELECT DISTINCT doc_id, unnest(range(pos, pos + {run})) AS pos FROM c", "chr(10)", "''", ("n_lines", "n_removed"))}"""
+    p AS (SELECT a.doc_id AS da, b.doc_id AS db, b.pos, b.pos - a.pos AS apart, len(regexp_extract_all(b.part, {WORD})) AS n FROM x a JOIN x b ON a.part = b.part AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.pos < b.pos)),
+    i AS (SELECT *, pos - row_number() OVER (PARTITION BY da, db, apart ORDER BY pos) AS island FROM p),
+    c AS (SELECT db AS doc_id, min(pos) AS first, max(pos) AS last FROM i GROUP BY da, db, apart, island HAVING sum(n) >= {least}),
+    {_removal("x", "SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS pos FROM c", "chr(10)", "''", ("n_lines", "n_removed"))}"""
 
 
 def substrings(window: int = 35) -> str:

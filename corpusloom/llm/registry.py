@@ -31,7 +31,7 @@ def op4_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_report(documents(spark, sf_dir), min_run=2)
+    return linededup.line_report(documents(spark, sf_dir))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
