@@ -6,12 +6,14 @@ tables. The block is the last two words under the search position: the shift tab
 the bucket of a zero shift holds the patterns that end with this block, and direct comparison confirms an occurrence. With no
 common block the search jumps a whole window, so most words are never looked at.
 
-Null and empty texts have no words. Repeated rows give equal results. Equal patterns of several items count for each of them.
+Null and empty texts have no words. Repeated rows give equal results. Equal patterns of several items count for each of them. Texts
+are searched whole, however long; without documents there are no rows, without items no hits; other columns may have any names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import ALNUM_WORD, doc_bytes, parts
 
-#: Items are searched for in blocks whose texts have this many bytes in all, so that a block's tables fit a worker.
-BLOCK_BYTES = 8 << 20
+#: Items are searched for in blocks whose texts have this many bytes in all. A worker's tables take some hundred times as much, as
+#: every word starts a window of its own.
+BLOCK_BYTES = 2 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -97,16 +100,30 @@ def spans_of(words: list[bytes], sets: list[PatternSet]) -> tuple[list[tuple[int
     return merged, items
 
 
-def _scan(docs: DataFrame, sets, id_col: str, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(sets)
+_compiled: dict[str, list[PatternSet]] = {}
+
+
+def _tables(block: bytes, window: int) -> list[PatternSet]:
+    """The tables of a block of items; a worker keeps those of one block."""
+    key = f"{window}:{hashlib.sha256(block).hexdigest()}"
+    if key not in _compiled:
+        _compiled.clear()
+        _compiled[key] = compile_patterns(pickle.loads(block), window)
+    return _compiled[key]
+
+
+def _scan(docs: DataFrame, items: list, window: int, id_col: str, text_col: str) -> DataFrame:
+    """id, n_words, spans and items; the items go to the workers as they are and are compiled there."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(items))
     field = text_col.removeprefix(f"{id_col}.") if text_col.startswith(f"{id_col}.") else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _tables(shared.value, window)
         for batch in parts(batches):
             counts, spans, found = [], [], []
             for text in batch.column(0).field(field) if field else batch.column(1):
                 words = words_of(text.as_py())
-                hit, items = spans_of(words, shared.value)
+                hit, items = spans_of(words, sets)
                 counts.append(len(words))
                 spans.append([{"start": s, "end": e} for s, e in hit])
                 found.append(sorted(map(str, items)))
@@ -124,7 +141,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
     block, size = [], 0
     for row in benchmark.select(item_col, text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
         block.append((row[0], row[1]))
-        size += len(row[1])
+        size += len(doc_bytes(row[1]))
         if size >= block_bytes:
             yield block
             block, size = [], 0
@@ -143,21 +160,23 @@ def find_contamination(
 ) -> DataFrame:
     """One row a document: its id, n_words, spans of hit words, and items (sorted as strings) with occurring windows.
 
-    A benchmark of one block costs one scan of the documents and no shuffle. A larger one is searched for block by block,
-    and the spans of the blocks are merged for each document key; the documents are then read once a block.
+    A benchmark of one block costs one scan of the documents and no shuffle. A larger one is searched for block by block, the texts are
+    then read once a block; the driver and a worker hold one block at a time. What the blocks find is merged for each distinct text,
+    by 128 bits of its hash, and joined to the rows.
     """
-    parts = [compile_patterns(block, window) for block in _blocks(benchmark, item_col, "text", block_bytes)] or [[]]
-    if len(parts) == 1:
-        return _scan(docs, parts[0], id_col, text_col)
-    keyed = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.xxhash64(id_col, text_col).alias("_key"))
-    hits = None
-    for sets in parts:
-        found = _scan(keyed.select(F.struct(id_col, "_key").alias("_who"), "_text"), sets, "_who", "_text")
-        hits = found if hits is None else hits.unionByName(found)
+    blocks = _blocks(benchmark, item_col, "text", block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return _scan(docs, first, window, id_col, text_col)
+    keys = [F.xxhash64(text_col).alias("_key"), F.xxhash64(F.lit(7), text_col).alias("_check")]
+    texts = docs.select(F.struct(*keys).alias("_who"), F.col(text_col).alias("_text"))
+    hits = _scan(texts, first, window, "_who", "_text").unionByName(_scan(texts, second, window, "_who", "_text"))
+    for block in blocks:
+        hits = hits.unionByName(_scan(texts, block, window, "_who", "_text"))
     merged = hits.groupBy("_who").agg(
         F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("_spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("_spans"),  # sets: copies add nothing
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
     spans = F.aggregate(
         "_spans",
@@ -170,8 +189,8 @@ def find_contamination(
             ),
         ).otherwise(F.concat(done, F.array(x))),
     )
-    found = merged.select(F.col("_who._key").alias("_key"), "n_words", spans.alias("spans"), "items")
-    return keyed.select(id_col, "_key").join(found, "_key").select(id_col, "n_words", "spans", "items")
+    found = merged.select("_who._key", "_who._check", "n_words", spans.alias("spans"), "items")
+    return docs.select(id_col, *keys).join(found, ["_key", "_check"]).select(id_col, "n_words", "spans", "items")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, **columns) -> DataFrame:
@@ -188,10 +207,10 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 13
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, **columns) -> DataFrame:
     """The documents that are not contaminated, with all their columns; searched in one pass with the rows themselves."""
     everything = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row")
-    verdict = contamination_report(docs.select(everything), benchmark, window, percent, id_col="_row", text_col="_row.text")
+    verdict = contamination_report(docs.select(everything), benchmark, window, percent, id_col="_row", text_col="_row.text", **columns)
     return verdict.where(~F.col("contaminated")).select("_row.*")
 
 

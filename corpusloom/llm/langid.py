@@ -1,6 +1,6 @@
 """Language identification by words first, with back-off to character n-grams.
 
-A word is a run of letters, lower-cased. A known word scores each language by its log frequency there. An unseen word falls
+A word is a letter and the letters and marks that follow it (Unicode classes L and M), lower-cased. A known word scores each language by its log frequency there. An unseen word falls
 back to the longest character n-grams (of the word between two blanks) of which the model knows at least one, and scores by
 their mean log frequency, so that it weighs like one word. The languages' sums over all words of the text give the prediction
 and, as a softmax, its score.
@@ -8,14 +8,18 @@ and, as a softmax, its score.
 Words are counted over all learning texts in Spark, n-grams once for each distinct word. The model keeps every counted entry,
 whatever its count: by the 64-bit hash of its text it lies in one of many shards, which are sorted arrays in the shared folder
 that workers map into memory. Text that is null or has no letter is `und` with score 0; so is everything when nothing could be
-learned.
+learned. A tie goes to the first language by name. Repeated rows count each time and have equal results; very long texts are read whole,
+a part at a time; an empty table gives no rows; rows with null lang teach nothing; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,7 @@ from corpusloom.llm.common import scratch_folder
 from corpusloom.llm.shared import load, save, shard_count
 from corpusloom.session import ensure_checkpoint_dir
 
+#: Runs of letters in texts without combining marks or letter-like numbers.
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 #: Entries that a task gathers before it hands them to the shuffle, and words that a worker remembers.
@@ -36,8 +41,38 @@ SEED = 42
 SMOOTH = 0.1
 
 
+@cache
+def _rare(char: str) -> bool:
+    """Whether LETTERS takes this character for a letter, or for none, against its Unicode class."""
+    return char > "\x7f" and unicodedata.category(char) in ("Mn", "Mc", "Me", "No", "Nl")
+
+
+@cache
+def _by_class() -> re.Pattern:
+    """A letter (class L) and the letters and marks (L, M) that follow it."""
+
+    def ranges(kinds: str) -> str:
+        found, start = [], None
+        for code in range(sys.maxunicode + 2):
+            inside = code <= sys.maxunicode and unicodedata.category(chr(code))[0] in kinds
+            if inside and start is None:
+                start = code
+            if not inside and start is not None:
+                found.append(f"\\U{start:08x}-\\U{code - 1:08x}")
+                start = None
+        return "".join(found)
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
+
+
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """The lower-cased words of a text; the slower pattern only where it makes a difference."""
+    if not text:
+        return []
+    text = text.lower()
+    if not text.isascii() and any(map(_rare, set(text))):
+        return _by_class().findall(text)
+    return LETTERS.findall(text)
 
 
 def grams_of(word: str, order: int) -> list[str]:

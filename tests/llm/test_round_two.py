@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import textwrap
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from corpusloom.llm import langid, licenses, media, substrings
+from corpusloom.llm import decontaminate, langid, licenses, media, quality, substrings
 from corpusloom.llm.common import coded, window_starts
 
 MIT = """MIT License
@@ -199,3 +201,112 @@ def test_word_codes_of_structured_words():
     other = word.translate({97: 98, 98: 97})
     codes, _ = coded([word.encode(), other.encode(), (word + " " + other).encode()])
     assert codes[0] != codes[1] and codes.tolist() == [codes[0], codes[1], codes[0], codes[1]]
+
+
+def _frames(spec, n):
+    """n frames of silence, by their header's four bytes; protected ones get their CRC."""
+    out = []
+    for k in range(n):
+        head = bytes(spec[k % len(spec)])
+        size, *_, layer, mono, protected = media.header(int.from_bytes(head, "big"))
+        frame = bytearray(head + bytes(size - 4))
+        if protected:
+            first = head[1] >> 3 & 3 == 3
+            side = {3: {True: (17, 32), False: (9, 17)}[first][not mono], 1: 16 if mono else 32}[layer]
+            value = int(media.crc16(np.frombuffer(bytes(frame[2:4] + frame[6 : 6 + side]), np.uint8)[None])[0])
+            frame[4:6] = [value >> 8, value & 255]
+        out.append(bytes(frame))
+    return out
+
+
+@pytest.mark.parametrize(
+    ("spec", "samples", "rate", "variable"),
+    [
+        ([(0xFF, 0xFB, 0x90, 0x00)], 1152, 44100, False),  # MPEG-1 layer III, 128 kbit/s
+        ([(0xFF, 0xFB, 0x90, 0x00), (0xFF, 0xFB, 0xA2, 0x00)], 1152, 44100, True),  # changing bitrate, padding
+        ([(0xFF, 0xF2, 0x84, 0xC0)], 576, 24000, False),  # MPEG-2 layer III, protected, mono
+        ([(0xFF, 0xE2, 0x88, 0xC0)], 576, 8000, False),  # MPEG-2.5 layer III, protected, mono
+        ([(0xFF, 0xFD, 0x84, 0x00)], 1152, 48000, False),  # MPEG-1 layer II
+        ([(0xFF, 0xFE, 0x84, 0x00)], 384, 48000, False),  # MPEG-1 layer I, protected, stereo
+    ],
+)
+def test_frames_of_all_kinds(spec, samples, rate, variable):
+    frames = _frames(spec, 50)
+    found = media.scan(b"".join(frames), seek_every=10)
+    assert (found["frames"], found["samples"], found["rate"], found["variable"], found["junk_bytes"]) == (50, 50 * samples, rate, variable, 0)
+    assert found["duration_num"] * rate == 50 * samples * found["duration_den"]
+    assert found["starts"] == np.cumsum([0, *map(len, frames[:-1])]).tolist() and found["seek"] == found["starts"][::10]
+    protected = 0 if spec[0][1] & 1 else 50
+    assert (found["protected"], found["bad_crc"]) == (protected, 0)
+    if protected:
+        broken = bytearray(b"".join(frames))
+        broken[found["starts"][3] + 7] ^= 4
+        assert media.scan(bytes(broken))["bad_crc"] == 1
+
+
+@pytest.mark.parametrize("kind", ["Xing", "VBRI"])
+def test_tables_of_changing_bitrates(kind):
+    frames = _frames([(0xFF, 0xFB, 0x90, 0x00), (0xFF, 0xFB, 0xA0, 0x00)], 40)
+    first = bytearray(_frames([(0xFF, 0xFB, 0x90, 0x00)], 1)[0])
+    total = len(first) + sum(map(len, frames))
+    if kind == "Xing":
+        table = b"Xing" + (7).to_bytes(4, "big") + (40).to_bytes(4, "big") + total.to_bytes(4, "big") + bytes(range(100))
+        toc, at = list(range(100)), 36
+    else:
+        table = b"VBRI" + bytes(6) + total.to_bytes(4, "big") + (40).to_bytes(4, "big") + b"".join(x.to_bytes(2, "big") for x in (4, 3, 2, 10, 5, 6, 7, 8))
+        toc, at = [15, 18, 21, 24], 36
+    first[at : at + len(table)] = table
+    found = media.scan(bytes(first) + b"".join(frames))
+    assert (found["table"], found["table_frames"], found["table_agrees"], found["frames"], found["toc"]) == (kind, 40, True, 40, toc)
+
+
+def test_letters_by_unicode_class():
+    assert langid.words_of("½ ² ③ Ⅷ 12_3") == [] and langid.words_of("हिन्दी abc_12 naïve Ⅷ") == ["हिन्दी", "abc", "naïve"]
+    assert langid.words_of("Straße déjà") == ["straße", "déjà"]
+    assert {c for c in map(chr, range(0x3000)) if langid.words_of(c)} == {c for c in map(chr, range(0x3000)) if unicodedata.category(c.lower()[0])[0] == "L"}
+
+
+def test_network_by_hand():
+    """The forward pass in plain loops, and the gradient against finite differences."""
+    net, texts = quality.Network(3), [b"some short text", b"", b"x" * 700 + b"other bytes \xf0\x9f" * 9]
+    for part in net.parts():
+        part += np.random.default_rng(1).normal(0, 0.05, part.shape).astype(np.float32)
+    net.embed[quality.PAD] = 0
+
+    def logit(text):
+        chunks = (len(text) + (quality.REACH - 1) * quality.BLOCK - 1) // (quality.BLOCK * quality.CHUNK) + 1
+        ids = list(text) + [quality.PAD] * (chunks * quality.CHUNK * quality.BLOCK - len(text))
+        blocks = [np.concatenate([net.embed[i] for i in ids[k : k + quality.BLOCK]]).astype(float) for k in range(0, len(ids), quality.BLOCK)]
+        seen = [np.maximum(sum(blocks[k + r] @ net.filters[r] for r in range(quality.REACH)) + net.bias, 0) if k + quality.REACH <= len(blocks) else np.zeros(quality.FILTERS) for k in range(len(blocks))]
+        pooled = [np.max(seen[c * quality.CHUNK : (c + 1) * quality.CHUNK], axis=0) for c in range(chunks)]
+        return float(np.concatenate([np.mean(pooled, axis=0), np.max(pooled, axis=0)]) @ net.out + net.prior[0])
+
+    assert net.logits(*quality.layout(texts)) == pytest.approx([logit(t) for t in texts], abs=1e-4)
+    labels = np.array([1, 0, 1], np.float32)
+
+    def loss():
+        x = np.array([logit(t) for t in texts])
+        return float(np.mean(np.log1p(np.exp(-x)) * labels + np.log1p(np.exp(x)) * (1 - labels)))
+
+    random = np.random.default_rng(2)
+    for part, slope in zip(net.parts(), net.gradient(texts, labels), strict=True):
+        for _ in range(4):
+            at = tuple(int(random.integers(n)) for n in part.shape)
+            if part is net.embed:
+                at = (int(b"o"[0]), at[1])
+            kept, sides = part[at], []
+            for step in (2e-3, -2e-3):
+                part[at] = kept + step
+                sides.append(loss())
+            part[at] = kept
+            assert (sides[0] - sides[1]) / 4e-3 == pytest.approx(float(slope[at]), abs=2e-3)
+
+
+def test_benchmark_of_several_blocks(spark, awkward):
+    """Rows with a map and clashing names, a benchmark cut into several blocks: as with one block."""
+    bench = spark.createDataFrame([(1, "word1 and line 1 word2 and line 2"), (2, "single"), (3, "text without an id"), (4, "word5 and")], "item_id int, text string")
+    docs = awkward.withColumn("extra", F.create_map(F.lit("a"), F.col("doc_id")))
+    one, many = (decontaminate.drop_contaminated(docs, bench, block_bytes=n) for n in (1 << 20, 10))
+    assert one.columns == docs.columns == many.columns
+    found = [Counter((r["doc_id"], r["text"]) for r in df.collect()) for df in (one, many)]
+    assert found[0] == found[1] and sum(found[0].values()) < docs.count()
