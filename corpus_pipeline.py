@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; `run` writes every stage's rows to the shared
 folder as Parquet and reads them again, so that a lost executor costs a task and not a stage.
+
+Each stage follows its operator: a null text is an empty one, an empty text has a score, no lines, no set, no benchmark words and no
+tokens, and stays unless its score is too low. Rows with a null doc_id take part. Repeated rows count as one document for lines and near
+duplicates (one of them stays) and are scored, searched and encoded one by one. Ties go to the smallest doc_id. Texts of any length are
+read whole. Empty tables give empty results. Extra columns, whatever their names, go along up to the last stage.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of runs of two lines or more; every document stays, n_chars follows its text."""
+    """Deletes later copies of repeated runs of lines with at least eight words; every document stays, n_chars follows its text."""
     return linededup.drop_repeated_lines(docs)
 
 

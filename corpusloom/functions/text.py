@@ -158,11 +158,18 @@ def quoted_terms(text: Column | str, most: int = 5) -> Column:
 
 
 def chinese_number(text: Column | str) -> Column:
-    """The number of Arabic digits or of a Chinese numeral up to 99; null for anything else."""
+    """The number of Arabic digits or of a Chinese numeral up to 999 (a zero may stand before lone ones); null for anything else."""
     digits = F.create_map(*[F.lit(x) for pair in zip("一二三四五六七八九", range(1, 10), strict=True) for x in pair])
-    tens, ones = F.substring_index(col(text), "十", 1), F.regexp_extract(col(text), "十(.*)$", 1)
-    value = F.coalesce(F.try_element_at(digits, tens), F.when(tens == "", F.lit(1))) * 10 + F.coalesce(F.try_element_at(digits, ones), F.when(ones == "", F.lit(0)))
-    return F.when(col(text).rlike(r"^\d{1,9}$"), col(text).try_cast("int")).when(col(text).contains("十"), value).otherwise(F.try_element_at(digits, col(text)))
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(col(text), "^(?:([一二三四五六七八九])百)?零?(?:([一二三四五六七八九]?)十)?([一二三四五六七八九])?$", group)
+
+    def worth(group: int) -> Column:
+        return F.coalesce(F.try_element_at(digits, part(group)), F.lit(0))
+
+    tens = F.when(col(text).contains("十"), F.when(part(2) == "", 1).otherwise(worth(2))).otherwise(0)
+    value = worth(1) * 100 + tens * 10 + worth(3)
+    return F.when(col(text).rlike(r"^\d{1,9}$"), col(text).try_cast("int")).when(value > 0, value)
 
 
 def tokens_for_facts(text: Column | str, stop: list[str]) -> Column:

@@ -47,7 +47,7 @@ def closure(edges: DataFrame, seeds: DataFrame, depth: int, source: str = "sourc
     """
     ensure_checkpoint_dir(edges.sparkSession)
     steps = edges.where(gate) if gate is not None else edges
-    steps = steps.select(F.col(source).alias("node"), F.col(target).alias("_next")).distinct()
+    steps = steps.select(F.col(source).alias("node"), F.col(target).alias("_next")).distinct().checkpoint()  # else each level would read and sort out the links again
     reached = seeds.select("node", F.lit(0).alias("depth"), F.col("node").alias("seed")).distinct().checkpoint()
     frontier = reached
     for level in range(1, depth + 1):
@@ -73,7 +73,7 @@ def too_deep(reached: DataFrame, dependencies: DataFrame, depth: int = 32) -> Da
 
 def neighbours(edges: DataFrame, nodes: DataFrame, allowed: Sequence[str], type_col: str = "entry_type", limit: int = 100, cap: int = 20) -> DataFrame:
     """source, neighbour: nodes of allowed types next to each source in either direction, the first `cap` by id."""
-    out = first_rows(edges, ["source"], ["position"], limit).select("source", F.col("target").alias("neighbour"))
+    out = first_rows(edges, ["source"], ["position", "target"], limit).select("source", F.col("target").alias("neighbour"))
     back = backlinks(edges).select(F.col("target").alias("source"), F.col("source").alias("neighbour"))
     typed = nodes.where(F.col(type_col).isin(*allowed)).select(F.col("entry_id").alias("neighbour"))
     return first_rows(out.unionByName(back).distinct().where("source <> neighbour").join(typed, "neighbour"), ["source"], ["neighbour"], cap)

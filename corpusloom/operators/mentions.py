@@ -58,10 +58,10 @@ def mention_index(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", tex
     found = None
     for block in range(blocks):
         part = clean if blocks == 1 else clean.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block)
-        shared = docs.sparkSession.sparkContext.broadcast(Patterns([tuple(row) for row in part.toLocalIterator()]).owners)
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(row) for row in part.toLocalIterator()])
 
         def scan(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            patterns = Patterns([(name, entity) for name, owners in shared.value.items() for entity in owners])
+            patterns = Patterns(shared.value)
             for frame in frames:
                 rows = []
                 for key, text in zip(frame[id_col], frame[text_col], strict=True):

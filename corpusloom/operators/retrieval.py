@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import occurrences, overlapping_occurrences
+from corpusloom.session import ensure_checkpoint_dir
 
 #: Query vectors that are broadcast at a time; more are searched block by block.
 QUERY_BLOCK = 1024
@@ -29,14 +32,16 @@ def bm25(docs: DataFrame, query: str, k: int = 10, id_col: str = "doc_id", text_
     """The k best rows for a query: id and score, above 0, ties by id.
 
     Tokens are character pairs. A document's length counts pairs while the mean counts characters, as in the scheme that is
-    matched. One pass sums document frequencies into a single row, which then meets the rows of the second pass; the counts of
-    a row are columns of one projection, so nothing but the k best rows is shuffled.
+    matched. The texts are read and counted once, into narrow rows in the shared folder; one pass over these sums document
+    frequencies into a single row, which then meets them again. Nothing but the k best rows is shuffled.
     """
     tokens = bigrams(query)
     if not tokens:
         return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
     body = F.coalesce(F.col(text_col), F.lit(""))
     counted = docs.select(F.col(id_col), F.length(body).alias("_chars"), *[_tf(body, t).alias(f"_tf{i}") for i, t in enumerate(tokens)])
+    ensure_checkpoint_dir(docs.sparkSession)
+    counted = counted.checkpoint()
     totals = counted.agg(
         F.count(F.lit(1)).alias("_n"), F.avg("_chars").alias("_mean"), *[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(tokens))]
     )
@@ -64,24 +69,54 @@ def dot(a: Column, b: Column) -> Column:
 def exact_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", within: Sequence[str] = (), keep_self: bool = False, digits: int = 6) -> DataFrame:
     """For each query row (query_id, query vector) its k nearest rows by cosine, per group of `within`: rank 1 is best, ties by id.
 
-    Queries are a stated set. They meet all rows block by block (QUERY_BLOCK at a time), each block a bounded broadcast; every
-    task keeps k rows a query before the shuffle.
+    Queries are a stated set. They meet all rows block by block (QUERY_BLOCK at a time), each block a bounded broadcast and one matrix
+    product a batch of rows; every batch hands on about k rows a query. Vectors that are null or of another length are left out.
     """
     n = queries.count()
     blocks = max(1, math.ceil(n / QUERY_BLOCK))
-    rows = vectors.select(id_col, *within, unit(F.col(vector_col)).alias("_v"))
-    asked = queries.select(F.col("query_id"), unit(F.col("query")).alias("_q"))
-    found = None
+    kinds = dict(vectors.dtypes)
+    names = [id_col, *within]
+    asked = queries.select("query_id", unit(F.col("query")).alias("_q")).where("_q is not null")
+    best = None
     for block in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        pairs = rows.join(F.broadcast(part))
+        found = part.collect()  # a block of the stated queries
+        if not found:
+            continue
+        ids, matrix = [row["query_id"] for row in found], np.array([row["_q"] for row in found])
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+        rows = vectors.where(F.size(vector_col) == matrix.shape[1]).select(*names, unit(F.col(vector_col)).alias("_v"))
+
+        def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            """The best of each batch for each query, and what is as good after rounding."""
+            ids, matrix = shared.value
+            asked = pa.array(ids)
+            for batch in batches:
+                groups = pa.Table.from_batches([batch]).select(list(within)).to_pylist() if within else []
+                of: dict[tuple, list[int]] = {}
+                for i, group in enumerate(groups):
+                    of.setdefault(tuple(group.values()), []).append(i)
+                scores = batch.column(len(names)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) @ matrix.T
+                for chosen in of.values() if within else [range(batch.num_rows)] if batch.num_rows else []:
+                    chosen = np.array(chosen)
+                    own = scores[chosen]
+                    most = min(k, len(chosen) - 1)  # one more than k, as the row itself may be among them
+                    least = np.partition(own, len(chosen) - 1 - most, axis=0)[len(chosen) - 1 - most]
+                    row, column = np.nonzero(own >= least - 10.0**-digits)
+                    columns = [batch.column(i).take(pa.array(chosen[row])) for i in range(len(names))]
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(column)), *columns, pa.array(own[row, column])], ["query_id", *names, "score"])
+
+        schema = ", ".join([f"query_id {dict(queries.dtypes)['query_id']}", *(f"`{name}` {kinds[name]}" for name in names), "score double"])
+        scored = rows.mapInArrow(nearest, schema).withColumn("score", F.round("score", digits))
         if not keep_self:
-            pairs = pairs.where(F.col(id_col) != F.col("query_id"))
-        scored = pairs.select("query_id", id_col, *within, F.round(dot(F.col("_v"), F.col("_q")), digits).alias("score"))
+            scored = scored.where(F.col(id_col) != F.col("query_id"))
         order = Window.partitionBy("query_id", *within).orderBy(F.desc("score"), id_col)
-        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        found = best if found is None else found.unionByName(best)
-    return found
+        own = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        best = own if best is None else best.unionByName(own)
+    if best is None:
+        empty = vectors.select(*names).limit(0).crossJoin(queries.select("query_id").limit(0))
+        return empty.select("query_id", *names, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    return best
 
 
 def global_top(per_group: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:

@@ -138,7 +138,7 @@ def packed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.packed_sections(rows, "source", "doc_id", "n_chars").select("doc_id", "bucket")
 
 
-RELATIONS = ("participated", "co_occur", "cast_of_task", "presence")
+RELATIONS = ("participated", "co_occur")
 
 
 def entity_query(spark: SparkSession, sf_dir: str, entity: str, relation: str = "participated", target: str = "", top_k: int = 8) -> DataFrame:

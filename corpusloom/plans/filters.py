@@ -166,13 +166,16 @@ def boundary_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.2.28 2.9.18",
-    """SELECT * FROM (VALUES ('3.10', 1, true), ('3.9', 0, true), ('3.9.0', 0, true), ('4.0', 1, false), ('3', NULL, NULL), ('2.5', -1, false)) t(version, against_3_9, inside)""",
+    """SELECT p_partkey, CASE WHEN a IS NULL THEN NULL WHEN a > 3 OR a = 3 AND b > 9 THEN 1 WHEN a = 3 AND b = 9 THEN 0 ELSE -1 END::INT AS against_3_9, CASE WHEN a IS NULL THEN NULL ELSE a = 3 END AS inside
+    FROM (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_size % 6 END AS a, p_partkey % 13 AS b FROM part)""",
 )
 def version_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dotted versions as integers: 3.10 comes after 3.9."""
-    rows = spark.createDataFrame([(v,) for v in ("3.10", "3.9", "3.9.0", "4.0", "3", "2.5")], "version string")
+    """Dotted versions as integers: 3.10 comes after 3.9, 3.9.0 equals it; what has no dot is no version."""
+    key = F.col("p_partkey")
+    dotted = F.concat_ws(".", (F.col("p_size") % 6).cast("string"), (key % 13).cast("string"), F.when(key % 3 == 0, F.lit("0")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(key % 11 == 0, F.lit("3")).otherwise(dotted).alias("version"))
     inside = logic.in_version_range(F.col("version"), F.lit("3.0"), F.lit("4.0"))
-    return rows.select("version", logic.version_order(F.col("version"), F.lit("3.9")).alias("against_3_9"), inside.alias("inside"))
+    return rows.select("p_partkey", logic.version_order(F.col("version"), F.lit("3.9")).alias("against_3_9"), inside.alias("inside"))
 
 
 @query(

@@ -143,29 +143,39 @@ def exact_then_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.3.16 2.3.27",
-    """SELECT * FROM (VALUES ('Ann', 'Ann', 1), ('Annie', 'Ann', 1), ('Al', NULL, 2), ('Zed', NULL, 0)) t(raw, canonical, candidates)""",
+    """WITH a AS (SELECT DISTINCT CASE WHEN p_partkey % 10 = 0 THEN p_name ELSE p_brand || ' ' || p_partkey END AS variant, p_type AS canonical FROM part), v AS (SELECT variant, min(canonical) AS one, count(*) AS n FROM a GROUP BY variant),
+    r AS (SELECT DISTINCT unnest([p_name, p_brand || ' ' || p_partkey, p_type, p_brand]) AS raw FROM part)
+    SELECT raw, CASE WHEN raw IN (SELECT canonical FROM a) THEN raw WHEN n = 1 THEN one END AS canonical, CASE WHEN raw IN (SELECT canonical FROM a) THEN 1 ELSE coalesce(n, 0) END::BIGINT AS candidates FROM r LEFT JOIN v ON raw = variant""",
 )
 def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aliases = spark.createDataFrame([("Annie", "Ann"), ("Al", "Albert"), ("Al", "Alma")], "variant string, canonical string")
-    return mentions.resolved(spark.createDataFrame([("Ann",), ("Annie",), ("Al",), ("Zed",)], "raw string"), "raw", aliases)
+    """Canonical names (types), aliases of one type, names shared by several, and names that are no alias."""
+    parts, numbered = table(spark, sf_dir, "part"), F.concat_ws(" ", "p_brand", "p_partkey")
+    aliases = parts.select(F.when(F.col("p_partkey") % 10 == 0, F.col("p_name")).otherwise(numbered).alias("variant"), F.col("p_type").alias("canonical"))
+    return mentions.resolved(parts.select(F.explode(F.array("p_name", numbered, "p_type", "p_brand")).alias("raw")).distinct(), "raw", aliases)
 
 
 @query(
     "2.3.17 2.3.19",
-    f"""SELECT source, neighbour FROM (SELECT DISTINCT source, target AS neighbour, dense_rank() OVER (PARTITION BY source ORDER BY target) rn FROM {EDGES} e JOIN part ON p_partkey = target WHERE p_type IN ('PROMO','LARGE') AND source <> target) WHERE rn <= 2""",
+    f"""WITH e AS {EDGES}, o AS (SELECT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY position, target) rn FROM e) WHERE rn <= 3),
+    n AS (SELECT source, target AS neighbour FROM o UNION SELECT target, source FROM e)
+    SELECT source, neighbour FROM (SELECT source, neighbour, row_number() OVER (PARTITION BY source ORDER BY neighbour) rn FROM n JOIN part ON p_partkey = neighbour WHERE p_type IN ('PROMO','LARGE') AND source <> neighbour) WHERE rn <= 2""",
 )
 def typed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = edges(spark, sf_dir)
-    nodes = part_nodes(spark, sf_dir)
-    forward = some.select(F.col("source"), F.col("target").alias("neighbour")).distinct().where("source <> neighbour")
-    typed = nodes.where(F.col("entry_type").isin("PROMO", "LARGE")).select(F.col("entry_id").alias("neighbour"))
-    return ranking.first_rows(forward.join(typed, "neighbour"), ["source"], ["neighbour"], 2).select("source", "neighbour")
+    """Both directions: the first three links of a source, and all that link to it."""
+    return graph.neighbours(edges(spark, sf_dir), part_nodes(spark, sf_dir), ("PROMO", "LARGE"), limit=3, cap=2).select("source", "neighbour")
 
 
-@query("2.3.20", """SELECT * FROM (VALUES (2, 'Ash'), (3, 'Ash')) t(entry_id, series)""")
+@query(
+    "2.3.20",
+    """WITH n AS (SELECT p_partkey AS entry_id, CASE WHEN p_partkey % 7 = 0 THEN string_split(p_name, ' ')[1] ELSE p_name END AS title, p_type || ' ' || p_brand AS alias FROM part UNION ALL SELECT -n_nationkey - 1, CASE WHEN n_nationkey % 2 = 0 THEN 'PROMO' ELSE n_name END, n_name FROM nation)
+    SELECT DISTINCT entry_id, series FROM (SELECT entry_id, title, unnest([string_split(alias, ' ')[1], string_split(title, ' ')[1]]) AS series FROM n) WHERE series <> title AND series IN (SELECT title FROM n)""",
+)
 def series_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = spark.createDataFrame([(1, "Ash", []), (2, "Ash two", []), (3, "Other", ["Ash three"]), (4, "Lone", ["x y"])], "entry_id int, title string, aliases array<string>")
-    return graph.series_links(nodes)
+    parts, nations = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    title = F.when(F.col("p_partkey") % 7 == 0, F.substring_index("p_name", " ", 1)).otherwise(F.col("p_name"))
+    nodes = parts.select(F.col("p_partkey").alias("entry_id"), title.alias("title"), F.array(F.concat_ws(" ", "p_type", "p_brand")).alias("aliases"))
+    more = nations.select((-F.col("n_nationkey") - 1).cast("long").alias("entry_id"), F.when(F.col("n_nationkey") % 2 == 0, "PROMO").otherwise(F.col("n_name")).alias("title"), F.array("n_name").alias("aliases"))
+    return graph.series_links(nodes.unionByName(more)).select("entry_id", "series")
 
 
 @query(

@@ -15,7 +15,7 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     o, p, s = (F.concat(F.lit(mark), name) for mark, name in (("o", "l_orderkey"), ("p", "l_partkey"), ("s", "l_suppkey")))
     pairs = [items.select(o.alias("source"), p.alias("target")), items.select(p.alias("source"), s.alias("target")), items.select(s.alias("source"), o.alias("target"))]
-    return pairs[0].union(pairs[1]).union(pairs[2]).distinct()
+    return pairs[0].union(pairs[1]).union(pairs[2])
 
 
 BFS = f"""WITH RECURSIVE e AS {LINKS}, r(node, depth) AS (SELECT 'o7', 0 UNION SELECT e.target, r.depth + 1 FROM r JOIN e ON e.source = r.node WHERE r.depth < 4) SELECT node, min(depth)::INT AS depth FROM r GROUP BY node"""

@@ -79,11 +79,36 @@ def _routes(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [longest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id"))), shortest.withColumn("rank", F.row_number().over(Window.orderBy("n_chars", "doc_id")))]
 
 
-@query("2.5.1 2.5.2 2.11.4", RRF)
+@query("2.5.1 2.5.2", RRF)
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fuse_ranks(_routes(spark, sf_dir))
 
 
+HYBRID = f"""WITH kw AS (SELECT doc_id AS key, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({_bm25_sql(30)})),
+    vec AS (SELECT vec_id AS key, rank FROM ({UNIT} SELECT * FROM {_knn_sql(30, 'q.vec_id = 7')}) WHERE score >= 0.1)
+    SELECT key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM kw UNION ALL SELECT * FROM vec) GROUP BY key"""
+
+
+@query("2.11.4 2.5.1", HYBRID)
+def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyword route and a vector route with a floor, fused by rank."""
+    from pyspark.sql import Window
+
+    words = retrieval.bm25(table(spark, sf_dir, "documents"), PHRASE, 30)
+    words = words.select(F.col("doc_id").alias("key"), F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"))  # thirty rows
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    near = retrieval.exact_knn(vectors, asked, 30).where("score >= 0.1").select(F.col("vec_id").alias("key"), "rank")
+    return retrieval.fuse_ranks([words, near])
+
+
+@query("2.5.12", None)
+def uncovered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of each conversation that no longer one covers."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    return ranking.without_covered(turns, "conv_id", "turn", "text").select("conv_id", "turn")
+
+
 @query("2.5.3", "SELECT source, arg_min(doc_id, doc_id) AS doc_id, any_value(score) AS score FROM (SELECT source, doc_id, n_chars / 1000 AS score, max(n_chars / 1000) OVER (PARTITION BY source) m FROM documents) WHERE score = m GROUP BY source")
 def best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.best_in_group(table(spark, sf_dir, "documents").select("source", "doc_id", (F.col("n_chars") / 1000).alias("score")), "source", "doc_id")
@@ -209,10 +234,19 @@ def longest_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.longest_title(table(spark, sf_dir, "part").select(F.col("p_name").alias("title")).distinct(), "where is the large blue bolt now")
 
 
-@query("2.6.15 2.9.33", "SELECT * FROM (VALUES ('blue bolt of iron', 11), ('ring', 33)) t(name, start)")
+ASKED = "show me a small ring, a red widget and a large blue bolt"
+
+
+@query(
+    "2.6.15 2.9.33",
+    f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT string_split(p_name, ' ')[2] FROM part), h AS (SELECT name, instr('{ASKED}', name) AS start, length(name) AS n FROM n WHERE contains('{ASKED}', name))
+    SELECT name, start::INT AS start FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.name <> a.name AND b.start <= a.start AND b.start + b.n >= a.start + a.n) ORDER BY a.start, name LIMIT 2""",
+)
 def earliest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([("blue bolt",), ("blue bolt of iron",), ("iron",), ("ring",), ("none",)], "name string")
-    return mentions.earliest_names(names, "show me a blue bolt of iron and ring it", 2).select("name", "start")
+    """Names of the dictionary and their second words, which whole names contain."""
+    parts = table(spark, sf_dir, "part")
+    names = parts.select(F.explode(F.array("p_name", F.element_at(F.split("p_name", " "), 2))).alias("name")).distinct()
+    return mentions.earliest_names(names, ASKED, 2).select("name", "start")
 
 
 @query("2.6.16", None)
@@ -222,11 +256,18 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.6.19 2.9.30",
-    """SELECT * FROM (VALUES ('十', 10), ('十一', 11), ('二十三', 23), ('7', 7), ('三', 3), ('x', NULL)) t(ordinal, n)""",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 1 + o_orderkey % 999 END::INT AS n FROM orders""",
 )
 def chinese_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("十", "十一", "二十三", "7", "三", "x")], "ordinal string")
-    return rows.select("ordinal", text.chinese_number("ordinal").alias("n"))
+    """Numerals written from numbers up to 999 and read again; digits for every fifth, no numeral for every seventh row."""
+    n = (F.col("o_orderkey") % 999 + 1).cast("int")
+    digit = F.split(F.lit(",一,二,三,四,五,六,七,八,九"), ",")
+    hundreds, tens, ones = (F.floor(n / 100).cast("int"), F.floor(n / 10).cast("int") % 10, n % 10)
+    ten = F.when(tens == 0, F.when((hundreds > 0) & (ones > 0), "零").otherwise("")).otherwise(F.concat(F.when((tens == 1) & (hundreds == 0), "").otherwise(digit[tens]), F.lit("十")))
+    written = F.concat(F.when(hundreds == 0, "").otherwise(F.concat(digit[hundreds], F.lit("百"))), ten, digit[ones])
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(key, F.when(key % 7 == 0, "x").when(key % 5 == 0, n.cast("string")).otherwise(written).alias("ordinal"))
+    return rows.select("o_orderkey", text.chinese_number("ordinal").alias("n"))
 
 
 @query("2.6.20", "SELECT doc_id, least(greatest(doc_id % 5, 1), greatest(1, ceil(length(text) / 5000))::INT)::INT AS page, greatest(1, ceil(length(text) / 5000))::INT AS pages, sha256(substring(text, ((least(greatest(doc_id % 5, 1), greatest(1, ceil(length(text) / 5000))) - 1) * 5000 + 1)::BIGINT, 5000)) AS body FROM documents")

@@ -31,11 +31,17 @@ def best_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.best_windows(table(spark, sf_dir, "documents"), ["thand", "license", "über"])
 
 
-@query("2.9.6", "SELECT * FROM (VALUES ('blue bolts', 'blue bolt', true), ('ring', 'ring', true), ('of a ringer', 'ring', true), ('x', 'ring', false)) t(q, leaf, hit)")
+@query(
+    "2.9.6",
+    """WITH r AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || 's' WHEN 1 THEN 'of a ' || p_name ELSE p_name END AS q, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'ring' END AS leaf FROM part)
+    SELECT p_partkey, contains(leaf, q) OR contains(leaf, q[:-2]) OR contains(leaf, q[:-3]) OR contains(q, leaf) AS hit FROM r""",
+)
 def trimmed_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("blue bolts", "blue bolt"), ("ring", "ring"), ("of a ringer", "ring"), ("x", "ring")], "q string, leaf string")
+    key = F.col("p_partkey")
+    q = F.when(key % 3 == 0, F.concat("p_name", F.lit("s"))).when(key % 3 == 1, F.concat(F.lit("of a "), "p_name")).otherwise(F.col("p_name"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", q.alias("q"), F.when(key % 2 == 0, F.col("p_name")).otherwise(F.lit("ring")).alias("leaf"))
     variants = F.filter(F.array(F.col("q"), F.expr("left(q, length(q) - 1)"), F.expr("left(q, length(q) - 2)")), lambda v: F.length(v) > 1)
-    return rows.select("q", "leaf", (F.exists(variants, lambda v: F.col("leaf").contains(v)) | F.col("q").contains(F.col("leaf"))).alias("hit"))
+    return rows.select("p_partkey", (F.exists(variants, lambda v: F.col("leaf").contains(v)) | F.col("q").contains(F.col("leaf"))).alias("hit"))
 
 
 @query(
@@ -77,11 +83,20 @@ def overlapping_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("raw", text.occurrences("raw", "aa").cast("int").alias("apart"), text.overlapping_occurrences("raw", "aa").cast("int").alias("overlapping"))
 
 
-@query("2.9.14 2.5.12", "SELECT a.doc_id, true AS covered FROM documents a WHERE length(a.text) > 0")
+@query(
+    "2.9.14",
+    """WITH p AS (SELECT b.doc_id AS needle, a.doc_id, a.text AS h, b.text AS t, length(b.text) AS n FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 UNION ALL SELECT doc_id, doc_id, text[21:], text, length(text) FROM documents),
+    s AS (SELECT *, range(0, greatest(n - 25, 0) + 1, greatest(1, floor((n - 24) / 20)::BIGINT))[1:20] AS starts FROM p)
+    SELECT needle, doc_id, CASE WHEN n = 0 OR length(h) = 0 OR length(h) < n * 0.6 THEN false WHEN n <= 24 THEN contains(h, t) ELSE len(list_filter(starts, lambda x: contains(h, t[x + 1:x + 24]))) >= 0.5 * len(starts) END AS covered FROM s WHERE n IS NOT NULL AND h IS NOT NULL""",
+)
 def covered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text is covered by itself with something added."""
-    docs = table(spark, sf_dir, "documents").where("length(text) > 0")
-    return docs.select("doc_id", reconcile.fragments_covered(F.col("text"), F.concat(F.lit("more "), "text")).alias("covered"))
+    """Each text in the one before it, and in itself without its beginning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    before = docs.select(F.col("doc_id"), (F.col("doc_id") + 1).alias("needle"), F.col("text").alias("h"))
+    pairs = before.join(docs.select(F.col("doc_id").alias("needle"), F.col("text").alias("t")), "needle")
+    own = docs.select(F.col("doc_id").alias("needle"), "doc_id", F.expr("substring(text, 21)").alias("h"), F.col("text").alias("t"))
+    every = pairs.select("needle", "doc_id", "h", "t").unionByName(own).where("h is not null and t is not null")
+    return every.select("needle", "doc_id", reconcile.fragments_covered(F.col("t"), F.col("h")).alias("covered"))
 
 
 @query("2.9.14", None)
