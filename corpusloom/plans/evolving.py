@@ -81,40 +81,56 @@ def snapshot_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(bodies, "doc_id", "left").groupBy("phase").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("there").isNull()).alias("gaps"))
 
 
-PAGES = (
-    "entity_id string, identity_versions array<struct<key:string,value:string,introduced_in:string,valid_to:string,status:string,evidence:array<string>>>, "
-    "attribute_records array<struct<key:string,value:string,introduced_in:string,valid_to:string,status:string,evidence:array<string>>>"
-)
+# The facts of _pages at version 3.10, each by its own rule.
+FLAT = """WITH v AS (SELECT *, p_partkey AS entity_id, p_size % 6 > 3 OR (p_size % 6 = 3 AND p_partkey % 13 > 10) AS later FROM part),
+    f AS (SELECT entity_id, 'type' AS key, p_type AS value, CASE WHEN later THEN 'applicable' ELSE 'excluded' END AS state FROM v
+    UNION ALL SELECT entity_id, 'type', p_brand, CASE WHEN later THEN 'excluded' ELSE 'applicable' END FROM v
+    UNION ALL SELECT entity_id, 'size', p_size::VARCHAR, CASE WHEN entity_id % 4 = 1 THEN 'excluded' ELSE 'applicable' END FROM v WHERE entity_id % 4 > 0
+    UNION ALL SELECT entity_id, 'size', '7', 'applicable' FROM v WHERE entity_id % 5 = 0)"""
+
+PROJECTED = """, p AS (SELECT *, CASE WHEN lo <> hi THEN 'ambiguous' WHEN unsure THEN 'unresolved' WHEN lo IS NOT NULL THEN 'applicable' ELSE 'not_applicable' END AS status FROM
+    (SELECT entity_id, key, min(value) FILTER (WHERE state = 'applicable') AS lo, max(value) FILTER (WHERE state = 'applicable') AS hi, bool_or(state = 'unresolved') AS unsure FROM f GROUP BY ALL))"""
+
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages: the type up to a version and the brand from it on; the size, rejected or superseded for some, and a second one for others."""
+    key, changed = F.col("p_partkey"), F.concat_ws(".", (F.col("p_size") % 6).cast("string"), (F.col("p_partkey") % 13).cast("string"))
+    none = F.lit(None).cast("string")
 
-def _pages(spark: SparkSession) -> DataFrame:
-    rows = [
-        ("ann", [("name", "Ann", None, None, "confirmed", ["p1"])], [("age", "20", "1.0", "3.0", "confirmed", ["p1"]), ("age", "21", "3.0", None, "confirmed", ["p2", "p1"]), ("home", "x", "9.0", None, "confirmed", [])]),
-        ("bob", [("name", "Bob", None, None, "superseded", ["p3"]), ("name", "Rob", None, None, "confirmed", ["p3"])], [("age", "30", None, None, "rejected", []), ("rank", "a", None, None, None, ["p4"]), ("rank", "b", None, None, None, ["p4"])]),
-    ]
-    return spark.createDataFrame(rows, PAGES)
+    def record(name, value, introduced, until, status):
+        parts = {"key": F.lit(name), "value": value, "introduced_in": introduced, "valid_to": until, "status": status, "evidence": F.array("p_brand")}
+        return F.struct(*[column.alias(field) for field, column in parts.items()])
 
+    confirmed = F.lit("confirmed")
+    kinds = F.array(record("type", F.col("p_type"), F.lit("0.0"), changed, confirmed), record("type", F.col("p_brand"), changed, none, confirmed))
+    status = F.when(key % 4 == 0, "rejected").when(key % 4 == 1, "superseded").otherwise("confirmed")
+    sizes = F.array(record("size", F.col("p_size").cast("string"), none, none, status), record("size", F.lit("7"), none, none, F.when(key % 5 == 0, "confirmed").otherwise("rejected")))
+    return table(spark, sf_dir, "part").select(key.alias("entity_id"), kinds.alias("identity_versions"), sizes.alias("attribute_records"))
 
-@query("2.9.21 2.2.22", "SELECT * FROM (VALUES ('ann','name','Ann','applicable'),('ann','age','20','excluded'),('ann','age','21','applicable'),('ann','home','x','excluded'),('bob','name','Bob','excluded'),('bob','name','Rob','applicable'),('bob','rank','a','applicable'),('bob','rank','b','applicable')) t(entity_id, key, value, state)")
+
+@query("2.9.21 2.2.22", FLAT + " SELECT entity_id, key, value, state FROM f")
 def flat_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.with_state(facts.facts_of(_pages(spark)), F.lit("3.10")).select("entity_id", "key", "value", "state")
+    return facts.with_state(facts.facts_of(_pages(spark, sf_dir)), F.lit("3.10")).select("entity_id", "key", "value", "state")
 
 
-@query("2.4.21", "SELECT * FROM (VALUES ('ann','name','applicable','Ann'),('ann','age','applicable','21'),('ann','home','not_applicable',NULL),('bob','name','applicable','Rob'),('bob','rank','ambiguous',NULL)) t(entity_id, key, status, value)")
+@query("2.4.21", FLAT + PROJECTED + " SELECT entity_id, key, status, CASE WHEN status = 'applicable' THEN lo END AS value FROM p")
 def attribute_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.attribute_projection(facts.with_state(facts.facts_of(_pages(spark)), F.lit("3.10")))
+    return facts.attribute_projection(facts.with_state(facts.facts_of(_pages(spark, sf_dir)), F.lit("3.10")))
 
 
-@query("2.4.21", "SELECT * FROM (VALUES ('ann','age','unresolved'),('ann','home','unresolved'),('ann','name','applicable'),('bob','name','applicable'),('bob','rank','ambiguous')) t(entity_id, key, status)")
+@query("2.4.21", FLAT + ", f2 AS (SELECT * REPLACE (CASE WHEN key = 'type' THEN 'unresolved' ELSE state END AS state) FROM f)" + PROJECTED.replace("FROM f ", "FROM f2 ") + " SELECT entity_id, key, status FROM p")
 def projection_without_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = facts.with_state(facts.facts_of(_pages(spark)), F.lit(None).cast("string"))
+    state = facts.with_state(facts.facts_of(_pages(spark, sf_dir)), F.lit(None).cast("string"))
     return facts.attribute_projection(state).select("entity_id", "key", "status")
 
 
-@query("2.6.5 2.11.3", "SELECT * FROM (VALUES (1, 8.0::DOUBLE), (3, 2.0::DOUBLE)) t(fact_id, score)")
+@query(
+    "2.6.5 2.11.3",
+    """SELECT p_partkey, ((contains(p_name, 'small') OR p_type = 'SMALL')::INT + contains(p_name, 'ring')::INT + (p_type = 'PROMO')::INT + 1 + (p_brand = 'Brand#17')::INT + CASE WHEN p_name = 'small ring' THEN 5 ELSE 0 END)::DOUBLE AS score FROM part ORDER BY score DESC, p_partkey LIMIT 6""",
+)
 def searched_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "Ann", "the age of Ann"), (2, "Bob", "a name"), (3, "Cy", "age of iron")], "fact_id int, entity_name string, text string")
-    return facts.fact_search(rows, "what is the age of Ann", least=2.0, stop=("what", "is", "the"), intents=())
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("entity_name"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    return facts.fact_search(rows, "where is the small ring of promo brand 17", least=1.0, stop=("where", "is", "the", "of"), id_col="p_partkey")
 
 
 ACTIVITY = "SELECT doc_id FROM documents WHERE contains(text, 'thand') AND source = 'src5' ORDER BY doc_id LIMIT 10"

@@ -20,10 +20,11 @@ def half_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(text.half_of_words_in("thand (über) nothing-like-it", "text")).select("doc_id")
 
 
-@query("2.2.2 2.2.3 2.9.1", """SELECT term, clean, stop FROM (VALUES ('「of」 the', 'of the', false), ('，？ ', '，？ ', true), ('in?', 'in?', false)) t(term, clean, stop)""")
+@query("2.2.2 2.2.3 2.9.1", "SELECT p_partkey, p_name || ' ' || p_brand AS clean, translate(p_name, 'smalring ', '') = '' AS stop FROM part")
 def stop_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = spark.createDataFrame([("「of」 the",), ("，？ ",), ("in?",)], "term string")
-    return terms.select("term", text.strip_marks("term").alias("clean"), text.only_stop_characters("term", "oft").alias("stop"))
+    """Names in quotes and brackets without them, and whether a name has none but stop characters and punctuation."""
+    marked = F.concat(F.lit("「"), "p_name", F.lit("」 （"), "p_brand", F.lit("）"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.strip_marks(marked).alias("clean"), text.only_stop_characters(F.concat(F.lit(" "), "p_name", F.lit("？")), "smalring").alias("stop"))
 
 
 @query(
@@ -121,12 +122,17 @@ def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.2.20 2.2.21",
-    """SELECT * FROM (VALUES ('metadata+speaker', true, 'north'), ('xmetadata', false, NULL), ('', false, 'a')) t(source, authoritative, region)""",
+    """SELECT o_orderkey, o_orderkey % 2 = 0 OR o_orderstatus = 'F' AS authoritative, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE o_orderstatus END AS region FROM orders""",
 )
 def composite_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("metadata+speaker", ["region/north", "region/other", "type/x"]), ("xmetadata", ["type/y"]), ("", ["region/a"])], "source string, filters array<string>")
+    """Components of a source, and the first value of a key among `key/value` strings."""
+    key = F.col("o_orderkey")
+    source = F.concat_ws("+", F.when(key % 2 == 0, "F").otherwise("xF"), "o_orderstatus", "o_orderpriority")
+    status, priority = (F.concat(F.lit("region/"), name) for name in ("o_orderstatus", "o_orderpriority"))
+    pairs = F.when(key % 5 == 0, F.array(F.lit("type/x"))).when(key % 3 == 0, F.array(F.lit("type/x"), priority, status)).otherwise(F.array(status, priority))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", source.alias("source"), pairs.alias("filters"))
     region = F.try_element_at(text.first_value_per_key(F.col("filters")), F.lit("region"))
-    return rows.select("source", F.array_contains(text.source_parts("source"), "metadata").alias("authoritative"), region.alias("region"))
+    return rows.select("o_orderkey", F.array_contains(text.source_parts("source"), "F").alias("authoritative"), region.alias("region"))
 
 
 @query(
@@ -143,25 +149,32 @@ def three_valued(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.2.24 2.2.25",
-    """SELECT * FROM (VALUES (1, 'applicable', 'excluded', 'applicable'), (2, 'excluded', 'applicable', 'unresolved'), (3, 'unresolved', 'unresolved', 'excluded'), (4, 'excluded', 'excluded', 'applicable')) t(id, every, one, scope)""",
+    """WITH e AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'excluded' WHEN 'signup' THEN 'unresolved' WHEN 'purchase' THEN 'applicable' END AS state, CASE WHEN value > 90 THEN event_id % 3 END AS side FROM events),
+    g AS (SELECT user_id, list(DISTINCT state) FILTER (WHERE state IS NOT NULL) AS s, count(DISTINCT side) AS n, min(side) AS side FROM e GROUP BY user_id)
+    SELECT user_id, CASE WHEN list_contains(s, 'excluded') THEN 'excluded' WHEN list_contains(s, 'unresolved') THEN 'unresolved' ELSE 'applicable' END AS every,
+    CASE WHEN list_contains(s, 'applicable') THEN 'applicable' WHEN list_contains(s, 'unresolved') THEN 'unresolved' ELSE 'excluded' END AS one,
+    CASE WHEN n > 1 OR side = 2 OR user_id % 4 = 3 THEN 'excluded' WHEN n = 0 THEN 'applicable' WHEN user_id % 4 = 2 THEN 'unresolved' WHEN side = user_id % 4 THEN 'applicable' ELSE 'excluded' END AS scope FROM g""",
 )
 def state_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Truth tables with their empty cases, and a scope of at most one choice."""
-    rows = spark.createDataFrame(
-        [(1, [], [], "a"), (2, ["excluded", "applicable"], ["a"], None), (3, ["unresolved"], ["a"], "b"), (4, ["excluded"], ["a"], "a")],
-        "id int, states array<string>, scope array<string>, asked string",
-    )
-    scope = logic.choice(F.col("scope"), F.col("asked"), ("a", "b"))
-    return rows.select("id", logic.all_of(F.col("states")).alias("every"), logic.any_of(F.col("states")).alias("one"), scope.alias("scope"))
+    """The states of each user's events, all and any of them, and a scope of at most one legal choice; sets have three members at most."""
+    kind, side = F.col("event_type"), F.element_at(F.array(*map(F.lit, "abc")), (F.col("event_id") % 3 + 1).cast("int"))
+    state = F.when(kind == "error", logic.EXCLUDED).when(kind == "signup", logic.UNRESOLVED).when(kind == "purchase", logic.APPLICABLE)
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(state).alias("states"), F.collect_set(F.when(F.col("value") > 90, side)).alias("scope"))
+    turn = F.col("user_id") % 4
+    scope = logic.choice(F.col("scope"), F.when(turn == 0, "a").when(turn == 1, "b").when(turn == 3, "z"), ("a", "b"))
+    return users.select("user_id", logic.all_of(F.col("states")).alias("every"), logic.any_of(F.col("states")).alias("one"), scope.alias("scope"))
 
 
 @query(
     "2.2.26",
-    "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true)) t(id, inside)",
+    """SELECT event_id, NOT (user_id % 3 > 0 AND event_type = 'view' AND event_id % 3 = 0) AND NOT (user_id % 2 > 0 AND event_type = 'click' AND event_id % 3 > 0) AS inside FROM events""",
 )
 def boundary_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "at", "e1", "e1", None), (2, "before", "e1", "e1", None), (3, "at", "e2", None, "e2"), (4, "before", "e2", "e1", "e2")], "id int, pos string, ev string, lo string, hi string")
-    return rows.select("id", logic.at_boundary(*map(F.col, ("pos", "ev", "lo", "hi"))).alias("inside"))
+    """From the view on and until the click, each bound open for some users."""
+    turn, user = F.col("event_id") % 3, F.col("user_id")
+    position = F.when(turn == 0, "before").when(turn == 1, "at").otherwise("after")
+    bounds = F.when(user % 3 > 0, "view"), F.when(user % 2 > 0, "click")
+    return table(spark, sf_dir, "events").select("event_id", logic.at_boundary(position, F.col("event_type"), *bounds).alias("inside"))
 
 
 @query(

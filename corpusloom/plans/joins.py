@@ -241,10 +241,15 @@ def member_situations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.2.18 2.6.11",
-    """SELECT * FROM (VALUES (1,'cast',4),(3,'line',3),(4,'action',2),(5,'mention',1)) t(id, level, weight)""",
+    r"""WITH r AS (SELECT doc_id, doc_id % 4 AS kind, CASE WHEN doc_id % 8 = 3 THEN 'thand: ' || text ELSE text END AS body FROM documents),
+    g AS (SELECT doc_id, len(string_split(body, 'thand')) - 1 AS n, CASE WHEN kind = 0 THEN 'cast' WHEN kind = 1 OR NOT contains(body, 'thand') THEN NULL
+    WHEN list_contains(regexp_extract_all(body, '(?m)^\s*\*?\s*([^\s：:（(*]{1,20})\s*(?:[（(][^）)\n]*[）)])?\s*[：:]', 1), 'thand') THEN 'line' WHEN regexp_matches(body, 'thand[^\n。！？]{0,6}?the') THEN 'action' ELSE 'mention' END AS level FROM r)
+    SELECT doc_id, level, CASE level WHEN 'cast' THEN 4 WHEN 'line' THEN 3 WHEN 'action' THEN 2 ELSE 1 END AS weight FROM g WHERE level IS NOT NULL QUALIFY row_number() OVER (PARTITION BY level ORDER BY n DESC, doc_id) <= 8""",
 )
 def graded_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence grades with a floor: a complete list decides alone."""
-    rows = [(1, ["Ann"], "Ann was here"), (2, ["Bob"], "Ann: hello"), (3, None, "Ann: hello"), (4, None, "then Ann walked"), (5, [], "about Ann"), (6, None, "nobody")]
-    graded = stats.graded_evidence(spark.createDataFrame(rows, "id int, cast array<string>, body string"), ["Ann"], actions=("walked",))
-    return graded.where("weight > 0").orderBy(F.desc("weight"), F.desc("mentions"), "id").limit(8).select("id", "level", "weight")
+    """Evidence grades with a floor, the best eight of each: a list that is there decides alone."""
+    key = F.col("doc_id")
+    cast = F.when(key % 4 == 0, F.array(F.lit("thand"))).when(key % 4 == 1, F.array(F.lit("other"))).when(key % 4 == 2, F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", cast.alias("cast"), F.when(key % 8 == 3, F.concat(F.lit("thand: "), "text")).otherwise(F.col("text")).alias("body"))
+    graded = stats.graded_evidence(rows, ["thand"], actions=("the",)).where("weight > 0")
+    return ranking.first_rows(graded, ["level"], [F.desc("mentions"), "doc_id"], 8).select("doc_id", "level", "weight")

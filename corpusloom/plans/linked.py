@@ -50,17 +50,39 @@ def dependency_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select(F.lit("resolved").alias("kind")).unionByName(bad.select(F.lit("unresolved").alias("kind"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("2.8.6", "SELECT * FROM (VALUES ('root', ''), ('a', '0'), ('c', '0.0'), ('b', '1'), ('d', '1.0')) t(node, path)")
+@query(
+    "2.8.6",
+    """SELECT 'root' AS node, '' AS path UNION ALL SELECT 'r' || r_regionkey, r_regionkey::VARCHAR FROM region UNION ALL SELECT 'n' || n_nationkey, n_regionkey || '.' || n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey
+    UNION ALL SELECT 'c' || c_custkey, n_regionkey || '.' || n_nationkey || '.' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""",
+)
 def dialogue_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = spark.createDataFrame([("root", 0, "a"), ("root", 1, "b"), ("a", 0, "c"), ("b", 0, "d"), ("d", 0, "root"), ("b", 1, "c")], "source string, position int, target string")
+    """Regions, nations and customers below a root; customers point back to their regions, which are read already."""
+
+    def edge(source, position, target):
+        return [source.alias("source"), F.col(position).cast("int").alias("position"), target.alias("target")]
+
+    def node(mark, name):
+        return F.concat(F.lit(mark), F.col(name).cast("string"))
+
+    nations, customers = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    edges = table(spark, sf_dir, "region").select(*edge(F.lit("root"), "r_regionkey", node("r", "r_regionkey")))
+    edges = edges.unionByName(nations.select(*edge(node("r", "n_regionkey"), "n_nationkey", node("n", "n_nationkey"))))
+    edges = edges.unionByName(customers.select(*edge(node("n", "c_nationkey"), "c_custkey", node("c", "c_custkey"))))
+    edges = edges.unionByName(customers.select(*edge(node("c", "c_custkey"), "c_nationkey", F.lit("r0"))))
     return graph.paths_from(edges, spark.createDataFrame([("root",)], "node string"), 10).select("node", F.array_join("path", ".").alias("path"))
 
 
-@query("2.8.7", "SELECT * FROM (VALUES ('AnnBob', 'Ann,Bob'), ('AnnieBob', NULL), ('Zed', NULL), ('', NULL)) t(subject, parts)")
+@query(
+    "2.8.7",
+    """SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 OR p_partkey % 11 = 0 OR p_name = 'old bolt' THEN NULL WHEN split_part(p_name, ' ', 1) IN ('small', 'cold', 'old') AND split_part(p_name, ' ', 2) IN ('ring', 'bolt', 'rod') THEN replace(p_name, ' ', ',') END AS parts FROM part""",
+)
 def alias_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("AnnBob",), ("AnnieBob",), ("Zed",), ("",)], "subject string")
-    split = chunking.segmentations(rows, "subject", {"Ann": "Ann", "Annie": "Annie", "ie": "Ie", "Bob": "Bob"})
-    return split.select("subject", F.when(F.col("parts").isNotNull(), F.array_join("parts", ",")).alias("parts"))
+    """Names written together; one of them splits in two ways, some have a part that is no alias, and some are empty."""
+    key, joined = F.col("p_partkey"), F.replace("p_name", F.lit(" "), F.lit(""))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(key % 11 == 0, "").when(key % 4 == 1, F.concat(joined, F.lit("s"))).otherwise(joined).alias("subject"))
+    aliases = {name: name for name in ("small", "cold", "old", "ring", "bolt", "rod", "oldbolt")}
+    split = chunking.segmentations(rows, "subject", aliases)
+    return split.select("p_partkey", F.when(F.col("parts").isNotNull(), F.array_join("parts", ",")).alias("parts"))
 
 
 NAMES = [("e1", "thand"), ("e1", "andre"), ("e2", "über"), ("e3", "tion of"), ("e4", "ción")]
@@ -92,13 +114,22 @@ def mention_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.8.10",
-    """SELECT * FROM (VALUES ('1', 'One', 1), ('2', 'Two', 0)) t(entry_id, title, links)""",
+    """SELECT o_orderkey::VARCHAR AS entry_id, o_orderstatus AS title, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS links FROM orders WHERE o_orderkey % 5 > 0""",
 )
 def entries_from_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A target with two names loses its links; a malformed item is left out."""
-    raw = [('{"id":"1","title":"One","links":[{"target_id":"2","target_name":"Two"},{"target_id":"3","target_name":"x"},{"target_id":"3","target_name":"y"}]}',), ('{"id":"2","title":"Two"}',), ("{broken",)]
+    """Orders written as JSON items; a target with two names loses its links, and a malformed item is left out."""
+    key = F.col("o_orderkey")
+
+    def link(target, name):
+        return F.struct(target.cast("string").alias("target_id"), F.col(name).alias("target_name"))
+
+    buyer, day = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.col("o_orderdate")
+    once = F.array(link(buyer, "o_orderstatus"), link(day, "o_orderpriority"))
+    twice = F.array(link(buyer, "o_orderstatus"), link(buyer, "o_orderpriority"), link(day, "o_orderpriority"))
+    item = F.to_json(F.struct(key.cast("string").alias("id"), F.col("o_orderstatus").alias("title"), F.when(key % 3 == 0, twice).otherwise(once).alias("links")))
+    raw = table(spark, sf_dir, "orders").select(F.when(key % 5 == 0, F.lit("{broken")).otherwise(item).alias("raw"))
     schema = "id string, title string, links array<struct<target_id:string,target_name:string>>"
-    entries = graph.entries_from_items(spark.createDataFrame(raw, "raw string"), "raw", schema, F.col("_item.id"), F.col("_item.title"), F.col("_item.links"))
+    entries = graph.entries_from_items(raw, "raw", schema, F.col("_item.id"), F.col("_item.title"), F.col("_item.links"))
     links = graph.without_ambiguous_links(graph.edges_of(entries)).groupBy(F.col("source").alias("entry_id")).agg(F.count(F.lit(1)).cast("int").alias("n"))
     return entries.join(links, "entry_id", "left").select("entry_id", "title", F.coalesce("n", F.lit(0)).alias("links"))
 

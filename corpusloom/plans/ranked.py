@@ -293,21 +293,33 @@ def union_of_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.7.4 2.7.5 2.7.10",
-    """SELECT * FROM (VALUES (1, 0.4, 0.5, 'z'), (2, 0.0, 1.0, ''), (3, 0.2, 0.0, 'x,y')) t(id, overlap, covered, missing)""",
+    """WITH r AS (SELECT *, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)
+    SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE (1 + (p_partkey % 2 = 0)::INT) / 5.0 END AS overlap, CASE WHEN p_partkey % 5 = 0 THEN 1.0 ELSE 1.0 - (1 + (b <> 'bolt')::INT) / 3.0 END AS covered,
+    CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat_ws(',', CASE WHEN b <> 'bolt' THEN 'bolt' END, 'z') END AS missing FROM r""",
 )
 def overlap_and_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, ["a", "b", "a", "c"], ["b", "a"], ["a", "z"]), (2, [], ["a"], []), (3, ["q"], ["q"], ["x", "y"])], "id int, l array<string>, r array<string>, need array<string>")
+    """Two rankings of keys for each part, with repeats and empty ones, and the required terms that the first holds."""
+    key, first, second = F.col("p_partkey"), F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    none = F.array().cast("array<string>")
+    left = F.array(first, second, first, F.col("p_brand"))
+    right = F.when(key % 7 == 0, none).otherwise(F.array(F.col("p_brand"), F.lit("none"), F.when(key % 2 == 0, second).otherwise("none")))
+    need = F.when(key % 5 == 0, none).otherwise(F.array(first, F.lit("bolt"), F.lit("z")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", left.alias("l"), right.alias("r"), need.alias("need"))
     share, missing = retrieval.coverage(F.col("l"), F.col("need"))
-    return rows.select("id", retrieval.overlap_at(F.col("l"), F.col("r"), 5).alias("overlap"), share.alias("covered"), F.array_join(missing, ",").alias("missing"))
+    return rows.select("p_partkey", retrieval.overlap_at(F.col("l"), F.col("r"), 5).alias("overlap"), share.alias("covered"), F.array_join(missing, ",").alias("missing"))
 
 
 @query(
     "2.7.6 2.9.29",
-    """SELECT * FROM (VALUES (1,'META'),(2,'MINOR'),(3,'MAJOR'),(4,'MAJOR'),(5,'MINOR')) t(id, class)""",
+    """SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR (doc_id % 40) / greatest(n_chars, 1) > 0.05 THEN 'MAJOR' WHEN doc_id % 3 = 0 OR (doc_id % 40) / greatest(n_chars, 1) > 0.01 THEN 'MINOR' ELSE 'META' END AS class FROM documents""",
 )
 def update_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, ["a"], ["a"], 1000, 1001), (2, ["a"], ["a", "b"], 1000, 1000), (3, ["a"], ["a", "plot"], 1000, 1000), (4, ["a"], ["a"], 1000, 1100), (5, ["a"], ["a"], 1000, 1020)], "id int, o array<string>, n array<string>, a int, b int")
-    return rows.select("id", reconcile.update_class(F.col("o"), F.col("n"), F.col("a"), F.col("b"), ["plot"]).alias("class"))
+    """Headings of a text before and after: one added for some, an important one removed for others, and lengths that grow a little."""
+    key = F.col("doc_id")
+    old = F.when(key % 7 == 0, F.array("lang", F.lit("the plot"))).otherwise(F.array("lang"))
+    new = F.when(key % 3 == 0, F.array("lang", "source")).otherwise(F.array("lang"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", old.alias("o"), new.alias("n"), F.col("n_chars").alias("a"), (F.col("n_chars") + key % 40).alias("b"))
+    return rows.select("doc_id", reconcile.update_class(F.col("o"), F.col("n"), F.col("a"), F.col("b"), ["plot"]).alias("class"))
 
 
 @query("2.7.8", "SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'later' ELSE n_name END AS n_name FROM nation")
@@ -327,7 +339,13 @@ def completed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.with_series(parts.where("p_size = 3 AND p_brand = 'Brand#2'").select("p_partkey"), parts, "p_partkey", "p_type")
 
 
-@query("2.2.23", "SELECT * FROM (VALUES ('a','applicable'),('b','excluded'),('c','unresolved')) t(id, state)")
+@query(
+    "2.2.23",
+    """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'applicable' WHEN p_partkey % 11 = 0 THEN 'unresolved' WHEN p_size % 6 < 2 OR (p_size % 6 = 2 AND p_partkey % 13 < 5) THEN 'excluded' WHEN p_partkey % 5 > 0 AND p_size % 6 >= 4 THEN 'excluded' ELSE 'applicable' END AS state FROM part""",
+)
 def applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("a", "3.5", "3.0", "4.0"), ("b", "4.0", "3.0", "4.0"), ("c", None, "3.0", None)], "id string, asked string, lo string, hi string")
-    return rows.select("id", logic.version_state(F.col("asked"), F.col("lo"), F.col("hi")).alias("state"))
+    """Asked versions against [2.5, 4.0), open above for every fifth part and on both sides for every seventh; no version is asked for every eleventh."""
+    key = F.col("p_partkey")
+    asked = F.when(key % 11 > 0, F.concat_ws(".", (F.col("p_size") % 6).cast("string"), (key % 13).cast("string")))
+    lower, upper = F.when(key % 7 > 0, "2.5"), F.when((key % 7 > 0) & (key % 5 > 0), "4.0")
+    return table(spark, sf_dir, "part").select("p_partkey", logic.version_state(asked, lower, upper).alias("state"))

@@ -88,11 +88,21 @@ def front_matter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("name is not null").select("name", F.regexp_replace("body", "\u0001", "").alias("body"))
 
 
-@query("2.1.12 2.1.13 2.1.14", "SELECT * FROM (VALUES ('a', 'bound'), ('b', 'stale'), ('c', 'missing')) t(name, status)")
+@query(
+    "2.1.12 2.1.13 2.1.14",
+    """SELECT 'r' || r_regionkey AS region, count(*)::BIGINT AS pins, (count(*) FILTER (WHERE n_nationkey % 5 = 4))::BIGINT AS stale, (count(*) FILTER (WHERE n_nationkey % 7 = 6 AND n_nationkey % 5 <> 4))::BIGINT AS missing, bool_and(n_nationkey % 5 <> 4 AND n_nationkey % 7 <> 6) AS bound
+    FROM (SELECT r_regionkey, n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey) GROUP BY ALL""",
+)
 def pinned_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = spark.createDataFrame([("a", bytearray(b"one")), ("b", bytearray(b"two"))], "name string, content binary").withColumn("sha256", F.sha2("content", 256))
-    pins = spark.createDataFrame([("a", "one"), ("b", "other"), ("c", "x")], "name string, body string").select("name", F.sha2(F.col("body").cast("binary"), 256).alias("sha256"))
-    return files.pinned(content, pins).select("name", "status")
+    """Files read as bytes against the digests of what was declared: some have changed, some were never there."""
+    nations, folder = table(spark, sf_dir, "nation"), scratch(spark, "resources")
+    key = F.col("n_nationkey")
+    nations.select(F.concat("n_name", F.when(key % 5 == 4, "!").otherwise("")).alias("value"), F.concat(F.lit("n"), key.cast("string")).alias("part")).repartition(25, "part").write.partitionBy("part").option("lineSep", ";").text(folder)
+    found = files.binary(spark, f"{folder}/*/*.txt").select(F.regexp_replace(F.decode("content", "UTF-8"), "[!;]", "").alias("name"), "content", "sha256")
+    pins = nations.select(F.when((key % 7 == 6) & (key % 5 != 4), F.concat("n_name", F.lit("?"))).otherwise(F.col("n_name")).alias("name"), F.sha2(F.concat("n_name", F.lit(";")).cast("binary"), 256).alias("sha256"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("region"))
+    checked = files.pinned(found, pins.select("name", "sha256")).join(pins.select("name", "region"), "name")
+    counts = checked.groupBy("region").agg(F.count(F.lit(1)).alias("pins"), F.count_if(F.col("status") == "stale").alias("stale"), F.count_if(F.col("status") == "missing").alias("missing"))
+    return counts.join(files.all_bound(checked, ["region"]), "region")
 
 
 @query("2.1.15 2.1.16", "SELECT source AS module, coalesce(reason, 'accepted') AS outcome, count(*)::BIGINT AS n FROM (SELECT source, CASE WHEN doc_id % 10 = 1 THEN 'missing' WHEN doc_id % 10 = 2 THEN 'hash' END AS reason FROM documents WHERE trim(text) <> '' AND text NOT IN ('TODO','...')) GROUP BY ALL")
@@ -138,9 +148,19 @@ def session_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.1.27 2.9.36",
-    """SELECT * FROM (VALUES (1, 0, 'story', 0, 'c1', 0, 'x'), (1, 0, 'story', 0, 'c1', 1, 'y'), (1, 1, 'voice', 0, 'c2', 0, 'z')) t(id, module, module_name, component, component_id, row, value)""",
+    """WITH v AS (SELECT p_partkey, p_name, p_type, p_brand, p_size FROM part WHERE p_partkey % 11 > 0) SELECT p_partkey, 0 AS module, 'names' AS module_name, 0 AS component, p_brand AS component_id, i::INT AS row, string_split(p_name, ' ')[i + 1] AS value FROM v, range(0, 2) t(i)
+    UNION ALL SELECT p_partkey, 1, 'kinds', 0, 'c2', 0, p_type FROM v UNION ALL SELECT p_partkey, 1, 'kinds', 2, 'c4', 0, p_size::VARCHAR FROM v""",
 )
 def exploded_page_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = '{"modules":[{"name":"story","components":[{"id":"c1","rows":["x","y"]}]},{"name":"voice","components":[{"id":"c2","rows":["z"]},{"id":"c3","rows":[]}]}]}'
-    pages = spark.createDataFrame([(1, raw)], "id int, raw string")
+    """Parts as nested pages; a component without rows gives none, and neither does a malformed page."""
+
+    def component(name, rows):
+        return F.struct(name.alias("id"), rows.alias("rows"))
+
+    def module(name, *components):
+        return F.struct(F.lit(name).alias("name"), F.array(*components).alias("components"))
+
+    kinds = [component(F.lit("c2"), F.array("p_type")), component(F.lit("c3"), F.array().cast("array<string>")), component(F.lit("c4"), F.array(F.col("p_size").cast("string")))]
+    page = F.to_json(F.struct(F.array(module("names", component(F.col("p_brand"), F.split("p_name", " "))), module("kinds", *kinds)).alias("modules")))
+    pages = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 11 > 0, page).otherwise("{broken").alias("raw"))
     return files.exploded_modules(pages, "raw", "modules array<struct<name:string,components:array<struct<id:string,rows:array<string>>>>>").drop("raw")

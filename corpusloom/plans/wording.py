@@ -10,10 +10,15 @@ from corpusloom.operators import chunking, facts, incremental, reconcile
 from corpusloom.plans.base import query, table
 
 
-@query("2.9.1 2.9.2", "SELECT * FROM (VALUES (1, 'where  is it', 'where  is it'), (2, 'a b （c） d？', 'a b  d'), (3, '', '')) t(id, prompt, query)")
+@query(
+    "2.9.1 2.9.2",
+    r"""WITH r AS (SELECT conv_id, turn, trim(regexp_replace(chr(9) || text || ' (' || role || ')？' || chr(10), '[\x00-\x1f\x7f]', ' ', 'g')) AS prompt FROM conversations)
+    SELECT conv_id, turn, md5(prompt) AS prompt, left(trim(regexp_replace(regexp_replace(prompt, '[（(][^）)]*[）)]', '', 'g'), '[？！。，、；：\s]+$', '')), 200) AS query FROM r""",
+)
 def cleaned_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "\twhere \tis it\n"), (2, "a b （c） d？"), (3, None)], "id int, raw string")
-    return rows.select("id", text.cleaned_prompt("raw").alias("prompt"), text.cleaned_query("raw").alias("query"))
+    """Turns asked with a bracketed remark and control characters around them."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("\t"), "text", F.lit(" ("), "role", F.lit(")？\n")).alias("raw"))
+    return rows.select("conv_id", "turn", F.md5(text.cleaned_prompt("raw").cast("binary")).alias("prompt"), text.cleaned_query("raw").alias("query"))
 
 
 @query("2.9.4 2.9.35", "SELECT * FROM (VALUES (1, 'blue bolt,lost name', 'lost name')) t(id, quoted, missing)")
@@ -54,16 +59,24 @@ def cleaned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(body == "", 0).otherwise(F.size(F.split(body, "\n"))).cast("long").alias("lines"))
 
 
-@query("2.9.10 2.9.38", "SELECT * FROM (VALUES (1, 'Ann,Bob,Cy'), (2, ''), (3, 'Dee')) t(id, names)")
+@query(
+    "2.9.10 2.9.38",
+    "SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE concat_ws(',', CASE WHEN length(p_name) <= 10 THEN p_name END, p_brand, p_type) END AS names FROM part",
+)
 def parsed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "[Ann]、Bob/Cy，Ann"), (2, None), (3, "version=1;Dee；a-very-long-name-indeed")], "id int, raw string")
-    return rows.select("id", F.array_join(text.name_list("raw"), ",").alias("names"))
+    """Names in brackets, repeated, too long, or with a dirty mark; null for every eleventh row."""
+    raw = F.concat(F.lit("["), "p_name", F.lit("]、"), "p_brand", F.lit("/"), "p_type", F.lit("，"), "p_name", F.lit(";size="), F.col("p_size").cast("string"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 11 != 0, raw).alias("raw"))
+    return rows.select("p_partkey", F.array_join(text.name_list("raw", longest=10), ",").alias("names"))
 
 
-@query("2.9.11", "SELECT * FROM (VALUES (1, 'Ann,Bob,Ann'), (2, '')) t(id, names)")
+@query(
+    "2.9.11",
+    r"""SELECT conv_id, turn, array_to_string(regexp_extract_all('* ' || role || '：' || text || chr(10) || 'Bob (low): yes', '(?m)^\s*\*?\s*([^\s：:（(*]{1,20})\s*(?:[（(][^）)\n]*[）)])?\s*[：:]', 1), ',') AS names FROM conversations""",
+)
 def dialogue_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "* Ann：hi\nBob (low): yes\nno one speaks\nAnn: bye"), (2, "nothing")], "id int, raw string")
-    return rows.select("id", F.array_join(text.speakers("raw"), ",").alias("names"))
+    said = F.concat(F.lit("* "), "role", F.lit("："), "text", F.lit("\nBob (low): yes"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.speakers(said), ",").alias("names"))
 
 
 @query("2.9.12", "SELECT p_partkey, lower(regexp_replace(p_name || '·' || p_brand, '[ ·#]', '', 'g')) AS squeezed, p_name AS base FROM part")
@@ -77,10 +90,12 @@ def substring_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.occurrences("text", "th").alias("n"), text.occurrences("text", "\n").alias("line_ends"))
 
 
-@query("2.9.13", "SELECT * FROM (VALUES ('aaaa', 2, 3), ('banana', 0, 0), ('', 0, 0)) t(raw, apart, overlapping)")
+@query(
+    "2.9.13",
+    "SELECT page_id, len(string_split(url, 'thth')) - 1 AS apart, len(list_filter(range(1, length(url) + 1), lambda x: url[x:x + 3] = 'thth')) AS overlapping FROM pages",
+)
 def overlapping_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("aaaa",), ("banana",), ("",)], "raw string")
-    return rows.select("raw", text.occurrences("raw", "aa").cast("int").alias("apart"), text.overlapping_occurrences("raw", "aa").cast("int").alias("overlapping"))
+    return table(spark, sf_dir, "pages").select("page_id", text.occurrences("url", "thth").alias("apart"), text.overlapping_occurrences("url", "thth").alias("overlapping"))
 
 
 @query(
@@ -121,23 +136,43 @@ def unique_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.unique_chunk_ids(docs, "lang", "source", "priority", "doc_id").select("doc_id", "chunk_id")
 
 
-@query("2.9.19", "SELECT * FROM (VALUES (1,'v1','matched'),(2,'v2','matched'),(3,NULL,'mismatch'),(4,NULL,'unresolved'),(5,NULL,'unknown')) t(id, version_id, outcome)")
+@query(
+    "2.9.19",
+    """WITH a AS (SELECT c_custkey, c_nationkey AS by_label, CASE c_custkey % 4 WHEN 1 THEN c_nationkey WHEN 2 THEN CASE WHEN c_nationkey < 24 THEN c_nationkey + 1 END END AS by_number, c_custkey % 4 > 0 AS has_number, c_custkey % 3 > 0 AS has_label FROM customer),
+    o AS (SELECT *, CASE WHEN has_label AND has_number THEN CASE WHEN by_number IS NULL THEN 'unresolved' WHEN by_number = by_label THEN 'matched' ELSE 'mismatch' END WHEN has_label OR by_number IS NOT NULL THEN 'matched' ELSE 'unknown' END AS outcome FROM a)
+    SELECT c_custkey, CASE WHEN outcome = 'matched' THEN 'v' || CASE WHEN has_label THEN by_label ELSE by_number END END AS version_id, outcome FROM o""",
+)
 def resolved_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    registry = spark.createDataFrame([("v1", "1.0", "Dawn", ["Start"]), ("v2", "1.1", "Dusk", [])], "version_id string, numeric string, label string, aliases array<string>")
-    asked = spark.createDataFrame([(1, None, "Start"), (2, "1.1", "Dusk"), (3, "1.0", "Dusk"), (4, "9.9", "Dusk"), (5, "7.7", None)], "id int, numeric string, label string")
-    return facts.resolve_versions(asked, registry).select("id", "version_id", "outcome")
+    """Customers ask for a nation by number, by label, by alias, or by two of them that may differ."""
+    nation, key, home = F.col("n_nationkey").cast("string"), F.col("c_custkey"), F.col("c_nationkey")
+    registry = table(spark, sf_dir, "nation").select(F.concat(F.lit("v"), nation).alias("version_id"), F.concat(F.lit("1."), nation).alias("numeric"), F.col("n_name").alias("label"), F.array(F.concat(F.lit("N"), nation)).alias("aliases"))
+    numeric = F.when(key % 4 == 1, F.concat(F.lit("1."), home.cast("string"))).when(key % 4 == 2, F.concat(F.lit("1."), (home + 1).cast("string"))).when(key % 4 == 3, "9.9")
+    label = F.when(key % 3 == 1, F.concat(F.lit("NATION_"), home.cast("string"))).when(key % 3 == 2, F.concat(F.lit("N"), home.cast("string")))
+    asked = table(spark, sf_dir, "customer").select("c_custkey", numeric.alias("numeric"), label.alias("label"))
+    return facts.resolve_versions(asked, registry).select("c_custkey", "version_id", "outcome")
 
 
-@query("2.9.19 2.9.31", "SELECT * FROM (VALUES ('1.0','duplicate_numeric'),('v3','order')) t(key, problem)")
+@query(
+    "2.9.19 2.9.31",
+    """WITH r AS (SELECT n_nationkey AS k, n_nationkey * 7 % 20 AS n FROM nation) SELECT '1.' || n AS key, 'duplicate_numeric' AS problem FROM r GROUP BY n HAVING count(*) > 1
+    UNION ALL SELECT 'v' || k, 'order' FROM r WHERE EXISTS (SELECT 1 FROM r l WHERE l.k > r.k AND l.n < r.n)""",
+)
 def registry_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    registry = spark.createDataFrame([("v1", "1.0", "a", 1), ("v2", "1.0", "b", 2), ("v3", "1.10", "c", 3), ("v4", "1.9", "d", 4)], "version_id string, numeric string, label string, order int")
+    """Numbers that repeat, and numbers that do not rise in the declared order."""
+    key = F.col("n_nationkey")
+    numeric = F.concat(F.lit("1."), (key * 7 % 20).cast("string"))
+    registry = table(spark, sf_dir, "nation").select(F.concat(F.lit("v"), key.cast("string")).alias("version_id"), numeric.alias("numeric"), F.col("n_name").alias("label"), key.cast("int").alias("order"))
     return facts.registry_violations(registry)
 
 
-@query("2.9.20", "SELECT * FROM (VALUES (1, 'v1.2,who,山水,水的'), (2, '') ) t(id, tokens)")
+@query(
+    "2.9.20",
+    """SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE array_to_string(list_sort(list_filter(list_concat(string_split(p_name, ' '), [lower(p_type), 'v1.' || p_size, '山水', '水的']), lambda x: x <> 'red')), ',') END AS tokens FROM part""",
+)
 def fact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "Who is 山水的 v1.2"), (2, None)], "id int, raw string")
-    return rows.select("id", F.array_join(F.sort_array(text.tokens_for_facts("raw", ["is"])), ",").alias("tokens"))
+    raw = F.concat("p_name", F.lit(" "), "p_type", F.lit(" 山水的 V1."), F.col("p_size").cast("string"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 11 != 0, raw).alias("raw"))
+    return rows.select("p_partkey", F.array_join(F.sort_array(text.tokens_for_facts("raw", ["red"])), ",").alias("tokens"))
 
 
 @query("2.9.22 2.9.26", "SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events")
@@ -156,13 +191,20 @@ def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.html_text("html").alias("text"))
 
 
-@query("2.9.24 2.9.25 2.9.37", "SELECT * FROM (VALUES (1, 'Ann', 'sword', 'see Bob here', 'the plot')) t(id, name, weapon, clean, story)")
+@query(
+    "2.9.24 2.9.25 2.9.37",
+    "SELECT p_partkey, p_name AS name, p_brand AS weapon, 'see ' || p_type || ' here' AS clean, CASE WHEN p_partkey % 5 > 0 THEN 'the plot of ' || p_name END AS story FROM part",
+)
 def wiki_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = "{{role\n|name = Ann\n|weapon = sword\n}}\nsee [[B|Bob]] here<!-- no -->\n== story ==\nthe plot\n== end ==\n"
-    rows = spark.createDataFrame([(1, raw)], "id int, raw string")
+    """Records written as wiki pages and read again; every fifth has no section of that name."""
+    heading = F.when(F.col("p_partkey") % 5 > 0, "story").otherwise("notes")
+    raw = F.format_string(
+        "{{role\n|name = %s\n|weapon = %s\n}}\nsee [[B|%s]] here<!-- no -->\n== %s ==\nthe plot of %s\n== end ==\n", F.col("p_name"), F.col("p_brand"), F.col("p_type"), heading, F.col("p_name")
+    )
+    rows = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
     fields = text.template_fields("raw")
     clean = text.stripped(F.get(F.split(text.without_markup("raw"), "=="), 0))
-    return rows.select("id", fields["name"].alias("name"), F.trim(F.substring_index(fields["weapon"], "\n", 1)).alias("weapon"), clean.alias("clean"), text.section("raw", "story").alias("story"))
+    return rows.select("p_partkey", fields["name"].alias("name"), F.trim(F.substring_index(fields["weapon"], "\n", 1)).alias("weapon"), clean.alias("clean"), text.section("raw", "story").alias("story"))
 
 
 @query("2.9.26 2.9.28", "SELECT 'added' AS event, count(*)::BIGINT AS n FROM orders WHERE o_orderkey % 10 = 1 UNION ALL SELECT 'removed', count(*)::BIGINT FROM orders WHERE o_orderkey % 10 = 2 UNION ALL SELECT 'modified', count(*)::BIGINT FROM orders WHERE o_orderkey % 10 = 5")
@@ -199,10 +241,20 @@ def phrase_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_to_plan(spark, sf_dir, "how many PROMO parts are there?")
 
 
-@query("2.9.35 2.7.10", "SELECT * FROM (VALUES (1, 'lost words', 'Cy')) t(id, unverified, missing)")
+@query(
+    "2.9.35 2.7.10",
+    r"""WITH r AS (SELECT doc_id, d.text, ['“' || substring(d.text, 5, 20) || '! ', substring(b.text, 3, 12)] AS quotes FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 10),
+    s AS (SELECT *, lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) AS body FROM r)
+    SELECT doc_id, array_to_string(list_filter(quotes, lambda q: NOT contains(body, lower(regexp_replace(q, '[^\p{L}\p{N}]+', '', 'g')))), ',') AS unverified,
+    concat_ws(',', CASE WHEN NOT contains(text, 'thand') THEN 'thand' END, CASE WHEN NOT contains(text, 'über') THEN 'über' END) AS missing FROM s""",
+)
 def checked_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, ["Blue, bolt!", "lost words"], "the blue bolt is here", ["Ann", "Cy"], "Ann said so")], "id int, quotes array<string>, context string, names array<string>, answer string")
-    return rows.select("id", F.array_join(incremental.unverified(F.col("quotes"), F.col("context")), ",").alias("unverified"), F.array_join(incremental.missing_names(F.col("names"), F.col("answer")), ",").alias("missing"))
+    """Two quotes of each text, its own with marks around it and one of a benchmark item, and two names it should hold."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.substring("text", 3, 12).alias("other"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 10).alias("item")).join(items, "item")
+    quotes = F.array(F.concat(F.lit("“"), F.substring("text", 5, 20), F.lit("! ")), "other")
+    names = F.array(F.lit("thand"), F.lit("über"))
+    return docs.select("doc_id", F.array_join(incremental.unverified(quotes, F.col("text")), ",").alias("unverified"), F.array_join(incremental.missing_names(names, F.col("text")), ",").alias("missing"))
 
 
 @query("2.9.39", "SELECT page_id, CASE WHEN contains(url, 'm.') THEN 'mobile' WHEN regexp_matches(url, '^https') THEN 'secure' ELSE 'plain' END AS type, nullif(regexp_extract(url, '/(en|de|fr|es)/', 1), '') AS region FROM pages")
