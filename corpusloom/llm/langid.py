@@ -23,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 #: Entries that a task gathers before it hands them to the shuffle, and words that a worker remembers.
 HELD = 200_000
+#: Bytes of the texts whose words are looked up together: few, and each shard is visited for a handful of words.
+PART_BYTES = 1 << 20
 #: The seed of Spark's xxhash64.
 SEED = 42
 SMOOTH = 0.1
@@ -274,6 +277,15 @@ def learn(docs: DataFrame) -> Model:
     return Model(folder, bits, langs, totals)
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in order, cut wherever another PART_BYTES of text (column 1) are full."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PART_BYTES
+    cuts = np.flatnonzero(ends[1:] != ends[:-1]) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Its id column, lang_pred and score of every whole text; one row by itself, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -281,8 +293,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
+            for part in _runs(batch):
                 found = own.predict(part.column(1).to_pylist())
                 columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], [id_col, "lang_pred", "score"])
