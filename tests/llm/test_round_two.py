@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, langid, licenses, media, quality, substrings
+from corpusloom.llm import decontaminate, langid, licenses, media, minhash, quality, substrings
 from corpusloom.llm.common import coded, window_starts
+from corpusloom.session import ensure_checkpoint_dir
 
 MIT = """MIT License
 
@@ -302,6 +303,19 @@ def test_network_by_hand():
             assert (sides[0] - sides[1]) / 4e-3 == pytest.approx(float(slope[at]), abs=2e-3)
 
 
+def test_failed_pair_of_components_is_tried_again(spark):
+    """Five like sets in three components: one pair stands for each two components; where it is no link, all of theirs follow."""
+    ensure_checkpoint_dir(spark)
+    fold = np.arange(100, dtype=np.uint16).tobytes()
+    rows = [(7, node, label, [0] * 8, fold) for node, label in ((1, 1), (2, 1), (3, 3), (4, 3), (5, 5))]
+    members = spark.createDataFrame(rows, "band long, node long, label long, packed array<long>, fold binary")
+    tried = minhash._across(members, 0.5, 0.8).collect()
+    assert sorted((r["x"], r["y"]) for r in tried) == [(1, 3), (1, 5), (3, 5)]
+    failed = spark.createDataFrame([(1, 3)], "x long, y long")
+    again = minhash._again(members, failed, 0.5, 0.8).collect()
+    assert sorted((r["a"], r["b"]) for r in again) == [(1, 3), (1, 4), (2, 3), (2, 4)]
+
+
 def test_benchmark_of_several_blocks(spark, awkward):
     """Rows with a map and clashing names, a benchmark cut into several blocks: as with one block."""
     bench = spark.createDataFrame([(1, "word1 and line 1 word2 and line 2"), (2, "single"), (3, "text without an id"), (4, "word5 and")], "item_id int, text string")
