@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from corpusloom.llm import bpe, decontaminate, langid, licenses, linededup, media, minhash, ngram, oracles, quality, substrings
+from corpusloom.llm import archive, bpe, clustering, decontaminate, langid, licenses, linededup, media, minhash, ngram, oracles, quality, resampling, substrings
 from corpusloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.archive_report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_media": op1_media,
@@ -69,6 +81,9 @@ def queries() -> dict[str, Query]:
         "op8_language": op8_language,
         "op9_substrings": op9_substrings,
         "op10_decontaminate": op10_decontaminate,
+        "op11_archive": op11_archive,
+        "op12_clusters": op12_clusters,
+        "op13_resampling": op13_resampling,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -80,6 +95,9 @@ def oracle_sql() -> dict[str, str]:
         "op6_licenses": licenses.report_sql(),
         "op9_substrings": oracles.substrings(),
         "op10_decontaminate": oracles.decontamination(),
+        "op11_archive": archive.report_sql(),
+        "op12_clusters": clustering.report_sql(),
+        "op13_resampling": resampling.report_sql(),
     }
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
