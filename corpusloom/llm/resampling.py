@@ -6,12 +6,14 @@ occurs in the target than in the raw texts is its gain; a text's weight is the f
 seed and doc_id, makes the highest sums a draw without replacement in proportion to the exponential of the weights.
 
 1. Chunks: each task reads its texts chunk by chunk (`CHUNK_BYTES`) and writes, to the shared folder, the chunk's distinct words under local
-   numbers, its distinct n-grams as tuples of them, each with the texts that hold it and how often, and a row a text. Everything
+   numbers, its longer n-grams as tuples of them, each with the texts that hold it and how often (packed), and a row a text. Everything
    below reads these tables, so it doesn't matter how a lost task deals its rows when it runs again.
-2. Dictionary: the distinct words of both corpora get integer ids; a join by word and a grouping by chunk turn local into global tuples.
-3. Every distinct tuple is hashed once: its ids are joined to their words, the bytes put together again.
-4. Counts join back: tuples give bucket counts and gains; gains go to the chunks' tuples by a join, and each task adds up what its
-   tuples mean for each text before the sums go to the chunk. Frequent words are one row a chunk, and a join that Spark may split.
+2. Dictionary: words of both corpora are range-sorted by word and chunk, so that a frequent word spreads over tasks too; equal words in a
+   row get one integer id. A word is the tuple of its own id, so here it is hashed as well, once, and its chunks' rows leave it behind.
+3. Longer n-grams: a grouping by chunk turns local into dictionary ids. Every distinct tuple is hashed once: its ids are joined to their
+   words, the bytes put together again; its bucket joins its chunks' rows.
+4. Counts join back: rows give bucket counts and gains, each task adds up what its rows mean for each text, and the sums go to the
+   chunk. A frequent tuple is one row a chunk.
 5. Ranks come from a range sort; the driver adds up one count a task.
 
 The driver and a broadcast hold one row a bucket and one a task. Null and empty texts have no words, weigh 0 and are not drawn.
@@ -24,10 +26,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +40,11 @@ from corpusloom.llm.common import ALNUM_WORD, parts, scratch_folder, views, wind
 from corpusloom.session import ensure_checkpoint_dir
 
 #: Bytes of text in a chunk; texts whose sums a task holds before it sends them on.
-CHUNK_BYTES, HELD = 4 << 20, 1 << 20
-CELLS = "chunk long, word binary, local int, tuple array<int>, docs array<int>, n array<int>, at int, n_words long, n_features long"
-INTS = pa.list_(pa.int32())
+CHUNK_BYTES, HELD = 8 << 20, 1 << 20
+CELLS = "chunk long, word binary, local int, tuple array<int>, total long, cell binary, at int, n_words long, n_features long"
 CELL_SCHEMA = pa.schema(
-    [("chunk", pa.int64()), ("word", pa.binary()), ("local", pa.int32()), ("tuple", INTS), ("docs", INTS), ("n", INTS), ("at", pa.int32()), ("n_words", pa.int64()), ("n_features", pa.int64())]
+    [("chunk", pa.int64()), ("word", pa.binary()), ("local", pa.int32()), ("tuple", pa.list_(pa.int32())), ("total", pa.int64()), ("cell", pa.binary())]
+    + [("at", pa.int32()), ("n_words", pa.int64()), ("n_features", pa.int64())]
 )
 
 
@@ -49,6 +53,18 @@ def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values, kind))
 
 
+def _packed(docs: np.ndarray, n: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Cells: pairs of 32-bit numbers, a text and how often it holds the tuple."""
+    pairs = np.stack([docs, n], axis=1).astype("<u4")
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, 8 * ends).astype(np.int32)), pa.py_buffer(pairs.tobytes())])
+
+
+def _unpacked(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of all cells, and how many each has."""
+    pairs = np.frombuffer(b"".join(cells.to_pylist()), "<u4").reshape(-1, 2).astype(np.int64)
+    return pairs, pc.binary_length(cells).to_numpy() // 8
+
+
 def tuples_of(codes: np.ndarray, counts: np.ndarray, max_n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each length: distinct tuples (a row each), the end of each one's texts, the texts, and the tuple's occurrences in them.
 
@@ -78,26 +94,29 @@ def _chunk(number: int, ids: list[pa.Array], texts: list[bytes], max_n: int, sch
         columns["chunk"] = pa.array(np.full(size, number))
         return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
-    words = [ALNUM_WORD.findall(bytes(text).lower()) for text in texts]
+    words = [ALNUM_WORD.findall(text.lower()) for text in texts]
     counts = np.array([len(x) for x in words], np.int64)
     numbers: dict[bytes, int] = {}
     codes = np.fromiter((numbers.setdefault(word, len(numbers)) for text in words for word in text), np.int64, int(counts.sum()))
-    yield rows(len(numbers), word=pa.array(list(numbers), pa.binary()), local=pa.array(np.arange(len(numbers), dtype=np.int32)))
+    del words
     for tuples, ends, docs, n in tuples_of(codes, counts, max_n):
-        width = tuples.shape[1]
-        flat = _lists(tuples.ravel(), width * np.arange(1, len(tuples) + 1), pa.int32())
-        yield rows(len(tuples), tuple=flat, docs=_lists(docs, ends, pa.int32()), n=_lists(n, ends, pa.int32()))
+        total = np.add.reduceat(n, np.append(0, ends[:-1]))
+        kind = {"total": pa.array(total), "cell": _packed(docs, n, ends)}
+        if tuples.shape[1] == 1:  # in the order of the words' numbers
+            yield rows(len(tuples), word=pa.array(list(numbers), pa.binary()), local=pa.array(np.arange(len(numbers), dtype=np.int32)) if max_n > 1 else pa.nulls(len(tuples), pa.int32()), **kind)
+        else:
+            yield rows(len(tuples), tuple=_lists(tuples.ravel(), tuples.shape[1] * np.arange(1, len(tuples) + 1), pa.int32()), **kind)
     features = sum(np.maximum(counts - length + 1, 0) for length in range(1, max_n + 1))
     yield rows(len(texts), doc_id=pa.concat_arrays(ids), at=pa.array(np.arange(len(texts), dtype=np.int32)), n_words=pa.array(counts), n_features=pa.array(features))
 
 
-def chunks(texts: DataFrame, max_n: int, id_col: str, text_col: str) -> DataFrame:
-    """Writes the chunks of a table to the shared folder; rows with `word`, with `tuple`, and with `at` (texts)."""
+def chunks(texts: DataFrame, max_n: int, id_col: str, text_col: str, first: int = 0) -> DataFrame:
+    """Writes the chunks of a table, numbered from `first`, to the shared folder; rows with `word`, with `tuple`, and with `at` (texts)."""
     rows = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"{CELLS}, doc_id {dict(rows.dtypes)['doc_id']}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, held, size = TaskContext.get().partitionId() << 32, [], [], 0
+        number, ids, held, size = first + (TaskContext.get().partitionId() << 32), [], [], 0
         for batch in parts(batches):
             kinds = CELL_SCHEMA.append(pa.field("doc_id", batch.column(0).type))
             for at, text in enumerate(views(batch.column(1))):
@@ -120,52 +139,76 @@ def _saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def dictionary(*corpora: DataFrame) -> DataFrame:
-    """word, id: every distinct word under an integer that stays as written."""
-    words = corpora[0].where("word is not null").select("word")
-    for more in corpora[1:]:
-        words = words.union(more.where("word is not null").select("word"))
-    return _saved(words.distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary")
+def numbered_words(raw: DataFrame, target: DataFrame, buckets: int, spell: bool) -> DataFrame:
+    """id, bucket, chunk, total, cell of every chunk's words; where longer tuples must be spelled also local, and word where an id begins.
 
+    A word that a task's end cuts has an id in each task, which `dictionary` brings together.
+    """
+    columns = ["word", "chunk", "total", "cell", *(["local"] if spell else [])]
+    both = raw.where("word is not null").select(*columns).union(target.where("word is not null").select(*columns))
+    parts = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def global_tuples(cells: DataFrame, words: DataFrame) -> DataFrame:
-    """chunk, ids (a tuple of dictionary ids), docs, n."""
-    local = cells.where("word is not null").select("word", "chunk", "local").join(words, "word").select(F.col("chunk").alias("of"), "local", "id")
-    schema = "chunk long, ids array<long>, docs array<int>, n array<int>"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, last, bucket = (TaskContext.get().partitionId() << 33) - 1, None, 0
+        for batch in batches:
+            ids, hashes, begins = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int32), np.zeros(batch.num_rows, bool)
+            for at, word in enumerate(batch.column(0).to_pylist()):
+                if word != last:
+                    number, last, bucket, begins[at] = number + 1, word, zlib.crc32(word) % buckets, True
+                ids[at], hashes[at] = number, bucket
+            made = [pa.array(ids), pa.array(hashes), *(batch.column(at) for at in (1, 2, 3))]
+            if spell:
+                made += [batch.column(4), pc.if_else(pa.array(begins), batch.column(0), pa.scalar(None, batch.column(0).type))]
+            yield pa.RecordBatch.from_arrays(made, ["id", "bucket", "chunk", "total", "cell", *(["local", "word"] if spell else [])])
+
+    ordered = both.repartitionByRange(parts, "word", "chunk").sortWithinPartitions("word", "chunk")
+    return _saved(ordered.mapInArrow(run, f"id long, bucket int, chunk long, total long, cell binary{', local int, word binary' if spell else ''}"), "words")
+
+
+def dictionary(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """word and id, one row a distinct word; and what other id a word had where a task's end cut it (at most a row a task)."""
+    every = numbered.where("word is not null").select("word", "id")
+    words = _saved(every.groupBy("word").agg(F.min("id").alias("id"), F.collect_set("id").alias("ids")), "dictionary")
+    return words.select("word", "id"), words.where(F.size("ids") > 1).select(F.explode("ids").alias("old"), "id").where("old <> id")
+
+
+def longer_tuples(cells: DataFrame, numbered: DataFrame, same: DataFrame) -> DataFrame:
+    """ids (a tuple of dictionary ids), chunk, total, cell of the chunks' longer n-grams."""
+    local = numbered.select("id", F.col("chunk").alias("of"), "local").join(F.broadcast(same.toDF("id", "instead")), "id", "left")  # a row a task
+    local = local.select("of", "local", F.coalesce("instead", "id").alias("id"))
 
     def renumber(cells: pa.Table, local: pa.Table) -> pa.Table:
         known = np.zeros(local.num_rows, np.int64)
         known[local["local"].to_numpy()] = local["id"].to_numpy()
         tuples = cells["tuple"].combine_chunks()
-        flat = known[tuples.flatten().to_numpy()]
         ends = np.cumsum(tuples.value_lengths().to_numpy())
-        return pa.table({"chunk": cells["chunk"], "ids": _lists(flat, ends, pa.int64()), "docs": cells["docs"], "n": cells["n"]})
+        return pa.table({"ids": _lists(known[tuples.flatten().to_numpy()], ends, pa.int64()), "chunk": cells["chunk"], "total": cells["total"], "cell": cells["cell"]})
 
-    grouped = cells.where("tuple is not null").select("chunk", "tuple", "docs", "n").groupBy("chunk")
-    return grouped.cogroup(local.groupBy("of")).applyInArrow(renumber, schema)
+    grouped = cells.where("tuple is not null").select("chunk", "tuple", "total", "cell").groupBy("chunk")
+    return _saved(grouped.cogroup(local.groupBy("of")).applyInArrow(renumber, "ids array<long>, chunk long, total long, cell binary"), "tuples")
 
 
-def hashed_tuples(raw: DataFrame, target: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
-    """ids, s and t (occurrences in the raw and the target texts), bucket: one row a distinct tuple, hashed once."""
-    zero = F.lit(0).cast("long")
-    total = F.aggregate("n", zero, lambda done, n: done + n)
-    both = raw.select("ids", total.alias("s"), zero.alias("t")).union(target.select("ids", zero, total))
-    counted = _saved(both.groupBy("ids").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "tuples")
-    placed = counted.select("ids", "s", "t", F.posexplode("ids").alias("pos", "id")).join(words, "id")
-    spelled = placed.groupBy("ids", "s", "t").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("words"))
+def hashed_tuples(tuples: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
+    """bucket, chunk, total, cell of the longer n-grams; each distinct tuple is spelled and hashed once."""
+    placed = tuples.select("ids").distinct().select("ids", F.posexplode("ids").alias("pos", "id")).join(words, "id")
+    spelled = placed.groupBy("ids").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("words"))
     text = F.aggregate(F.slice("words", 2, F.size("words")), F.element_at("words", 1)["word"], lambda done, x: F.concat(done, F.lit(b" "), x["word"]))
-    return _saved(spelled.select("ids", "s", "t", (F.crc32(text) % buckets).cast("int").alias("bucket")), "hashed")
+    hashed = _saved(spelled.select("ids", (F.crc32(text) % buckets).cast("int").alias("bucket")), "hashed")
+    return tuples.join(hashed, "ids").select("bucket", "chunk", "total", "cell")
 
 
-def gains(tuples: DataFrame, buckets: int) -> dict[int, int]:
-    """The gain of each bucket that occurs; at most `buckets` rows come to the driver."""
-    rows = tuples.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).collect()
+def gains(cells: DataFrame, buckets: int) -> dict[int, int]:
+    """The gain of each bucket that occurs, by its cells' totals (chunks below 0 are the target's); at most `buckets` rows come to the driver."""
+    wanted = F.col("chunk") < 0
+    rows = cells.groupBy("bucket").agg(F.sum(F.when(wanted, 0).otherwise(F.col("total"))).alias("s"), F.sum(F.when(wanted, F.col("total")).otherwise(0)).alias("t")).collect()
     raw, target = float(sum(row["s"] for row in rows)), float(sum(row["t"] for row in rows))
     return {row["bucket"]: math.floor(1000 * math.log((row["t"] + 1.0) * (raw + buckets) / ((row["s"] + 1.0) * (target + buckets)))) for row in rows}
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """of (a chunk), docs, sums: what a task's tuples (chunk, docs, n, gain) mean for each text, a row a chunk."""
+def _summed(batches: Iterator[pa.RecordBatch], gain: dict[int, int], buckets: int) -> Iterator[pa.RecordBatch]:
+    """of (a chunk), docs, sums: what a task's cells (bucket, chunk, cell) mean for each text, a row a chunk."""
+    table = np.zeros(buckets, np.int64)
+    table[list(gain)] = list(gain.values())
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
@@ -177,11 +220,10 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.append(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, len(chunk))
         return pa.RecordBatch.from_arrays([pa.array(chunk[ends - 1]), _lists(doc, ends, pa.int32()), _lists(value, ends, pa.int64())], ["of", "docs", "sums"])
 
-    for batch in parts(batches):
-        lengths = batch.column(1).value_lengths().to_numpy()
-        if lengths.sum():
-            n = batch.column(2).flatten().to_numpy().astype(np.int64)
-            held.append((np.repeat(batch.column(0).to_numpy(), lengths), batch.column(1).flatten().to_numpy(), n * np.repeat(batch.column(3).to_numpy(), lengths)))
+    for batch in batches:
+        pairs, lengths = _unpacked(batch.column(2))
+        if len(pairs):
+            held.append((np.repeat(batch.column(1).to_numpy(), lengths), pairs[:, 0], pairs[:, 1] * np.repeat(table[batch.column(0).to_numpy()], lengths)))
         if sum(len(x[0]) for x in held) >= HELD:
             yield flush()
             held.clear()
@@ -198,13 +240,16 @@ def noise(seed: str, doc_id: object) -> int:
 def weighted(docs: DataFrame, target: DataFrame, max_n: int = 1, buckets: int = 10_000, seed: str = "2024", id_col: str = "doc_id", text_col: str = "text", target_id: str = "item_id") -> DataFrame:
     """chunk and at (which name a row), doc_id, n_words, n_features, weight, score of every text; as written to the shared folder."""
     spark = docs.sparkSession
-    raw, wanted = chunks(docs, max_n, id_col, text_col), chunks(target, max_n, target_id, text_col)
-    words = dictionary(raw, wanted)
-    cells = _saved(global_tuples(raw, words), "cells")
-    tuples = hashed_tuples(cells, global_tuples(wanted, words), words, buckets)
-    gain = F.broadcast(spark.createDataFrame(list(gains(tuples, buckets).items()), "bucket int, gain long"))  # a row a bucket
-    valued = _saved(tuples.where("s > 0").join(gain, "bucket").select("ids", "gain"), "valued")
-    sums = cells.join(valued, "ids").select("chunk", "docs", "n", "gain").mapInArrow(_summed, "of long, docs array<int>, sums array<long>")
+    raw, wanted = chunks(docs, max_n, id_col, text_col), chunks(target, max_n, target_id, text_col, first=-(1 << 62))
+    numbered = numbered_words(raw, wanted, buckets, max_n > 1)
+    columns = ["bucket", "chunk", "total", "cell"]
+    cells = numbered.select(*columns)
+    if max_n > 1:
+        words, same = dictionary(numbered)
+        longer = ["chunk", "tuple", "total", "cell"]
+        cells = cells.union(_saved(hashed_tuples(longer_tuples(raw.select(*longer).union(wanted.select(*longer)), numbered, same), words, buckets), "cells"))
+    known = spark.sparkContext.broadcast(gains(cells, buckets))  # a number a bucket
+    sums = cells.where("chunk >= 0").select("bucket", "chunk", "cell").mapInArrow(lambda batches: _summed(batches, known.value, buckets), "of long, docs array<int>, sums array<long>")
     texts = raw.where("at is not null").select("chunk", "at", "doc_id", "n_words", "n_features")
     kind = dict(texts.dtypes)["doc_id"]
 
