@@ -350,11 +350,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     members = labelled.join(mixed, "band")
     folds = _with_folds(full.join(members.select("node").distinct(), "node").select("node", "hashes"))
     members = members.join(packed, "node").join(folds, "node").select("band", "node", "label", "packed", "fold").checkpoint()
-    tried = _across(members, floor, percent / 100).join(star, ["a", "b"], "left_anti").checkpoint()
-    links = _verified(tried.select("a", "b"), full, percent).checkpoint()
-    failed = tried.where("x is not null").join(links, ["a", "b"], "left_anti").select("x", "y").distinct().checkpoint()
+    tried = _across(members, floor, percent / 100).checkpoint()
+    links = _verified(tried.join(star, ["a", "b"], "left_anti").select("a", "b"), full, percent).checkpoint()
+    failed = failed_components(tried, links)
     if failed.limit(1).count():
-        links = links.union(_verified(_again(members, failed, floor, percent / 100).join(tried, ["a", "b"], "left_anti"), full, percent)).checkpoint()
+        again = _again(members, failed, floor, percent / 100).join(tried, ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti")
+        links = links.union(_verified(again, full, percent)).checkpoint()
     if links.limit(1).count():
         of = links.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
         above = connected_components(of).toDF("label", "above")
@@ -369,6 +370,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     return joined.select("doc_id", "doc_key", "doc_check", "n_shingles", "node", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def failed_components(tried: DataFrame, links: DataFrame) -> DataFrame:
+    """x, y: components whose standing pair is no link. A star's pair between two components counts too: had it been a link, they would be one."""
+    return tried.where("x is not null").join(links, ["a", "b"], "left_anti").select("x", "y").distinct().checkpoint()
+
+
 def _again(members: DataFrame, failed: DataFrame, floor: float, least: float) -> DataFrame:
     """All candidates of the pairs of components whose standing pair was no link."""
     concerned = failed.select(F.explode(F.array("x", "y")).alias("label")).distinct()

@@ -316,6 +316,21 @@ def test_failed_pair_of_components_is_tried_again(spark):
     assert sorted((r["a"], r["b"]) for r in again) == [(1, 3), (1, 4), (2, 3), (2, 4)]
 
 
+def test_failed_star_pair_of_components_is_tried_again(spark):
+    """The pair that stands for two components was a star's and is no link: the other candidates are still due."""
+    ensure_checkpoint_dir(spark)
+    fold = np.arange(100, dtype=np.uint16).tobytes()
+    members = spark.createDataFrame([(7, node, label, [0] * 8, fold) for node, label in ((1, 1), (2, 1), (3, 3), (4, 3))], "band long, node long, label long, packed array<long>, fold binary")
+    tried = minhash._across(members, 0.5, 0.8)
+    (standing,) = tried.collect()
+    star = spark.createDataFrame([(standing["a"], standing["b"])], "a long, b long")
+    links = tried.join(star, ["a", "b"], "left_anti").select("a", "b")
+    failed = minhash.failed_components(tried, links)
+    assert [tuple(r) for r in failed.collect()] == [(1, 3)]
+    again = minhash._again(members, failed, 0.5, 0.8).join(tried, ["a", "b"], "left_anti").collect()
+    assert {(r["a"], r["b"]) for r in again} == {(1, 3), (1, 4), (2, 3), (2, 4)} - {(standing["a"], standing["b"])}
+
+
 def test_benchmark_of_several_blocks(spark, awkward):
     """Rows with a map and clashing names, a benchmark cut into several blocks: as with one block."""
     bench = spark.createDataFrame([(1, "word1 and line 1 word2 and line 2"), (2, "single"), (3, "text without an id"), (4, "word5 and")], "item_id int, text string")
