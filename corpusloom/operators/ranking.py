@@ -1,10 +1,9 @@
-"""Ordered folds: budgets, suppression, last rows, orders that depend on the data."""
+"""Ordered folds: budgets, last rows, orders that depend on the data."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,65 +60,3 @@ def assigned_order(records: DataFrame, entry: str, title_order: str, stamp: str,
     marked = records.withColumn("method", F.when(by_title, "title").when(by_time, "time").otherwise("input"))
     key = F.when(F.col("method") == "title", F.col(title_order).cast("double")).when(F.col("method") == "time", F.unix_micros(F.col(stamp).cast("timestamp")).cast("double"))
     return marked.withColumn("place", F.row_number().over(window.orderBy(F.coalesce(key, F.lit(0.0)), position)))
-
-
-def without_variants(rows: DataFrame, group: str, id_col: str = "id", title: str = "title", size: str = "size", profile: str = "profile", jaccard: float = 0.7, min_ratio: float = 0.6) -> DataFrame:
-    """Greedy suppression within each (small) group of hits: longest first, a row goes if a kept longer one has a title of the same family, a comparable size and a similar profile.
-
-    The fold is sequential, so a group is one task's work; groups are one query's hits, bounded by its top-k.
-    """
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        order = frame.sort_values([size, id_col], ascending=[False, True], kind="stable")
-        kept: list[tuple[str, int, set]] = []
-        stays = []
-        for name, n, own in zip(order[title], order[size], order[profile], strict=True):
-            mine = set(own if own is not None else ())
-            covered = any(
-                len(name) >= 3 and n and (name in other or (len(other) >= 3 and other in name)) and min(n, m) / max(n, m, 1) >= min_ratio and len(mine & theirs) / max(1, len(mine | theirs)) >= jaccard
-                for other, m, theirs in kept
-            )
-            stays.append(not covered)
-            if not covered:
-                kept.append((name, n, mine))
-        return order[stays]
-
-    return rows.groupBy(group).applyInPandas(fold, rows.schema)
-
-
-def without_covered(rows: DataFrame, group: str, id_col: str, text: str, ratio: float = 1.2, fragment: int = 24, share: float = 0.5) -> DataFrame:
-    """Longest first, a text goes if at least `share` of its fragments occur in a kept text that is `ratio` times longer."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        order = frame.assign(_n=frame[text].str.len()).sort_values(["_n", id_col], ascending=[False, True], kind="stable")
-        kept, stays = [], []
-        for body in order[text]:
-            pieces = [body[i : i + fragment] for i in range(0, max(1, len(body) - fragment + 1), fragment)]
-            covered = any(len(other) >= ratio * len(body) and sum(p in other for p in pieces) >= share * len(pieces) for other in kept if body)
-            stays.append(not covered)
-            if not covered:
-                kept.append(body)
-        return order[stays].drop(columns="_n")
-
-    return rows.groupBy(group).applyInPandas(fold, rows.schema)
-
-
-def packed_sections(rows: DataFrame, key: str, order: str, length: str, most: int = 60000) -> DataFrame:
-    """Adds `bucket`: rows fill a section until it would exceed `most` characters; the sum starts anew with each section."""
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used, bucket, now = 0, 0, None
-        for frame in frames:
-            buckets = []
-            for k, n in zip(frame[key], frame[length], strict=True):
-                if k != now:
-                    now, used, bucket = k, 0, 0
-                elif used + n > most:
-                    used, bucket = 0, bucket + 1
-                used += n
-                buckets.append(bucket)
-            yield frame.assign(bucket=buckets)
-
-    ordered = rows.repartition(key).sortWithinPartitions(key, order)
-    kinds = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
-    return ordered.mapInPandas(pack, f"{kinds}, bucket long")

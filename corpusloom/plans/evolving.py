@@ -7,9 +7,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import facts, incremental, ranking, reconcile, retrieval
+from corpusloom.operators import chains, facts, incremental, reconcile, retrieval
 from corpusloom.plans.base import query, table
-from corpusloom.streaming import admission
+from corpusloom.plans.scans import scratch
+from corpusloom.streaming import admission, sinks, stateful
 
 
 @query("2.10.1", "SELECT user_id, ts::DATE AS day, least(count(*), 3)::BIGINT AS accepted, greatest(count(*) - 3, 0)::BIGINT AS rejected FROM events GROUP BY ALL")
@@ -17,10 +18,15 @@ def daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.daily_quota(table(spark, sf_dir, "events"), "user_id", "ts", 3)
 
 
-@query("2.10.1", None)
+@query(
+    "2.10.1",
+    """WITH RECURSIVE a AS (SELECT user_id, min((ts, event_id)) AS hit FROM events GROUP BY user_id
+    UNION ALL SELECT e.user_id, (e.ts, e.event_id) FROM a JOIN events e ON e.user_id = a.user_id AND e.ts >= a.hit[1] + INTERVAL 10 HOUR QUALIFY row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) = 1)
+    SELECT event_id, user_id, ts, event_id IN (SELECT hit[2] FROM a) AS accepted FROM events""",
+)
 def sliding_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One call in ten hours a user; rejected calls do not count."""
-    return admission.admitted(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 36_000, 1)
+    return chains.spaced(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", ["event_id"], 36_000)
 
 
 @query("2.10.4", "SELECT event_id, CASE WHEN event_id <> min(event_id) OVER w THEN min(event_id) OVER w END AS reused_from FROM events WINDOW w AS (PARTITION BY user_id, event_type, props)")
@@ -39,21 +45,78 @@ def circuit_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.circuit(calls, "user_id", "event_id", "failed", "rejected", "repeated")
 
 
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls with a time that a watermark can follow."""
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(
+    "2.10.1",
+    """WITH RECURSIVE a AS (SELECT user_id, min((ts, event_id)) AS hit FROM events GROUP BY user_id
+    UNION ALL SELECT e.user_id, (e.ts, e.event_id) FROM a JOIN events e ON e.user_id = a.user_id AND e.ts >= a.hit[1] + INTERVAL 20 HOUR QUALIFY row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) = 1)
+    SELECT event_id, user_id, event_id IN (SELECT hit[2] FROM a) AS accepted FROM events""",
+)
+def streamed_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One call in twenty hours a user, by state over a stream that starts again twice."""
+    calls = _calls(spark, sf_dir)
+    found = stateful.run_over(spark, calls, "ts", scratch(spark, "admission"), lambda stream: stateful.judged(stream, "user_id", stateful.Admission("ts", "event_id", 72_000, 1)), 3)
+    return found.select("event_id", "user_id", "accepted")
+
+
+@query(
+    "2.10.2",
+    """WITH RECURSIVE b AS (SELECT event_type, min((ts, event_id)) AS hit FROM events GROUP BY event_type
+    UNION ALL SELECT e.event_type, (e.ts, e.event_id) FROM b JOIN events e ON e.event_type = b.event_type AND e.ts >= b.hit[1] + INTERVAL 5 HOUR QUALIFY row_number() OVER (PARTITION BY e.event_type ORDER BY e.ts, e.event_id) = 1)
+    SELECT event_id, event_type, event_id IN (SELECT hit[2] FROM b) AS rebuilt FROM events""",
+)
+def expiring_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which access builds a value that is good for five hours, by state over a stream that starts again twice."""
+    calls = _calls(spark, sf_dir)
+    found = stateful.run_over(spark, calls, "ts", scratch(spark, "cache"), lambda stream: stateful.judged(stream, "event_type", stateful.Expiring("ts", "event_id", 18_000)), 3)
+    return found.select("event_id", "event_type", "rebuilt")
+
+
+@query(
+    "2.10.3",
+    """WITH g AS (SELECT *, event_type = 'error' AS bad, count(*) FILTER (WHERE event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
+    s AS (SELECT *, count(*) FILTER (WHERE bad) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS strikes FROM g)
+    SELECT event_id, user_id, max(strikes) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 3 AS opened FROM s""",
+)
+def streamed_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three failures in a row open a user's breaker for good, by state over a stream that starts again twice."""
+    calls = _calls(spark, sf_dir).withColumn("failed", F.col("event_type") == "error")
+    found = stateful.run_over(spark, calls, "ts", scratch(spark, "breaker"), lambda stream: stateful.judged(stream, "user_id", stateful.Breaker("ts", "event_id", "failed", 3)), 3)
+    return found.select("event_id", "user_id", "opened")
+
+
 @query("2.10.6", "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
 def event_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of events appended by epoch, one of them twice; read back, each counts once."""
-    from corpusloom.plans.scans import scratch
+    """A stream that logs each batch twice under its epoch; read back, each event counts once."""
+    folder = scratch(spark, "trace")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        for _ in range(2):
+            sinks.append_events(batch, epoch, f"{folder}/log")
 
-    path, events = scratch(spark, "trace"), table(spark, sf_dir, "events")
-    for epoch in (0, 1, 1):
-        admission.append_events(events.where(F.col("event_id") % 2 == epoch), epoch, path)
-    return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    sinks.run_into(spark, _calls(spark, sf_dir), "ts", folder, write)
+    return spark.read.parquet(f"{folder}/log").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("2.10.7", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) = 'error'")
+@query("2.10.7", "SELECT user_id, max((ts, event_id))[2] AS event_id FROM events GROUP BY user_id HAVING arg_max(event_type, (ts, event_id)) = 'error'")
 def pending_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") != "error").alias("valid"))
-    return admission.pending_upserts(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "user_id", "event_id").select("user_id", "event_id")
+    """A keyed table that a stream upserts, compacted after each piece; items whose newest event is an error are pending."""
+    folder = scratch(spark, "pending")
+    rows = _calls(spark, sf_dir).select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("valid"))
+    kept = sinks.KeyedTable(spark, f"{folder}/table", ["user_id"], ["ts", "event_id"], "user_id long, ts timestamp, event_id long, valid boolean")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        kept.upsert(batch, epoch)
+        if epoch == 1:
+            kept.compact(epoch)
+            kept.upsert(batch, epoch)
+
+    sinks.run_into(spark, rows, "ts", folder, write)
+    return sinks.pending(kept, "valid").select("user_id", "event_id")
 
 
 @query(
@@ -148,10 +211,23 @@ def content_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.when(n <= 3000, "whole").when(n <= 9000, "chunks").otherwise("ranked").alias("mode"))
 
 
-@query("2.11.8", None)
+SECTIONS = """WITH RECURSIVE d AS (SELECT doc_id, {key} AS g, coalesce(n_chars, 0) AS n, row_number() OVER (PARTITION BY {key} ORDER BY doc_id) AS rn FROM documents),
+    r AS (SELECT doc_id, g, rn, n AS used, 0::BIGINT AS bucket FROM d WHERE rn = 1
+    UNION ALL SELECT d.doc_id, d.g, d.rn, CASE WHEN used + n > {most} THEN n ELSE used + n END, bucket + (used + n > {most})::BIGINT FROM r JOIN d ON d.g = r.g AND d.rn = r.rn + 1) SELECT doc_id, bucket FROM r"""
+
+
+@query("2.11.8", SECTIONS.format(key="source", most=60_000))
 def packed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of each source fill sections of 60,000 characters."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return ranking.packed_sections(rows, "source", "doc_id", "n_chars").select("doc_id", "bucket")
+    return chains.packed_sections(rows, "source", ["doc_id"], "n_chars").select("doc_id", "bucket")
+
+
+@query("2.11.8", SECTIONS.format(key="0", most=9_000))
+def packed_sections_of_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts under one key, over many tasks; longer ones than a section stand alone."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("key"), "n_chars")
+    return chains.packed_sections(rows, "key", ["doc_id"], "n_chars", 9_000).select("doc_id", "bucket")
 
 
 RELATIONS = ("participated", "co_occur")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import logic, text
-from corpusloom.operators import mentions, ranking, reconcile, retrieval
+from corpusloom.operators import greedy, mentions, ranking, reconcile, retrieval
 from corpusloom.plans.base import query, table
 
 PHRASE = "the and"
@@ -102,11 +102,38 @@ def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fuse_ranks([words, near])
 
 
-@query("2.5.12", None)
+# Rows of a group in order (rn), and for some (v) the earlier rows that would cover it (us): a row stays if none of these stays.
+FOLD = """, r AS (SELECT g, 1 AS rn, [1]::BIGINT[] AS kept FROM d WHERE rn = 1
+    UNION ALL SELECT d.g, d.rn, CASE WHEN list_has_any(kept, coalesce(us, [])) THEN kept ELSE list_append(kept, d.rn) END FROM r JOIN d ON d.g = r.g AND d.rn = r.rn + 1 LEFT JOIN e ON e.g = d.g AND e.v = d.rn),
+    k AS (SELECT g, unnest(arg_max(kept, rn)) AS rn FROM r GROUP BY g)"""
+
+
+@query(
+    "2.5.12",
+    r"""WITH RECURSIVE n AS (SELECT conv_id AS g, turn, regexp_replace(regexp_replace(text, '\{\{[^{}]*\}\}', ' ', 'g'), '[^\p{L}\p{N}_]+', '', 'g') AS b FROM conversations WHERE text IS NOT NULL),
+    d AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY length(b) DESC, turn) AS rn, list_transform(range(0, greatest(length(b) - 24, 0), 24), lambda i: substring(b, i + 1, 24)) AS f FROM n),
+    e AS (SELECT s.g, s.rn AS v, list(o.rn) AS us FROM d s JOIN d o ON o.g = s.g AND o.rn < s.rn AND length(s.b) >= 96 AND length(o.b) >= 1.2 * length(s.b) AND 2 * len(list_filter(s.f, lambda x: contains(o.b, x))) >= len(s.f) GROUP BY ALL)"""
+    + FOLD
+    + " SELECT g AS conv_id, turn FROM k JOIN d USING (g, rn)",
+)
 def uncovered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of each conversation that no longer one covers."""
     turns = table(spark, sf_dir, "conversations").where("text is not null")
-    return ranking.without_covered(turns, "conv_id", "turn", "text").select("conv_id", "turn")
+    return greedy.without_covered(turns, "conv_id", "turn", "text").select("conv_id", "turn")
+
+
+@query(
+    "2.5.12",
+    r"""WITH RECURSIVE n AS (SELECT source AS g, doc_id AS id, regexp_replace(regexp_replace(coalesce(text, ''), '\{\{[^{}]*\}\}', ' ', 'g'), '[^\p{L}\p{N}_]+', '', 'g') AS b FROM documents),
+    d AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY length(b) DESC, id) AS rn, list_transform(range(0, greatest(length(b) - 24, 0), 24), lambda i: substring(b, i + 1, 24)) AS f FROM n),
+    e AS (SELECT s.g, s.rn AS v, list(o.rn) AS us FROM d s JOIN d o ON o.g = s.g AND o.rn < s.rn AND length(s.b) >= 96 AND length(o.b) >= 1.02 * length(s.b) AND 2 * len(list_filter(s.f, lambda x: contains(o.b, x))) >= len(s.f) GROUP BY ALL)"""
+    + FOLD
+    + " SELECT g AS source, id FROM k JOIN d USING (g, rn)",
+)
+def uncovered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of each source that no somewhat longer one covers by half of their fragments."""
+    docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), "text")
+    return greedy.without_covered(docs, "source", "id", "text", ratio=1.02).select("source", "id")
 
 
 @query("2.5.3", "SELECT source, arg_min(doc_id, doc_id) AS doc_id, any_value(score) AS score FROM (SELECT source, doc_id, n_chars / 1000 AS score, max(n_chars / 1000) OVER (PARTITION BY source) m FROM documents) WHERE score = m GROUP BY source")
@@ -152,12 +179,20 @@ def budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.within_budget(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", "doc_id", F.col("n_chars"), 30, 20000, 6000).select("doc_id", "source")
 
 
-@query("2.5.11 2.5.12", None)
+@query(
+    "2.5.11",
+    r"""WITH RECURSIVE d AS (SELECT source AS g, doc_id AS id, substring(text, 1, 12) AS title, length(text) AS size, list_distinct(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS p,
+    row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rn FROM documents),
+    e AS (SELECT b.g, b.rn AS v, list(a.rn) AS us FROM d a JOIN d b ON a.g = b.g AND a.rn < b.rn AND length(b.title) >= 3 AND (contains(a.title, b.title) OR (length(a.title) >= 3 AND contains(b.title, a.title)))
+    AND b.size >= 0.6 * a.size AND len(list_intersect(a.p, b.p)) >= 0.7 * len(list_distinct(list_concat(a.p, b.p))) AND len(b.p) > 0 GROUP BY ALL)"""
+    + FOLD
+    + " SELECT g AS source, id FROM k JOIN d USING (g, rn)",
+)
 def suppressed_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy suppression among the 40 longest texts of each source: titles are their heads, profiles their first words."""
-    docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), F.substring("text", 1, 12).alias("title"), F.length("text").alias("size"), F.slice(text.words("text"), 1, 40).alias("profile"))
-    hits = ranking.first_rows(docs, ["source"], [F.desc("size"), "id"], 40)
-    return ranking.without_variants(hits, "source").select("source", "id")
+    """Greedy suppression among all texts of each source: titles are their heads, profiles all their words."""
+    profile = F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")
+    docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), F.substring("text", 1, 12).alias("title"), F.length("text").alias("size"), profile.alias("profile"))
+    return greedy.without_variants(docs, "source").select("source", "id")
 
 
 @query("2.5.13 2.5.14", "SELECT p_name, arg_max(p_partkey, p_size * 1000000 - p_partkey) AS p_partkey FROM part GROUP BY p_name")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import chunking, facts, incremental, reconcile
+from corpusloom.operators import nested, chunking, facts, incremental, reconcile
 from corpusloom.plans.base import query, table
 
 
@@ -186,6 +186,57 @@ def variant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy((value % 10).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# The pointers of a JSON text's nodes, from the tree that the engine makes of it.
+POINTERS = """, t AS MATERIALIZED (SELECT {ids}, k.id AS node, k.parent, k.key, k.type, k.value FROM j, json_tree(j.body) k),
+    p AS (SELECT {ids}, node, '' AS pointer, type, value FROM t WHERE parent IS NULL
+    UNION ALL SELECT {on}, t.node, p.pointer || '/' || replace(replace(t.key::VARCHAR, '~', '~0'), '/', '~1'), t.type, t.value FROM p JOIN t ON {same} AND t.parent = p.node),
+    l AS (SELECT {ids}, pointer, CASE WHEN type IN ('OBJECT', 'ARRAY', 'BOOLEAN', 'NULL') THEN lower(type) WHEN type = 'VARCHAR' THEN 'string' ELSE 'number' END AS kind, CASE WHEN type <> 'NULL' THEN value ->> '$' END AS value
+    FROM p WHERE type NOT IN ('OBJECT', 'ARRAY') OR value::VARCHAR IN ('{{}}', '[]'))"""
+
+
+@query("2.9.22 2.9.26", "WITH RECURSIVE j AS (SELECT event_id, props::JSON AS body FROM events)" + POINTERS.format(ids="event_id", on="t.event_id", same="t.event_id = p.event_id") + " SELECT event_id, pointer, kind, value FROM l")
+def property_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf of the properties by its pointer."""
+    return nested.pointers(table(spark, sf_dir, "events"), ["event_id"], "props").select("event_id", "pointer", "kind", "value")
+
+
+NESTED = """WITH RECURSIVE l0 AS (SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM conversations),
+    x AS (SELECT conv_id, turn, list(json_object('chars', length(line), 'evidence', json_array(json_object('source_span_id', left(line, 3)), json_object('source_span_id', 'end', 'more', json_object('evidence', json_array(json_object('source_span_id', role)))))) ORDER BY pos) AS lines FROM l0 GROUP BY ALL),
+    j AS (SELECT conv_id, turn, json_object('a/b', json_object('c~d', json_array(), 'lines', lines), 'evidence', json_array(json_object('source_span_id', 'turn ' || turn), json_object('else', true)), 'none', NULL) AS body FROM x)"""
+
+
+def _nested_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON text for each turn: its lines with evidence at three depths, keys that a pointer must escape, an empty list and a null."""
+
+    def line(x):
+        deep = F.struct(F.array(F.struct(F.col("role").alias("source_span_id"))).alias("evidence"))
+        items = F.array(F.struct(F.left(x, F.lit(3)).alias("source_span_id"), F.lit(None).cast("struct<evidence:array<struct<source_span_id:string>>>").alias("more")), F.struct(F.lit("end").alias("source_span_id"), deep.alias("more")))
+        return F.struct(F.length(x).alias("chars"), items.alias("evidence"))
+
+    lines = F.transform(F.split("text", "\n", -1), line)
+    inner = F.struct(F.array().cast("array<string>").alias("c~d"), lines.alias("lines"))
+    top = F.array(F.struct(F.concat(F.lit("turn "), F.col("turn")).alias("source_span_id"), F.lit(None).cast("boolean").alias("else")), F.struct(F.lit(None).cast("string").alias("source_span_id"), F.lit(True).alias("else")))
+    body = F.concat(F.regexp_replace(F.to_json(F.struct(inner.alias("a/b"), top.alias("evidence"))), r"\}$", ""), F.lit(', "none": null}'))
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", body.alias("body"))
+
+
+@query("2.9.22 2.9.26", NESTED + POINTERS.format(ids="conv_id, turn", on="t.conv_id, t.turn", same="t.conv_id = p.conv_id AND t.turn = p.turn") + " SELECT conv_id, turn, pointer, kind, value FROM l")
+def nested_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf of nested texts by its pointer."""
+    return nested.pointers(_nested_turns(spark, sf_dir), ["conv_id", "turn"], "body").select("conv_id", "turn", "pointer", "kind", "value")
+
+
+@query(
+    "2.9.22",
+    """WITH l AS (SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM conversations),
+    e AS (SELECT conv_id, turn, unnest([left(line, 3), 'end', role]) AS span, pos * 3 + unnest([0, 1, 2]) AS o FROM l UNION ALL SELECT conv_id, turn, 'turn ' || turn, 0 FROM conversations WHERE text IS NOT NULL)
+    SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY min(o)) AS place, span FROM e WHERE span <> '' GROUP BY conv_id, turn, span""",
+)
+def span_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the evidence lists of nested texts name, at any depth, in order and once."""
+    return nested.span_citations(_nested_turns(spark, sf_dir), ["conv_id", "turn"], "body")
+
+
 @query("2.9.23", None)
 def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.html_text("html").alias("text"))

@@ -1,9 +1,8 @@
-"""Admission by sliding window and daily quota, and suppression of repeated calls."""
+"""Admission by sliding window and daily quota, and suppression of repeated calls; `stateful` has the forms that keep state over a stream."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -47,22 +46,6 @@ def admitted(events: DataFrame, client: str, ts: str, id_col: str, window_second
     return ordered.mapInPandas(fold, f"`{id_col}` {kinds[id_col]}, `{client}` {kinds[client]}, `{ts}` {kinds[ts]}, accepted boolean")
 
 
-def admitted_stream(events: DataFrame, client: str, ts: str, id_col: str, window_seconds: int, limit: int) -> DataFrame:
-    """The same decisions over a stream: accepted times are state; a micro-batch is put in time order, an event behind the state's time counts at its own time."""
-    kinds, span = dict(events.dtypes), pd.Timedelta(seconds=window_seconds)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        times = [pd.Timestamp(x) for x in state.get[0]] if state.exists else []
-        frame = pd.concat(list(frames)).sort_values([ts, id_col], kind="stable")
-        marks = [_admit(times, at, span, limit) for at in frame[ts]]
-        state.update((([x.to_pydatetime() for x in times]),))
-        yield frame[[id_col, client, ts]].assign(accepted=marks)
-
-    return events.select(id_col, client, ts).groupBy(client).applyInPandasWithState(
-        step, f"`{id_col}` {kinds[id_col]}, `{client}` {kinds[client]}, `{ts}` {kinds[ts]}, accepted boolean", "times array<timestamp>", "append", "NoTimeout"
-    )
-
-
 def first_of_signature(calls: DataFrame, signature: list[str], order: str) -> DataFrame:
     """Adds reused_from: the first row of equal signature, null for that row itself."""
     window = Window.partitionBy(*signature).orderBy(order)
@@ -89,15 +72,3 @@ def circuit(calls: DataFrame, session: str, order: str, failed: str, rejected: s
     )
     reason = F.when(F.col("_f") >= 2, "failures").when(F.col("_r") >= 2, "rejects").when(F.col("_d") >= 2, "repeats")
     return sums.select(session, reason.isNotNull().alias("stop"), reason.alias("reason"))
-
-
-def pending_upserts(pending: DataFrame, updates: DataFrame, key: str, stamp: str) -> DataFrame:
-    """The newest row of each key; it leaves once it is valid (column valid)."""
-    every = pending.unionByName(updates)
-    newest = every.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(stamp)))).where("_rn = 1").drop("_rn")
-    return newest.where("not valid")
-
-
-def append_events(batch: DataFrame, epoch: int, path: str) -> None:
-    """A foreachBatch sink that may run twice: an epoch writes its own folder anew."""
-    batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import catalog
 from corpusloom.functions import logic, text
-from corpusloom.operators import chunking, graph, incremental, mentions, ranking, reconcile, retrieval, stats
+from corpusloom.operators import chains, chunking, graph, greedy, incremental, mentions, reconcile, retrieval, stats
 from corpusloom.plans.evolving import entity_query, phrase_to_plan
 from corpusloom.sources import files, vectors
 from corpusloom.streaming import admission
@@ -106,18 +106,18 @@ def test_mention_blocks_agree(spark, sf, monkeypatch):
 def test_suppression_is_greedy(spark):
     rows = [("q", 1, "tale of ash", 100, ["a", "b", "c"]), ("q", 2, "tale of", 90, ["a", "b", "c"]), ("q", 3, "tale of", 40, ["a", "b", "c"]), ("q", 4, "other", 95, ["a", "b", "c"]), ("r", 2, "tale of", 90, None)]
     df = spark.createDataFrame(rows, "g string, id int, title string, size int, profile array<string>")
-    assert values(ranking.without_variants(df, "g"), "g", "id") == [("q", 1), ("q", 3), ("q", 4), ("r", 2)]
+    assert values(greedy.without_variants(df, "g"), "g", "id") == [("q", 1), ("q", 3), ("q", 4), ("r", 2)]
 
 
 def test_covered_text_goes(spark):
     long, short = "the quick brown fox jumps over the lazy dog " * 4, "the quick brown fox jumps over the lazy dog "
     df = spark.createDataFrame([("g", 1, long), ("g", 2, short), ("g", 3, "something else entirely, of some length")], "g string, id int, t string")
-    assert values(ranking.without_covered(df, "g", "id", "t"), "id") == [(1,), (3,)]
+    assert values(greedy.without_covered(df, "g", "id", "t", least=1), "id") == [(1,), (3,)]
 
 
 def test_packed_sections(spark):
     df = spark.createDataFrame([("a", i, 40) for i in range(5)] + [("b", 0, 500)], "k string, pos int, n long")
-    assert values(ranking.packed_sections(df, "k", "pos", "n", 100), "k", "pos", "bucket") == [("a", 0, 0), ("a", 1, 0), ("a", 2, 1), ("a", 3, 1), ("a", 4, 2), ("b", 0, 0)]
+    assert values(chains.packed_sections(df, "k", ["pos"], "n", 100), "k", "pos", "bucket") == [("a", 0, 0), ("a", 1, 0), ("a", 2, 1), ("a", 3, 1), ("a", 4, 2), ("b", 0, 0)]
 
 
 def test_keyed_merge_counts_partners(spark):
@@ -168,17 +168,6 @@ def test_admission_ignores_rejected_calls(spark):
     assert got == [(1, True), (2, False), (3, True), (4, False)]
 
 
-def test_admission_stream_agrees_with_batch(spark, sf, tmp_path):
-    events = spark.read.parquet(f"{sf}/events.parquet").where("user_id < 6").withColumn("ts", F.col("ts").cast("timestamp"))
-    batch = values(admission.admitted(events, "user_id", "ts", "event_id", 36_000, 1), "event_id", "accepted")
-    events.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    found = admission.admitted_stream(stream, "user_id", "ts", "event_id", 36_000, 1)
-    run = found.writeStream.format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    assert run.awaitTermination(120)
-    assert values(spark.table("admitted"), "event_id", "accepted") == batch
-
-
 def test_streaming_dedup_and_days(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
