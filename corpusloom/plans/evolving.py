@@ -36,11 +36,11 @@ def reused_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.10.5 2.10.3",
-    """SELECT user_id, reason IS NOT NULL AS stop, reason FROM (SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type='error' AND (good IS NULL OR event_id > good)) >= 2 THEN 'failures' WHEN count(*) FILTER (WHERE event_type='signup' AND value > 30) >= 2 THEN 'rejects' WHEN count(*) FILTER (WHERE event_type='view' AND value > 30) >= 2 THEN 'repeats' END AS reason
+    """SELECT user_id, reason IS NOT NULL AS stop, reason FROM (SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type='error' AND (good IS NULL OR event_id > good)) >= 2 THEN 'failures' WHEN count(*) FILTER (WHERE event_type='signup' AND value > 180) >= 2 THEN 'rejects' WHEN count(*) FILTER (WHERE event_type='view' AND value > 180) >= 2 THEN 'repeats' END AS reason
     FROM (SELECT *, max(event_id) FILTER (WHERE event_type <> 'error') OVER (PARTITION BY user_id) AS good FROM events) GROUP BY user_id)""",
 )
 def circuit_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind, high = F.col("event_type"), F.col("value") > 30
+    kind, high = F.col("event_type"), F.col("value") > 180
     calls = table(spark, sf_dir, "events").select("user_id", "event_id", (kind == "error").alias("failed"), ((kind == "signup") & high).alias("rejected"), ((kind == "view") & high).alias("repeated"))
     return admission.circuit(calls, "user_id", "event_id", "failed", "rejected", "repeated")
 
@@ -196,12 +196,12 @@ def searched_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.fact_search(rows, "where is the small ring of promo brand 17", least=1.0, stop=("where", "is", "the", "of"), id_col="p_partkey")
 
 
-ACTIVITY = "SELECT doc_id FROM documents WHERE contains(text, 'thand') AND source = 'src5' ORDER BY doc_id LIMIT 10"
+ACTIVITY = "SELECT doc_id FROM documents WHERE contains(text, 'the') AND source = 'src7' ORDER BY doc_id LIMIT 10"
 
 
 @query("2.11.5 2.11.6 2.2.14", ACTIVITY)
 def activity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = table(spark, sf_dir, "documents").where(F.col("text").contains("thand") & (F.col("source") == "src5"))
+    hits = table(spark, sf_dir, "documents").where(F.col("text").contains("the") & (F.col("source") == "src7"))
     return retrieval.reranked_or_all(hits.select("doc_id"), "doc_id", 10)
 
 

@@ -10,14 +10,50 @@ from corpusloom.operators.ranking import first_rows
 from corpusloom.plans.base import query, table
 
 
+PLAIN = "translate(coalesce({}, ''), '「」『』”“''（）()【】《》', '')"
+
+
 @query(
-    "2.2.1 2.2.2 2.2.13",
-    """SELECT doc_id FROM documents WHERE (CASE WHEN contains(translate(coalesce(text,''),'「」『』”“''（）()【】《》',''),'thand') THEN 1 ELSE 0 END
-    + CASE WHEN contains(translate(coalesce(text,''),'「」『』”“''（）()【】《》',''),'über') THEN 1 ELSE 0 END
-    + CASE WHEN contains(translate(coalesce(text,''),'「」『』”“''（）()【】《》',''),'nothing-like-it') THEN 1 ELSE 0 END) >= 2""",
+    "2.2.1 2.2.2",
+    f"""SELECT doc_id FROM (SELECT doc_id, {PLAIN.format("text")} AS b FROM documents) WHERE contains(b, 'thand')::INT + contains(b, 'und')::INT + contains(b, 'nothing-like-it')::INT >= 2""",
 )
 def half_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(text.half_of_words_in("thand (über) nothing-like-it", "text")).select("doc_id")
+    return table(spark, sf_dir, "documents").where(text.half_of_words_in("thand (und) nothing-like-it", "text")).select("doc_id")
+
+
+#: Tables with their keys, text columns and what is asked of each.
+SEARCHED = {
+    "part": ("p_partkey", ["p_name", "p_type"], "small PROMO"),
+    "customer": ("c_custkey", ["c_name", "c_mktsegment"], "「BUILDING」 000001"),
+    "supplier": ("s_suppkey", ["s_name"], "Supplier 00007"),
+    "nation": ("n_nationkey", ["n_name"], "IN A"),
+    "region": ("r_regionkey", ["r_name"], "A"),
+    "orders": ("o_orderkey", ["o_orderpriority", "o_orderstatus"], "1-URGENT F x"),
+    "documents": ("doc_id", ["text", "source"], "thand src7"),
+    "conversations": ("conv_id", ["role", "text"], "system sch"),
+    "pages": ("page_id", ["url"], "https:// page= #top"),
+    "benchmark": ("item_id", ["text"], "the（and） nowhere"),
+}
+
+
+def _searched_sql() -> str:
+    parts = []
+    for name, (key, columns, asked) in SEARCHED.items():
+        words = [w.translate({ord(c): None for c in text.MARKS}) for w in asked.split()]
+        body = PLAIN.format("concat_ws(' ', " + ", ".join(columns) + ")")
+        hits = " + ".join(f"contains(b, '{w}')::INT" for w in words)
+        parts.append(f"SELECT '{name}' AS part, {key}::BIGINT AS id FROM (SELECT {key}, {body} AS b FROM {name}) WHERE {hits} >= {max(1, (len(words) + 1) // 2)}")
+    return " UNION ALL ".join(parts)
+
+
+@query("2.2.13", _searched_sql())
+def filtered_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same filter over ten tables, each with its own columns and words."""
+    found = None
+    for name, (key, columns, asked) in SEARCHED.items():
+        hits = table(spark, sf_dir, name).where(text.half_of_words_in(asked, F.concat_ws(" ", *columns))).select(F.lit(name).alias("part"), F.col(key).cast("long").alias("id"))
+        found = hits if found is None else found.union(hits)
+    return found
 
 
 @query("2.2.2 2.2.3 2.9.1", "SELECT p_partkey, p_name || ' ' || p_brand AS clean, translate(p_name, 'smalring ', '') = '' AS stop FROM part")
@@ -65,10 +101,9 @@ def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("2.2.9", "SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_or(contains(text, 'thand')) OR bool_or(role = 'system' AND contains(text, 'the'))")
 def nested_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A keyword in a nested array of turns."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", "text")).alias("turns"))
-    hit = F.exists("turns", lambda t: t["text"].contains("thand") | ((t["role"] == "system") & t["text"].contains("the")))
-    return turns.where(hit).select("conv_id")
+    """A keyword in one of the turns; only a flag of each conversation is shuffled."""
+    hit = F.col("text").contains("thand") | ((F.col("role") == "system") & F.col("text").contains("the"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.bool_or(hit).alias("hit")).where("hit").select("conv_id")
 
 
 @query("2.2.11", "SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_suppkey IN (1, 3) AND l_partkey BETWEEN 5 AND 60")
@@ -149,7 +184,7 @@ def three_valued(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.2.24 2.2.25",
-    """WITH e AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'excluded' WHEN 'signup' THEN 'unresolved' WHEN 'purchase' THEN 'applicable' END AS state, CASE WHEN value > 90 THEN event_id % 3 END AS side FROM events),
+    """WITH e AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'excluded' WHEN 'signup' THEN 'unresolved' WHEN 'purchase' THEN 'applicable' END AS state, CASE WHEN value > 90 THEN event_id % 3 END AS side FROM events WHERE value > 150),
     g AS (SELECT user_id, list(DISTINCT state) FILTER (WHERE state IS NOT NULL) AS s, count(DISTINCT side) AS n, min(side) AS side FROM e GROUP BY user_id)
     SELECT user_id, CASE WHEN list_contains(s, 'excluded') THEN 'excluded' WHEN list_contains(s, 'unresolved') THEN 'unresolved' ELSE 'applicable' END AS every,
     CASE WHEN list_contains(s, 'applicable') THEN 'applicable' WHEN list_contains(s, 'unresolved') THEN 'unresolved' ELSE 'excluded' END AS one,
@@ -159,7 +194,7 @@ def state_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The states of each user's events, all and any of them, and a scope of at most one legal choice; sets have three members at most."""
     kind, side = F.col("event_type"), F.element_at(F.array(*map(F.lit, "abc")), (F.col("event_id") % 3 + 1).cast("int"))
     state = F.when(kind == "error", logic.EXCLUDED).when(kind == "signup", logic.UNRESOLVED).when(kind == "purchase", logic.APPLICABLE)
-    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(state).alias("states"), F.collect_set(F.when(F.col("value") > 90, side)).alias("scope"))
+    users = table(spark, sf_dir, "events").where("value > 150").groupBy("user_id").agg(F.collect_set(state).alias("states"), F.collect_set(F.when(F.col("value") > 90, side)).alias("scope"))
     turn = F.col("user_id") % 4
     scope = logic.choice(F.col("scope"), F.when(turn == 0, "a").when(turn == 1, "b").when(turn == 3, "z"), ("a", "b"))
     return users.select("user_id", logic.all_of(F.col("states")).alias("every"), logic.any_of(F.col("states")).alias("one"), scope.alias("scope"))
@@ -213,12 +248,16 @@ def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.2.32 2.2.33 2.2.34",
-    """SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN contains(text, '=') OR contains(text, '|') THEN 'dirty' ELSE 'filled' END AS class,
-    regexp_matches(text, '[.!?]$') AS sentence, (text IN ('n/a', '-')) AS placeholder FROM conversations""",
+    r"""WITH v AS (SELECT conv_id, turn, CASE turn % 6 WHEN 1 THEN '  ' WHEN 2 THEN role || ' = ' || turn WHEN 3 THEN '-' WHEN 4 THEN 'n/a' WHEN 5 THEN left(text, 9) || '|' ELSE text END AS v FROM conversations)
+    SELECT conv_id, turn, CASE WHEN trim(v) = '' THEN 'empty' WHEN contains(v, '=') OR contains(v, '|') THEN 'dirty' ELSE 'filled' END AS class, regexp_matches(v, '[.!?]$') AS sentence, (v IN ('n/a', '-')) AS placeholder FROM v""",
 )
 def classified_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.trim("text") == "", "empty").when(F.col("text").contains("=") | F.col("text").contains("|"), "dirty").otherwise("filled")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", kind.alias("class"), F.col("text").rlike("[.!?]$").alias("sentence"), F.col("text").isin("n/a", "-").alias("placeholder"))
+    """Turns as field values: by their place blank, assigned, cut off, a placeholder or as they are."""
+    place = F.col("turn") % 6
+    value = F.when(place == 1, "  ").when(place == 2, F.concat("role", F.lit(" = "), "turn")).when(place == 3, "-").when(place == 4, "n/a").when(place == 5, F.concat(F.left("text", F.lit(9)), F.lit("|"))).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", value.alias("v"))
+    kind = F.when(F.trim("v") == "", "empty").when(F.col("v").contains("=") | F.col("v").contains("|"), "dirty").otherwise("filled")
+    return rows.select("conv_id", "turn", kind.alias("class"), F.col("v").rlike("[.!?]$").alias("sentence"), F.col("v").isin("n/a", "-").alias("placeholder"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import graph, mentions, ranking, reconcile, stats
+from corpusloom.operators import content, graph, mentions, ranking, reconcile, stats
 from corpusloom.plans.base import query, table
 
 
@@ -100,19 +100,88 @@ def indexed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "2.3.11 2.3.12",
+    "2.3.11",
     """WITH a AS (SELECT DISTINCT p_name FROM part), c AS (SELECT p_name, n_nationkey, CASE WHEN length(p_name) = n_nationkey THEN 1 WHEN length(p_name) > n_nationkey AND n_nationkey >= 8 THEN 2 END AS tier FROM a, nation),
     t AS (SELECT p_name, tier, count(*) n, min(n_nationkey) k, row_number() OVER (PARTITION BY p_name ORDER BY tier) rn FROM c WHERE tier IS NOT NULL GROUP BY p_name, tier)
     SELECT a.p_name, tier, CASE WHEN n = 1 THEN k END AS n_nationkey, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM a LEFT JOIN t ON a.p_name = t.p_name AND rn = 1""",
 )
 def tiered_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact before looser conditions against a small catalogue (nation: 25 rows); a tie within the tier is ambiguous."""
+    """Exact before looser conditions; a tie within the tier is ambiguous. A name brings the few numbers that it may meet, so that the join is by equality."""
     names = table(spark, sf_dir, "part").select("p_name").distinct()
-    pairs = names.join(F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey")))
     size = F.length("p_name")
+    met = names.select("p_name", F.explode(F.concat(F.array(size), F.when(size > 8, F.sequence(F.lit(8), size - 1)).otherwise(F.array().cast("array<int>")))).alias("n_nationkey"))
+    pairs = met.join(table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey")
     return reconcile.tiered_match(names, "p_name", pairs, "n_nationkey", [size == F.col("n_nationkey"), (size > F.col("n_nationkey")) & (F.col("n_nationkey") >= 8)])
 
 
+TIERS = r"""WITH w AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents),
+    c AS (SELECT doc_id, w, w[(doc_id % len(w)) + 1] AS b, w[((doc_id + 1) % len(w)) + 1] AS o FROM w),
+    q AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN b WHEN 1 THEN left(b, length(b) // 2) || '(x y)' || substring(b, length(b) // 2 + 1) WHEN 2 THEN substring(b, length(b) // 4 + 1, length(b) // 2) WHEN 3 THEN b || chr(10) || o
+    WHEN 4 THEN right(w[1], 30) || ' ' || left(coalesce(w[2], ''), 30) ELSE left(b, length(b) // 3) || ' QQQQ ' || substring(b, length(b) // 3 + 1) END AS t FROM c),
+    s AS (SELECT doc_id AS page, unnest(w) AS b, generate_subscripts(w, 1) - 1 AS block FROM w), z AS (SELECT doc_id AS page, array_to_string(w, chr(10)) AS b, 0 AS block FROM w),
+    n AS (SELECT doc_id, {n_t} AS n, {l_t} AS l, list_filter(list_transform(string_split(t, chr(10)), lambda x: {n_x}), lambda x: length(x) >= 6) AS lines FROM q),
+    a AS (SELECT * FROM n WHERE length(n) >= 6), sb AS MATERIALIZED (SELECT page, block, {n_b} AS bn, {l_b} AS bl FROM s), zb AS MATERIALIZED (SELECT page, {n_b} AS bn, {l_b} AS bl FROM z),
+    i AS MATERIALIZED (SELECT doc_id, page, block, CASE WHEN n = bn THEN 1 WHEN length(l) >= 6 AND l = bl THEN 2 END AS same, CASE WHEN contains(bn, n) THEN length(bn) ELSE length(bl) END AS size FROM a, sb WHERE contains(bn, n) OR (length(l) >= 6 AND contains(bl, l))),
+    p AS (SELECT doc_id, page, arg_min(same, block) FILTER (WHERE same IS NOT NULL) AS flat, min(block) FILTER (WHERE same IS NOT NULL) AS at0, count(*) AS k, min(block) AS lone, min(size) AS size FROM i GROUP BY ALL),
+    g AS (SELECT doc_id, page, flat AS tier, [at0] AS blocks, 0 AS size FROM p WHERE flat IS NOT NULL UNION ALL SELECT doc_id, page, 3, [lone], size FROM p WHERE flat IS NULL AND k = 1),
+    x AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS r, len(lines) AS given FROM a WHERE len(lines) >= 2),
+    m AS (SELECT x.doc_id, page, r, any_value(given) AS given, min(block) AS block, min(length(bn)) AS size FROM x, sb WHERE contains(bn, line) GROUP BY ALL HAVING count(*) = 1),
+    mm AS (SELECT doc_id, page, list(block ORDER BY r) AS bs, arg_min(size, r) AS size FROM m GROUP BY ALL HAVING count(*) = any_value(given)),
+    mo AS (SELECT doc_id, page, list_filter(bs, lambda y, j: list_position(bs, y) = j) AS blocks, size FROM mm ANTI JOIN g USING (doc_id, page)),
+    e AS (SELECT * FROM g UNION ALL SELECT doc_id, page, CASE WHEN len(blocks) > 1 THEN 4 ELSE 3 END, blocks, CASE WHEN len(blocks) > 1 THEN 0 ELSE size END FROM mo
+    UNION ALL SELECT doc_id, page, CASE WHEN contains(bn, n) THEN 5 ELSE 6 END, [], 0 FROM a, zb WHERE contains(bn, n) OR (length(l) >= 6 AND contains(bl, l))),
+    f AS (SELECT doc_id, any_value(tier) AS tier, count(*) AS k, any_value(page) AS page, any_value(blocks) AS blocks FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY tier, size) AS r FROM e) WHERE r = 1 GROUP BY doc_id)
+    SELECT d.doc_id AS id, ['block_exact', 'block_loose', 'block_contains', 'multi_blocks', 'page_exact', 'page_loose'][tier] AS tier, CASE WHEN k = 1 THEN page END AS page, CASE WHEN k = 1 THEN array_to_string(blocks, ',') END AS blocks,
+    CASE WHEN k = 1 THEN 'matched' WHEN k > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM documents d LEFT JOIN f USING (doc_id)"""
+
+
+def _norm_sql(text: str, loose: bool = False) -> str:
+    bare = f"regexp_replace(coalesce({text}, ''), '<[^>]+>', '', 'g')"
+    bare = f"regexp_replace({bare}, '[（(][^（）()]*[）)]', '', 'g')" if loose else bare
+    return f"regexp_replace({bare}, '[^0-9A-Za-z一-鿿]', '', 'g')"
+
+
+@query("2.3.12", TIERS.format(**{f"{kind}_{x}": _norm_sql(x, kind == "l") for kind in "nl" for x in "tbx"}))
+def content_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the texts, as they are, with an insertion in brackets, cut, in twos, across a line end or damaged, against all texts as pages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("w"))
+    line = lambda step: F.get("w", ((F.col("doc_id") + step) % F.size("w")).cast("int"))
+    b, at = line(0), F.col("doc_id") % 6
+    n = F.length(b)
+    part = lambda start, size: b.substr(start.cast("int"), size.cast("int"))
+    half, third, all_ = F.floor(n / 2), F.floor(n / 3), F.lit(1_000_000)
+    asked = (
+        F.when(at == 0, b)
+        .when(at == 1, F.concat(part(F.lit(1), half), F.lit("(x y)"), part(half + 1, all_)))
+        .when(at == 2, part(F.floor(n / 4) + 1, half))
+        .when(at == 3, F.concat(b, F.lit("\n"), line(1)))
+        .when(at == 4, F.concat(F.right(F.get("w", F.lit(0)), F.lit(30)), F.lit(" "), F.left(F.coalesce(F.get("w", F.lit(1)), F.lit("")), F.lit(30))))
+        .otherwise(F.concat(part(F.lit(1), third), F.lit(" QQQQ "), part(third + 1, all_)))
+    )
+    found = content.content_tiers(docs.select("doc_id", asked.alias("t")), "doc_id", "t", docs, "doc_id", "w", share=None)
+    return found.withColumn("blocks", F.array_join("blocks", ","))
+
+
+@query(
+    "2.3.11",
+    """WITH l AS (SELECT c_custkey, n_name, r_name, CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN left(n_name, 4) WHEN 2 THEN substring(n_name, 2, 4) ELSE 'no' || n_name END AS place, c_custkey % 3 = 0 AS vague FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+    t AS (SELECT n_nationkey, r_name, CASE WHEN n_nationkey % 2 = 0 THEN 'At [' || n_name || '] gate' ELSE n_name || ' board' END AS title, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS inner_ FROM nation JOIN region ON r_regionkey = n_regionkey),
+    p AS (SELECT c_custkey, n_nationkey, CASE WHEN inner_ = place THEN 'exact' WHEN starts_with(title, place) OR contains(title, place) THEN 'base' END AS kind FROM l JOIN t ON (vague OR l.r_name = t.r_name) AND (inner_ = place OR contains(title, place)))
+    SELECT c_custkey, n_nationkey, kind FROM customer LEFT JOIN (SELECT c_custkey, min(n_nationkey) AS n_nationkey, arg_min(kind, n_nationkey) AS kind FROM p GROUP BY 1) USING (c_custkey)""",
+)
+def place_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of customers against a catalogue of titles: equal regions where both are known, then the place in brackets, or in the title; the first title counts.
+    Each distinct place is asked once."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    even = F.col("n_nationkey") % 2 == 0
+    titles = nations.select("n_nationkey", F.col("r_name").alias("t_region"), F.when(even, F.concat(F.lit("At ["), "n_name", F.lit("] gate"))).otherwise(F.concat("n_name", F.lit(" board"))).alias("title"), F.when(even, F.col("n_name")).alias("inner"))
+    at = F.col("c_custkey") % 4
+    place = F.when(at == 0, F.col("n_name")).when(at == 1, F.left("n_name", F.lit(4))).when(at == 2, F.substring("n_name", 2, 4)).otherwise(F.concat(F.lit("no"), "n_name"))
+    region = F.when(F.col("c_custkey") % 3 != 0, F.col("r_name"))
+    asked = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", place.alias("place"), region.alias("region"))
+    return content.place_match(asked, "c_custkey", "place", "region", titles, "n_nationkey", "title", "inner", "t_region").select("c_custkey", "n_nationkey", "kind")
+
+
 @query(
     "2.3.13",
     """WITH w AS (SELECT user_id, day(ts)::INT AS d, count(*)::BIGINT AS weight FROM events GROUP BY ALL) SELECT a.d, least(a.weight, b.weight) AS weight, CASE WHEN a.weight >= b.weight THEN 'a' ELSE 'b' END AS heavier
@@ -227,16 +296,26 @@ def broken_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.9.41",
-    """SELECT * FROM (VALUES (1,'include','metadata'),(2,'exclude','metadata'),(3,'include','speaker'),(4,'unknown','mention'),(5,'unknown','inherited'),(6,'conflict','alias'),(7,'unknown','missing')) t(id, decision, kind)""",
+    """SELECT p_partkey, CASE WHEN p_partkey % 7 IN (1, 3) THEN 'include' WHEN p_partkey % 7 = 2 THEN 'exclude' WHEN p_partkey % 7 = 6 THEN 'conflict' ELSE 'unknown' END AS decision,
+    CASE p_partkey % 7 WHEN 1 THEN 'metadata' WHEN 2 THEN 'metadata' WHEN 3 THEN 'speaker' WHEN 4 THEN 'mention' WHEN 5 THEN 'inherited' WHEN 6 THEN 'alias' ELSE 'missing' END AS kind FROM part""",
 )
 def member_situations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The seven situations of evidence for a member."""
-    rows = [
-        (1, ["Ann"], True, [], "", True, []), (2, ["Bob"], True, [], "Ann is here", True, []), (3, [], False, ["Annie"], "", True, []), (4, None, False, [], "saw Ann", True, []),
-        (5, ["Ann"], True, [], "", False, []), (6, ["Ann"], True, [], "", True, ["Annie"]), (7, None, False, [], "nobody", True, []),
-    ]
-    frame = spark.createDataFrame(rows, "id int, cast array<string>, cast_complete boolean, speakers array<string>, text string, scope_matches boolean, conflicting array<string>")
-    return stats.member_evidence(frame, F.lit("Ann"), F.array(F.lit("Annie"))).select("id", "decision", "kind")
+    """The seven situations of evidence for a member: parts whose brand is listed, missing from a complete list, a speaker, mentioned, inherited,
+    at odds with an alias, or nowhere."""
+    at, brand = F.col("p_partkey") % 7, F.col("p_brand")
+    nobody = F.array().cast("array<string>")
+    cast = F.when(at.isin(1, 5, 6), F.array(brand)).when(at == 2, F.array("p_type")).when(at == 3, nobody)
+    columns = {
+        "name": brand,
+        "cast": cast,
+        "cast_complete": at.isin(1, 2, 5, 6),
+        "speakers": F.when(at == 3, F.array(F.concat(brand, F.lit("*")))).otherwise(nobody),
+        "text": F.when(at.isin(2, 4), F.concat(F.lit("saw "), brand)).otherwise(F.col("p_name")),
+        "scope_matches": at != 5,
+        "conflicting": F.when(at == 6, F.array(F.concat(brand, F.lit("*")))).otherwise(nobody),
+    }
+    rows = table(spark, sf_dir, "part").select("p_partkey", *[value.alias(name) for name, value in columns.items()])
+    return stats.member_evidence(rows, F.col("name"), F.array(F.concat("name", F.lit("*")))).select("p_partkey", "decision", "kind")
 
 
 @query(

@@ -122,20 +122,6 @@ def uncovered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy.without_covered(turns, "conv_id", "turn", "text").select("conv_id", "turn")
 
 
-@query(
-    "2.5.12",
-    r"""WITH RECURSIVE n AS (SELECT source AS g, doc_id AS id, regexp_replace(regexp_replace(coalesce(text, ''), '\{\{[^{}]*\}\}', ' ', 'g'), '[^\p{L}\p{N}_]+', '', 'g') AS b FROM documents),
-    d AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY length(b) DESC, id) AS rn, list_transform(range(0, greatest(length(b) - 24, 0), 24), lambda i: substring(b, i + 1, 24)) AS f FROM n),
-    e AS (SELECT s.g, s.rn AS v, list(o.rn) AS us FROM d s JOIN d o ON o.g = s.g AND o.rn < s.rn AND length(s.b) >= 96 AND length(o.b) >= 1.02 * length(s.b) AND 2 * len(list_filter(s.f, lambda x: contains(o.b, x))) >= len(s.f) GROUP BY ALL)"""
-    + FOLD
-    + " SELECT g AS source, id FROM k JOIN d USING (g, rn)",
-)
-def uncovered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts of each source that no somewhat longer one covers by half of their fragments."""
-    docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), "text")
-    return greedy.without_covered(docs, "source", "id", "text", ratio=1.02).select("source", "id")
-
-
 @query("2.5.3", "SELECT source, arg_min(doc_id, doc_id) AS doc_id, any_value(score) AS score FROM (SELECT source, doc_id, n_chars / 1000 AS score, max(n_chars / 1000) OVER (PARTITION BY source) m FROM documents) WHERE score = m GROUP BY source")
 def best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.best_in_group(table(spark, sf_dir, "documents").select("source", "doc_id", (F.col("n_chars") / 1000).alias("score")), "source", "doc_id")

@@ -57,12 +57,12 @@ def vector_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.counts(vectors.collections(spark, path), [f"label{n}" for n in (*range(labels), 99)])
 
 
-@query("2.1.8 2.1.23", "SELECT vec_id::VARCHAR AS id, round(sqrt(list_dot_product(u, u)), 4) AS norm FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings)")
+@query("2.1.8", "SELECT vec_id::VARCHAR AS id, round(sqrt(list_dot_product(u, u)), 4) AS norm, round(u[1], 4) AS first, round(u[64], 4) AS last FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings)")
 def normalised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.operators.retrieval import dot, unit
 
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), unit(F.col("embedding")).alias("u"))
-    return rows.select("id", F.round(F.sqrt(dot(F.col("u"), F.col("u"))), 4).alias("norm"))
+    return rows.select("id", F.round(F.sqrt(dot(F.col("u"), F.col("u"))), 4).alias("norm"), F.round(F.col("u")[0], 4).alias("first"), F.round(F.col("u")[63], 4).alias("last"))
 
 
 @query("2.1.10 2.8.10", "SELECT l_orderkey AS source, l_partkey AS target, min(l_linenumber) AS position FROM lineitem GROUP BY ALL")

@@ -20,13 +20,13 @@ def catalogue_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.distinct_with_conflict(table(spark, sf_dir, "part"), "p_name", ["p_brand"])
 
 
-VERDICTS = """SELECT user_id, CASE WHEN bool_or(event_type='error') OR (bool_or(event_type='purchase') AND bool_or(event_type='signup')) THEN 'conflict' WHEN bool_or(event_type='purchase') THEN 'include' WHEN bool_or(event_type='signup') THEN 'exclude' ELSE 'unknown' END AS verdict
+VERDICTS = """SELECT user_id, CASE WHEN bool_or(value > 350) OR (bool_or(event_type='purchase' AND value > 200) AND bool_or(event_type='signup' AND value > 200)) THEN 'conflict' WHEN bool_or(event_type='purchase' AND value > 200) THEN 'include' WHEN bool_or(event_type='signup' AND value > 200) THEN 'exclude' ELSE 'unknown' END AS verdict
     FROM events GROUP BY user_id"""
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    decision = F.when(kind == "error", "conflict").when(kind == "purchase", "include").when(kind == "signup", "exclude").otherwise("unknown")
+    kind, sure = F.col("event_type"), F.col("value") > 200
+    decision = F.when(F.col("value") > 350, "conflict").when(sure & (kind == "purchase"), "include").when(sure & (kind == "signup"), "exclude").otherwise("unknown")
     return stats.member_verdicts(table(spark, sf_dir, "events").withColumn("decision", decision), ["user_id"])
 
 
@@ -37,14 +37,14 @@ def member_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.4.2 2.4.4 2.4.5",
-    f"""WITH v AS ({VERDICTS}) SELECT user_id % 3 AS part, (count(*) FILTER (WHERE verdict='include'))::BIGINT AS included, (count(*) FILTER (WHERE verdict='exclude'))::BIGINT AS excluded,
+    f"""WITH v AS ({VERDICTS}) SELECT user_id % 40 AS part, (count(*) FILTER (WHERE verdict='include'))::BIGINT AS included, (count(*) FILTER (WHERE verdict='exclude'))::BIGINT AS excluded,
     (count(*) FILTER (WHERE verdict='unknown'))::BIGINT AS unknown, (count(*) FILTER (WHERE verdict='conflict'))::BIGINT AS conflict,
     CASE WHEN count(*) FILTER (WHERE verdict='conflict') > 0 THEN 'ambiguous' WHEN count(*) FILTER (WHERE verdict='unknown') = 0 THEN 'exact' WHEN count(*) FILTER (WHERE verdict='include') > 0 THEN 'lower_bound' ELSE 'missing' END AS status,
     CASE WHEN count(*) FILTER (WHERE verdict='conflict') > 0 THEN NULL WHEN count(*) FILTER (WHERE verdict='unknown') = 0 OR count(*) FILTER (WHERE verdict='include') > 0 THEN (count(*) FILTER (WHERE verdict='include'))::BIGINT END AS count
     FROM v GROUP BY 1""",
 )
 def counted_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.counted_with_status(_verdicts(spark, sf_dir).withColumn("part", F.col("user_id") % 3), F.lit(True), ["part"])
+    return stats.counted_with_status(_verdicts(spark, sf_dir).withColumn("part", F.col("user_id") % 40), F.lit(True), ["part"])
 
 
 @query(
@@ -112,12 +112,12 @@ def coverage_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.4.16",
-    """WITH m AS (SELECT event_type, month(ts) % 2 AS odd, day(ts) <= 15 AS early, event_type || '-' || (user_id % 10)::VARCHAR AS grp, value > 5 AS ok FROM events),
+    """WITH m AS (SELECT day(ts) <= 15 AS early, event_type || '-' || user_id::VARCHAR AS grp, value > 11 AS ok FROM events),
     b AS (SELECT grp, round(avg(ok::INT), 4) AS rate FROM m WHERE early GROUP BY grp), a AS (SELECT grp, round(avg(ok::INT), 4) AS rate FROM m WHERE NOT early GROUP BY grp)
     SELECT a.grp, a.rate, b.rate AS before, CASE WHEN a.rate < 0.8 THEN 'low' ELSE 'drop' END AS alert FROM a LEFT JOIN b USING (grp) WHERE a.rate < 0.8 OR b.rate - a.rate > 0.1""",
 )
 def period_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("-"), F.col("user_id") % 10).alias("grp"), (F.dayofmonth("ts") <= 15).alias("early"), (F.col("value") > 5).cast("int").alias("ok"))
+    events = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("-"), "user_id").alias("grp"), (F.dayofmonth("ts") <= 15).alias("early"), (F.col("value") > 11).cast("int").alias("ok"))
 
     def rates(rows: DataFrame) -> DataFrame:
         return rows.groupBy("grp").agg(F.round(F.avg("ok"), 4).alias("rate"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import nested, chunking, facts, incremental, reconcile
+from corpusloom.operators import chunking, content, facts, incremental, nested, reconcile
 from corpusloom.plans.base import query, table
 
 
@@ -21,14 +21,23 @@ def cleaned_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.md5(text.cleaned_prompt("raw").cast("binary")).alias("prompt"), text.cleaned_query("raw").alias("query"))
 
 
-@query("2.9.4 2.9.35", "SELECT * FROM (VALUES (1, 'blue bolt,lost name', 'lost name')) t(id, quoted, missing)")
+@query(
+    "2.9.4 2.9.35",
+    """WITH q AS (SELECT p_partkey AS id, p_name AS a, CASE p_partkey % 4 WHEN 0 THEN substring(p_name, 2) WHEN 1 THEN p_name || 's' WHEN 2 THEN 'lost ' || p_brand ELSE left(p_name, 7) END AS b FROM part),
+    t AS (SELECT DISTINCT p_name AS title FROM part), k AS (SELECT b, bool_or(contains(title, b)) AS known FROM (SELECT DISTINCT b FROM q), t GROUP BY b)
+    SELECT id, array_to_string(list_sort(list_distinct([a, b])), ',') AS quoted, CASE WHEN known THEN '' ELSE b END AS missing FROM q JOIN k USING (b)""",
+)
 def quoted_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quoted terms that no title contains."""
-    asked = spark.createDataFrame([(1, "is 「blue bolt」 like “lost name”?")], "id int, q string").select("id", F.explode(text.quoted_terms("q")).alias("term"))
-    titles = table(spark, sf_dir, "part").select(F.col("p_name").alias("title")).distinct()
-    found = titles.join(F.broadcast(asked), F.col("title").contains(F.col("term"))).select("id", "term", F.lit(True).alias("known")).distinct()  # a question has five terms at most
-    joined = asked.join(found, ["id", "term"], "left")
-    return joined.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("term")), ",").alias("quoted"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("known").isNull(), F.col("term")))), ",").alias("missing"))
+    """Quoted terms of a question a part, and those that no title contains: the index of titles is asked for each distinct term once."""
+    key, name = F.col("p_partkey") % 4, F.col("p_name")
+    other = F.when(key == 0, F.substring("p_name", 2, 99)).when(key == 1, F.concat("p_name", F.lit("s"))).when(key == 2, F.concat(F.lit("lost "), "p_brand")).otherwise(F.left("p_name", F.lit(7)))
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("is 「"), name, F.lit("」 like “"), other, F.lit("”?")).alias("q"))
+    terms = asked.select("id", F.explode(F.array_distinct(text.quoted_terms("q"))).alias("term")).checkpoint()
+    titles = table(spark, sf_dir, "part").select(F.col("p_name").alias("text"))
+    known = content.contained(terms.select(F.col("term").alias("text")), titles, least=2).select(F.col("asked").alias("d")).distinct().withColumn("known", F.lit(True))
+    joined = terms.withColumn("d", F.md5("term")).join(known, "d", "left")
+    missing = F.array_join(F.sort_array(F.collect_list(F.when(F.col("known").isNull(), F.col("term")))), ",")
+    return joined.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("term")), ",").alias("quoted"), missing.alias("missing"))
 
 
 @query("2.9.5 2.9.8", None)
@@ -51,12 +60,17 @@ def trimmed_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "2.9.9 2.5.10",
-    """SELECT conv_id, turn, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS lines FROM conversations""",
+    r"""WITH l AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), 'https?://\S+', '', 'g'), ' ') AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+    k AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l WHERE x <> '')
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS lines, coalesce(again, 0)::BIGINT AS again, md5(coalesce(body, '')) AS digest FROM documents d LEFT JOIN
+    (SELECT doc_id, count(*) FILTER (WHERE x IS DISTINCT FROM before) AS n, count(*) FILTER (WHERE x = before) AS again, string_agg(x, chr(10) ORDER BY pos) FILTER (WHERE x IS DISTINCT FROM before) AS body FROM k GROUP BY doc_id) USING (doc_id)""",
 )
 def cleaned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplied turns repeat no line in a row, so only blank ones go."""
-    body = text.without_repeated_lines("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(body == "", 0).otherwise(F.size(F.split(body, "\n"))).cast("long").alias("lines"))
+    """Texts without URLs, blank lines and lines that repeat the one before; how many lines are left and how many repeated."""
+    body = F.coalesce(text.without_repeated_lines("text"), F.lit(""))
+    every = F.size(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"https?://\S+", ""))), lambda x: x != ""))
+    n = F.when(body == "", 0).otherwise(F.size(F.split(body, "\n")))
+    return table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("lines"), F.coalesce(every - n, F.lit(0)).cast("long").alias("again"), F.md5(body.cast("binary")).alias("digest"))
 
 
 @query(
