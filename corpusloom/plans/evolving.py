@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import table_functions
 from corpusloom.operators import chains, facts, incremental, reconcile, retrieval
 from corpusloom.plans.base import query, table
 from corpusloom.plans.scans import scratch
@@ -230,6 +231,50 @@ def packed_sections_of_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.packed_sections(rows, "key", ["doc_id"], "n_chars", 9_000).select("doc_id", "bucket")
 
 
+def _called(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
+    """A query that calls table functions, over views of some tables."""
+    for name in tables:
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    table_functions.register(spark)
+    return spark.sql(sql)
+
+
+@query("2.11.1", "SELECT p_partkey, p_name, (count(*) OVER ())::BIGINT AS n FROM part WHERE p_type = 'PROMO'")
+def called_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _called(spark, sf_dir, "SELECT * FROM entries_of_type('PROMO')", "part")
+
+
+@query(
+    "2.11.1 2.11.2",
+    """WITH m AS (SELECT doc_id, (length(text) - length(replace(text, 'tion', ''))) // 4 AS a, (length(text) - length(replace(text, 'über', ''))) // 4 AS b FROM documents)
+    SELECT doc_id, least(a, b)::BIGINT AS weight, CASE WHEN a >= b THEN 'a' ELSE 'b' END AS heavier FROM m WHERE a > 0 AND b > 0""",
+)
+def called_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _called(spark, sf_dir, "SELECT * FROM shared_mentions('tion', 'über')", "documents")
+
+
+@query(
+    "2.11.1 2.9.7",
+    """WITH p AS (SELECT doc_id, string_split(text, 'über') AS w FROM documents WHERE contains(text, 'über')), q AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM p),
+    r AS (SELECT doc_id, array_to_string(w[:i], 'über') AS before, array_to_string(w[i + 1:], 'über') AS after_ FROM q)
+    SELECT doc_id, length(before) AS start, right(before, 10) || 'über' || left(after_, 10) AS context FROM r""",
+)
+def called_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _called(spark, sf_dir, "SELECT * FROM contexts(TABLE(SELECT doc_id, text FROM documents), 'text', 'über', 10)", "documents")
+
+
+@query("2.11.1 2.11.8", SECTIONS.format(key="source", most=60_000))
+def called_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = "TABLE(SELECT doc_id, source, n_chars FROM documents) PARTITION BY source ORDER BY (doc_id)"
+    return _called(spark, sf_dir, f"SELECT doc_id, bucket FROM sections({rows}, 'n_chars', 60000)", "documents")
+
+
+@query("2.11.1", "SELECT event_id, coalesce(event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), true) AS changed FROM events")
+def called_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = "TABLE(SELECT user_id, event_id, event_type FROM events) PARTITION BY user_id ORDER BY (event_id)"
+    return _called(spark, sf_dir, f"SELECT event_id, changed FROM changes({rows}, 'event_type')", "events")
+
+
 RELATIONS = ("participated", "co_occur")
 
 

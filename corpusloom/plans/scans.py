@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.plans.base import query, table
 from corpusloom.session import ensure_checkpoint_dir
-from corpusloom.sources import files, landed, vectors
+from corpusloom.sources import files, landed, paged, vectors
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -137,6 +137,38 @@ def landed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.landed_pages(spark, path).where("error is null").select("pageid", "title", "lastrevid")
 
 
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("pageid"), F.col("url").alias("title"), F.length("html").cast("long").alias("lastrevid"), F.col("html").alias("content"))
+
+
+@query("2.1.20 2.1.21 2.1.22", "SELECT page_id AS pageid, url AS title, length(html)::BIGINT AS lastrevid, length(html)::BIGINT AS n, (page_id // 25)::BIGINT AS token FROM pages")
+def paged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses that land in three pieces, read by a stream that ends after each and goes on from its last token."""
+    folder, pages = scratch(spark, "paged"), _responses(spark, sf_dir)
+    spark.dataSource.register(paged.Paged)
+    bounds = pages.agg(F.percentile_approx("pageid", F.array(F.lit(0.3), F.lit(0.7))).alias("b")).first()["b"]
+    cuts = [None, *(25 * (at // 25) for at in bounds or []), None]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        piece = pages.where(F.col("pageid") >= low) if low is not None else pages
+        paged.land(piece.where(F.col("pageid") < high) if high is not None else piece, f"{folder}/in")
+        stream = spark.readStream.format("paged").option("path", f"{folder}/in").load().where("error is null")
+        query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    read = spark.read.parquet(f"{folder}/out")
+    return read.select("pageid", "title", "lastrevid", F.length("content").cast("long").alias("n"), F.col("token").cast("long").alias("token"))
+
+
+@query("2.1.20 2.1.21", "SELECT page_id AS pageid, url AS title FROM pages WHERE page_id >= 25 AND length(html) > 2000")
+def paged_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses in one batch: those of earlier tokens are not opened, and pages are compared where they are read."""
+    folder = scratch(spark, "paged")
+    paged.land(_responses(spark, sf_dir), folder)
+    spark.dataSource.register(paged.Paged)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    pages = spark.read.format("paged").option("path", folder).load()
+    return pages.where((F.col("token") >= "000000000001") & (F.col("lastrevid") > 2000)).select("pageid", "title")
+
+
 @query("2.1.24 2.1.25", "SELECT role AS tenant, 's' || (conv_id % 50) AS session, max(conv_id * 100 + turn) AS stamp FROM conversations GROUP BY ALL")
 def session_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Appended states; the newest of each session counts, illegal ids do not."""

@@ -6,8 +6,8 @@ partition, so a wide folder is read in parallel, and continuation tokens are the
 
 from __future__ import annotations
 
+import io
 import json
-import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,14 +21,20 @@ class LandedReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        names = sorted(n for n in os.listdir(self.path) if n.endswith((".json", ".jsonl"))) if os.path.isdir(self.path) else []
-        return [InputPartition(os.path.join(self.path, n)) for n in names]
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(self.path)
+        found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+        return [InputPartition(name) for name in sorted(info.path for info in found if info.path.endswith((".json", ".jsonl")))]
 
     def read(self, partition: InputPartition | None) -> Iterator[tuple]:
         if partition is None:
             return
-        with open(partition.value, encoding="utf-8") as lines:
-            for line in lines:
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(self.path)
+        with system.open_input_stream(partition.value) as data:
+            for line in io.TextIOWrapper(data, encoding="utf-8"):
                 if not line.strip():
                     continue
                 try:
@@ -39,7 +45,7 @@ class LandedReader(DataSourceReader):
 
 
 class Landed(DataSource):
-    """Registered as `landed`; a mounted folder is read in place. For object stores use `landed_pages`."""
+    """Registered as `landed`; read from any store that Arrow can open. `landed_pages` is for all others."""
 
     @classmethod
     def name(cls) -> str:
