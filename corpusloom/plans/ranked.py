@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import logic, text
 from corpusloom.operators import greedy, mentions, ranking, reconcile, retrieval
 from corpusloom.plans.base import query, table
+from corpusloom.sources import models
 
 PHRASE = "the and"
 
@@ -230,6 +231,24 @@ def rerank_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.reranked_or_all(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 10)
 
 
+def _overlap():
+    """A model that scores a text by the share of asked words that it holds."""
+    return lambda rows: [sum(word in (text or "") for word in asked.split()) / len(asked.split()) for asked, text in rows]
+
+
+@query(
+    "2.6.7",
+    """WITH h AS (SELECT doc_id, text FROM documents WHERE contains(text, 'the') OR contains(text, 'und')),
+    r AS (SELECT doc_id, (contains(text, 'the')::INT + contains(text, 'und')::INT + contains(text, 'thand')::INT + contains(text, 'über')::INT + contains(text, 'zzzz')::INT) / 5 AS relevance FROM h)
+    SELECT doc_id, relevance FROM r WHERE relevance >= 0.4 ORDER BY relevance DESC, doc_id LIMIT 25""",
+)
+def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hits scored by a model; those at or above a floor, best first."""
+    hits = table(spark, sf_dir, "documents").where(F.col("text").contains("the") | F.col("text").contains("und")).select("doc_id", F.lit("the und thand über zzzz").alias("asked"), "text")
+    verdicts = models.answered(hits, ["asked", "text"], _overlap, "double", "relevance").select("doc_id", "relevance")
+    return retrieval.reranked_or_all(hits.select("doc_id"), "doc_id", 25, verdicts, 0.4).select("doc_id", "relevance")
+
+
 @query("2.6.9 2.6.18", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents WHERE contains(text, 'the')) WHERE rn <= 5 ORDER BY doc_id LIMIT 60")
 def per_source_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "documents").where(F.col("text").contains("the")).select("doc_id", "source")

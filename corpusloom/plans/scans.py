@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.plans.base import query, table
 from corpusloom.session import ensure_checkpoint_dir
-from corpusloom.sources import files, landed, paged, vectors
+from corpusloom.sources import files, landed, models, paged, vectors
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -137,6 +137,33 @@ def landed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.landed_pages(spark, path).where("error is null").select("pageid", "title", "lastrevid")
 
 
+def _letters():
+    """A model that embeds a text as its numbers of vowels; it refuses the first batch that it sees and skips some rows at first."""
+    seen: dict[str, int] = {}
+
+    def model(rows: list[tuple]) -> list:
+        seen["batches"] = seen.get("batches", 0) + 1
+        if seen["batches"] == 1:
+            raise TimeoutError("busy")
+        return [None if at % 7 == 3 and len(rows) > 20 else [float((text or "").count(letter)) for letter in "aeiou"] for at, (text,) in enumerate(rows)]
+
+    return model
+
+
+@query(
+    "2.1.23 2.1.8",
+    """WITH v AS (SELECT conv_id || '-' || turn AS id, list_transform(['a', 'e', 'i', 'o', 'u'], lambda x: (length(text) - length(replace(text, x, '')))::DOUBLE) AS e FROM conversations WHERE text IS NOT NULL),
+    n AS (SELECT *, sqrt(list_dot_product(e, e)) AS s FROM v) SELECT id, round(CASE WHEN s > 0 THEN e[1] / s ELSE 0 END, 4) AS a, round(CASE WHEN s > 0 THEN e[5] / s ELSE 0 END, 4) AS u FROM n""",
+)
+def embedded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns embedded by a model that fails at times, written to a collection as unit vectors and read back."""
+    path = scratch(spark, "embedded")
+    turns = table(spark, sf_dir, "conversations").where("text is not null").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("document"), F.lit("turns").alias("collection"))
+    vectors.add(models.answered(turns, ["document"], _letters, "array<float>", "embedding"), path)
+    back = vectors.collections(spark, path, ["turns"])
+    return back.select("id", F.round(F.col("embedding")[0].cast("double"), 4).alias("a"), F.round(F.col("embedding")[4].cast("double"), 4).alias("u"))
+
+
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("pageid"), F.col("url").alias("title"), F.length("html").cast("long").alias("lastrevid"), F.col("html").alias("content"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text
+from corpusloom.functions import markup, text
 from corpusloom.operators import chunking, content, facts, incremental, nested, reconcile
 from corpusloom.plans.base import query, table
 
@@ -327,3 +327,34 @@ def inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("url").contains("m."), "mobile").when(F.col("url").rlike("^https"), "secure").otherwise("plain")
     region = F.regexp_extract("url", "/(en|de|fr|es)/", 1)
     return table(spark, sf_dir, "pages").select("page_id", kind.alias("type"), F.when(region != "", region).alias("region"))
+
+
+@query(
+    "2.9.24 2.9.37",
+    """WITH t AS (SELECT *, '{{item|' || p_brand || '|size=' || p_size || '}}' AS deep FROM part), m AS (SELECT *, '{{set|[[' || p_type || '|x]]|piece=' || deep || ' new}}' AS mid FROM t),
+    r AS (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN '{{lost|a=' ELSE '{{role|name=' || p_name || '|kit=' END AS head FROM m)
+    SELECT p_partkey, 0 AS depth, 'role' AS name, 'kit=' || mid || ';name=' || p_name AS fields, 0 AS start FROM r WHERE p_partkey % 5 > 0
+    UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END, 'set', '1=[[' || p_type || '|x]];piece=' || deep || ' new', length(head) FROM r
+    UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 2 END, 'item', '1=' || p_brand || ';size=' || p_size, length(head) + position('{{item' IN mid) - 1 FROM r""",
+)
+def nested_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates three levels deep, with links that hold bars; every fifth outer one is never closed and refused, its inner ones are kept."""
+    deep = F.concat(F.lit("{{item|"), "p_brand", F.lit("|size="), "p_size", F.lit("}}"))
+    mid = F.concat(F.lit("{{set|[["), "p_type", F.lit("|x]]|piece="), deep, F.lit(" new}}"))
+    whole = F.concat(F.lit("{{role|name="), "p_name", F.lit("|kit="), mid, F.lit("}}"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("{{lost|a="), mid)).otherwise(whole).alias("raw"))
+    fields = F.array_join(F.array_sort(F.transform(F.map_entries("parameters"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), ";")
+    return markup.with_templates(rows, ["p_partkey"], "raw").select("p_partkey", "depth", "name", fields.alias("fields"), "start")
+
+
+@query(
+    "2.9.31",
+    """WITH c AS (SELECT event_id, props, event_id % (length(props) + 1) AS n FROM events)
+    SELECT event_id, CASE WHEN n = 0 THEN NULL WHEN n <= 6 THEN '{}' WHEN n = length(props) THEN props ELSE left(props, n) || '}' END AS repaired,
+    CASE WHEN n > 6 THEN regexp_extract(left(props, n), '[0-9]+')::INT END AS k FROM c""",
+)
+def cut_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties cut at every offset: the longest beginning that can be closed, and what it says."""
+    cut = F.left("props", (F.col("event_id") % (F.length("props") + 1)).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", cut.alias("cut"))
+    return markup.with_repaired(rows, ["event_id"], "cut").withColumn("k", F.get_json_object("repaired", "$.k").cast("int"))
