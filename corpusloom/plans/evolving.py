@@ -275,24 +275,79 @@ def called_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _called(spark, sf_dir, f"SELECT event_id, changed FROM changes({rows}, 'event_type')", "events")
 
 
-RELATIONS = ("participated", "co_occur")
+RELATIONS = ("participated", "co_occur", "cast_of_task", "presence")
+LEVELS = ("mention", "action", "line", "cast")
+#: Names that a text's cast is looked for; what counts as doing something next to a name.
+NAMES, ACTIONS = ("thand", "über", "tion of", "nicht", "the"), ("was", "and", "ist")
 
 
-def entity_query(spark: SparkSession, sf_dir: str, entity: str, relation: str = "participated", target: str = "", top_k: int = 8) -> DataFrame:
-    """doc_id, weight of the texts of an entity by relation; arguments are checked before a plan is built."""
+def entity_query(spark: SparkSession, sf_dir: str, entity: str, relation: str = "participated", target: str = "", top_k: int = 8, task_type: str = "", min_level: str = "") -> DataFrame:
+    """Texts and entities by relation; arguments are checked before a plan is built.
+
+    participated: doc_id, weight, level of the entity's texts by evidence, at least `min_level`, of a task type (language). co_occur: doc_id, weight
+    of texts with the target too. cast_of_task: name, n, level of the names in the first text whose head is, or contains, the target.
+    presence: region, texts, mentions by source, or for one source (the target).
+    """
+    from corpusloom.operators.mentions import counted_names, intersected, task_cast
+    from corpusloom.operators.stats import graded_evidence
+
     if relation not in RELATIONS:
         raise ValueError(f"relation is one of {', '.join(RELATIONS)}")
-    if relation == "co_occur" and not target:
-        raise ValueError("co_occur needs a target")
+    if relation in ("co_occur", "cast_of_task") and not target:
+        raise ValueError(f"{relation} needs a target")
+    if relation != "cast_of_task" and not entity:
+        raise ValueError(f"{relation} needs an entity")
+    if min_level and min_level not in LEVELS:
+        raise ValueError(f"min_level is one of {', '.join(LEVELS)}")
     if top_k <= 0:
         raise ValueError("top_k is positive")
-    from corpusloom.operators.mentions import counted_names, intersected
-
     docs = table(spark, sf_dir, "documents")
-    own = counted_names(docs, [entity]).select("doc_id", F.col("n").alias("weight"))
+    docs = docs.where(F.col("lang") == task_type) if task_type else docs
+    if relation == "presence":
+        counted = counted_names(docs, [entity]).join(docs.select("doc_id", F.col("source").alias("region")), "doc_id")
+        counted = counted.where(F.col("region") == target) if target else counted
+        return counted.groupBy("region").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("mentions"))
+    none = F.lit(None).cast("array<string>")
+    if relation == "cast_of_task":
+        heads = docs.select(F.col("doc_id").alias("entry_id"), F.substring_index("text", " ", 3).alias("title"), F.col("text").alias("body"), none.alias("cast"))
+        entry = task_cast(heads, target)
+        found = None
+        for name in NAMES:
+            own = graded_evidence(entry, [name], actions=ACTIONS).where("level is not null").select(F.lit(name).alias("name"), F.col("mentions").cast("long").alias("n"), "level")
+            found = own if found is None else found.union(own)
+        return found
     if relation == "co_occur":
-        own = intersected(own, counted_names(docs, [target]).select("doc_id", F.col("n").alias("weight")), "doc_id").select("doc_id", "weight")
-    return own.orderBy(F.desc("weight"), "doc_id").limit(top_k)
+        own = counted_names(docs, [entity]).select("doc_id", F.col("n").alias("weight"))
+        both = intersected(own, counted_names(docs, [target]).select("doc_id", F.col("n").alias("weight")), "doc_id").select("doc_id", "weight")
+        return both.orderBy(F.desc("weight"), "doc_id").limit(top_k)
+    graded = graded_evidence(docs.select("doc_id", F.col("text").alias("body"), none.alias("cast")), [entity], actions=ACTIONS).where("level is not null")
+    graded = graded.where(F.col("weight") > LEVELS.index(min_level)) if min_level else graded
+    return graded.orderBy(F.desc("weight"), F.desc("mentions"), "doc_id").limit(top_k).select("doc_id", F.col("weight").cast("long").alias("weight"), "level")
+
+
+@query(
+    "2.11.2",
+    """WITH m AS (SELECT doc_id, (length(text) - length(replace(text, 'thand', ''))) // 5 AS n, regexp_matches(text, 'thand[^\\n。！？]{0,6}?(was|and|ist)') AS near FROM documents WHERE lang = 'en' AND contains(text, 'thand'))
+    SELECT doc_id, CASE WHEN near THEN 2 ELSE 1 END::BIGINT AS weight, CASE WHEN near THEN 'action' ELSE 'mention' END AS level FROM m ORDER BY weight DESC, n DESC, doc_id LIMIT 30""",
+)
+def participated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_query(spark, sf_dir, "thand", top_k=30, task_type="en")
+
+
+@query("2.11.2", "SELECT source AS region, count(*)::BIGINT AS texts, sum((length(text) - length(replace(text, 'tion', ''))) // 4)::BIGINT AS mentions FROM documents WHERE contains(text, 'tion') GROUP BY source")
+def presence_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_query(spark, sf_dir, "tion", "presence")
+
+
+@query(
+    "2.11.2",
+    """WITH t AS (SELECT text FROM documents, (SELECT 'The' AS w) WHERE contains(array_to_string(string_split(text, ' ')[1:3], ' '), w) ORDER BY array_to_string(string_split(text, ' ')[1:3], ' ') <> w, doc_id LIMIT 1),
+    n AS (SELECT unnest(['thand', 'über', 'tion of', 'nicht', 'the']) AS name)
+    SELECT name, ((length(text) - length(replace(text, name, ''))) // length(name))::BIGINT AS n, CASE WHEN regexp_matches(text, name || '[^\\n。！？]{0,6}?(was|and|ist)') THEN 'action' ELSE 'mention' END AS level FROM t, n WHERE contains(text, name)""",
+)
+def cast_of_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names in the first text that begins with a title."""
+    return entity_query(spark, sf_dir, "", "cast_of_task", "The")
 
 
 @query("2.11.2 2.3.13", "SELECT doc_id, least(len(string_split(text, 'thand')) - 1, len(string_split(text, 'tion of')) - 1)::BIGINT AS weight FROM documents WHERE contains(text, 'thand') AND contains(text, 'tion of') ORDER BY weight DESC, doc_id LIMIT 8")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import markup, text
+from corpusloom.functions import markup, normal, text
 from corpusloom.operators import chunking, content, facts, incremental, nested, reconcile
 from corpusloom.plans.base import query, table
 
@@ -358,3 +358,93 @@ def cut_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.left("props", (F.col("event_id") % (F.length("props") + 1)).cast("int"))
     rows = table(spark, sf_dir, "events").select("event_id", cut.alias("cut"))
     return markup.with_repaired(rows, ["event_id"], "cut").withColumn("k", F.get_json_object("repaired", "$.k").cast("int"))
+
+
+RAW = """' 第二幕「' || p_name || '」（变体）·' || p_brand || '！ {{t|x}} [[a|' || p_type || ']] <i>*-_其二'"""
+
+
+def _deleted(text: str, pattern: str, other: str = "") -> str:
+    return f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{other}', 'g')"
+
+
+def _normal_sql() -> str:
+    """Each form as nested replacements of its own."""
+    n = normal
+    sp = n.SPACE
+    flat = _deleted("r", "<[^>]+>")
+    forms = {
+        "base": "trim(regexp_replace(trim(" + _deleted("r", "[（(][^）)]*[）)]") + "), '·.*$', ''))",
+        "title": _deleted("r", f"[{sp}{n.TITLE_MARKS}]"),
+        "key": _deleted(flat, f"[{sp}{n.KEY_MARKS}]"),
+        "sibling": _deleted(_deleted(_deleted("r", r"\{\{[^{}]*\}\}", " "), r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", r"\1"), f"[{sp}{n.SIBLING_MARKS}]"),
+        "cover": _deleted(_deleted("r", r"\{\{[^{}]*\}\}", " "), r"[^\p{L}\p{N}_]+"),
+        "citation": _deleted("r", r"[^\p{L}\p{N}]+"),
+        "spaceless": _deleted("r", f"[{sp}]+"),
+        "listed": "ltrim(" + _deleted("r", f"[{sp}]+") + ", '*+-：:')",
+        "act": "trim(" + _deleted(_deleted("r", f"[{sp}]+"), "^第[0-9一二三四五六七八九十百]+[幕章回]") + ", '「」『』')",
+        "map": _deleted(flat, "[^0-9A-Za-z一-鿿]"),
+        "map_loose": _deleted(_deleted(flat, "[（(][^（）()]*[）)]"), "[^0-9A-Za-z一-鿿]"),
+        "shared_title": "lower(" + _deleted(_deleted(_deleted("r", "[（(][^）)]*[）)]"), "(?:·?其[一二三四五六七八九十]+|[上中下]篇?|[0-9]+)$"), f"[{sp}{n.KEY_MARKS}]") + ")",
+        "bare": _deleted("r", f"[{sp}{n.DECORATION}]"),
+        "voice": _deleted("trim(r, ' 「」『』《》\"''')", f"[{sp}]+"),
+    }
+    assert list(forms) == list(n.NORMALISERS)
+    return f"WITH p AS (SELECT p_partkey, {RAW} AS r FROM part) SELECT p_partkey, " + ", ".join(f"{sql} AS {name}" for name, sql in forms.items()) + " FROM p"
+
+
+@query("2.9.12", _normal_sql())
+def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fourteen normal forms of a decorated text."""
+    raw = F.concat(F.lit(" 第二幕「"), "p_name", F.lit("」（变体）·"), "p_brand", F.lit("！ {{t|x}} [[a|"), "p_type", F.lit("]] <i>*-_其二"))
+    return table(spark, sf_dir, "part").select("p_partkey", *[normal.normalised(raw, kind).alias(kind) for kind in normal.NORMALISERS])
+
+
+@query(
+    "2.9.29",
+    """SELECT p_partkey, sha256(CASE p_partkey % 4 WHEN 0 THEN p_name || chr(10) || 'said ' || p_brand WHEN 1 THEN p_name WHEN 2 THEN 'said ' || p_brand ELSE '== stats ==' || chr(10) || p_size || chr(10) END) AS now,
+    p_partkey % 4 < 3 AS same FROM part""",
+)
+def section_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes over story and voice only, of pages before and after their figures changed; a page without such sections is hashed whole."""
+    place = F.col("p_partkey") % 4
+
+    def page(figure):
+        story = F.when(place.isin(0, 1), F.concat(F.lit("== story ==\n"), "p_name", F.lit("\n"))).otherwise("")
+        voice = F.when(place.isin(0, 2), F.concat(F.lit("== voice ==\nsaid "), "p_brand", F.lit("\n"))).otherwise("")
+        return F.concat(story, F.lit("== stats ==\n"), figure, F.lit("\n"), voice)
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", page(F.col("p_size").cast("string")).alias("now"), page(F.concat("p_size", F.lit("?"))).alias("old"))
+    hashed = rows.select("p_partkey", normal.content_hash("now", ["story", "voice"]).alias("now"), normal.content_hash("old", ["story", "voice"]).alias("old"))
+    return hashed.select("p_partkey", "now", (F.col("now") == F.col("old")).alias("same"))
+
+
+@query(
+    "2.9.34",
+    """WITH q AS (SELECT p_partkey, p_partkey % 9 AS place, lower(p_type) AS a, lower(list_extract(['PROMO', 'SMALL', 'LARGE'], (p_partkey % 3 + 1)::INT)) AS b FROM part),
+    k AS (SELECT p_partkey, CASE WHEN place IN (0, 1, 2, 7) THEN 'counted' WHEN place = 3 THEN 'ambiguous' WHEN place = 4 THEN 'missing' WHEN place = 5 THEN 'unsupported' END AS status,
+    CASE WHEN place = 7 THEN (SELECT list(DISTINCT lower(p_type) ORDER BY lower(p_type)) FROM part) WHEN place < 3 THEN [a] WHEN place = 3 THEN list_sort(list_distinct([a, b])) END AS kinds FROM q),
+    n AS (SELECT lower(p_type) AS kind, count(*) AS n FROM part GROUP BY 1)
+    SELECT p_partkey, status, array_to_string(kinds, ',') AS kinds,
+    CASE WHEN status = 'counted' THEN (SELECT sum(n)::BIGINT FROM n WHERE list_contains(k.kinds, n.kind)) END AS n FROM k""",
+)
+def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question a part: counted kinds with their numbers, several kinds, none, an unknown one, one with conditions, and something else."""
+    parts = table(spark, sf_dir, "part")
+    kinds = [row["kind"] for row in parts.select(F.lower("p_type").alias("kind")).distinct().orderBy("kind").limit(1000).collect()]  # the grammar's words
+    place, a = F.col("p_partkey") % 9, F.col("p_type")
+    b = F.element_at(F.array(F.lit("PROMO"), F.lit("SMALL"), F.lit("LARGE")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    text_ = (
+        F.when(place == 0, F.concat(F.lit("How many "), a, F.lit(" parts are there?")))
+        .when(place == 1, F.concat(F.lit("please list all "), F.lower(a), F.lit("  parts.")))
+        .when(place == 2, F.concat(F.lit("Which "), a, F.lit(" parts exist")))
+        .when(place == 3, F.concat(F.lit("how many "), a, F.lit(" and "), b, F.lit(" parts are there")))
+        .when(place == 4, F.lit("how many parts are there?"))
+        .when(place == 5, F.concat(F.lit("show me all "), "p_brand", F.lit(" parts")))
+        .when(place == 6, F.concat(F.lit("how many parts cheaper than "), a, F.lit(" parts are there")))
+        .when(place == 7, F.lit("how many all parts exist?"))
+        .otherwise(F.lit("tell me a story"))
+    )
+    rows = parts.select("p_partkey", normal.request(text_, kinds).alias("r")).select("p_partkey", "r.status", "r.kinds")
+    numbers = parts.groupBy(F.lower("p_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.where("status = 'counted'").select("p_partkey", F.explode("kinds").alias("kind")).join(numbers, "kind").groupBy("p_partkey").agg(F.sum("n").alias("n"))
+    return rows.join(counted, "p_partkey", "left").select("p_partkey", "status", F.array_join("kinds", ",").alias("kinds"), "n")
