@@ -153,13 +153,13 @@ def _letters():
 @query(
     "2.1.23 2.1.8",
     """WITH v AS (SELECT conv_id || '-' || turn AS id, list_transform(['a', 'e', 'i', 'o', 'u'], lambda x: (length(text) - length(replace(text, x, '')))::DOUBLE) AS e FROM conversations WHERE text IS NOT NULL),
-    n AS (SELECT *, sqrt(list_dot_product(e, e)) AS s FROM v) SELECT id, round(CASE WHEN s > 0 THEN e[1] / s ELSE 0 END, 4) AS a, round(CASE WHEN s > 0 THEN e[5] / s ELSE 0 END, 4) AS u FROM n""",
+    n AS (SELECT *, sqrt(list_dot_product(e, e)) AS s FROM v) SELECT id, round((CASE WHEN s > 0 THEN e[1] / s ELSE 0 END)::FLOAT::DOUBLE, 4) AS a, round((CASE WHEN s > 0 THEN e[5] / s ELSE 0 END)::FLOAT::DOUBLE, 4) AS u FROM n""",
 )
 def embedded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns embedded by a model that fails at times, written to a collection as unit vectors and read back."""
     path = scratch(spark, "embedded")
     turns = table(spark, sf_dir, "conversations").where("text is not null").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("document"), F.lit("turns").alias("collection"))
-    vectors.add(models.answered(turns, ["document"], _letters, "array<float>", "embedding"), path)
+    vectors.add(models.answered(turns, ["document"], _letters, "array<float>", "embedding", tries=6), path)
     back = vectors.collections(spark, path, ["turns"])
     return back.select("id", F.round(F.col("embedding")[0].cast("double"), 4).alias("a"), F.round(F.col("embedding")[4].cast("double"), 4).alias("u"))
 
