@@ -359,4 +359,4 @@ def test_scores_of_awkward_rows(spark, sf, awkward):
 
 
 def test_queries_are_registered():
-    assert {re.match(r"op(\d+)_|pipeline", name)[0] for name in queries()} == {f"op{n}_" for n in range(1, 11)} | {"pipeline"}
+    assert {re.match(r"op(\d+)_|pipeline", name)[0] for name in queries()} == {f"op{n}_" for n in range(1, 14)} | {"pipeline"}
