@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import content, graph, mentions, ranking, reconcile, stats
+from corpusloom.operators import cascade, content, graph, mentions, ranking, reconcile, stats
 from corpusloom.plans.base import query, table
 
 
@@ -56,6 +56,38 @@ def fallback_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.by_priority(table(spark, sf_dir, "customer"), "c_custkey", [(specific, orders, "o_custkey", "t"), (F.col("c_nationkey"), suppliers, "s_nationkey", "t")]).select("c_custkey", "tier", "target")
 
 
+@query(
+    "2.3.5",
+    """WITH e AS (SELECT c_custkey AS id, c_custkey % 9 AS p, 'n' || c_custkey % 7 AS a, 'm' || c_custkey % 5 AS b FROM customer)
+    SELECT id, CASE p WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 6 WHEN 6 THEN 7 WHEN 7 THEN 8 END AS tier,
+    CASE p WHEN 4 THEN a || ',' || b WHEN 7 THEN 'box' WHEN 8 THEN '' ELSE a END AS "cast", CASE p WHEN 4 THEN 'speaker_lines' WHEN 6 THEN 'activity_inherited' WHEN 7 THEN 'infobox_text' WHEN 8 THEN '' ELSE 'metadata' END AS source FROM e""",
+)
+def cascaded_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as entries whose cast is found in eight tiers, and nowhere for every ninth."""
+    key = F.col("c_custkey")
+    place, number = key % 9, F.lpad(key.cast("string"), 9, "0")
+    title, act = F.concat(F.lit("Tale · "), number), F.concat(F.lit("Deed 「"), number, F.lit("」"))
+    a, b = F.concat(F.lit("n"), key % 7), F.concat(F.lit("m"), key % 5)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", place.alias("p"), number.alias("number"), title.alias("title"), act.alias("act"), a.alias("a"), b.alias("b"))
+    alias = F.when(F.col("p") == 5, F.array(F.lit(" "), F.concat(F.lit("Festival "), "act"))).when(F.col("p") == 6, F.array(F.concat(F.lit("Festival "), "number"))).otherwise(F.array().cast("array<string>"))
+    entries = rows.select(F.col("c_custkey").alias("id"), "title", "act", alias.alias("aliases"), F.when(F.col("p") == 7, F.array(F.lit("box"))).alias("listed"))
+    named = (
+        F.when(F.col("p") == 0, F.array("title"))
+        .when(F.col("p") == 1, F.array(F.concat(F.lit("Tale"), "number")))
+        .when(F.col("p") == 2, F.array("act"))
+        .when(F.col("p") == 3, F.array(F.concat(F.lit("Deed"), "number")))
+        .when(F.col("p") == 4, F.array(F.concat("act", F.lit("·1")), F.concat(F.lit("Deed"), "number", F.lit("·2"))))
+        .when(F.col("p") == 5, F.array(F.concat(F.lit("Festival "), "act")))
+        .when(F.col("p") == 6, F.array(F.concat(F.lit("Festival "), "number")))
+    )
+    records = rows.select("a", "b", F.posexplode(named).alias("at", "key"))
+    first = F.col("at") == 0
+    records = records.select("key", F.when(first, F.array("a")).otherwise(F.array("a", "b")).alias("cast"), F.when(first, "metadata").otherwise("speaker_lines").alias("source"))
+    found = cascade.cascaded_cast(entries, records)
+    in_order = F.array_join(F.array_sort("cast", lambda x, y: F.when(F.left(x, F.lit(1)) > F.left(y, F.lit(1)), -1).when(F.left(x, F.lit(1)) < F.left(y, F.lit(1)), 1).otherwise(0)), ",")
+    return found.select("id", "tier", in_order.alias("cast"), "source")
+
+
 @query("2.3.6", "SELECT p_partkey, coalesce(flag, 'none') AS kind FROM part LEFT JOIN (VALUES ('PROMO', 'offer'), ('LARGE', 'bulky')) f(t, flag) ON p_type = t")
 def flag_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = spark.createDataFrame([("PROMO", "offer"), ("LARGE", "bulky")], "p_type string, flag string")

@@ -90,3 +90,20 @@ def test_containment_of_every_length(spark):
     found = content.contained(spark.createDataFrame([(x,) for x in asked], "text string"), spark.createDataFrame([(x,) for x in texts * 3], "text string"))
     names = {r.d: r.text for r in spark.createDataFrame([(x,) for x in {*asked, *texts}], "text string").select(F.md5("text").alias("d"), "text").collect()}
     assert {(names[r.asked], names[r.searched]) for r in found.collect()} == {(a, t) for a in asked for t in texts if a in t and len(a) >= 6}
+
+
+def test_cascade_of_lookups(spark):
+    from corpusloom.operators.cascade import cascaded_cast
+
+    entries = [
+        (1, "A", None, [], None), (2, "B 「x」", None, [], None), (3, "none", "Deed", [], None), (4, "none", "Act (1)", [], None), (5, "none", "Walk", ["Fair", "Fair Walk"], None),
+        (6, "none", "Run", ["Fair"], None), (7, "none", None, ["Fair", "gone"], None), (8, "gone", None, [], ["own"]), (9, "void", None, [], ["own"]), (10, "void", None, [], None), (11, None, "", None, None),
+    ]
+    records = [("A", ["a"], "metadata"), ("Bx", ["b"], "metadata"), ("Deed·1", ["d", "e"], "metadata"), ("Deed·2", ["e", "f"], "speaker_lines"), ("Act1·1", ["g"], "metadata"), ("Fair", ["h"], "metadata"), ("Fair Walk", ["i"], "metadata"), ("void", [], "metadata")]
+    e = spark.createDataFrame(entries, "id int, title string, act string, aliases array<string>, listed array<string>")
+    r = spark.createDataFrame(records, "key string, cast array<string>, source string")
+    got = {row["id"]: (row.tier, row["cast"], row.source) for row in cascaded_cast(e, r).collect()}
+    want = {1: (1, ["a"], "metadata"), 2: (2, ["b"], "metadata"), 3: (5, ["d", "e", "f"], "speaker_lines"), 4: (5, ["g"], "metadata"), 5: (6, ["i"], "metadata"), 6: (7, ["h"], "activity_inherited")}
+    want |= {7: (6, ["h"], "metadata"), 8: (8, ["own"], "infobox_text"), 9: (8, ["own"], "infobox_text"), 10: (1, [], ""), 11: (None, [], "")}
+    assert got == want
+    assert cascaded_cast(e.where("false"), r).count() == 0 and cascaded_cast(e, r.where("false")).count() == 11
