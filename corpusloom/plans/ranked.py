@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import logic, text
-from corpusloom.operators import greedy, mentions, ranking, reconcile, retrieval
+from corpusloom.operators import fuzzy, greedy, mentions, ranking, reconcile, retrieval
 from corpusloom.plans.base import query, table
 from corpusloom.sources import models
 
@@ -294,6 +294,16 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.similar_names(table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey")), "p_partkey", "p_name", "blu bolts")
 
 
+@query("2.6.16", None)
+def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelt names (other vowels, none) and names of suppliers, against all names of parts and their words."""
+    parts = table(spark, sf_dir, "part")
+    names = parts.select(F.explode(F.concat(F.array("p_name"), F.split("p_name", " "))).alias("name"))
+    missed = names.select(F.explode(F.array(F.translate("name", "aeo", "eai"), F.regexp_replace("name", "[aeiou]", ""))).alias("asked"))
+    suppliers = table(spark, sf_dir, "supplier").select("s_name")
+    return fuzzy.similar_to_each(missed.union(suppliers), "asked", names, "name", alike=("aeiou", "dt", "gk"))
+
+
 @query(
     "2.6.19 2.9.30",
     """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 1 + o_orderkey % 999 END::INT AS n FROM orders""",
