@@ -294,14 +294,18 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.similar_names(table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey")), "p_partkey", "p_name", "blu bolts")
 
 
+#: Letters, and others that sound like them.
+SOUNDS = ("aeioudtgklr", "eaoeitdkgrl")
+
+
 @query("2.6.16", None)
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Misspelt names (other vowels, none) and names of suppliers, against all names of parts and their words."""
+    """Misspelt names (other letters of a like sound, no vowels) and names of suppliers, against all names of parts and their words."""
     parts = table(spark, sf_dir, "part")
     names = parts.select(F.explode(F.concat(F.array("p_name"), F.split("p_name", " "))).alias("name"))
-    missed = names.select(F.explode(F.array(F.translate("name", "aeo", "eai"), F.regexp_replace("name", "[aeiou]", ""))).alias("asked"))
+    missed = names.select(F.explode(F.array(F.translate("name", *SOUNDS), F.regexp_replace("name", "[aeiou]", ""))).alias("asked"))
     suppliers = table(spark, sf_dir, "supplier").select("s_name")
-    return fuzzy.similar_to_each(missed.union(suppliers), "asked", names, "name", alike=("aeiou", "dt", "gk"))
+    return fuzzy.similar_to_each(missed.union(suppliers), "asked", names, "name", alike=("aeiou", "dt", "gk", "lr"))
 
 
 @query(
