@@ -6,10 +6,10 @@ their mean log frequency, so that it weighs like one word. The languages' sums o
 and, as a softmax, its score.
 
 Words are counted over all learning texts in Spark, n-grams once for each distinct word. The model keeps every counted entry,
-whatever its count: by the 64-bit hash of its text it lies in one of many shards, which are sorted arrays in the shared folder
-that workers map into memory. Text that is null or has no letter is `und` with score 0; so is everything when nothing could be
+whatever its count: by the 64-bit hash of its text it lies in one of many shards, as many as the counted words fill, which are sorted
+arrays in the shared folder that workers map into memory. Text that is null or has no letter is `und` with score 0; so is everything when nothing could be
 learned. A tie goes to the first language by name. Repeated rows count each time and have equal results; very long texts are read whole,
-a part at a time; an empty table gives no rows; rows with null lang teach nothing; extra columns, whatever their names, are not read.
+a part at a time; an empty table gives no rows; rows with null lang or a null doc_id teach nothing, the latter are not held out; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 #: Entries that a task gathers before it hands them to the shuffle, and words that a worker remembers.
 HELD = 200_000
+#: Counted words of a shard on average, with their n-grams; a task writes four shards.
+SHARD_WORDS = 1 << 18
 #: Bytes of the texts whose words are looked up together: few, and each shard is visited for a handful of words.
 PART_BYTES = 1 << 20
 #: The seed of Spark's xxhash64.
@@ -227,10 +229,12 @@ def learn(docs: DataFrame) -> Model:
     """A model of all documents with a language; docs: lang, text. Each counted entry is written to the shared folder."""
     spark = docs.sparkSession
     words = count_words(docs).checkpoint()
-    langs = sorted(row["lang"] for row in words.select("lang").distinct().collect())
+    counted = {row["lang"]: row["n"] for row in words.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs = sorted(counted)
     folder = scratch_folder(spark, "language")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = shard_count(parts).bit_length() - 1
+    bits = (max(shard_count(parts), -(-sum(counted.values()) // SHARD_WORDS)) - 1).bit_length()
+    parts = max(parts, (1 << bits) // 4)
     if not langs:
         return Model(folder, bits, [], {})
     entries = words.select(F.lit(0).cast("long").alias("size"), F.col("word").alias("entry"), "lang", "n").union(count_grams(words).select("size", "gram", "lang", "n"))
@@ -307,4 +311,4 @@ def language_report(docs: DataFrame, folds: int = 3, held_out: int = 1) -> DataF
     ensure_checkpoint_dir(docs.sparkSession)
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     model = learn(docs.where(remainder != held_out).select("lang", "text"))
-    return identify(docs, model).select("doc_id", (remainder == held_out).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model).select("doc_id", F.coalesce(remainder == held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")

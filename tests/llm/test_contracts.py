@@ -360,3 +360,13 @@ def test_scores_of_awkward_rows(spark, sf, awkward):
 
 def test_queries_are_registered():
     assert {re.match(r"op(\d+)_|pipeline", name)[0] for name in queries()} == {f"op{n}_" for n in range(1, 14)} | {"pipeline"}
+
+
+def test_language_with_many_shards(awkward, monkeypatch):
+    """Shards follow the counted words; results do not depend on their number. A null id is not held out."""
+    columns = ("doc_id", "held_out", "lang_pred", "score")
+    few = sorted(repr(tuple(r[c] for c in columns)) for r in rows(langid.language_report(awkward)))
+    monkeypatch.setattr(langid, "SHARD_WORDS", 10)
+    many = rows(langid.language_report(awkward))
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in many) == few
+    assert all(r["held_out"] is False for r in many if r["doc_id"] is None) and any(r["doc_id"] is None for r in many)
