@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.logic import EXCLUDED, all_of, version_key, version_state
 from corpusloom.functions.text import tokens_for_facts
+from corpusloom.operators import ordered
 
 #: Record arrays of a page, in order of their facts.
 RECORDS = ("identity_versions", "events", "relations", "affiliation_states", "attribute_records", "memory_records")
@@ -105,13 +106,13 @@ def resolve_versions(asked: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def registry_violations(registry: DataFrame) -> DataFrame:
-    """key, problem: duplicate ids, labels or numbers, and neighbours (in declared order) whose numbers do not rise."""
+    """key, problem: duplicate ids, labels or numbers, and versions that a later one (in declared order) falls below."""
     problems = None
     for column in ("version_id", "label", "numeric"):
         part = registry.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", F.lit(f"duplicate_{column}").alias("problem"))
         problems = part if problems is None else problems.unionByName(part)
-    later = Window.orderBy("order").rowsBetween(1, Window.unboundedFollowing)  # a registry is a small dictionary of versions
-    numbered = registry.where("numeric is not null").withColumn("_n", version_key(F.col("numeric"))).withColumn("_least", F.min("_n").over(later))
+    versions = registry.where("numeric is not null").withColumn("_n", version_key(F.col("numeric")))
+    numbered = ordered.least_after(versions, ["order"], F.col("_n"), "_least")
     wrong = numbered.where(F.col("_n") > F.col("_least")).select(F.col("version_id").alias("key"), F.lit("order").alias("problem"))
     return problems.unionByName(wrong)
 

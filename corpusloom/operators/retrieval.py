@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import occurrences, overlapping_occurrences
+from corpusloom.operators import ordered
 from corpusloom.session import ensure_checkpoint_dir
 
 #: Query vectors that are broadcast at a time; more are searched block by block.
@@ -206,8 +207,7 @@ def capped_candidates(hits: DataFrame, source: str, ordinal: str, per_source: in
 
 def promoted(hits: DataFrame, exact: Column, ordinal: str) -> DataFrame:
     """Exact rows first; the order is kept otherwise. Adds `place`, from 1."""
-    order = Window.orderBy(F.when(exact, 0).otherwise(1), ordinal)
-    return hits.withColumn("place", F.row_number().over(order))
+    return ordered.places(hits, [F.when(exact, 0).otherwise(1), ordinal])
 
 
 def reranked_or_all(hits: DataFrame, ordinal: str, n: int = 10, verdicts: DataFrame | None = None, floor: float = 0.25) -> DataFrame:
