@@ -3,6 +3,10 @@
 Text is split by the tokenizer's pattern. A piece that is itself a vocabulary entry is resolved by a minimal perfect hash
 (hash and displace: one slot an entry, one comparison to confirm); every other piece is merged bottom-up with a heap over
 a doubly linked list of its bytes. A null text is empty, has no ids and decodes to nothing.
+
+Pairs of equal rank merge from the left. A text of any length is encoded whole, in one task; a very long piece costs its heap, n log n. In
+front of both tiers lies a cache of pieces of at most 64 characters, emptied when it is full, which changes no result. Repeated rows are
+encoded each by itself. Of the table only the id and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

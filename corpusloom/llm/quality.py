@@ -7,7 +7,9 @@ filter is max-pooled over a chunk; the mean and the maximum of the chunks' value
 The network is fitted in one task on a bounded sample: at most `rows` labelled documents of at most `max_bytes` bytes, the
 first by a hash of doc_id. Everything that is scored is scored whole, one row by itself, without a shuffle. Null text is
 empty; an empty text is one chunk of padding and has a score like any other. Several labels of one document count as the
-least; null labels are left out. With no usable label every score is 0.5.
+least; null labels are left out. With no usable label every score is 0.5. Repeated rows have equal scores; an empty table gives none. The
+report's fold is null where doc_id is, and such a row teaches nothing, as no label is its own. `keep_good` carries a row as one struct, so
+its columns may have any names.
 """
 
 from __future__ import annotations
