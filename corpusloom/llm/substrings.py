@@ -3,7 +3,8 @@
 Words are runs of `[^\\x20\\x09-\\x0D]`, unchanged; a window is `window` consecutive words of one text. A window that starts more
 than once is a node of the corpus's suffix tree at depth `window` with several leaves. Such nodes are found exactly, word by word:
 
-1. Texts are dealt into blocks of bounded size, by a hash of the row, so that a block is the same whenever it is made again.
+1. Texts are dealt into blocks of bounded size, by a hash of the row, and ordered there, so that a block is the same whenever it is
+   made or read again.
 2. Filter: a block sends 32 bits of every distinct window's hash to one of many shards; a shard's number of windows is fixed, so
    that the share of false alarms does not grow. What comes back is one bit a window: may it stand elsewhere?
 3. Anchors: of the first half of a window's words, the one where a hash of the next words is smallest. Equal windows have equal
@@ -129,6 +130,14 @@ def _texts_of(table: pa.Table) -> list[bytes]:
     return [unpack(packed.as_py()) for packed in table.column("packed")]
 
 
+def _in_order(table: pa.Table) -> tuple[pa.Table, list[bytes]]:
+    """The rows of a block, which a shuffle hands over in any order, and their texts, by text: places in a block count from reading to
+    reading. Equal texts may change places, as the same windows of theirs are repeated."""
+    texts = _texts_of(table)
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    return table.take(pa.array(order, pa.int64())), [texts[i] for i in order]
+
+
 def _filter_keys(hashes: np.ndarray, shard_bits: int) -> tuple[np.ndarray, ...]:
     """Distinct (shard, 32 bits) in order, how often each occurs, and each window's place among them."""
     keys, place, n = np.unique(hashes >> np.uint64(32 - shard_bits), return_inverse=True, return_counts=True)
@@ -259,7 +268,7 @@ def repeated_runs(
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "marks": pa.array(marks, pa.binary())})
 
     def offer(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = _texts_of(left)
+        left, texts = _in_order(left)
         codes, counts = coded(texts)
         hashes, starts = windows_hashed(codes, counts, window)
         rows = []
@@ -317,7 +326,7 @@ def repeated_runs(
         return pa.table({"block": table.column("block"), "hits": pa.array(hits, pa.binary())})
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = _texts_of(left)
+        left, texts = _in_order(left)
         counts = np.array([len(text.split()) for text in texts], np.int64)
         cover = np.zeros(int(counts.sum()) + 1, np.int32)
         for hits in right.column("hits"):
