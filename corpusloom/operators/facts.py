@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.logic import EXCLUDED, all_of, version_key, version_state
+from corpusloom.functions.logic import EXCLUDED, all_of, bound, version_key, version_state
 from corpusloom.functions.text import tokens_for_facts
 from corpusloom.operators import ordered
 
@@ -31,7 +31,7 @@ def facts_of(pages: DataFrame, records: Sequence[str] = RECORDS) -> DataFrame:
 def with_state(facts: DataFrame, asked_version: Column, historical: bool = False) -> DataFrame:
     """Adds state: superseded facts are excluded unless history is asked for; then the version range decides."""
     superseded = F.when((F.col("status") == "superseded") & F.lit(not historical), EXCLUDED).otherwise("applicable")
-    return facts.withColumn("state", all_of(F.array(superseded, version_state(asked_version, F.col("introduced_in"), F.col("valid_to")))))
+    return facts.withColumn("state", bound(F.array(superseded, version_state(asked_version, F.col("introduced_in"), F.col("valid_to"))), all_of))
 
 
 def attribute_projection(facts: DataFrame) -> DataFrame:
