@@ -25,3 +25,9 @@ def test_version_keys_are_made_once_a_row(spark):
     found = facts.with_state(rows, F.concat(F.lit("3.1"), F.element_at(F.array(F.lit("0")), F.length("status") - F.length("status") + 1)))
     assert [r.state for r in found.collect()] == ["applicable", "excluded"]
     assert _patterns(found.select("state")) <= 4
+
+
+def test_answered_questions_shuffles_no_questions(spark, sf):
+    """Questions meet the few numbers as one broadcast row."""
+    plan = catalog.queries()["answered_questions"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "LeftOuter" not in plan
