@@ -47,7 +47,9 @@ def closure(edges: DataFrame, seeds: DataFrame, depth: int, source: str = "sourc
     """
     ensure_checkpoint_dir(edges.sparkSession)
     steps = edges.where(gate) if gate is not None else edges
-    steps = steps.select(F.col(source).alias("node"), F.col(target).alias("_next")).distinct().checkpoint()  # else each level would read and sort out the links again
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt by node once and kept so: no level shuffles the links again, and a link that repeats goes with the frontier's repeats
+    steps = steps.select(F.col(source).alias("node"), F.col(target).alias("_next")).repartition(parts, "node").sortWithinPartitions("node").checkpoint()
     reached = seeds.select("node", F.lit(0).alias("depth"), F.col("node").alias("seed")).distinct().checkpoint()
     frontier = reached
     for level in range(1, depth + 1):
