@@ -16,6 +16,8 @@ from corpusloom.session import ensure_checkpoint_dir
 
 #: Query vectors that are broadcast at a time; more are searched block by block.
 QUERY_BLOCK = 1024
+#: Queries of a block whose scores a worker holds at a time.
+QUERY_SLICE = 64
 # Relevance thresholds by similarity backend.
 THRESHOLDS = {"bge-m3": {"hard": 0.50, "hard_with_keyword": 0.42, "weak": 0.60}}
 
@@ -97,15 +99,17 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
                 of: dict[tuple, list[int]] = {}
                 for i, group in enumerate(groups):
                     of.setdefault(tuple(group.values()), []).append(i)
-                scores = batch.column(len(names)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) @ matrix.T
-                for chosen in of.values() if within else [range(batch.num_rows)] if batch.num_rows else []:
-                    chosen = np.array(chosen)
-                    own = scores[chosen]
-                    most = min(k, len(chosen) - 1)  # one more than k, as the row itself may be among them
-                    least = np.partition(own, len(chosen) - 1 - most, axis=0)[len(chosen) - 1 - most]
-                    row, column = np.nonzero(own >= least - 10.0**-digits)
-                    columns = [batch.column(i).take(pa.array(chosen[row])) for i in range(len(names))]
-                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(column)), *columns, pa.array(own[row, column])], ["query_id", *names, "score"])
+                values = batch.column(len(names)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for first in range(0, len(ids), QUERY_SLICE):
+                    scores = values @ matrix[first : first + QUERY_SLICE].T
+                    for chosen in of.values() if within else [range(batch.num_rows)] if batch.num_rows else []:
+                        chosen = np.array(chosen)
+                        own = scores[chosen]
+                        most = min(k, len(chosen) - 1)  # one more than k, as the row itself may be among them
+                        least = np.partition(own, len(chosen) - 1 - most, axis=0)[len(chosen) - 1 - most]
+                        row, column = np.nonzero(own >= least - 10.0**-digits)
+                        columns = [batch.column(i).take(pa.array(chosen[row])) for i in range(len(names))]
+                        yield pa.RecordBatch.from_arrays([asked.take(pa.array(first + column)), *columns, pa.array(own[row, column])], ["query_id", *names, "score"])
 
         schema = ", ".join([f"query_id {dict(queries.dtypes)['query_id']}", *(f"`{name}` {kinds[name]}" for name in names), "score double"])
         scored = rows.mapInArrow(nearest, schema).withColumn("score", F.round("score", digits))
