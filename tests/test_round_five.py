@@ -4,7 +4,7 @@ import os
 import random
 
 from corpusloom import catalog
-from corpusloom.operators import greedy
+from corpusloom.operators import content, greedy
 from corpusloom.session import ensure_checkpoint_dir
 
 SF = "/root/testdata/sf0.01"
@@ -27,6 +27,21 @@ def test_suppressed_variants_keeps_little(spark):
     assert _grown(spark, "suppressed_variants") < 5
 
 
+def test_content_tiers_keeps_little(spark):
+    assert _grown(spark, "content_tiers") < 4
+
+
+def test_content_tiers_across_blocks(spark):
+    """A tag that opens in one block and closes in the next is lost in the page and stays in the blocks; pages without id or blocks do no harm."""
+    pages = [(1, ["alpha beta <gamma", "delta> epsilon zeta", "plain line of text"]), (2, None), (None, ["another page here"]), (3, [None, "lonely words (aside) stay"])]
+    asked = [(1, "alpha beta epsilon"), (2, "alpha beta <gamma"), (3, "plain line\nof text"), (4, "another page"), (5, "lonely words stay"), (6, None), (7, "absent words")]
+    df = spark.createDataFrame(asked, "id int, text string")
+    got = {r.id: (r.tier, r.page, r.status) for r in content.content_tiers(df, "id", "text", spark.createDataFrame(pages, "page int, blocks array<string>"), "page", "blocks").collect()}
+    assert got[1] == ("page_exact", 1, "matched") and got[2] == ("block_exact", 1, "matched") and got[3] == ("block_exact", 1, "matched")
+    assert got[4] == ("block_contains", None, "matched") and got[5] == ("block_loose", 3, "matched")
+    assert got[6] == got[7] == (None, None, "missing")
+
+
 def test_variants_of_nested_titles(spark):
     """Titles that stand in one another, of all lengths, missing ones and missing groups, against a fold."""
     rng, rows = random.Random(5), []
