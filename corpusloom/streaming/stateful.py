@@ -1,7 +1,8 @@
 """Decisions that depend on what a key did before, over a stream: admission, a cache that expires, a circuit breaker.
 
-Each is a processor for `transformWithState`: Spark keeps one small value a key in its state store, gives it back after a restart, and an
-event-time timer forgets a key that has been silent for longer than its past can matter. Rows of a micro-batch are put in time order
+Each is a function for `applyInPandasWithState`: Spark keeps one small value a key in its state store, hands it to the worker and takes it
+back with the rows of many keys at once, so that no key costs calls of its own, gives it back after a restart, and an event-time timeout
+forgets a key that has been silent for longer than its past can matter. Rows of a micro-batch are put in time order
 (ties by id) before they are judged; a micro-batch holds what a trigger takes in. Rows behind the watermark are dropped by Spark.
 The batch forms are `operators.chains.spaced` for admission with a limit of one and for the cache, and windows for the rest.
 """
@@ -11,20 +12,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _micros(times: pd.Series) -> list[int]:
+def _micros(times: np.ndarray) -> list[int]:
     return times.astype("datetime64[us]").astype("int64").tolist()
 
 
-class _Keyed(StatefulProcessor):
+class _Keyed:
     """One value of longs a key; `judge` gives the marks of rows in time order and the value after them."""
 
     state_schema = "past array<long>"
@@ -32,32 +34,26 @@ class _Keyed(StatefulProcessor):
     def __init__(self, ts: str, id_col: str, name: str, silent: int):
         self.ts, self.id_col, self.name, self.silent = ts, id_col, name, silent
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.past = handle.getValueState("past", self.state_schema)
-
     def judge(self, past: list[int], times: list[int], rows: pd.DataFrame) -> tuple[list[Any], list[int]]:
         raise NotImplementedError
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows)).sort_values([self.ts, self.id_col], kind="stable")
-        past = list(self.past.get()[0]) if self.past.exists() else []
-        times = _micros(frame[self.ts])
-        marks, past = self.judge(past, times, frame)
-        self.past.update((past,))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def __call__(self, key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = list(frames)
+        frame = held[0] if len(held) == 1 else pd.concat(held)
+        times = frame[self.ts].to_numpy()
+        if len(frame) > 1:
+            order = np.lexsort((frame[self.id_col].to_numpy(), times))
+            frame, times = frame.take(order), times[order]
+        times = _micros(times)
+        marks, past = self.judge([int(t) for t in state.get[0]] if state.exists else [], times, frame)
+        state.update((past,))
         if self.silent:
-            self.handle.registerTimer(max(times) // 1000 + self.silent * 1000)
+            state.setTimeoutTimestamp(max(times) // 1000 + self.silent * 1000)
         yield frame.assign(**{self.name: marks})
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.past.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
-
 
 class Admission(_Keyed):
     """accepted: fewer than `limit` accepted rows of the key lie in the last `window` seconds; rejected ones do not count."""
@@ -112,7 +108,7 @@ def judged(events: DataFrame, key: str, processor: _Keyed, delay: str = "0 secon
     """The rows of a stream with the processor's mark."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     schema = StructType([*events.schema.fields, StructType.fromDDL(f"`{processor.name}` boolean").fields[0]])
-    return events.withWatermark(processor.ts, delay).groupBy(key).transformWithStateInPandas(processor, schema, "append", "eventTime")
+    return events.withWatermark(processor.ts, delay).groupBy(key).applyInPandasWithState(processor.__call__, schema, processor.state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def landed_in_order(rows: DataFrame, ts: str, folder: str, pieces: int) -> Iterator[int]:
