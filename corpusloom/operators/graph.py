@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.ranking import first_rows
@@ -76,9 +76,12 @@ def too_deep(reached: DataFrame, dependencies: DataFrame, depth: int = 32) -> Da
 def neighbours(edges: DataFrame, nodes: DataFrame, allowed: Sequence[str], type_col: str = "entry_type", limit: int = 100, cap: int = 20) -> DataFrame:
     """source, neighbour: nodes of allowed types next to each source in either direction, the first `cap` by id."""
     out = first_rows(edges, ["source"], ["position", "target"], limit).select("source", F.col("target").alias("neighbour"))
-    back = backlinks(edges).select(F.col("target").alias("source"), F.col("source").alias("neighbour"))
+    back = edges.select(F.col("target").alias("source"), F.col("source").alias("neighbour"))
     typed = nodes.where(F.col(type_col).isin(*allowed)).select(F.col("entry_id").alias("neighbour"))
-    return first_rows(out.unionByName(back).distinct().where("source <> neighbour").join(typed, "neighbour"), ["source"], ["neighbour"], cap)
+    met = out.unionByName(back).where("source <> neighbour").join(typed, "neighbour").select("source", "neighbour")
+    # links that repeat have one rank: tasks keep the first ranks by sorting, and only these rows are made distinct
+    rank = F.dense_rank().over(Window.partitionBy("source").orderBy("neighbour"))
+    return met.withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_rank").distinct()
 
 
 def series_links(nodes: DataFrame) -> DataFrame:

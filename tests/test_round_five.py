@@ -83,3 +83,9 @@ def test_state_travels_with_the_rows(spark, tmp_path):
         want[i] = strikes[k] >= 3
     assert got == want
     assert all("TransformWithState" not in text for text in plans)
+
+
+def test_typed_neighbours_makes_few_rows_distinct(spark):
+    """Links are cut to the first of each source before anything gathers them in memory."""
+    plan = catalog.queries()["typed_neighbours"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and plan.index("Aggregate [") < plan.index("dense_rank")
