@@ -109,13 +109,15 @@ def keyed_merge(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 
 def best_match(scored: DataFrame, left_id: str, right_id: str, score: str, near: float = 0.05, floor: float = 0.0) -> DataFrame:
-    """left_id, right_id, score, status: the best candidate; review if another one is within `near` of it."""
+    """left_id, right_id, score, status: the best candidate; review if another one is within `near` of it.
+
+    The best one that has an id is named, the least of equal ones; those without an id count for score and status.
+    """
     window = Window.partitionBy(left_id)
     good = scored.where(F.col(score) >= floor).withColumn("_best", F.max(score).over(window))
-    close = good.where(F.col(score) >= F.col("_best") - near).groupBy(left_id).agg(
-        F.max_by(right_id, F.struct(F.col(score), -F.col(right_id))).alias(right_id), F.max(score).alias(score), F.count(F.lit(1)).alias("_n")
-    )
-    return close.select(left_id, right_id, score, F.when(F.col("_n") > 1, "review").otherwise("merged").alias("status"))
+    first = F.min(F.when(F.col(right_id).isNotNull(), F.struct((-F.col(score)).alias("_score"), F.col(right_id).alias("_id"))))
+    close = good.where(F.col(score) >= F.col("_best") - near).groupBy(left_id).agg(first.alias("_first"), F.max(score).alias(score), F.count(F.lit(1)).alias("_n"))
+    return close.select(left_id, F.col("_first._id").alias(right_id), score, F.when(F.col("_n") > 1, "review").otherwise("merged").alias("status"))
 
 
 def tiered_match(rows: DataFrame, row_id: str, candidates: DataFrame, candidate_id: str, tiers: Sequence[Column]) -> DataFrame:
