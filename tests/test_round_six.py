@@ -23,3 +23,12 @@ def test_best_match_takes_the_least_of_equal_ones(spark):
     scored = spark.createDataFrame([(1, "b", 0.9), (1, "a", 0.9), (1, None, 0.95), (2, "c", 0.5), (2, "a", 0.4), (3, None, 0.7), (4, "d", None)], "id int, other string, score double")
     got = {r.id: tuple(r)[1:] for r in reconcile.best_match(scored, "id", "other", "score").collect()}
     assert got == {1: ("a", 0.95, "review"), 2: ("c", 0.5, "merged"), 3: (None, 0.7, "merged")}
+
+
+def test_answered_questions_knows_every_kind(spark, tmp_path):
+    """Against its SQL, with more kinds than a thousand, one without a part's type and one in two spellings."""
+    parts = [(i, "name", "Brand#1", "PROMO" if i % 500 == 0 else None if i == 7 else f"{'Type' if i % 2 else 'type'}{chr(65 + i % 26)} {i // 2 % 1200}") for i in range(2600)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string").coalesce(1).write.parquet(f"{tmp_path}/spark")
+    next((tmp_path / "spark").glob("part-*.parquet")).rename(tmp_path / "part.parquet")
+    got = spark_rows(catalog.queries()["answered_questions"](spark, str(tmp_path)))
+    assert got == oracle(catalog.oracle_sql()["answered_questions"], str(tmp_path))
