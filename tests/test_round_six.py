@@ -1,7 +1,9 @@
 """Cases of the sixth round."""
 
+from pyspark.sql import functions as F
+
 from corpusloom import catalog
-from corpusloom.operators import reconcile
+from corpusloom.operators import content, reconcile
 from tests.compare import oracle, spark_rows
 
 LEAST = -(2**63)
@@ -32,3 +34,39 @@ def test_answered_questions_knows_every_kind(spark, tmp_path):
     next((tmp_path / "spark").glob("part-*.parquet")).rename(tmp_path / "part.parquet")
     got = spark_rows(catalog.queries()["answered_questions"](spark, str(tmp_path)))
     assert got == oracle(catalog.oracle_sql()["answered_questions"], str(tmp_path))
+
+
+def test_pages_are_read_twice_for_any_number_of_tokens(spark, monkeypatch):
+    """Before, the pages were read once for each block of tokens asked for."""
+    monkeypatch.setattr(content, "TOKEN_BLOCK", 10, raising=False)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = [f"{i} and {i * i} make up text {i + 7}, which is long enough to have windows" for i in range(120)]
+    pages = spark.createDataFrame([(i, [text, text.upper()]) for i, text in enumerate(texts)], "row long, texts array<string>").mapInArrow(count, "row long, texts array<string>")
+    few = spark.createDataFrame([(str(i), text[3:40]) for i, text in enumerate(texts)] + [("none", "nowhere to be found")], "id string, text string")
+    found = {tuple(row) for row in content._met(few, pages, 6).collect()}
+    assert {(str(i), i) for i in range(120)} <= found and "none" not in {key for key, _ in found}
+    assert read.value == 2 * len(texts)
+
+
+def test_a_sieve_passes_what_is_asked_for(spark, monkeypatch):
+    """With a bit for many tokens, more pass that nobody asks for, and the result is the same."""
+    texts = [f"page {i} of {i * i} and more" for i in range(300)]
+    few = spark.createDataFrame([(str(i), text) for i, text in enumerate(texts[::3])], "id string, text string")
+    pages = spark.createDataFrame([(i, [text]) for i, text in enumerate(texts)], "row long, texts array<string>")
+    wide = {tuple(row) for row in content._met(few, pages, 6).collect()}
+    monkeypatch.setattr(content, "MOST_BITS", 11)
+    assert {tuple(row) for row in content._met(few, pages, 6).collect()} == wide >= {(str(i), 3 * i) for i in range(100)}
+
+
+def test_norm_keeps_letters_digits_and_ideographs(spark):
+    import re
+
+    text = "".join(chr(i) for i in [*range(1, 0xD800), *range(0xE000, 0x20000, 7), 0x10FFFF] if i not in (0x3C, 0x3E))
+    got = spark.createDataFrame([(text,)], "t string").select(content.norm(F.col("t")).alias("n")).first().n
+    assert got == re.sub("[^0-9A-Za-z一-鿿]", "", text)
