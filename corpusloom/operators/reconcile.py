@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -120,6 +120,83 @@ def best_match(scored: DataFrame, left_id: str, right_id: str, score: str, near:
     return close.select(left_id, F.col("_first._id").alias(right_id), score, F.when(F.col("_n") > 1, "review").otherwise("merged").alias("status"))
 
 
+def _carried(rows: DataFrame, width: float, wanted: dict[str, tuple[Column, bool, int]]) -> DataFrame:
+    """rows (k, v, kind) with columns by name: (what, later, until) is the last `what` that is not null among the earlier rows of the same k in the order of
+    v and kind (later: the next one among the later rows), until the row before (-1) or itself (0). A task holds a cell of `width` of one k at a time."""
+    rows = rows.select("*", F.floor(F.col("v") / width).alias("cell"), *[what.alias(f"_{name}") for name, (what, _, _) in wanted.items()])
+    ends = [(F.min_by if later else F.max_by)(f"_{name}", F.when(F.col(f"_{name}").isNotNull(), F.struct("v", "kind"))).alias(name) for name, (_, later, _) in wanted.items()]
+
+    def order(later: bool, *names: str) -> list[Column]:
+        return [F.desc(name) if later else F.asc(name) for name in names]
+
+    beyond = {name: F.last(name, True).over(Window.partitionBy("k").orderBy(*order(later, "cell")).rowsBetween(Window.unboundedPreceding, -1)) for name, (_, later, _) in wanted.items()}
+    cells = rows.groupBy("k", "cell").agg(*ends).select("k", "cell", *[value.alias(f"_beyond_{name}") for name, value in beyond.items()])
+    here = {name: F.last(f"_{name}", True).over(Window.partitionBy("k", "cell").orderBy(*order(later, "v", "kind")).rowsBetween(Window.unboundedPreceding, until)) for name, (_, later, until) in wanted.items()}
+    found = rows.select("*", *[value.alias(f"_here_{name}") for name, value in here.items()]).join(cells, ["k", "cell"])
+    return found.select("k", "v", "kind", *[F.coalesce(f"_here_{name}", f"_beyond_{name}").alias(name) for name in wanted])
+
+
+def closest_match(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, key: tuple[str, str], value: tuple[str, str], score: Callable[[Column], Column], name: str, near: float, floor: float, blur: float, width: float = 64.0
+) -> DataFrame:
+    """What best_match gives for all pairs of equal keys, whose score is a function of how far their values (doubles) lie apart; no pair is listed.
+
+    The score never rises with the distance, is below the floor for an infinite one and NaN for NaN; two distances more than `blur` apart have different
+    scores, as far as these reach the floor. The best scores of a row are those of the two nearest values on either side, which equal values and
+    windows over cells of `width` tell; the least of equally good ids stands within `blur` beyond the nearest value that has one.
+    """
+    a = left.select(F.col(left_id).alias("left"), F.col(key[0]).alias("k"), (F.col(value[0]) + F.lit(0.0)).alias("v")).where("k is not null and v is not null")
+    b = right.select(F.col(right_id).alias("id"), F.col(key[1]).alias("k"), (F.col(value[1]) + F.lit(0.0)).alias("v")).where("k is not null and v is not null")
+    infinite = float("inf")
+    finite = F.abs("v") < infinite
+    points = b.where(finite).groupBy("k", "v").agg(F.least(F.count(F.lit(1)), F.lit(2)).alias("n"), F.min("id").alias("id")).withColumn("kind", F.lit(0))
+    one, named = F.struct("v", "n"), F.when(F.col("id").isNotNull(), F.col("v"))
+    linked = _carried(points, width, {"prev": (one, False, -1), "next": (one, True, -1), "below": (named, False, 0), "above": (named, True, 0), "n": (F.col("n"), False, 0)})
+    asked = a.where(finite).select("k", "v").distinct().select("k", "v", F.lit(1).alias("kind"), F.lit(None).cast("struct<v:double,n:int,prev:struct<v:double,n:int>,next:struct<v:double,n:int>,below:double,above:double>").alias("p"))
+    every = asked.unionByName(linked.select("k", "v", "kind", F.struct("v", F.col("n").cast("int").alias("n"), F.col("prev").cast("struct<v:double,n:int>").alias("prev"), F.col("next").cast("struct<v:double,n:int>").alias("next"), "below", "above").alias("p")))
+    around = _carried(every, width, {"low": (F.col("p"), False, 0), "high": (F.col("p"), True, -1)}).where("kind = 1")
+
+    def scored(x: Column) -> Column:
+        return score(F.abs(F.col("v") - x))
+
+    def good(x: Column) -> Column:
+        return F.when(x >= floor, x)
+
+    beside = [F.col("low"), F.col("low.prev"), F.col("high"), F.col("high.next")]
+    best = F.flatten(F.array(*[F.coalesce(F.array_repeat(good(scored(x["v"])), x["n"]), F.array().cast("array<double>")) for x in beside]))
+    best = F.slice(F.sort_array(F.filter(best, lambda x: x.isNotNull()), asc=False), 1, 2)
+    away = F.least(F.col("v") - F.col("low.below"), F.col("high.above") - F.col("v"))
+    around = around.select("k", "v", best.alias("best"), good(score(away)).alias("s"), away.alias("d")).where(F.size("best") > 0)
+
+    # where the least id of equal scores may stand: cells of twice the blur
+    def fine(x: Column) -> Column:
+        return F.floor(x / (2 * blur))
+
+    v, d = F.col("v"), F.col("d")
+    spots = F.array_distinct(F.concat(F.sequence(fine(v - d - 1.25 * blur), fine(v - d + blur / 4)), F.sequence(fine(v + d - blur / 4), fine(v + d + 1.25 * blur))))
+    spots = around.where("s is not null").select("k", "v", "s", F.explode(spots).alias("spot"))
+    held = points.where("id is not null").select("k", fine(F.col("v")).alias("spot"), F.col("v").alias("w"), "id")
+    least = spots.join(held, ["k", "spot"]).where(scored(F.col("w")) == F.col("s")).groupBy("k", "v").agg(F.min("id").alias("id"))
+    found = around.drop("d").join(least, ["k", "v"], "left")
+
+    # scores that are no number: of values that are none, and of infinite ones of one sign
+    odd = {"nan": F.isnan("v"), "up": F.col("v") == infinite, "down": F.col("v") == -infinite, "any": F.lit(True)}
+    odds = b.groupBy("k").agg(*[f.alias(f"{kind}_{what}") for kind, is_ in odd.items() for what, f in (("n", F.count(F.when(is_, 1))), ("id", F.min(F.when(is_, F.col("id")))))])
+    rows = a.join(found, ["k", "v"], "left").join(odds, "k", "left")
+    nan = F.lit(float("nan"))
+    n = F.when(F.isnan("v"), F.col("any_n")).otherwise(F.col("nan_n") + F.when(v == infinite, F.col("up_n")).when(v == -infinite, F.col("down_n")).otherwise(0))
+    odd_id = F.when(F.isnan("v"), F.col("any_id")).otherwise(F.least("nan_id", F.when(v == infinite, F.col("up_id")).when(v == -infinite, F.col("down_id"))))
+    rows = rows.select("left", "best", "s", "id", n.alias("n"), odd_id.alias("odd"))
+    is_odd = F.coalesce(F.col("n") > 0, F.lit(False))
+    rows = rows.select("left", F.when(is_odd, F.array_repeat(nan, F.least("n", F.lit(2)).cast("int"))).otherwise(F.col("best")).alias("best"), F.when(is_odd, nan).otherwise(F.col("s")).alias("s"), F.when(is_odd, F.col("odd")).otherwise(F.col("id")).alias("id")).where(F.size("best") > 0)
+
+    # rows that share an id share their candidates
+    rows = rows.withColumn("m", F.max(F.col("best")[0]).over(Window.partitionBy("left")))
+    named = F.when(F.col("id").isNotNull() & (F.col("s") >= F.col("m") - near), F.struct((-F.col("s")).alias("s"), "id"))
+    close = rows.groupBy("left").agg(F.min(named).alias("first"), F.max("m").alias(name), F.sum(F.size(F.filter("best", lambda x: x >= F.col("m") - near))).alias("n"))
+    return close.select(F.col("left").alias(left_id), F.col("first.id").alias(right_id), name, F.when(F.col("n") > 1, "review").otherwise("merged").alias("status"))
+
+
 def tiered_match(rows: DataFrame, row_id: str, candidates: DataFrame, candidate_id: str, tiers: Sequence[Column]) -> DataFrame:
     """row_id, tier, candidate_id, status: candidates (row and candidate joined beforehand) of the lowest tier that holds; ambiguous if several."""
     tier = F.coalesce(*[F.when(condition, F.lit(i)) for i, condition in enumerate(tiers, 1)])

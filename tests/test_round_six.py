@@ -1,5 +1,7 @@
 """Cases of the sixth round."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from corpusloom import catalog
@@ -70,3 +72,27 @@ def test_norm_keeps_letters_digits_and_ideographs(spark):
     text = "".join(chr(i) for i in [*range(1, 0xD800), *range(0xE000, 0x20000, 7), 0x10FFFF] if i not in (0x3C, 0x3E))
     got = spark.createDataFrame([(text,)], "t string").select(content.norm(F.col("t")).alias("n")).first().n
     assert got == re.sub("[^0-9A-Za-z一-鿿]", "", text)
+
+
+def test_closest_match_is_best_match_of_all_pairs(spark):
+    """Values close together, equal, far apart, infinite and none; several rows of an id; ids and keys that are missing."""
+    rng = random.Random(11)
+    values = [round(rng.uniform(-900, 900), 2) for _ in range(40)] + [rng.uniform(3000, 3000.2) for _ in range(30)] + [64.0, 128.0, 0.0, -0.0, 24.0, 1e300, -1e18, 9000.0, None, float("inf"), float("-inf")]
+    near = lambda: rng.choice([rng.choice(values), (rng.choice(values) or 0.0) + rng.choice([0.01, -0.01, 24.0, 3990.0, -4000.0])])
+    left = [(rng.choice([*range(150), None]), rng.choice([1, 2, 3, 4, 5, None]), near()) for _ in range(400)] + [(900, 1, float("nan")), (901, 4, float("nan")), (902, 7, 1.0), (903, 2, 5e4)]
+    right = [(rng.choice([*range(-60, 60), None]), rng.choice([1, 2, 3, None]), near()) for _ in range(220)] + [(None, 4, 10.0), (7, 4, 12.5), (None, 5, float("nan")), (3, 3, float("nan")), (8, 5, 1.0), (9, 4, 3000.1)]
+    a = spark.createDataFrame(left, "c long, k int, x double")
+    b = spark.createDataFrame(right, "s long, j int, y double")
+    score = lambda distance: F.round(1 / (1 + distance / 1000), 6)
+    pairs = a.join(b, F.col("k") == F.col("j")).select("c", "s", score(F.abs(F.col("x") - F.col("y"))).alias("score"))
+    want = reconcile.best_match(pairs, "c", "s", "score", floor=0.2)
+    got = reconcile.closest_match(a, b, "c", "s", ("k", "j"), ("x", "y"), score, "score", near=0.05, floor=0.2, blur=0.03)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {r.status for r in want.collect()} == {"merged", "review"}
+
+
+def test_best_scored_match_lists_no_pairs(spark):
+    """The join of all customers and suppliers of a nation grows with their product."""
+    plan = catalog.queries()["best_scored_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not any("c_nationkey" in line and "s_nationkey" in line for line in joins)
