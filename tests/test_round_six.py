@@ -96,3 +96,14 @@ def test_best_scored_match_lists_no_pairs(spark):
     plan = catalog.queries()["best_scored_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join " in line]
     assert joins and not any("c_nationkey" in line and "s_nationkey" in line for line in joins)
+
+
+def test_a_common_run_makes_no_candidates(spark):
+    """Long texts that share a frequent run with every page are met by what is rare in them."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    common = "thisrunstandsoneverypageofthetable" * 4
+    texts = [word() + word() + common + word() + word() for _ in range(200)]
+    few = spark.createDataFrame([(str(i), text[4:-4]) for i, text in enumerate(texts)], "id string, text string")
+    pages = spark.createDataFrame([(i, [text]) for i, text in enumerate(texts)], "row long, texts array<string>")
+    assert len({tuple(row) for row in content._met(few, pages, 6).collect()} ^ {(str(i), i) for i in range(200)}) < 20
